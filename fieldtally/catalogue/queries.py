@@ -16,7 +16,7 @@ from fieldtally.catalogue.inputs import (
     load,
 )
 from fieldtally.functions.numbers import strict_avg
-from fieldtally.functions.projection import planar_distance
+from fieldtally.functions.projection import planar_distance, with_utm
 from fieldtally.functions.text import paste_na, readable, split_part
 from fieldtally.functions.times import parse_date, parse_datetime, to_minute
 from fieldtally.operators.lookups import drop_matching, left_lookup, not_in_list
@@ -27,7 +27,7 @@ from fieldtally.plans import explore as ex
 from fieldtally.plans import matrix, names, sensors, surveys
 from fieldtally.plans.build import sampling_table, survey_tally
 from fieldtally.plans.surveys import PARAMETERS, SURVEYS
-from fieldtally.sources.pages import html_tables
+from fieldtally.sources.pages import all_lines, html_tables
 from fieldtally.sources.staging import run_folder, stage
 from fieldtally.sources.tables import (
     read_csv,
@@ -166,7 +166,7 @@ def variables_in_years(spark, folder):
 
 @query
 def utm_project(spark, folder):
-    return rounded(names.projected(derive(spark, folder, "customer_points")), "x", "y", digits=3)
+    return rounded(with_utm(derive(spark, folder, "customer_points")), "x", "y", digits=3)
 
 
 @query
@@ -177,7 +177,7 @@ def nearest_match(spark, folder):
 
 
 def _points(spark, folder, name):
-    return names.projected(derive(spark, folder, name))
+    return with_utm(derive(spark, folder, name))
 
 
 @query
@@ -405,7 +405,7 @@ def sensor_page(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "nation").select(
         F.col("n_nationkey").alias("page"),
         F.concat(
-            F.lit("<html><body><p>List<table><tr>"),
+            F.lit("<html><body><p>List<table><tr><th colspan=6>Sensors</th></tr><tr>"),
             *[F.lit(f"<td>{t}</td>") for t in ("Sensor Num", "Description", "C", "D", "E", "F")],
             F.lit("</tr>"),
             html_row(cells),
@@ -483,10 +483,9 @@ def landed_lists(spark, folder):
             F.regexp_replace("html", "<(/?)ul>", "<$1table>"), "<(/?)li>", "<$1tr>"
         ).alias("html"),
     )
-    cells = html_tables(
-        marked.withColumn("html", F.regexp_replace("html", "<tr>", "<tr><td>")), "page_id", "html"
-    )
-    return cells.groupBy("page_id", "table_no").agg(F.count("*").alias("items"))
+    marked = marked.withColumn("html", F.regexp_replace("html", "<tr>", "<tr><td>"))
+    lines = all_lines(html_tables(marked, "page_id", "html"), "page_id")
+    return lines.groupBy("page_id", "table_no").agg(F.count("*").alias("items"))
 
 
 # --- exploring ---------------------------------------------------------------

@@ -1,11 +1,11 @@
-"""Universal transverse Mercator as plain column arithmetic (Krueger series to
-third order in the third flattening), so that it stays inside generated code."""
+"""Universal transverse Mercator as column arithmetic (Krueger series to third
+order in the third flattening), so that it stays inside generated code."""
 
 from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # GRS 1980 ellipsoid and the UTM grid.
@@ -25,22 +25,39 @@ ALPHA = (
 ECCENTRICITY = 2.0 * sqrt(_N) / (1.0 + _N)
 
 
-def utm(latitude: Column, longitude: Column, zone: int = 10) -> tuple[Column, Column]:
-    """Easting and northing in metres (northern hemisphere)."""
-    phi = F.radians(latitude)
-    lam = F.radians(longitude - F.lit(zone * 6.0 - 183.0))
+def with_utm(
+    places: DataFrame, latitude: str = "Latitude", longitude: str = "Longitude", zone: int = 10
+) -> DataFrame:
+    """Add easting ``x`` and northing ``y`` in metres (northern hemisphere). Each
+    stage of the series is a projection of its own: as one expression the shared
+    terms would be repeated in it many times over."""
     e = F.lit(ECCENTRICITY)
-    sin_phi = F.sin(phi)
-    t = F.sinh(F.atanh(sin_phi) - e * F.atanh(e * sin_phi))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(F.lit(1.0) + t * t))
+    sine = F.sin(F.radians(latitude))
+    angle = F.radians(F.col(longitude) - F.lit(zone * 6.0 - 183.0))
+    staged = (
+        places.withColumns({"utm_sine": sine, "utm_angle": angle})
+        .withColumn(
+            "utm_t", F.sinh(F.atanh("utm_sine") - e * F.atanh(e * F.col("utm_sine")))
+        )
+        .withColumns(
+            {
+                "utm_xi": F.atan2("utm_t", F.cos("utm_angle")),
+                "utm_eta": F.atanh(
+                    F.sin("utm_angle") / F.sqrt(F.lit(1.0) + F.col("utm_t") * F.col("utm_t"))
+                ),
+            }
+        )
+    )
+    xi, eta = F.col("utm_xi"), F.col("utm_eta")
     east, north = eta, xi
     for k, a in enumerate(ALPHA, start=1):
         m = F.lit(2.0 * k)
         east = east + F.lit(a) * F.cos(m * xi) * F.sinh(m * eta)
         north = north + F.lit(a) * F.sin(m * xi) * F.cosh(m * eta)
-    k0a = F.lit(SCALE * RADIUS)
-    return F.lit(FALSE_EASTING) + k0a * east, k0a * north
+    scale = F.lit(SCALE * RADIUS)
+    return staged.withColumns({"x": F.lit(FALSE_EASTING) + scale * east, "y": scale * north}).drop(
+        "utm_sine", "utm_angle", "utm_t", "utm_xi", "utm_eta"
+    )
 
 
 def planar_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

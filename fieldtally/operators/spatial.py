@@ -7,20 +7,22 @@ costs one search."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.projection import planar_distance
 from fieldtally.operators.lookups import left_lookup
+from fieldtally.sources.staging import stage
 
 # Points of one grid cell that may be compared directly; a fuller cell is
 # divided. Each division makes 4 x 4 cells.
-CELL_LIMIT = 16
+CELL_LIMIT = 64
 DIVISION = 4
 DEEPEST = 10
-# Under a single root cell the levels down to this one have 4096 cells at most.
-SMALL_LEVELS = 3
+# Borders of cells are rounded numbers; the margin only ever keeps a cell.
+MARGIN = 1e-6
 
 # A polygon layer with at most this many edges is packed into arrays.
 PACKED_EDGES = 200_000
@@ -37,20 +39,20 @@ def nearest(
     Cells of the grid that hold many points are divided again and again, and at
     each level a left point keeps only the cells that can still hold its nearest
     neighbour. So the work per point stays small where points are dense, and the
-    answer is exact at any density. ``right`` is read several times: pass a table,
-    not a long plan."""
-    points = right.groupBy("x", "y").agg(F.min(right_id).alias("id"))
-    places = left.select("x", "y").dropna().distinct()
+    answer is exact at any density. The distinct right points are written once,
+    since every level reads them."""
+    points = stage(
+        right.groupBy("x", "y").agg(F.min(right_id).alias("id")).dropna(subset=["x", "y"]),
+        "points",
+    )
     grid = _grid_over(points, max_distance)
+    placed = left.withColumn("place", _place())
     if grid is None:
-        found = places.select(
-            "x", "y", F.lit(None).cast("double").alias("distance"), F.lit(None).alias("nearest_id")
+        return placed.drop("place").withColumns(
+            {"distance": F.lit(None).cast("double"), "nearest_id": _no_id(right, right_id)}
         )
-    else:
-        found = _descend(places, points, grid, max_distance)
-    kind = right.schema[right_id].dataType
-    found = found.withColumn("nearest_id", F.col("nearest_id").cast(kind))
-    return left_lookup(left, found, ["x", "y"])
+    places = placed.groupBy("place").agg(F.any_value("x").alias("x"), F.any_value("y").alias("y"))
+    return left_lookup(placed, _descend(places, points, grid), ["place"]).drop("place")
 
 
 @dataclass(frozen=True)
@@ -59,146 +61,176 @@ class _Grid:
     y0: float
     width: float
     depth: int
-    bounded: bool
+    radius: float | None
 
     def cell_width(self, level: int) -> float:
         return self.width / DIVISION**level
 
-    def key(self, level: int) -> tuple[Column, Column]:
+    def key(self, level: int) -> list[Column]:
         """Cell numbers of a point. Those of a level divide those of the finest
         one, so a cell and its parent always agree."""
         step = DIVISION ** (self.depth - level)
         width = self.cell_width(self.depth)
-        return tuple(
-            F.floor(F.floor((F.col(c) - F.lit(o)) / F.lit(width)) / F.lit(step)).cast("long")
-            for c, o in (("x", self.x0), ("y", self.y0))
-        )
+        return [
+            F.floor(F.floor((F.col(c) - F.lit(o)) / F.lit(width)) / F.lit(step)).cast("long").alias(n)
+            for c, o, n in (("x", self.x0, "cx"), ("y", self.y0, "cy"))
+        ]
+
+
+def _place() -> Column:
+    """A place as exact text. Keyed by doubles, every grouping would shuffle anew,
+    because those keys are normalised first."""
+    both = F.concat_ws(",", *[(F.col(c) + F.lit(0.0)).cast("string") for c in ("x", "y")])
+    return F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), both)
+
+
+def _no_id(right: DataFrame, right_id: str) -> Column:
+    return F.lit(None).cast(right.schema[right_id].dataType)
 
 
 def _grid_over(points: DataFrame, max_distance: float | None) -> _Grid | None:
-    """Cell sizes for the searched points: two small aggregates, of one row and
-    of one row per level, come to the driver."""
+    """Cell sizes for the searched points. The first guess is right for evenly
+    spread points; while cells are too full the next level is measured. Only
+    single rows come to the driver."""
     box = points.agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+        F.min("x").alias("x0"),
+        F.max("x").alias("x1"),
+        F.min("y").alias("y0"),
+        F.max("y").alias("y1"),
+        F.count("*").alias("points"),
     ).first()
-    if box.x0 is None:
+    if box.points == 0:
         return None
-    bounded = max_distance is not None
-    span = max_distance if bounded else max(box.x1 - box.x0, box.y1 - box.y0)
+    wide, high = box.x1 - box.x0, box.y1 - box.y0
+    span = max(wide, high) if max_distance is None else max_distance
     # Slightly wide, so that rounding cannot push a match out of reach.
-    width = max(span * (1 + 1e-9), 1e-6)
-    finest = _Grid(box.x0, box.y0, width, DEEPEST, bounded)
-    keys = F.array(
-        *[
-            F.struct(F.lit(k).alias("level"), *_named(finest.key(k)))
-            for k in range(DEEPEST + 1)
-        ]
-    )
-    fullest = (
-        points.select(F.explode(keys).alias("cell"))
-        .groupBy("cell.level", "cell.cx", "cell.cy")
-        .count()
-        .groupBy("level")
-        .agg(F.max("count").alias("points"))
-        .collect()
-    )
-    enough = [row.level for row in fullest if row.points <= CELL_LIMIT]
-    return _Grid(box.x0, box.y0, width, min(enough, default=DEEPEST), bounded)
+    width = max(span * (1 + 1e-9), 1e-3)
+    cells = (wide / width + 1) * (high / width + 1)
+    crowding = box.points / cells / CELL_LIMIT
+    depth = min(max(0, ceil(log(crowding, DIVISION**2))), DEEPEST) if crowding > 1 else 0
+    while True:
+        grid = _Grid(box.x0, box.y0, width, depth, max_distance)
+        if depth == DEEPEST or _fullest(points, grid) <= CELL_LIMIT:
+            return grid
+        depth += 1
 
 
-def _descend(
-    places: DataFrame, points: DataFrame, grid: _Grid, max_distance: float | None
-) -> DataFrame:
+def _fullest(points: DataFrame, grid: _Grid) -> int:
+    return points.groupBy(*grid.key(grid.depth)).count().agg(F.max("count")).first()[0]
+
+
+def _descend(places: DataFrame, points: DataFrame, grid: _Grid) -> DataFrame:
     """Narrow the candidate cells of each place level by level, then compare with
-    the points of the cells that are left."""
-    limit = F.lit(float("inf") if max_distance is None else float(max_distance))
-    if grid.bounded:
-        start = F.explode(_neighbours(*grid.key(0)))
-        frontier = places.select("x", "y", start.alias("cell")).select("x", "y", "cell.*")
+    the points of the cells that are left. ``reach`` is how far away the nearest
+    point can be at most."""
+    if grid.radius is not None:
+        frontier = places.select(
+            "*",
+            F.explode(_neighbours(*grid.key(0))).alias("cell"),
+            F.lit(float(grid.radius)).alias("reach"),
+        ).select("place", "x", "y", "reach", "cell.*")
+        start = 0
     else:
-        root = F.lit(0).cast("long")
-        frontier = places.select("x", "y", *_named((root, root)))
-    for level in range(grid.depth):
-        frontier = _narrow(frontier, points, grid, level, limit)
+        frontier = _from_root(places, points, grid)
+        start = min(1, grid.depth)
+    for level in range(start, grid.depth):
+        frontier = _narrow(frontier, _children(points, grid, level), grid, level)
     cells = points.select(
-        *_named(grid.key(grid.depth)),
-        F.col("x").alias("right_x"),
-        F.col("y").alias("right_y"),
-        "id",
+        *grid.key(grid.depth), F.col("x").alias("right_x"), F.col("y").alias("right_y"), "id"
     )
-    if not grid.bounded and grid.depth == 0:
-        cells = F.broadcast(cells)  # CELL_LIMIT rows at most
-    pairs = frontier.join(cells, ["cx", "cy"]).withColumn(
-        "distance", planar_distance(F.col("x"), F.col("y"), F.col("right_x"), F.col("right_y"))
-    )
-    best = (
-        pairs.filter(F.col("distance") <= limit)
-        .groupBy("x", "y")
+    distance = planar_distance(F.col("x"), F.col("y"), F.col("right_x"), F.col("right_y"))
+    return (
+        frontier.join(cells, ["cx", "cy"])
+        .withColumn("distance", distance)
+        .filter(F.col("distance") <= F.col("reach"))
+        .groupBy("place")
         .agg(F.min(F.struct("distance", "id")).alias("best"))
+        .select("place", "best.distance", F.col("best.id").alias("nearest_id"))
     )
-    return best.select("x", "y", "best.distance", F.col("best.id").alias("nearest_id"))
 
 
-def _narrow(
-    frontier: DataFrame, points: DataFrame, grid: _Grid, level: int, limit: Column
-) -> DataFrame:
-    """Replace candidate cells by those of their children that can hold the
-    nearest point. A cell is out when it starts farther away than the point known
-    in some other cell. A parent has 16 children at most."""
-    parent = grid.key(level)
-    child = grid.key(level + 1)
-    children = (
-        points.groupBy(
-            parent[0].alias("cx"), parent[1].alias("cy"), child[0].alias("kx"), child[1].alias("ky")
-        )
-        .agg(F.min(F.struct("x", "y")).alias("known"))
+def _children(points: DataFrame, grid: _Grid, level: int) -> DataFrame:
+    """Cells of a level with their occupied children, 16 at most, and one point
+    known in each child."""
+    kx, ky = grid.key(level + 1)
+    return (
+        points.groupBy(*grid.key(level), kx.alias("kx"), ky.alias("ky"))
+        .agg(F.any_value("x").alias("known_x"), F.any_value("y").alias("known_y"))
         .groupBy("cx", "cy")
-        .agg(F.collect_list(F.struct("kx", "ky", "known")).alias("children"))
+        .agg(F.collect_list(F.struct("kx", "ky", "known_x", "known_y")).alias("children"))
+    )
+
+
+def _from_root(places: DataFrame, points: DataFrame, grid: _Grid) -> DataFrame:
+    """First candidates when there is no radius: the cells under the single root
+    cell, few enough to be written into the plan."""
+    if grid.depth == 0:
+        here = F.lit(0).cast("long")
+        return places.select(
+            "place", "x", "y", F.lit(float("inf")).alias("reach"), here.alias("cx"), here.alias("cy")
+        )
+    root = _children(points, grid, 0).first().children
+    known = [
+        planar_distance(F.col("x"), F.col("y"), F.lit(c.known_x), F.lit(c.known_y)) for c in root
+    ]
+    cells = F.array(
+        *[F.struct(F.lit(c.kx).alias("cx"), F.lit(c.ky).alias("cy")) for c in root]
     )
-    if not grid.bounded and level <= SMALL_LEVELS:
-        children = F.broadcast(children)
-    width = grid.cell_width(level + 1)
+    reach = F.least(*known) if len(known) > 1 else known[0]
+    return (
+        places.withColumn("reach", reach)
+        .select("place", "x", "y", "reach", F.explode(cells).alias("cell"))
+        .select("place", "x", "y", "reach", "cell.*")
+        .filter(_starts_at(grid, 1) <= F.col("reach") + F.lit(MARGIN))
+    )
+
+
+def _narrow(frontier: DataFrame, children: DataFrame, grid: _Grid, level: int) -> DataFrame:
+    """Replace candidate cells by those of their children that can hold the
+    nearest point: a cell is out when it starts farther away than a point that is
+    known in some other cell."""
+    near = F.col("start") <= F.col("reach") + F.lit(MARGIN)
     opened = (
         frontier.join(children, ["cx", "cy"])
-        .select("x", "y", F.explode("children").alias("child"))
+        .select("place", "x", "y", "reach", F.explode("children").alias("child"))
         .select(
+            "place",
             "x",
             "y",
+            "reach",
             F.col("child.kx").alias("cx"),
             F.col("child.ky").alias("cy"),
-            _gap("x", "child.kx", grid.x0, width).alias("gap_x"),
-            _gap("y", "child.ky", grid.y0, width).alias("gap_y"),
             planar_distance(
-                F.col("x"), F.col("y"), F.col("child.known.x"), F.col("child.known.y")
+                F.col("x"), F.col("y"), F.col("child.known_x"), F.col("child.known_y")
             ).alias("known"),
         )
+        .withColumn("start", _starts_at(grid, level + 1))
+        .filter(near)
     )
-    reach = F.least(F.min("known").over(Window.partitionBy("x", "y")), limit)
-    # The margin covers rounding of cell borders; it only ever keeps a cell.
-    margin = F.lit(1e-6)
-    start = F.sqrt(F.col("gap_x") * F.col("gap_x") + F.col("gap_y") * F.col("gap_y"))
+    shortest = F.min("known").over(Window.partitionBy("place"))
     return (
-        opened.withColumn("reach", reach)
-        .filter(start <= F.col("reach") + margin)
-        .select("x", "y", "cx", "cy")
+        opened.withColumn("reach", F.least("reach", shortest))
+        .filter(near)
+        .select("place", "x", "y", "reach", "cx", "cy")
     )
 
 
-def _gap(coordinate: str, cell: str, origin: float, width: float) -> Column:
-    """Distance along one axis from a point to a cell."""
-    low = F.lit(origin) + F.col(cell) * F.lit(width)
-    value = F.col(coordinate)
-    return F.greatest(low - value, value - low - F.lit(width), F.lit(0.0))
-
-
-def _named(key: tuple[Column, Column]) -> list[Column]:
-    return [key[0].alias("cx"), key[1].alias("cy")]
+def _starts_at(grid: _Grid, level: int) -> Column:
+    """Distance from a place to the nearest border of its candidate cell."""
+    width = grid.cell_width(level)
+    gaps = []
+    for value, cell, origin in (("x", "cx", grid.x0), ("y", "cy", grid.y0)):
+        low = F.lit(origin) + F.col(cell) * F.lit(width)
+        gaps.append(
+            F.greatest(low - F.col(value), F.col(value) - low - F.lit(width), F.lit(0.0))
+        )
+    return F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1])
 
 
 def _neighbours(cx: Column, cy: Column) -> Column:
     return F.array(
         *[
-            F.struct(*_named((cx + F.lit(i), cy + F.lit(j))))
+            F.struct((cx + F.lit(i)).alias("cx"), (cy + F.lit(j)).alias("cy"))
             for i in (-1, 0, 1)
             for j in (-1, 0, 1)
         ]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions.projection import utm
+from fieldtally.functions.projection import with_utm
 from fieldtally.functions.text import paste_na, split_part
 from fieldtally.operators.lookups import full_directory, left_lookup, with_coordinates
 from fieldtally.operators.spatial import nearest
@@ -19,12 +19,6 @@ MATCH_RADIUS = 1000.0
 ZONE = 10
 
 
-def projected(places: DataFrame, zone: int = ZONE) -> DataFrame:
-    """Add planar ``x`` and ``y`` to rows with Latitude and Longitude."""
-    x, y = utm(F.col("Latitude"), F.col("Longitude"), zone)
-    return places.withColumns({"x": x, "y": y})
-
-
 def match_stations(
     zooplankton_sites: DataFrame,
     water_quality_tally: DataFrame,
@@ -44,7 +38,7 @@ def match_stations(
         "Longitude",
     )
     found = nearest(
-        projected(sites, zone), projected(targets, zone), "Station", max_distance=radius
+        with_utm(sites, zone=zone), with_utm(targets, zone=zone), "Station", max_distance=radius
     )
     matched = found.filter(F.col("distance") <= radius).select(
         F.lit(MATCHED_SOURCE).alias("Source"),

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.functions.projection import with_utm
 from fieldtally.functions.text import paste_na, split_list
 from fieldtally.operators.lookups import left_lookup
 from fieldtally.operators.reshape import complete_years, explode_names
 from fieldtally.operators.spatial import inside
-from fieldtally.plans.names import ZONE, projected
+from fieldtally.plans.names import ZONE
 from fieldtally.sources.pages import (
-    body_rows,
+    body_lines,
     cell,
+    first_table,
     html_tables,
+    lines_of,
+    named_lines,
     only_table_of_width,
-    promote_header,
     table_at,
 )
 
@@ -35,7 +38,7 @@ METADATA_PATH = ("main_content/div/div[1]", 2)
 
 def in_region(places: DataFrame, edges: DataFrame, zone: int = ZONE) -> DataFrame:
     """Places inside a polygon layer that is given in the same projection."""
-    return inside(projected(places, zone), edges).drop("x", "y")
+    return inside(with_utm(places, zone=zone), edges).drop("x", "y")
 
 
 def sensor_years(
@@ -58,9 +61,10 @@ def sensor_years(
 
 
 def sensor_list(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Sensor numbers and descriptions from the first table of the landed list."""
-    first = html_tables(pages, key, html).filter(F.col("table_no") == 1)
-    named = promote_header(first, key, SENSOR_LIST_COLUMNS, SENSOR_LIST_WIDTH)
+    """Sensor numbers and descriptions from the first table of the landed list,
+    whose second line names its columns."""
+    tables = html_tables(pages, key, html)
+    named = named_lines(tables, key, first_table(), SENSOR_LIST_COLUMNS, SENSOR_LIST_WIDTH)
     return named.select(*SENSOR_LIST_COLUMNS)
 
 
@@ -80,8 +84,8 @@ def station_sensors(
 def station_metadata(pages: DataFrame, key: str = "Station", html: str = "html") -> DataFrame:
     """The sensor table of each landed station page, under fixed names. Pages
     without exactly one table of that width give nothing."""
-    cells = html_tables(pages, key, html)
-    body = body_rows(only_table_of_width(cells, key, len(METADATA_COLUMNS)))
+    wanted = only_table_of_width(len(METADATA_COLUMNS))
+    body = body_lines(lines_of(html_tables(pages, key, html), key, wanted))
     return body.select(
         key, *[cell(i).alias(name) for i, name in enumerate(METADATA_COLUMNS, start=1)]
     )
@@ -89,9 +93,8 @@ def station_metadata(pages: DataFrame, key: str = "Station", html: str = "html")
 
 def station_tables(pages: DataFrame, key: str = "Station", html: str = "html") -> DataFrame:
     """Cells of the table at the fixed place of each landed station page."""
-    return table_at(html_tables(pages, key, html), key, *METADATA_PATH).select(
-        key, "row_no", "cells"
-    )
+    lines = lines_of(html_tables(pages, key, html), key, table_at(*METADATA_PATH))
+    return lines.select(key, "row_no", "cells")
 
 
 def station_label(name: str, code: str):

@@ -1,22 +1,38 @@
 """Tables inside landed HTML pages. Reading the markup needs Python; it runs in
-Arrow batches beside the scan, one page at a time, and everything after it is
-ordinary DataFrame work."""
+Arrow batches beside the scan, one page at a time, and each page comes back as
+one row with all its tables. Which table is wanted is then decided page by page
+with array expressions: nothing is shuffled and no page is read twice."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELLS_SCHEMA = (
-    "table_no int, path string, sibling_no int, row_no int, is_header boolean, cells array<string>"
+TABLES_TYPE = (
+    "array<struct<table_no:int,path:string,sibling_no:int,width:int,"
+    "lines:array<struct<is_header:boolean,cells:array<string>>>>>"
+)
+ARROW_TABLES = pa.list_(
+    pa.struct(
+        {
+            "table_no": pa.int32(),
+            "path": pa.string(),
+            "sibling_no": pa.int32(),
+            "width": pa.int32(),
+            "lines": pa.list_(
+                pa.struct({"is_header": pa.bool_(), "cells": pa.list_(pa.string())})
+            ),
+        }
+    )
 )
 
-# Rows gathered before a batch goes back to the JVM.
-OUTPUT_ROWS = 10_000
+# Pages handed back to the JVM at a time.
+OUTPUT_PAGES = 500
 
 # HTML elements without an end tag, and start tags that end an
 # open element of the named kinds.
@@ -32,127 +48,202 @@ CLOSED_BY = {
     "li": {"li"},
     "p": {"p"},
 }
+SCOPES = {"table", "tr", "td", "th", "ul", "ol", "div"}
+
+MARKUP = re.compile(
+    r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.DOTALL | re.IGNORECASE,
+)
+ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
 
 
 def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """One row per table row: the page key, the table's number in the page (from
-    1), where the table sits, the row's number (from 1), whether the row holds
-    header cells only, and its cells. Cells that span rows or columns are
-    repeated in each place they cover."""
+    """The page key and the page's tables in document order. A table has its
+    number in the page (from 1), the path from the nearest ancestor with an id,
+    its number among its siblings, its width and its lines. Cells that span rows
+    or columns are repeated in each place they cover."""
     pages = pages.select(key, html)
     key_type = pages.schema[key].dataType.simpleString()
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [key, *[part.split()[0] for part in CELLS_SCHEMA.split(", ")]]
-        found: list[tuple] = []
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, text in zip(batch[key], batch[html]):
-                found.extend((page, *row) for row in page_rows(text or ""))
-                if len(found) >= OUTPUT_ROWS:
-                    yield pd.DataFrame(found, columns=columns)
-                    found = []
-        if found:
-            yield pd.DataFrame(found, columns=columns)
-
-    return pages.mapInPandas(extract, f"`{key}` {key_type}, {CELLS_SCHEMA}")
-
-
-def table_at(cells: DataFrame, key: str, path: str, sibling_no: int) -> DataFrame:
-    """The first table of each page whose ancestors, from the nearest one with an
-    id down, match ``path`` (such as ``main_content/div/div[1]``; a step without
-    a number matches any) and that is the given one among its sibling tables."""
-    steps = [s if i == 0 or s.endswith("]") else s + "[*]" for i, s in enumerate(path.split("/"))]
-    pattern = "/".join("\\Q" + s + "\\E" for s in steps).replace("[*]\\E", "\\E\\[[0-9]+\\]")
-    here = cells.filter(F.col("path").rlike(f"^{pattern}$") & (F.col("sibling_no") == sibling_no))
-    first = here.groupBy(key).agg(F.min("table_no").alias("table_no"))
-    return here.join(first, [key, "table_no"], "left_semi")
-
-
-def only_table_of_width(cells: DataFrame, key: str, width: int) -> DataFrame:
-    """The table with the given number of columns of each page that has exactly
-    one such table; other pages give nothing."""
-    widths = cells.groupBy(key, "table_no").agg(F.max(F.size("cells")).alias("width"))
-    single = (
-        widths.filter(F.col("width") == width)
-        .groupBy(key)
-        .agg(F.count("*").alias("tables"), F.min("table_no").alias("table_no"))
-        .filter(F.col("tables") == 1)
+            for start in range(0, batch.num_rows, OUTPUT_PAGES):
+                part = batch.slice(start, OUTPUT_PAGES)
+                tables = [page_tables(text.as_py() or "") for text in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(tables, ARROW_TABLES)], [key, "tables"]
+                )
+
+    return pages.mapInArrow(extract, f"`{key}` {key_type}, tables {TABLES_TYPE}")
+
+
+def first_table() -> Column:
+    return F.try_element_at("tables", F.lit(1))
+
+
+def table_at(path: str, sibling_no: int) -> Column:
+    """The first table whose ancestors, from the nearest one with an id down,
+    match ``path`` (such as ``main_content/div/div[1]``; a step without a number
+    matches any) and that is the given one among its sibling tables."""
+    root, *steps = path.split("/")
+    parts = ["\\Q" + root + "\\E"]
+    for step in steps:
+        name, _, number = step.partition("[")
+        parts.append(f"{name}\\[{number.rstrip(']') or '[0-9]+'}\\]")
+    pattern = "^" + "/".join(parts) + "$"
+    there = F.filter(
+        "tables", lambda t: t["path"].rlike(pattern) & (t["sibling_no"] == sibling_no)
+    )
+    return F.try_element_at(there, F.lit(1))
+
+
+def only_table_of_width(width: int) -> Column:
+    """The table of that many columns, if the page has exactly one."""
+    fitting = F.filter("tables", lambda t: t["width"] == width)
+    return F.when(F.size(fitting) == 1, F.try_element_at(fitting, F.lit(1)))
+
+
+def lines_of(tables: DataFrame, key: str, wanted: Column) -> DataFrame:
+    """One row per line of the wanted table of each page: key, row_no, is_header,
+    cells. Pages without it give none."""
+    return (
+        tables.select(key, wanted.alias("wanted"))
+        .select(key, F.posexplode("wanted.lines").alias("at", "line"))
+        .select(
+            key,
+            (F.col("at") + 1).alias("row_no"),
+            F.col("line.is_header").alias("is_header"),
+            F.col("line.cells").alias("cells"),
+        )
     )
-    return cells.join(single, [key, "table_no"], "left_semi")
 
 
-def body_rows(cells: DataFrame) -> DataFrame:
-    """Without a leading header row."""
-    return cells.filter(~((F.col("row_no") == 1) & F.col("is_header")))
+def all_lines(tables: DataFrame, key: str) -> DataFrame:
+    """One row per line of every table of each page."""
+    each = tables.select(key, F.explode("tables").alias("found"))
+    return each.select(
+        key,
+        "found.table_no",
+        "found.path",
+        F.posexplode("found.lines").alias("at", "line"),
+    ).select(
+        key,
+        "table_no",
+        "path",
+        (F.col("at") + 1).alias("row_no"),
+        F.col("line.is_header").alias("is_header"),
+        F.col("line.cells").alias("cells"),
+    )
+
+
+def body_lines(lines: DataFrame) -> DataFrame:
+    """Without a leading line of header cells."""
+    return lines.filter(~((F.col("row_no") == 1) & F.col("is_header")))
 
 
 def cell(index: int) -> Column:
-    """The index-th cell of a row (from 1), null past its end."""
+    """The index-th cell of a line (from 1), null past its end."""
     return F.try_element_at("cells", F.lit(index))
 
 
-def promote_header(cells: DataFrame, key: str, wanted: list[str], width: int) -> DataFrame:
-    """Name the first ``width`` columns of every table by the lower-cased cells
-    of its first data row, drop that row and keep the wanted columns. Pages may
-    order their columns differently."""
-    table = [key, "table_no"]
-    body = body_rows(cells).withColumn("cells", F.slice("cells", 1, width))
-    start = body.groupBy(*table).agg(
-        F.min_by("cells", "row_no").alias("names"), F.min("row_no").alias("first_row")
+def named_lines(
+    tables: DataFrame, key: str, chosen: Column, wanted: list[str], width: int
+) -> DataFrame:
+    """Lines of a table whose second line holds the column names, in any case and
+    order; the first line is its header. The wanted ones among the first
+    ``width`` columns are kept, for the lines after that."""
+    lines = tables.select(key, chosen["lines"].alias("lines"))
+    names = F.transform(
+        F.slice(F.try_element_at("lines", F.lit(2))["cells"], 1, width), lambda n: F.lower(n)
     )
-    named = body.join(start, table).filter(F.col("row_no") > F.col("first_row"))
-    lowered = F.transform("names", lambda name: F.lower(name))
+    rows = lines.select(key, names.alias("names"), F.posexplode("lines").alias("at", "line"))
     picked = [
         F.try_element_at(
-            "cells", F.nullif(F.array_position(lowered, F.lit(name)), F.lit(0)).cast("int")
-        ).alias(name)
-        for name in wanted
+            F.col("line.cells"), F.nullif(F.array_position("names", F.lit(n)).cast("int"), F.lit(0))
+        ).alias(n)
+        for n in wanted
     ]
-    return named.select(*table, "row_no", *picked)
+    return rows.filter(F.col("at") >= 2).select(key, *picked)
+
+
+def page_tables(html: str) -> list[dict]:
+    """All tables of one page."""
+    if "<table" not in html and "<TABLE" not in html and "<Table" not in html:
+        return []
+    page = _Page()
+    end = 0
+    for mark in MARKUP.finditer(html):
+        page.text(html[end : mark.start()])
+        end = mark.end()
+        name = mark.group(3)
+        if name:
+            tag = name.lower()
+            if mark.group(2):
+                page.close(tag)
+            else:
+                page.start(tag, mark.group(4))
+    return [page.finished(number, table) for number, table in enumerate(page.tables, start=1)]
+
+
+class _Page:
+    """What is open at the current place of a page."""
 
-
-class _TableReader(HTMLParser):
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[dict] = [_element("", None)]
+        self.open: list[dict] = [_element("", None, 1)]
         self.tables: list[dict] = []
         self.inside: list[dict] = []
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def text(self, data: str) -> None:
+        if data and self.inside and self.inside[-1]["cell"] is not None:
+            self.inside[-1]["cell"]["text"].append(data)
+
+    def start(self, tag: str, attributes: str) -> None:
         self._close_before(tag)
-        attributes = dict(attrs)
-        parent = self.open[-1]
-        parent["children"][tag] = parent["children"].get(tag, 0) + 1
+        children = self.open[-1]["children"]
+        nth = children[tag] = children.get(tag, 0) + 1
         if tag == "table":
-            self._start_table(parent["children"][tag])
+            self._start_table(nth)
         elif self.inside and tag == "tr":
             self.inside[-1]["rows"].append([])
         elif self.inside and tag in ("td", "th"):
-            self._start_cell(tag, attributes)
+            self._start_cell(tag, _attributes(attributes))
         elif tag == "br":
-            self.handle_data("\n")
+            self.text("\n")
         if tag not in VOID:
-            self.open.append(_element(tag, attributes.get("id"), parent["children"][tag]))
+            id_ = _attributes(attributes).get("id") if "id" in attributes.lower() else None
+            self.open.append(_element(tag, id_, nth))
 
-    def handle_endtag(self, tag: str) -> None:
+    def close(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth]["tag"] == tag:
+            kind = self.open[depth]["tag"]
+            if kind == tag:
                 self._close_to(depth)
                 return
-            if self.open[depth]["tag"] == "table":
+            if kind == "table":
                 return
 
-    def handle_data(self, data: str) -> None:
-        if self.inside and self.inside[-1]["cell"] is not None:
-            self.inside[-1]["cell"]["text"].append(data)
+    def finished(self, number: int, table: dict) -> dict:
+        lines = [{"is_header": head, "cells": cells} for head, cells in _spread(table["rows"])]
+        return {
+            "table_no": number,
+            "path": table["path"],
+            "sibling_no": table["nth"],
+            "width": max((len(line["cells"]) for line in lines), default=0),
+            "lines": lines,
+        }
 
     def _close_before(self, tag: str) -> None:
-        ends = CLOSED_BY.get(tag, set())
+        ends = CLOSED_BY.get(tag)
+        if not ends:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             kind = self.open[depth]["tag"]
             if kind in ends:
                 self._close_to(depth)
-            elif kind in ("table", "tr", "td", "th", "ul", "ol", "div"):
+                if tag not in ("tr", "tbody"):
+                    return
+            elif kind in SCOPES:
                 return
 
     def _close_to(self, depth: int) -> None:
@@ -174,7 +265,7 @@ class _TableReader(HTMLParser):
         self.tables.append(table)
         self.inside.append(table)
 
-    def _start_cell(self, tag: str, attributes: dict) -> None:
+    def _start_cell(self, tag: str, attributes: dict[str, str]) -> None:
         table = self.inside[-1]
         if not table["rows"]:
             table["rows"].append([])
@@ -187,41 +278,39 @@ class _TableReader(HTMLParser):
         table["rows"][-1].append(table["cell"])
 
 
-def page_rows(html: str) -> Iterator[tuple]:
-    """All table rows of one page."""
-    reader = _TableReader()
-    reader.feed(html)
-    reader.close()
-    for number, table in enumerate(reader.tables, start=1):
-        for row_no, (header, cells) in enumerate(_spread(table["rows"]), start=1):
-            yield number, table["path"], table["nth"], row_no, header, cells
-
-
 def _spread(rows: list[list[dict]]) -> Iterator[tuple[bool, list[str]]]:
     """Repeat spanning cells in every place they cover."""
     below: dict[int, tuple[int, str]] = {}
     for row in rows:
         texts: list[str] = []
-        queue = list(row)
-        while queue or len(texts) in below:
+        waiting = iter(row)
+        item = next(waiting, None)
+        while item is not None or len(texts) in below:
             at = len(texts)
             if at in below:
                 left, text = below.pop(at)
-                texts.append(text)
                 if left > 1:
                     below[at] = (left - 1, text)
+                texts.append(text)
                 continue
-            item = queue.pop(0)
-            text = "".join(item["text"]).strip()
+            text = unescape("".join(item["text"])).strip()
             for _ in range(item["wide"]):
                 if item["deep"] > 1:
                     below[len(texts)] = (item["deep"] - 1, text)
                 texts.append(text)
+            item = next(waiting, None)
         if texts:
             yield bool(row) and all(item["head"] for item in row), texts
 
 
-def _element(tag: str, id_: str | None, nth: int = 1) -> dict:
+def _attributes(text: str) -> dict[str, str]:
+    return {
+        name.lower(): double or single or bare
+        for name, double, single, bare in ATTRIBUTE.findall(text)
+    }
+
+
+def _element(tag: str, id_: str | None, nth: int) -> dict:
     return {"tag": tag, "id": id_, "nth": nth, "children": {}}
 
 
