@@ -7,29 +7,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted text forms.
+# The accepted text forms, and the order of their parts as year,
+# month, day.
 DATE_FORMS = {
-    "ymd": r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$",
-    "mdy": r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$",
+    "ymd": "([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})",
+    "mdy": "([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})",
 }
-ISO_ORDER = {"ymd": "$1-$2-$3", "mdy": "$3-$1-$2"}
+ISO_ORDER = {"ymd": None, "mdy": "$3-$1-$2"}
 TIME_FORMS = {
-    "seconds": r"^[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
-    "minutes": r"^[0-9]{1,2}:[0-9]{1,2}$",
+    "seconds": "[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}",
+    "minutes": "[0-9]{1,2}:[0-9]{1,2}",
 }
 
 
 def parse_date(text: Column, form: str = "ymd") -> Column:
-    return F.when(text.rlike(DATE_FORMS[form]), _iso(text, form).try_cast("timestamp_ntz"))
+    return _parse(text, form, "")
 
 
 def parse_datetime(
     date: Column, time: Column, date_form: str = "ymd", time_form: str = "seconds"
 ) -> Column:
     """Date and time texts together; null if either is missing or malformed."""
-    both = F.concat(_iso(date, date_form), F.lit(" "), time)
-    formed = date.rlike(DATE_FORMS[date_form]) & time.rlike(TIME_FORMS[time_form])
-    return F.when(formed, both.try_cast("timestamp_ntz"))
+    return _parse(F.concat(date, F.lit(" "), time), date_form, " " + TIME_FORMS[time_form])
 
 
 def to_minute(moment: Column) -> Column:
@@ -37,5 +36,8 @@ def to_minute(moment: Column) -> Column:
     return F.substring(moment.cast("string"), 1, 16).cast("timestamp_ntz")
 
 
-def _iso(text: Column, form: str) -> Column:
-    return F.regexp_replace(text, DATE_FORMS[form], ISO_ORDER[form])
+def _parse(text: Column, form: str, rest: str) -> Column:
+    """The cast takes more forms than are accepted, so the text is tested first."""
+    order = ISO_ORDER[form]
+    iso = text if order is None else F.regexp_replace(text, f"^{DATE_FORMS[form]}", order)
+    return F.when(text.rlike(f"^{DATE_FORMS[form]}{rest}$"), iso.try_cast("timestamp_ntz"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.operators.lookups import left_lookup
-
 
 def wide_count(
     name_column: str, name: str, value_column: str, on_duplicate: str = "error"
@@ -44,16 +42,23 @@ def complete_years(
     table: DataFrame, keys: list[str], start: str, end: str, year: str = "Year"
 ) -> DataFrame:
     """For each group every year from its first start to its last end. Rows that
-    start in the same year of a group all stay."""
-    span = table.groupBy(*keys).agg(
-        F.min(F.least(start, end)).alias("first_year"),
-        F.max(F.greatest(start, end)).alias("last_year"),
+    start in the same year of a group all stay.
+
+    Rows are counted by group and start year first, so what comes together for a
+    group is one entry per year at most."""
+    starts = table.groupBy(*keys, start).agg(
+        F.count("*").alias("rows"), F.max(F.greatest(start, end)).alias("last_year")
+    )
+    spans = starts.groupBy(*keys).agg(
+        F.min(start).alias("first_year"),
+        F.max("last_year").alias("last_year"),
+        F.map_from_entries(F.collect_list(F.struct(start, "rows"))).alias("rows_by_year"),
     )
-    calendar = span.select(
-        *keys, F.explode(F.sequence("first_year", "last_year")).alias(year)
+    years = spans.select(
+        *keys, "rows_by_year", F.explode(F.sequence("first_year", "last_year")).alias(year)
     )
-    starts = table.select(*keys, F.col(start).alias(year))
-    return left_lookup(calendar, starts, [*keys, year])
+    copies = F.coalesce(F.try_element_at("rows_by_year", year), F.lit(1)).cast("int")
+    return years.select(*keys, year, F.explode(F.array_repeat(F.lit(1), copies))).drop("col")
 
 
 def explode_names(table: DataFrame, column: str) -> DataFrame:

@@ -36,12 +36,13 @@ def count_at_each_place(
     group.
 
     A set of coordinates per group could grow without bound at one station, so
-    the pairs are counted as rows of their own first. Both branches below read
-    that one shuffled aggregate."""
+    the pairs are counted as rows of their own first. Both branches use all
+    columns of that aggregate, which lets the planner reuse its one shuffle."""
     amount = F.count("*") if weight is None else strict_sum(F.col(weight))
     places = table.groupBy(*keys, *COORDINATES).agg(amount.alias("at_place"))
     totals = places.groupBy(*keys).agg(strict_sum(F.col("at_place")).alias("N"))
-    return left_lookup(places.drop("at_place"), totals, keys)
+    joined = left_lookup(places, totals, keys)
+    return joined.withColumn("N", F.coalesce("N", "at_place")).drop("at_place")
 
 
 def split_moving(
@@ -51,15 +52,16 @@ def split_moving(
     are first taken apart by replacing ``label`` with ``moved_label``.
 
     Groups that stay in one place, nearly all of them, are finished by the first
-    aggregation. Only the rows of the others are read again and shuffled."""
+    aggregation. Only the rows of the others are read again and shuffled. Groups
+    that move have two rows at least; saying so makes both branches use the same
+    columns of the aggregate, and its shuffle is reused."""
     extent = table.groupBy(*keys).agg(
         *[F.min(c).alias(c) for c in COORDINATES],
         *[F.max(c).alias(f"most_{c}") for c in COORDINATES],
         F.count("*").alias("N"),
     )
-    moved = reduce(
-        lambda a, b: a | b, [F.col(c) != F.col(f"most_{c}") for c in COORDINATES]
-    )
+    differs = [F.col(c) != F.col(f"most_{c}") for c in COORDINATES]
+    moved = reduce(lambda a, b: a | b, differs) & (F.col("N") > 1)
     settled = extent.filter(~moved).select(*keys, *COORDINATES, "N")
     moving = keep_matching(table, extent.filter(moved), keys)
     taken_apart = count_at_each_place(moving.withColumn(label, moved_label), keys)

@@ -63,7 +63,7 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     number in the page (from 1), the path from the nearest ancestor with an id,
     its number among its siblings, its width and its lines. Cells that span rows
     or columns are repeated in each place they cover."""
-    pages = pages.select(key, html)
+    pages = _spread_out(pages.select(key, html))
     key_type = pages.schema[key].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +78,13 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.mapInArrow(extract, f"`{key}` {key_type}, tables {TABLES_TYPE}")
 
 
+def _spread_out(pages: DataFrame) -> DataFrame:
+    """Reading markup costs far more than moving it, so a few input files are
+    shared out over all cores. A landing area of many files stays as it is."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
+
+
 def first_table() -> Column:
     return F.try_element_at("tables", F.lit(1))
 
