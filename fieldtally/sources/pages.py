@@ -47,6 +47,10 @@ CLOSED_BY = {
     "tbody": {"td", "th", "tr", "thead", "tbody"},
     "li": {"li"},
     "p": {"p"},
+    "div": {"p"},
+    "table": {"p"},
+    "ul": {"p"},
+    "ol": {"p"},
 }
 SCOPES = {"table", "tr", "td", "th", "ul", "ol", "div"}
 
