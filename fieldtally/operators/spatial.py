@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.projection import planar_distance
-from fieldtally.operators.lookups import left_lookup
+from fieldtally.operators.lookups import keep_matching, left_lookup
 from fieldtally.sources.staging import stage
 
 # Points of one grid cell that may be compared directly; a fuller cell is
@@ -24,7 +24,8 @@ DEEPEST = 10
 # Borders of cells are rounded numbers; the margin only ever keeps a cell.
 MARGIN = 1e-6
 
-# A polygon layer with at most this many edges is packed into arrays.
+# A polygon layer is packed into arrays and broadcast if its edges, counted once
+# in each band they reach, are at most this many (32 bytes each).
 PACKED_EDGES = 200_000
 BANDS = 512
 
@@ -42,17 +43,15 @@ def nearest(
     answer is exact at any density. The distinct right points are written once,
     since every level reads them."""
     points = stage(
-        right.groupBy("x", "y").agg(F.min(right_id).alias("id")).dropna(subset=["x", "y"]),
-        "points",
-    )
+        right.groupBy("x", "y").agg(F.min(right_id).alias("id")), "points"
+    ).dropna(subset=["x", "y"])
     grid = _grid_over(points, max_distance)
     placed = left.withColumn("place", _place())
     if grid is None:
         return placed.drop("place").withColumns(
             {"distance": F.lit(None).cast("double"), "nearest_id": _no_id(right, right_id)}
         )
-    places = placed.groupBy("place").agg(F.any_value("x").alias("x"), F.any_value("y").alias("y"))
-    return left_lookup(placed, _descend(places, points, grid), ["place"]).drop("place")
+    return left_lookup(placed, _descend(_distinct(placed), points, grid), ["place"]).drop("place")
 
 
 @dataclass(frozen=True)
@@ -84,6 +83,12 @@ def _place() -> Column:
     return F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), both)
 
 
+def _distinct(placed: DataFrame) -> DataFrame:
+    """The distinct places. The coordinates are aggregates, not keys: filters on
+    keys would move below the projection and repeat its long arithmetic."""
+    return placed.groupBy("place").agg(F.any_value("x").alias("x"), F.any_value("y").alias("y"))
+
+
 def _no_id(right: DataFrame, right_id: str) -> Column:
     return F.lit(None).cast(right.schema[right_id].dataType)
 
@@ -273,17 +278,19 @@ def inside(points: DataFrame, edges: DataFrame, packed_edges: int = PACKED_EDGES
 
     The plane is cut into horizontal bands and a point meets only the edges of
     its band. A small layer is packed to one array per band and polygon, and the
-    test is the condition of a semi join, which leaves the points where they are
-    if the layer is broadcast. A large one is joined edge by edge and the border
+    test is the condition of a semi join with that broadcast table, which leaves
+    the points where they are. A larger one is joined edge by edge, and the border
     crossings of each distinct place are counted."""
     layer = edges.agg(
         F.min(F.least("y1", "y2")).alias("low"),
         F.max(F.greatest("y1", "y2")).alias("high"),
+        F.sum(F.abs(F.col("y1") - F.col("y2"))).alias("climb"),
         F.count("*").alias("edges"),
     ).first()
     if layer.edges == 0:
         return points.limit(0)
     height = max((layer.high - layer.low) / BANDS, 1e-9)
+    entries = layer.edges * 2 + layer.climb / height
     banded = edges.withColumn(
         "band",
         F.explode(
@@ -294,21 +301,18 @@ def inside(points: DataFrame, edges: DataFrame, packed_edges: int = PACKED_EDGES
         ),
     )
     band = _band(F.col("y"), layer.low, height)
-    if layer.edges <= packed_edges:
-        return points.join(_pack(banded), _packed_test(band), "left_semi")
-    within = F.col("y").between(layer.low, layer.high)
-    places = points.select("x", "y").filter(within).distinct().withColumn("band", band)
-    hits = places.join(banded, "band").filter(_level_with() & _not_left_of())
+    if entries <= packed_edges:
+        return points.join(F.broadcast(_pack(banded)), _packed_test(band), "left_semi")
+    placed = points.withColumn("place", _place())
+    hits = _distinct(placed).withColumn("band", band).join(banded, "band")
     kept = (
-        hits.groupBy("x", "y", "poly_id")
+        hits.filter(_level_with() & _not_left_of())
+        .groupBy("place", "poly_id")
         .agg(F.count_if(_crosses()).alias("crossings"), F.bool_or(_on_edge()).alias("on_edge"))
         .filter((F.col("crossings") % 2 == 1) | F.col("on_edge"))
-        .select(F.col("x").alias("px"), F.col("y").alias("py"))
-        .distinct()
-    )
-    return points.join(
-        kept, (F.col("x") == F.col("px")) & (F.col("y") == F.col("py")), "left_semi"
+        .select("place")
     )
+    return keep_matching(placed, kept, ["place"]).drop("place")
 
 
 def _band(y: Column, low: float, height: float) -> Column:
@@ -331,11 +335,11 @@ def _packed_test(band: Column) -> Column:
         return _on_edge(edge["x1"], edge["y1"], edge["x2"], edge["y2"])
 
     odd = F.size(F.filter("edges", crossings)) % 2 == 1
-    return (
-        (F.col("band") == band)
-        & F.col("x").between(F.col("left_x"), F.col("right_x"))
-        & (odd | F.exists("edges", touched))
-    )
+    wide_enough = F.col("x").between(F.col("left_x"), F.col("right_x"))
+    covered = wide_enough & (odd | F.exists("edges", touched))
+    # As null-safe terms they do not turn into null filters on x and y, which
+    # would move below the projection and repeat its long arithmetic.
+    return F.col("band").eqNullSafe(band) & F.coalesce(covered, F.lit(False))
 
 
 def _ends(ends: tuple) -> tuple[Column, Column, Column, Column]:
