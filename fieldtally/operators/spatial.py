@@ -51,6 +51,8 @@ def nearest(
         return placed.drop("place").withColumns(
             {"distance": F.lit(None).cast("double"), "nearest_id": _no_id(right, right_id)}
         )
+    if grid.radius is None and grid.depth == 0:
+        return _among_few(placed.drop("place"), points)
     return left_lookup(placed, _descend(_distinct(placed), points, grid), ["place"]).drop("place")
 
 
@@ -124,6 +126,25 @@ def _fullest(points: DataFrame, grid: _Grid) -> int:
     return points.groupBy(*grid.key(grid.depth)).count().agg(F.max("count")).first()[0]
 
 
+def _among_few(left: DataFrame, points: DataFrame) -> DataFrame:
+    """The nearest of at most ``CELL_LIMIT`` points, written into the plan."""
+    candidates = F.array(
+        *[
+            F.struct(
+                planar_distance(F.col("x"), F.col("y"), F.lit(p.x), F.lit(p.y)).alias("distance"),
+                F.lit(p.id).alias("id"),
+            )
+            for p in points.collect()
+        ]
+    )
+    best = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array_min(candidates))
+    return (
+        left.withColumn("best", best)
+        .withColumns({"distance": F.col("best.distance"), "nearest_id": F.col("best.id")})
+        .drop("best")
+    )
+
+
 def _descend(places: DataFrame, points: DataFrame, grid: _Grid) -> DataFrame:
     """Narrow the candidate cells of each place level by level, then compare with
     the points of the cells that are left. ``reach`` is how far away the nearest
@@ -137,7 +158,7 @@ def _descend(places: DataFrame, points: DataFrame, grid: _Grid) -> DataFrame:
         start = 0
     else:
         frontier = _from_root(places, points, grid)
-        start = min(1, grid.depth)
+        start = 1
     for level in range(start, grid.depth):
         frontier = _narrow(frontier, _children(points, grid, level), grid, level)
     cells = points.select(
@@ -169,11 +190,6 @@ def _children(points: DataFrame, grid: _Grid, level: int) -> DataFrame:
 def _from_root(places: DataFrame, points: DataFrame, grid: _Grid) -> DataFrame:
     """First candidates when there is no radius: the cells under the single root
     cell, few enough to be written into the plan."""
-    if grid.depth == 0:
-        here = F.lit(0).cast("long")
-        return places.select(
-            "place", "x", "y", F.lit(float("inf")).alias("reach"), here.alias("cx"), here.alias("cy")
-        )
     root = _children(points, grid, 0).first().children
     known = [
         planar_distance(F.col("x"), F.col("y"), F.lit(c.known_x), F.lit(c.known_y)) for c in root

@@ -44,9 +44,12 @@ def survey_tally(name: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def sampling_table(inputs: Mapping[str, DataFrame], on_duplicate: str = "error") -> DataFrame:
-    """The effort table. The water quality tally feeds five of the parts, so it is
-    written once and read back; so are the station matches."""
+    """The effort table. What several parts read is written once and read back:
+    two survey tallies, the water quality tally, which feeds five of the parts,
+    and the station matches. Raw visits are read once."""
     surveys = {name: survey_tally(name, inputs) for name in SURVEYS}
+    for name in ("ybfmp_fish", "ybfmp_zoop"):
+        surveys[name] = stage(surveys[name], name)
     integrated = survey_years(
         inputs["water_quality"], end_year=LAST_YEAR, sources=WATER_QUALITY_SOURCES
     )

@@ -51,7 +51,16 @@ UNFIXED_SURVEY_ALIAS = "Unfixed EDSM stations"
 OTHER_METRICS = [("Max", "Max N over all parameters"), ("N_years", "Number of years")]
 EFFORT = [*PARAMETERS, "Max"]
 
-# Columns of the survey overview.
+# Columns of the survey sheet and of the survey overview.
+SURVEY_SHEET_COLUMNS = {
+    "Survey": ("Survey", "string"),
+    "Abbreviation": ("Abbreviation", "string"),
+    "Survey_link": ("Survey_link", "string"),
+    "Data_source_name": ("Data_source_name", "string"),
+    "Data source 1": ("Data source 1", "string"),
+    "Data source 2": ("Data source 2", "string"),
+}
+
 TOTAL_YEARS = "Total years of sampling"
 MEAN_EFFORT = "Average number of samples per year per station"
 

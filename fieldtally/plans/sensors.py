@@ -22,6 +22,24 @@ from fieldtally.sources.pages import (
     table_at,
 )
 
+# Columns of the sensor sheet and of the site file.
+SHEET_COLUMNS = {
+    "station_name": ("station_name", "string"),
+    "station_id": ("station_id", "string"),
+    "sensname": ("sensname", "string"),
+    "latitude": ("latitude", "double"),
+    "longitude": ("longitude", "double"),
+    "start_date": ("start_date", "timestamp_ntz"),
+    "end_date": ("end_date", "timestamp_ntz"),
+}
+SITE_COLUMNS = {
+    "STA": ("STA", "string"),
+    "Station Name": ("Station Name", "string"),
+    "Latitude": ("Latitude", "double"),
+    "Longitude": ("Longitude", "double"),
+    "Sensors": ("Sensors", "string"),
+}
+
 # Columns of a station page's sensor table.
 METADATA_COLUMNS = [
     "Sensor Description", "Sensor Number", "Duration", "Plot", "Data Collection",
