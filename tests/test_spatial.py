@@ -37,6 +37,7 @@ def clustered(seed, count, label):
 @pytest.mark.parametrize("limit", [64, 3])
 def test_nearest_equals_brute_force(frame, monkeypatch, radius, limit):
     monkeypatch.setattr(spatial, "CELL_LIMIT", limit)
+    monkeypatch.setattr(spatial, "DEEPEST", 4)
     left = clustered(1, 240, "a") + [("none", None, 1.0), ("twin", 1.0, 2.0), ("twin2", 1.0, 2.0)]
     right = clustered(2, 300, "b") + [("zz", 1.0, 2.5), ("yy", 1.0, 2.5)]
     found = nearest(
