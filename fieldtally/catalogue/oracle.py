@@ -283,7 +283,7 @@ STEPS = {
         4160000::DOUBLE + n_nationkey * 7 % 25 * 4000::DOUBLE AS cy FROM nation),
       (VALUES (9000, 0, 0, 9000), (0, 9000, -9000, 0), (-9000, 0, 0, -9000), (0, -9000, 9000, 0))
         AS corner(dx1, dy1, dx2, dy2)""",
-    "sensor_names": "SELECT n_nationkey::VARCHAR AS num, n_name AS description FROM nation",
+    "sensor_names": "SELECT s_suppkey::VARCHAR AS num, s_name AS description FROM supplier",
     "alias": """
     WITH named AS (SELECT DISTINCT Source, StationID, Source || ' ' || Zoop_station AS Zoop_station,
         Source || ' ' || unnest(coalesce(Benthic_station, [NULL])) AS Benthic_station

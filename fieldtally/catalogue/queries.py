@@ -397,13 +397,13 @@ def sensor_years(spark, folder):
 
 
 def sensor_page(spark: SparkSession, folder: str) -> DataFrame:
-    """Nations as an HTML sensor list, one page per nation."""
+    """Suppliers as HTML sensor lists, one page each."""
     cells = [
-        F.col("n_nationkey").cast("string"), F.col("n_name"), F.col("n_regionkey").cast("string"),
+        F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_nationkey").cast("string"),
         F.lit("a"), F.lit("b"), F.lit("unused"),
     ]
-    return load(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("page"),
+    return load(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("page"),
         F.concat(
             F.lit("<html><body><p>List<table><tr><th colspan=6>Sensors</th></tr><tr>"),
             *[F.lit(f"<td>{t}</td>") for t in ("Sensor Num", "Description", "C", "D", "E", "F")],
