@@ -4,27 +4,20 @@ repeats the scan of the raw visits."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it
-    is unset and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    """``spark.checkpoint.dir`` of the session, or else the folder given to
+    ``SparkContext.setCheckpointDir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.sparkContext.getCheckpointDir()
+    )
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder(spark.sparkContext.applicationId)
-
-
-@lru_cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"fieldtally-{application}-")
+    return folder
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -39,3 +32,14 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     path = run_folder(spark, name)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def unstage(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete what ``stage`` wrote for these tables, once no later plan reads it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
