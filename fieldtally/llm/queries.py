@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from fieldtally.llm.decontamination import op5_spaced_seeds
+from fieldtally.llm.personal import op9_weak_supervision
+from fieldtally.llm.quality import op1_mcd_outliers
 from fieldtally.llm.sharding import op4_ring_shards
 
 
 def queries() -> dict:
     found = [
+        op1_mcd_outliers,
         op4_ring_shards,
+        op5_spaced_seeds,
+        op9_weak_supervision,
     ]
     return {query.__name__: query for query in found}
 
