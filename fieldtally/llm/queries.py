@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from fieldtally.llm.dartminhash import op2_dart_minhash
 from fieldtally.llm.decontamination import op5_spaced_seeds
+from fieldtally.llm.language import op6_kneser_ney
 from fieldtally.llm.personal import op9_weak_supervision
 from fieldtally.llm.quality import op1_mcd_outliers
 from fieldtally.llm.sharding import op4_ring_shards
@@ -11,8 +13,10 @@ from fieldtally.llm.sharding import op4_ring_shards
 def queries() -> dict:
     found = [
         op1_mcd_outliers,
+        op2_dart_minhash,
         op4_ring_shards,
         op5_spaced_seeds,
+        op6_kneser_ney,
         op9_weak_supervision,
     ]
     return {query.__name__: query for query in found}
