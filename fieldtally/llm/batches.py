@@ -44,3 +44,38 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.arange(total) - np.repeat(ends - lengths - starts, lengths)
+
+
+#: An odd multiplier and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    steps = np.full(count, base, dtype=np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+def segment_hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each segment of an array of code points, from differences
+    of one running sum."""
+    terms = mix(points.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(points))
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    inverse = _powers(_INVERSE, len(points) + 1)
+    return mix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64))
+
+
+def firsts(codes: np.ndarray, distinct: int) -> np.ndarray:
+    """Position of the first occurrence of every code."""
+    found = np.empty(distinct, dtype=np.int64)
+    found[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return found
+
+
+def first_of_each(groups: np.ndarray) -> np.ndarray:
+    """Positions at which a sorted array changes."""
+    fresh = np.ones(len(groups), dtype=bool)
+    fresh[1:] = groups[1:] != groups[:-1]
+    return np.flatnonzero(fresh)

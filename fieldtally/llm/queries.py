@@ -8,6 +8,7 @@ from fieldtally.llm.language import op6_kneser_ney
 from fieldtally.llm.personal import op9_weak_supervision
 from fieldtally.llm.quality import op1_mcd_outliers
 from fieldtally.llm.sharding import op4_ring_shards
+from fieldtally.llm.token_counts import op8_count_viterbi
 
 
 def queries() -> dict:
@@ -17,6 +18,7 @@ def queries() -> dict:
         op4_ring_shards,
         op5_spaced_seeds,
         op6_kneser_ney,
+        op8_count_viterbi,
         op9_weak_supervision,
     ]
     return {query.__name__: query for query in found}
