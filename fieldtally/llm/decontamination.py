@@ -103,11 +103,18 @@ def contained_items(
             F.pmod(F.xxhash64("seed", "item_id", "item_at"), F.lit(pieces)) == piece
         )
         found.append(_agreeing(hashed.join(F.broadcast(part), "seed")))
-    hits = reduce(DataFrame.unionByName, found).filter(F.col("overlap") >= share)
-    return hits.groupBy("doc_id", "item_id").agg(
-        F.max("overlap").alias("overlap"),
-        F.min_by("start", F.struct(-F.col("overlap"), "start")).alias("start"),
-        F.count("*").alias("n_hits"),
+    agrees = F.col("overlap") >= share
+    # Filtering before the aggregation would be moved into the join's condition and
+    # take the exploded rows out of generated code.
+    return (
+        reduce(DataFrame.unionByName, found)
+        .groupBy("doc_id", "item_id")
+        .agg(
+            F.max("overlap").alias("overlap"),
+            F.min(F.when(agrees, F.col("start"))).alias("start"),
+            F.sum(agrees.cast("long")).alias("n_hits"),
+        )
+        .filter(F.col("overlap") >= share)
     )
 
 
@@ -116,11 +123,16 @@ def _agreeing(hits: DataFrame) -> DataFrame:
     start = F.col("at") - F.col("item_at") + F.col("stretch_at")
     before = F.greatest(-start, F.lit(0))  # tokens of the stretch before the document
     there = F.slice("doc_tokens", F.greatest(start, F.lit(0)) + 1, F.size("stretch") - before)
-    mine = F.slice("stretch", before + 1, F.size("stretch"))
-    equal = F.filter(F.zip_with(there, mine, lambda a, b: a == b), lambda same: same)
-    return hits.select(
-        "doc_id", "item_id", F.greatest(start, F.lit(0)).alias("start"),
-        (F.size(equal) / F.size("stretch")).alias("overlap"),
+    aligned = hits.select(
+        "doc_id", "item_id", F.greatest(start, F.lit(0)).alias("start"), there.alias("there"),
+        F.slice("stretch", before + 1, F.size("stretch")).alias("mine"),
+        F.size("stretch").alias("length"),
+    )
+    equal = F.zip_with("there", "mine", lambda a, b: a == b)
+    agreeing = F.size(F.filter(equal, lambda same: same)) / F.col("length")
+    return aligned.select(
+        "doc_id", "item_id", "start",
+        F.when(F.size("there") > 0, agreeing).otherwise(0.0).alias("overlap"),
     )
 
 
