@@ -7,6 +7,7 @@ from fieldtally.llm.decontamination import op5_spaced_seeds
 from fieldtally.llm.language import op6_kneser_ney
 from fieldtally.llm.personal import op9_weak_supervision
 from fieldtally.llm.quality import op1_mcd_outliers
+from fieldtally.llm.segmentation import op3_gumbel_segmentations
 from fieldtally.llm.sharding import op4_ring_shards
 from fieldtally.llm.token_counts import op8_count_viterbi
 
@@ -15,6 +16,7 @@ def queries() -> dict:
     found = [
         op1_mcd_outliers,
         op2_dart_minhash,
+        op3_gumbel_segmentations,
         op4_ring_shards,
         op5_spaced_seeds,
         op6_kneser_ney,

@@ -18,6 +18,7 @@ import math
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ _LENGTH_BITS = 6
 _ABSENT, _MARK, _LETTER, _DIGIT, _OTHER = range(5)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Vocabulary:
     pieces: list[str]
     scores: np.ndarray
@@ -153,7 +154,8 @@ def lattice(spellings: list[str], vocabulary: Vocabulary) -> Lattice:
     joined = GAP.join(spellings)
     first = np.cumsum(sizes + 1) - sizes - 1
     nodes = int((sizes + 1).sum())
-    found = np.array(list(vocabulary.automaton.iter(joined)), dtype=np.int64).reshape(-1, 2)
+    matches = chain.from_iterable(vocabulary.automaton.iter(joined))
+    found = np.fromiter(matches, dtype=np.int64).reshape(-1, 2)
     length = found[:, 1] & ((1 << _LENGTH_BITS) - 1)
     source, target = found[:, 0] - length + 1, found[:, 0] + 1
     piece = found[:, 1] >> _LENGTH_BITS
@@ -162,7 +164,7 @@ def lattice(spellings: list[str], vocabulary: Vocabulary) -> Lattice:
     source, target = np.append(source, alone), np.append(target, alone + 1)
     score = np.append(vocabulary.scores[piece], np.full(len(alone), vocabulary.unknown))
     piece = np.append(piece, -1 - points[alone].astype(np.int64))
-    order = np.lexsort((target, source))
+    order = np.argsort((source << _LENGTH_BITS) + target - source)
     position = np.arange(nodes) - np.repeat(first, sizes + 1)
     return Lattice(
         first, nodes, source[order], target[order], piece[order], score[order], position, sizes
