@@ -10,6 +10,7 @@ from fieldtally.llm.quality import op1_mcd_outliers
 from fieldtally.llm.segmentation import op3_gumbel_segmentations
 from fieldtally.llm.sharding import op4_ring_shards
 from fieldtally.llm.token_counts import op8_count_viterbi
+from fieldtally.llm.token_files import op7_repair_tokens
 
 
 def queries() -> dict:
@@ -20,6 +21,7 @@ def queries() -> dict:
         op4_ring_shards,
         op5_spaced_seeds,
         op6_kneser_ney,
+        op7_repair_tokens,
         op8_count_viterbi,
         op9_weak_supervision,
     ]

@@ -10,7 +10,7 @@ the parent's maximum. These sets are the agenda; the best one is opened next, so
 the search leaves one finished path for each set it opens and never goes astray.
 
 Words are independent parts of the lattice (see ``unigram``), so the backward
-masses are computed once for each distinct word of a task, all words side by side,
+masses are computed once for each distinct word of a worker, all words side by side,
 and all texts of a batch walk in step. An inclusion score says how likely a path
 is to be among the k largest given the (k+1)-th noisy value; dividing by it gives
 unbiased sums over samples.
@@ -40,8 +40,8 @@ from fieldtally.llm.unigram import SPACE, Vocabulary, default_path, lattice, loa
 
 #: Characters worked on at once in a worker.
 CHUNK = 1_000_000
-#: Distinct words whose lattices a task remembers.
-REMEMBERED = 150_000
+#: Distinct words whose lattices a worker remembers (about 700 bytes each).
+REMEMBERED = 200_000
 SAMPLES = 2
 _CHOICE, _NOISE, _TOP = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93))
 
@@ -394,9 +394,15 @@ def _ids(store: Lattices, edges: np.ndarray, counts: np.ndarray) -> tuple[np.nda
 SAMPLED = "doc_id long, sample int, noisy double, log_chance double, inclusion double, ids array<int>"
 
 
+@lru_cache(maxsize=1)
+def _lattices(path: str, alpha: float) -> Lattices:
+    """One for all tasks of a worker process."""
+    return Lattices(load(path), alpha)
+
+
 def _sampling(path: str, k: int, alpha: float):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Lattices(load(path), alpha)
+        store = _lattices(path, alpha)
         for batch in batches:
             done = 0
             for texts in in_chunks(batch.column(2).to_pylist(), CHUNK):

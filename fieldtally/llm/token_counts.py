@@ -4,7 +4,7 @@ best score and number of pieces.
 An Aho-Corasick automaton enumerates all pieces in the distinct words of a batch;
 dynamic programming runs over all of these words side by side, position by
 position. A text's count is the sum over its words. Words already counted in a
-task are remembered, up to ``REMEMBERED`` of them.
+worker are remembered, about ``REMEMBERED`` of them.
 
 Defined results: null and empty texts have no tokens; repeated rows are counted
 each; extra columns are ignored; an empty table gives an empty result.
@@ -13,6 +13,7 @@ each; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from fieldtally.llm.unigram import best_paths, default_path, lattice, load, word
 
 #: Characters worked on at once in a worker.
 CHUNK = 2_000_000
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Counter:
@@ -64,9 +65,15 @@ class Counter:
         return values
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> Counter:
+    """One for all tasks of a worker process."""
+    return Counter(path)
+
+
 def _counting(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = _counter(path)
         for batch in batches:
             parts = [counter.of_texts(t) for t in in_chunks(batch.column(1).to_pylist(), CHUNK)]
             values = np.concatenate(parts) if parts else np.zeros((0, 3))
