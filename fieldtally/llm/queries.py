@@ -5,6 +5,7 @@ from __future__ import annotations
 from fieldtally.llm.dartminhash import op2_dart_minhash
 from fieldtally.llm.decontamination import op5_spaced_seeds
 from fieldtally.llm.language import op6_kneser_ney
+from fieldtally.llm.passages import op10_compact_windows
 from fieldtally.llm.personal import op9_weak_supervision
 from fieldtally.llm.quality import op1_mcd_outliers
 from fieldtally.llm.segmentation import op3_gumbel_segmentations
@@ -24,6 +25,7 @@ def queries() -> dict:
         op7_repair_tokens,
         op8_count_viterbi,
         op9_weak_supervision,
+        op10_compact_windows,
     ]
     return {query.__name__: query for query in found}
 
