@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from fieldtally.llm.dartminhash import op2_dart_minhash
 from fieldtally.llm.decontamination import op5_spaced_seeds
 from fieldtally.llm.language import op6_kneser_ney
@@ -27,7 +28,7 @@ def queries() -> dict:
         op9_weak_supervision,
         op10_compact_windows,
     ]
-    return {query.__name__: query for query in found}
+    return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
