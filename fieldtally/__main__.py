@@ -1,12 +1,15 @@
 """Build the effort table and the sensor tables from a landing folder:
 
-    spark-submit -m fieldtally <landing folder> <result folder> [as-of year]
+    python -m fieldtally <landing folder> <result folder> [--as-of YEAR]
+        [--on-duplicate error|sum|max] [--shared FOLDER]
 
-or ``python -m fieldtally``. On a cluster set ``spark.checkpoint.dir``."""
+Before the work begins, site pairs that would give one cell of the effort table
+several values are looked for; with ``error`` they are reported and nothing is built.
+``spark.checkpoint.dir``, or ``--shared``, names a folder that all executors share."""
 
 from __future__ import annotations
 
-import sys
+import argparse
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -18,9 +21,11 @@ from fieldtally.plans.sensors import sensor_list, sensor_years, station_metadata
 from fieldtally.sources.tables import read_sampling, write_sampling
 
 
-def build(spark: SparkSession, landing: str, results: str, as_of_year: int) -> None:
+def build(
+    spark: SparkSession, landing: str, results: str, as_of_year: int, on_duplicate: str = "error"
+) -> None:
     landed = Landed(spark, landing)
-    write_sampling(sampling_table(landed), f"{results}/sampling")
+    write_sampling(sampling_table(landed, on_duplicate), f"{results}/sampling")
     sampling = read_sampling(spark, f"{results}/sampling")
     edges = landed.region_edges()
     sensors = sensor_list(landed["sensor_page"], "page", "html")
@@ -35,11 +40,19 @@ def build(spark: SparkSession, landing: str, results: str, as_of_year: int) -> N
         table.write.mode("overwrite").parquet(f"{results}/{name}")
 
 
+def main(arguments: list[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(prog="fieldtally")
+    parser.add_argument("landing")
+    parser.add_argument("results")
+    parser.add_argument("--as-of", type=int, default=date.today().year)
+    parser.add_argument("--on-duplicate", choices=["error", "sum", "max"], default="error")
+    parser.add_argument("--shared", help="where spark.checkpoint.dir is unset")
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("fieldtally").getOrCreate()
+    if given.shared:
+        spark.sparkContext.setCheckpointDir(given.shared)
+    build(spark, given.landing, given.results, given.as_of, given.on_duplicate)
+
+
 if __name__ == "__main__":
-    landing_folder, result_folder, *year = sys.argv[1:]
-    build(
-        SparkSession.builder.appName("fieldtally").getOrCreate(),
-        landing_folder,
-        result_folder,
-        int(year[0]) if year else date.today().year,
-    )
+    main()

@@ -302,8 +302,7 @@ STEPS = {
         )
     ),
     "conflicts": """
-    SELECT StationID, count(*) AS N_places, min((Latitude, Longitude)) AS a,
-      max((Latitude, Longitude)) AS b
+    SELECT StationID, count(*) AS N_places
     FROM (SELECT DISTINCT StationID, Latitude, Longitude FROM with_places)
     GROUP BY 1 HAVING count(*) > 1""",
     "station_parts": "SELECT 'P' || p_partkey::VARCHAR AS Station, * FROM part "
@@ -422,16 +421,18 @@ ORACLE = {
       WHEN Benthic_station IS NULL THEN 'Zooplankton: ' || Zoop_station
       ELSE 'Benthic: ' || array_to_string(Benthic_station, ', ') || ' | Zooplankton: '
         || Zoop_station END AS Extra_stations FROM order_directory""",
-    "conflict_report": "SELECT StationID, N_places, round(a[1], 6) AS Latitude_1, "
-    "round(b[1], 6) AS Latitude_2, round(a[2], 6) AS Longitude_1, round(b[2], 6) AS Longitude_2 "
-    "FROM conflicts",
+    "conflict_report": "SELECT StationID, round(Latitude, 6) AS Latitude, "
+    "round(Longitude, 6) AS Longitude, N_places FROM (SELECT DISTINCT StationID, Latitude, "
+    "Longitude FROM with_places) JOIN conflicts USING (StationID)",
     "conflicting_places": f"SELECT {PLACED} FROM (SELECT DISTINCT StationID, Latitude, Longitude "
     "FROM with_places WHERE StationID IN (SELECT StationID FROM conflicts))",
     "filled_years": """
+    WITH spans AS (SELECT o_custkey, year(o_orderdate) AS y1,
+        year(o_orderdate) + o_orderkey % 5 - 2 AS y2 FROM orders WHERE o_orderkey % 7 > 0)
     SELECT c.o_custkey, c.Year FROM (SELECT o_custkey,
-        unnest(range(min(y), max(y + o_orderkey % 3) + 1))::INT AS Year
-      FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY 1) c
-    LEFT JOIN orders o ON o.o_custkey = c.o_custkey AND year(o.o_orderdate) = c.Year""",
+        unnest(range(min(least(y1, y2)), max(greatest(y1, y2)) + 1))::INT AS Year
+      FROM spans GROUP BY 1) c
+    LEFT JOIN spans s ON s.o_custkey = c.o_custkey AND s.y1 = c.Year""",
     "sensor_years": f"""
     WITH named AS (SELECT station_name || ' (' || station_id || ')' AS Station,
         latitude AS Latitude, longitude AS Longitude, sensname AS Sensor,
@@ -490,7 +491,7 @@ ORACLE = {
         "AND Station NOT IN ('EZ2', 'EZ6', 'EZ2-SJR', 'EZ6-SJR')"
     )
     + ")",
-    "explore_stations": f"SELECT {FLAT} FROM sampling WHERE Source <> 'EDSM' AND "
+    "explore_sites": f"SELECT {FLAT} FROM sampling WHERE Source <> 'EDSM' AND "
     f"(StationID IN (SELECT StationID FROM alias WHERE Station IN ({quoted(STATION_NAMES)})) "
     "OR Station IN ('EZ2', 'EZ6', 'EZ2-SJR', 'EZ6-SJR')) AND Station NOT IN ('EZ6', 'EZ2-SJR')",
     "plot_rows": f"SELECT Source, Station, {tooltip_sql(False)} AS tooltip FROM averaged "
@@ -499,7 +500,7 @@ ORACLE = {
     f"WHERE Year = {SOME_YEAR}",
     "facet_surveys": f"SELECT * FROM (VALUES {survey_values()}) AS s(Survey, Abbreviation) "
     "WHERE Abbreviation IN (SELECT Source FROM sampling WHERE Benthic > 0)",
-    "facet_stations": f"SELECT Station FROM alias WHERE Source IN ({quoted(SOME_SURVEYS)}) "
+    "facet_sites": f"SELECT Station FROM alias WHERE Source IN ({quoted(SOME_SURVEYS)}) "
     "AND Station NOT IN ('EMP EZ2', 'EMP EZ6', 'EMP EZ2-SJR', 'EMP EZ6-SJR')",
     "facet_metrics": "SELECT (row_number() OVER (ORDER BY place, metric))::INT AS position, "
     "metric, label FROM ("
@@ -522,7 +523,15 @@ ORACLE = {
     "legend_domain": "SELECT round(min(ln(Water_quality + 1)), 6) AS min_scaled, "
     "round(max(ln(Water_quality + 1)), 6) AS max_scaled, "
     "'Water quality effort</br>(samples per year)' AS title FROM averaged",
-    "legend_breaks": "SELECT DISTINCT Max::DOUBLE AS label FROM sampling ORDER BY label DESC",
+    "legend_breaks": """
+    WITH ends AS (SELECT min(ln(Max + 1)) AS lo, max(ln(Max + 1)) AS hi FROM sampling),
+      steps AS (SELECT *, (hi - lo) / 7 AS cell, 10 ** floor(log10((hi - lo) / 7)) AS p FROM ends),
+      chosen AS (SELECT *, CASE WHEN 10 * p - cell < 1.5 * (cell - 5 * p) THEN 10 * p
+        WHEN 5 * p - cell < 2.75 * (cell - 2 * p) THEN 5 * p
+        WHEN 2 * p - cell < 1.5 * (cell - p) THEN 2 * p ELSE p END AS step FROM steps)
+    SELECT round_even(exp(n * step) - 1, 0) AS label FROM (SELECT step, unnest(range(
+      ceil(lo / step - 1e-7)::BIGINT, floor(hi / step + 1e-7)::BIGINT + 1)) AS n FROM chosen)
+    ORDER BY label DESC""",
     "parameter_rows": " UNION ALL ".join(
         f"SELECT StationID, Year, '{p.replace('_', ' ')}' AS Parameter, {p} AS N FROM sampling "
         f"WHERE {p} > 0"
@@ -540,7 +549,12 @@ ORACLE = {
     SELECT status, count(*) AS N, 'status ' || coalesce(status, 'NA') AS label
     FROM (SELECT CASE WHEN o_custkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders)
     GROUP BY 1""",
-    "typed_csv": 'SELECT Station, Time, count(*) AS N FROM ybfmp_zoop GROUP BY ALL',
+    "typed_csv": """SELECT 'say "' || Station || '", then' AS Station, Time, count(*) AS N
+    FROM ybfmp_zoop GROUP BY ALL""",
+    "wide_spans": """
+    SELECT s_suppkey, width, n_lines, least_cell, last_row FROM supplier,
+      (VALUES (2, 1500, NULL, 1500), (1, 1, '1501', 1501)) t(width, n_lines, cell, last_row),
+      LATERAL (SELECT coalesce(cell, s_name) AS least_cell)""",
     "stored_sampling": f"SELECT {FLAT} FROM sampling WHERE Source = 'EMP'",
     "packaged_table": "SELECT s_suppkey, s_nationkey FROM supplier",
 }

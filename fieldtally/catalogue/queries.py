@@ -27,7 +27,7 @@ from fieldtally.plans import explore as ex
 from fieldtally.plans import matrix, names, sensors, surveys
 from fieldtally.plans.build import sampling_table, survey_tally
 from fieldtally.plans.surveys import PARAMETERS, SURVEYS
-from fieldtally.sources.pages import all_lines, html_tables
+from fieldtally.sources.pages import all_lines, cell, html_tables
 from fieldtally.sources.staging import run_folder, stage
 from fieldtally.sources.tables import (
     read_csv,
@@ -172,7 +172,7 @@ def utm_project(spark, folder):
 @query
 def nearest_match(spark, folder):
     quality = stage(quality_tally(spark, folder), "quality")
-    matches = names.match_stations(derive(spark, folder, "zoop_sites"), quality)
+    matches = names.match_sites(derive(spark, folder, "zoop_sites"), quality)
     return rounded(rounded(matches, "WQ_lat", "WQ_lon"), "Distance", digits=3)
 
 
@@ -213,14 +213,14 @@ def paired_distance(spark, folder):
 def harmonised_names(spark, folder):
     tallies = surveys.zooplankton(derive(spark, folder, "zoop_env"))
     quality = stage(quality_tally(spark, folder), "quality")
-    matches = names.match_stations(derive(spark, folder, "zoop_sites"), quality)
+    matches = names.match_sites(derive(spark, folder, "zoop_sites"), quality)
     return placed(names.harmonise(tallies, matches))
 
 
 @query
 def alias_directory(spark, folder):
     quality = stage(quality_tally(spark, folder), "quality")
-    matches = stage(names.match_stations(derive(spark, folder, "zoop_sites"), quality), "matches")
+    matches = stage(names.match_sites(derive(spark, folder, "zoop_sites"), quality), "matches")
     directory = names.alias_directory(matches, derive(spark, folder, "bivalves"))
     return directory.withColumn("Benthic_station", F.array_join("Benthic_station", ", "))
 
@@ -290,7 +290,7 @@ def visits_by_parameter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, folder: str) -> DataFrame:
-    """Other names of some stations, from parts and suppliers."""
+    """Other names of some sites, from parts and suppliers."""
     benthic = load(spark, folder, "part").select(
         paste_na(F.lit("C"), "p_partkey", sep="").alias("Station"),
         paste_na(paste_na(F.lit("C"), "p_partkey", sep=""), "p_type", sep="-").alias(
@@ -323,7 +323,7 @@ def effort_matrix(spark, folder):
 
 @query
 def sampling_build(spark, folder):
-    """The whole batch over every derived input. The stand-in stations meet in
+    """The whole batch over every derived input. The stand-in sites meet in
     one cell now and then, hence the sum."""
     return flat(sampling_table(Inputs(spark, folder), on_duplicate="sum"))
 
@@ -368,8 +368,7 @@ def merged_tallies(spark, folder):
 
 @query
 def conflict_report(spark, folder):
-    report = matrix.coordinate_conflicts(merged_tallies(spark, folder))
-    return rounded(report, "Latitude_1", "Latitude_2", "Longitude_1", "Longitude_2")
+    return placed(matrix.conflict_report(merged_tallies(spark, folder)))
 
 
 @query
@@ -382,10 +381,12 @@ def conflicting_places(spark, folder):
 
 @query
 def filled_years(spark, folder):
+    """Some orders have no start, some end before they start."""
+    key, year = F.col("o_orderkey"), F.year("o_orderdate")
     spans = load(spark, folder, "orders").select(
         "o_custkey",
-        F.year("o_orderdate").alias("start_year"),
-        (F.year("o_orderdate") + (F.col("o_orderkey") % 3).cast("int")).alias("end_year"),
+        F.when(key % 7 > 0, year).alias("start_year"),
+        (year + (key % 5 - 2).cast("int")).alias("end_year"),
     )
     return complete_years(spans, ["o_custkey"], "start_year", "end_year")
 
@@ -421,7 +422,7 @@ def html_row(cells: list[Column], tag: str = "td") -> Column:
 
 @query
 def sensor_list(spark, folder):
-    return sensors.sensor_list(sensor_page(spark, folder), "page", "html")
+    return sensors.sensor_list(sensor_page(spark, folder).repartition(_cores(spark)), "page", "html")
 
 
 @query
@@ -430,7 +431,7 @@ def station_sensors(spark, folder):
         sensors.station_sensors(
             derive(spark, folder, "cdec_sites"),
             regions(spark, folder),
-            sensors.sensor_list(sensor_page(spark, folder), "page", "html"),
+            sensors.sensor_list(sensor_page(spark, folder).repartition(_cores(spark)), "page", "html"),
         )
     )
 
@@ -464,12 +465,12 @@ def site_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def station_pages(spark, folder):
-    return sensors.station_metadata(site_pages(spark, folder))
+    return sensors.station_metadata(site_pages(spark, folder).repartition(_cores(spark)))
 
 
 @query
 def station_tables(spark, folder):
-    return sensors.station_tables(site_pages(spark, folder)).select(
+    return sensors.station_tables(site_pages(spark, folder).repartition(_cores(spark))).select(
         "Station", "row_no", F.array_join("cells", "|").alias("cells")
     )
 
@@ -484,7 +485,7 @@ def landed_lists(spark, folder):
         ).alias("html"),
     )
     marked = marked.withColumn("html", F.regexp_replace("html", "<tr>", "<tr><td>"))
-    lines = all_lines(html_tables(marked, "page_id", "html"), "page_id")
+    lines = all_lines(html_tables(marked, "page_id", "html", _cores(spark)), "page_id")
     return lines.groupBy("page_id", "table_no").agg(F.count("*").alias("items"))
 
 
@@ -530,10 +531,10 @@ def explore_fixed(spark, folder):
 
 
 @query
-def explore_stations(spark, folder):
+def explore_sites(spark, folder):
     table = stage(sampling(spark, folder), "sampling")
     alias = ex.station_alias(table)
-    return flat(ex.explore(table, alias, stations=STATION_NAMES, by_year=True))
+    return flat(ex.explore(table, alias, sites=STATION_NAMES, by_year=True))
 
 
 @query
@@ -554,9 +555,9 @@ def facet_surveys(spark, folder):
 
 
 @query
-def facet_stations(spark, folder):
+def facet_sites(spark, folder):
     alias = ex.station_alias(sampling(spark, folder))
-    return ex.stations_of(alias, SOME_SURVEYS, exclude_unfixed=True)
+    return ex.sites_of(alias, SOME_SURVEYS, exclude_unfixed=True)
 
 
 @query
@@ -661,13 +662,49 @@ def null_key_lookup(spark, folder):
 
 @query
 def typed_csv(spark, folder):
-    """Visits landed as CSV with more columns than are asked for, then scanned."""
+    """Visits landed as CSV in two column orders, with doubled quotes and more columns
+    than are asked for, then scanned."""
     path = run_folder(spark, "visits-csv")
     lines = derive(spark, folder, "ybfmp_zoop").withColumnRenamed("Station", "StationCode")
-    lines.select(F.lit("x").alias("Other"), "*").write.csv(path, header=True, nullValue="NA")
+    cells = {name: F.coalesce(F.col(name), F.lit("NA")) for name in lines.columns}
+    cells["StationCode"] = F.concat(F.lit('"say ""'), "StationCode", F.lit('"", then"'))
+    early = F.coalesce(F.col("Time") < "12", F.lit(True))
+    orders = [
+        (["Date", "Time", "StationCode"], early), (["StationCode", "Other", "Time", "Date"], ~early)
+    ]
+    for order, chosen in orders:
+        body = F.concat_ws(",", *[cells.get(name, F.lit("x")) for name in order])
+        text = lines.filter(chosen).select(body.alias("value")).repartition(4)
+        # Every file begins with its header; numbers restart at each partition.
+        numbered = text.withColumn("number", F.monotonically_increasing_id() % (1 << 33))
+        headed = F.when(
+            F.col("number") == 0, F.array(F.lit(",".join(order)), F.col("value"))
+        ).otherwise(F.array("value"))
+        with_header = numbered.select(F.explode(headed).alias("value"))
+        with_header.write.mode("append").text(path)
     return count_rows(read_csv(spark, path, SURVEYS["ybfmp_zoop"].columns), ["Station", "Time"])
 
 
+def _cores(spark) -> int:
+    """Each test table is one row group; its pages are dealt out for reading markup."""
+    return spark.sparkContext.defaultParallelism
+
+
+@query
+def wide_spans(spark, folder):
+    """Cells that span more than a thousand rows, in tags of any case."""
+    body = F.concat(
+        F.lit("<tAble><tR><tD rowspan=1500>"), "s_name", F.lit("</Td><td>1</td></tr>"),
+        *[F.lit("".join(f"<tr><td>{n}</td></tr>" for n in range(2, 1502)))], F.lit("</TABLE>"),
+    )
+    pages = load(spark, folder, "supplier").select("s_suppkey", body.alias("html"))
+    lines = all_lines(html_tables(pages, "s_suppkey", "html", _cores(spark)), "s_suppkey")
+    return lines.groupBy("s_suppkey", F.size("cells").alias("width")).agg(
+        F.count("*").alias("n_lines"), F.min(cell(1)).alias("least_cell"),
+        F.max("row_no").alias("last_row"),
+    )
+
+
 @query
 def stored_sampling(spark, folder):
     """The effort table stored by Source and one Source read back."""

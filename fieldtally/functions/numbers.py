@@ -21,10 +21,6 @@ def strict_sum(value: Column) -> Column:
     return strict(F.sum(value), value)
 
 
-def strict_max(value: Column) -> Column:
-    return strict(F.max(value), value)
-
-
 def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
@@ -37,6 +33,29 @@ def unlog_scale(value: Column) -> Column:
     return F.bround(F.expm1(value), 0)
 
 
+def round_ticks(low: Column, high: Column, intervals: int) -> Column:
+    """Multiples of 1, 2, 5 or 10 times a power of ten inside the range, whose step
+    is near an ``intervals``-th of it. A range of one value has that value; a null
+    one has none.
+
+    The fixed numbers say how much a larger step is preferred: 1.5 for twice and
+    ten times the power, 2.75 for five times it."""
+    cell = (high - low) / F.lit(float(intervals))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(cell)))
+    step = (
+        F.when(10 * power - cell < 1.5 * (cell - 5 * power), 10 * power)
+        .when(5 * power - cell < 2.75 * (cell - 2 * power), 5 * power)
+        .when(2 * power - cell < 1.5 * (cell - power), 2 * power)
+        .otherwise(power)
+    )
+    first = F.ceil(low / step - 1e-7).cast("long")
+    last = F.floor(high / step + 1e-7).cast("long")
+    ticks = F.when(
+        last >= first, F.transform(F.sequence(first, last), lambda n: n.cast("double") * step)
+    ).otherwise(F.array(low))
+    return F.when(high > low, ticks).when(low.isNotNull(), F.array(low))
+
+
 def any_positive(columns: list[str]) -> Column:
     """At least one of the columns is above zero."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(c) > 0, F.lit(False)) for c in columns])

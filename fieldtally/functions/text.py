@@ -27,8 +27,9 @@ def datetime_text(moment: Column | str) -> Column:
 
 
 def number_text(value: Column | str) -> Column:
-    """Shortest plain decimal text (12, 1.25, 10000000), null as the word NA."""
-    plain = _column(value).cast("decimal(38,6)").cast("string")
+    """Shortest plain decimal text (12, 1.25, 10000000), null as the word NA. Numbers
+    of up to 20 digits before the point; digits after the 18th place are rounded."""
+    plain = _column(value).cast("decimal(38,18)").cast("string")
     return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), F.lit(MISSING))
 
 
@@ -83,6 +84,7 @@ def split_list(text: Column | str, sep: str = ",") -> Column:
 
 def table_rows_html(rows: list[tuple[str, Column]]) -> Column:
     """A bordered two-column HTML table: a label and a value in each row."""
+    # The markup of a pop-up.
     pattern = "".join(f"<tr><td>{label} &nbsp</td><td>%s</td></tr>" for label, _ in rows)
     return F.format_string(
         "<table  border='1'>" + pattern + "</table>", *[value for _, value in rows]

@@ -41,16 +41,19 @@ def names_to_rows(
 def complete_years(
     table: DataFrame, keys: list[str], start: str, end: str, year: str = "Year"
 ) -> DataFrame:
-    """For each group every year from its first start to its last end. Rows that
-    start in the same year of a group all stay.
+    """For each group every year from the first to the last of its starts and ends,
+    whichever comes first in a row. Rows that start in the same year of a group all
+    stay; a row without a start year has no span and is left out.
 
     Rows are counted by group and start year first, so what comes together for a
     group is one entry per year at most."""
-    starts = table.groupBy(*keys, start).agg(
-        F.count("*").alias("rows"), F.max(F.greatest(start, end)).alias("last_year")
+    starts = table.filter(F.col(start).isNotNull()).groupBy(*keys, start).agg(
+        F.count("*").alias("rows"),
+        F.min(F.least(start, end)).alias("first_year"),
+        F.max(F.greatest(start, end)).alias("last_year"),
     )
     spans = starts.groupBy(*keys).agg(
-        F.min(start).alias("first_year"),
+        F.min("first_year").alias("first_year"),
         F.max("last_year").alias("last_year"),
         F.map_from_entries(F.collect_list(F.struct(start, "rows"))).alias("rows_by_year"),
     )

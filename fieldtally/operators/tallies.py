@@ -36,13 +36,17 @@ def count_at_each_place(
     group.
 
     A set of coordinates per group could grow without bound at one station, so
-    the pairs are counted as rows of their own first. Both branches use all
-    columns of that aggregate, which lets the planner reuse its one shuffle."""
+    the pairs are counted as rows of their own first. Nearly all groups have one
+    pair, whose count is the total; only the totals of the others are joined back,
+    a table so small that adaptive execution broadcasts it."""
     amount = F.count("*") if weight is None else strict_sum(F.col(weight))
     places = table.groupBy(*keys, *COORDINATES).agg(amount.alias("at_place"))
-    totals = places.groupBy(*keys).agg(strict_sum(F.col("at_place")).alias("N"))
+    totals = places.groupBy(*keys).agg(
+        strict_sum(F.col("at_place")).alias("N"), F.count("*").alias("places")
+    ).filter("places > 1")
     joined = left_lookup(places, totals, keys)
-    return joined.withColumn("N", F.coalesce("N", "at_place")).drop("at_place")
+    total = F.when(F.col("places").isNotNull(), F.col("N")).otherwise(F.col("at_place"))
+    return joined.withColumn("N", total).drop("at_place", "places")
 
 
 def split_moving(

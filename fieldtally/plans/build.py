@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from fieldtally.plans.matrix import effort_matrix, merge_tallies
-from fieldtally.plans.names import alias_directory, harmonise, match_stations
+from fieldtally.plans.names import alias_directory, harmonise, match_sites
 from fieldtally.plans.surveys import (
     FIRST_YEAR,
     LAST_YEAR,
@@ -43,10 +43,26 @@ def survey_tally(name: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def refuse_duplicates(tally: DataFrame) -> None:
+    """Raise an error that names the first cells with several values."""
+    clashes = (
+        tally.groupBy("Source", "Station", "Station2", "Year").count().filter("count > 1")
+        .orderBy("Source", "Station", "Station2", "Year").limit(5).collect()
+    )
+    if clashes:
+        named = ", ".join(f"{r['Source']} {r['Station']} {r['Year']}" for r in clashes)
+        raise ValueError(f"more than one tally for {named}; choose on_duplicate sum or max")
+
+
 def sampling_table(inputs: Mapping[str, DataFrame], on_duplicate: str = "error") -> DataFrame:
     """The effort table. What several parts read is written once and read back:
     two survey tallies, the water quality tally, which feeds five of the parts,
-    and the station matches. Raw visits are read once."""
+    the site matches and the harmonised zooplankton tally. Water quality visits are
+    scanned a second time for the sites that move, bivalve samples for their names.
+
+    Two zooplankton sites may be matched to one water quality site. Unless
+    ``on_duplicate`` says what that means, such cells are looked for in the small
+    tally, before the table is built, and reported."""
     surveys = {name: survey_tally(name, inputs) for name in SURVEYS}
     for name in ("ybfmp_fish", "ybfmp_zoop"):
         surveys[name] = stage(surveys[name], name)
@@ -61,11 +77,16 @@ def sampling_table(inputs: Mapping[str, DataFrame], on_duplicate: str = "error")
         water_quality(integrated, surveys["edsm"], surveys["djfmp"], ybfmp, surveys["sls"]),
         "water_quality",
     )
-    matches = stage(match_stations(inputs["zoop_sites"], quality), "station_matches")
+    matches = stage(match_sites(inputs["zoop_sites"], quality), "station_matches")
+    zooplankton_tally = stage(
+        harmonise(zooplankton(inputs["zoop_env"], surveys["ybfmp_zoop"]), matches), "zooplankton"
+    )
+    if on_duplicate == "error":
+        refuse_duplicates(zooplankton_tally)
     merged = merge_tallies(
         benthic(samples["bivalves"], quality),
         phytoplankton(samples["phytoplankton"], quality),
-        harmonise(zooplankton(inputs["zoop_env"], surveys["ybfmp_zoop"]), matches),
+        zooplankton_tally,
         quality,
         fish(quality, surveys["ybfmp_fish"]),
     )

@@ -9,7 +9,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.functions.numbers import any_positive, half_even, log_scale, unlog_scale
+from fieldtally.functions.numbers import (
+    any_positive,
+    half_even,
+    log_scale,
+    round_ticks,
+    unlog_scale,
+)
 from fieldtally.functions.text import (
     link,
     number_text,
@@ -41,8 +47,8 @@ SURVEY_NAMES = [
     ("Yolo Bypass Fish Monitoring Program (YBFMP)", "YBFMP"),
 ]
 
-# Stations without a fixed place, and how selections name them.
-UNFIXED_STATIONS = ["EZ2", "EZ6", "EZ2-SJR", "EZ6-SJR"]
+# Sites without a fixed place, and how selections name them.
+UNFIXED_SITES = ["EZ2", "EZ6", "EZ2-SJR", "EZ6-SJR"]
 UNFIXED_ALIASES = ["EMP EZ2", "EMP EZ6", "EMP EZ2-SJR", "EMP EZ6-SJR"]
 UNFIXED_SURVEY = "EDSM"
 UNFIXED_SURVEY_ALIAS = "Unfixed EDSM stations"
@@ -61,6 +67,7 @@ SURVEY_SHEET_COLUMNS = {
     "Data source 2": ("Data source 2", "string"),
 }
 
+# Column titles of the survey table.
 TOTAL_YEARS = "Total years of sampling"
 MEAN_EFFORT = "Average number of samples per year per station"
 
@@ -71,10 +78,10 @@ def survey_names(spark: SparkSession) -> DataFrame:
 
 def station_alias(sampling: DataFrame) -> DataFrame:
     """Every name a station can be selected by: Source, StationID, Station.
-    Stations without a fixed place have one common name each. Repeats are removed
+    Sites without a fixed place have one common name each. Repeats are removed
     before the arrays are opened."""
     fixed = sampling.filter(
-        not_in_list("Station", UNFIXED_STATIONS) & (F.col("Source") != UNFIXED_SURVEY)
+        not_in_list("Station", UNFIXED_SITES) & (F.col("Source") != UNFIXED_SURVEY)
     )
     names = explode_names(
         distinct_values(fixed, "Source", "StationID", "Zoop_station", "Benthic_station"),
@@ -132,40 +139,41 @@ def explore(
     alias: DataFrame,
     surveys: Iterable[str] | None = None,
     parameters: Iterable[str] | None = None,
-    stations: Iterable[str] | None = None,
+    sites: Iterable[str] | None = None,
     exclude_unfixed: bool = False,
     by_year: bool = False,
 ) -> DataFrame:
     """Effort rows of the selected surveys, parameters and station names; by year
-    or averaged over the years of each station."""
+    or averaged over the years of each station. An empty selection of surveys or
+    parameters, like none at all, means all of them."""
     chosen = sampling
     if exclude_unfixed:
-        chosen = chosen.filter(not_in_list("Station", UNFIXED_STATIONS))
-    if surveys is not None:
+        chosen = chosen.filter(not_in_list("Station", UNFIXED_SITES))
+    if surveys:
         chosen = chosen.filter(in_list("Source", surveys))
     chosen = chosen.filter(any_positive(_parameters(parameters)))
-    if stations is not None:
-        chosen = _of_stations(chosen, alias, list(stations))
+    if sites is not None:
+        chosen = _of_sites(chosen, alias, list(sites))
     return chosen if by_year else _yearly_average(chosen)
 
 
-def _of_stations(chosen: DataFrame, alias: DataFrame, stations: list[str]) -> DataFrame:
+def _of_sites(chosen: DataFrame, alias: DataFrame, sites: list[str]) -> DataFrame:
     selected = distinct_values(
-        alias.filter(in_list("Station", stations)), "StationID"
+        alias.filter(in_list("Station", sites)), "StationID"
     ).withColumn("is_selected", F.lit(True))
     chosen = (
         left_lookup(chosen, selected, ["StationID"])
         .filter(
             F.col("is_selected")
             | (F.col("Source") == UNFIXED_SURVEY)
-            | in_list("Station", UNFIXED_STATIONS)
+            | in_list("Station", UNFIXED_SITES)
         )
         .drop("is_selected")
     )
-    if UNFIXED_SURVEY_ALIAS not in stations:
+    if UNFIXED_SURVEY_ALIAS not in sites:
         chosen = chosen.filter(F.col("Source") != UNFIXED_SURVEY)
     absent = [
-        name for name, long in zip(UNFIXED_STATIONS, UNFIXED_ALIASES) if long not in stations
+        name for name, long in zip(UNFIXED_SITES, UNFIXED_ALIASES) if long not in sites
     ]
     return chosen.filter(not_in_list("Station", absent)) if absent else chosen
 
@@ -225,11 +233,11 @@ def surveys_with(
     return keep_matching(names, sources, {"Abbreviation": "Source"})
 
 
-def stations_of(
+def sites_of(
     alias: DataFrame, surveys: Iterable[str] | None = None, exclude_unfixed: bool = False
 ) -> DataFrame:
     """Station names to choose from."""
-    if surveys is not None:
+    if surveys:
         alias = alias.filter(in_list("Source", surveys))
     if exclude_unfixed:
         alias = alias.filter(not_in_list("Station", UNFIXED_ALIASES))
@@ -240,7 +248,7 @@ def metric_choices(explored: DataFrame, surveys: Iterable[str] | None = None) ->
     """Metrics to choose from, in order: position, metric, label. Parameters are
     on offer if they occur in the rows of the surveys; without any rows all are.
     One aggregate reads the rows; its single row is opened into the choices."""
-    counted = F.lit(True) if surveys is None else in_list("Source", surveys)
+    counted = in_list("Source", surveys) if surveys else F.lit(True)
     facts = explored.agg(
         F.count("*").alias("rows"),
         *[F.bool_or(counted & (F.col(p) > 0)).alias(p) for p in PARAMETERS],
@@ -289,13 +297,19 @@ def scale_domain(scaled: DataFrame, metric: str = "Max") -> DataFrame:
     return extent_of(scaled, scaled="scaled").withColumn("title", legend_title(F.lit(metric)))
 
 
-def scale_breaks(scaled: DataFrame, log: bool = False) -> DataFrame:
-    """Legend labels: the distinct values on the original scale, highest first."""
-    label = unlog_scale(F.col("scaled")) if log else F.col("scaled")
-    return scaled.select(label.alias("label")).distinct().orderBy(F.desc("label"))
+def scale_breaks(scaled: DataFrame, log: bool = False, intervals: int = 7) -> DataFrame:
+    """Legend labels, highest first: round ticks over the range of the scaled values,
+    about ``intervals`` of them, on the original scale. One aggregate reads the rows."""
+    domain = extent_of(scaled, scaled="scaled")
+    ticks = domain.select(
+        F.explode(round_ticks(F.col("min_scaled"), F.col("max_scaled"), intervals)).alias("tick")
+    )
+    label = unlog_scale(F.col("tick")) if log else F.col("tick")
+    return ticks.select(label.alias("label")).orderBy(F.desc("label"))
 
 
 def legend_title(metric: Column) -> Column:
+    # Fixed value: the wording of the title.
     effort = paste_na(readable(metric), F.lit(" effort</br>(samples per year)"), sep="")
     return F.when(metric.isin(EFFORT), effort).otherwise(readable(metric))
 

@@ -12,7 +12,7 @@ from fieldtally.operators.reshape import wide_count
 from fieldtally.operators.tallies import COORDINATES, distinct_values, stack
 from fieldtally.plans.surveys import PARAMETERS
 
-# Final names of sources and of stations without a fixed place.
+# Final names of sources and of sites without a fixed place.
 SOURCE_NAMES = {"twentymm": "20mm", "USGS": "SFBS", "USBR": "SDSCS"}
 STATION_NAMES = {
     "NZEZ2": "EZ2", "NZEZ6": "EZ6", "NZEZ2SJR": "EZ2-SJR", "NZEZ6SJR": "EZ6-SJR",
@@ -83,36 +83,29 @@ def extra_label() -> Column:
 
 
 def coordinate_conflicts(merged: DataFrame) -> DataFrame:
-    """Stations with more than one place: how many, and the first and the last
-    place in order, side by side. All of them are given by
-    :func:`conflicting_places`."""
-    place = F.struct(*COORDINATES)
+    """Sites with more than one place, and how many. The places themselves are given
+    by :func:`conflicting_places`."""
     return (
         distinct_values(merged, "StationID", *COORDINATES)
         .groupBy("StationID")
-        .agg(
-            F.count("*").alias("N_places"),
-            F.min(place).alias("first"),
-            F.max(place).alias("last"),
-        )
+        .agg(F.count("*").alias("N_places"))
         .filter(F.col("N_places") > 1)
-        .select(
-            "StationID",
-            "N_places",
-            F.col("first.Latitude").alias("Latitude_1"),
-            F.col("last.Latitude").alias("Latitude_2"),
-            F.col("first.Longitude").alias("Longitude_1"),
-            F.col("last.Longitude").alias("Longitude_2"),
-        )
     )
 
 
 def conflicting_places(merged: DataFrame) -> DataFrame:
-    """Every place of the stations that have more than one."""
+    """Every place of the sites that have more than one."""
     places = distinct_values(merged, "StationID", *COORDINATES)
     return keep_matching(places, coordinate_conflicts(merged), ["StationID"])
 
 
+def conflict_report(merged: DataFrame) -> DataFrame:
+    """One row for each place of such a site, with the site's number of places."""
+    places = distinct_values(merged, "StationID", *COORDINATES)
+    conflicts = coordinate_conflicts(merged)
+    return left_lookup(keep_matching(places, conflicts, ["StationID"]), conflicts, ["StationID"])
+
+
 def _mean_over(column: str, station) -> Column:
     """Mean over a station's tallies; unknown as soon as one place is unknown."""
     known = F.sum(f"known_{column}").over(station)

@@ -1,4 +1,4 @@
-"""Station names: matching of zooplankton to water quality stations, and the
+"""Station names: matching of zooplankton to water quality sites, and the
 directory of the names a station has elsewhere."""
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ MATCH_RADIUS = 1000.0
 ZONE = 10
 
 
-def match_stations(
+def match_sites(
     zooplankton_sites: DataFrame,
     water_quality_tally: DataFrame,
     radius: float = MATCH_RADIUS,

@@ -1,4 +1,4 @@
-"""Sensor stations: where they are, what they measure and since when."""
+"""Sensor sites: where they are, what they measure and since when."""
 
 from __future__ import annotations
 
@@ -89,7 +89,7 @@ def sensor_list(pages: DataFrame, key: str, html: str) -> DataFrame:
 def station_sensors(
     sites: DataFrame, edges: DataFrame, sensors: DataFrame, zone: int = ZONE
 ) -> DataFrame:
-    """Stations of the region with one row for each of their sensors."""
+    """Sites of the region with one row for each of their sensors."""
     listed = in_region(sites.dropna(subset=["Latitude", "Longitude"]), edges, zone).select(
         station_label("Station Name", "STA").alias("Station"),
         "Latitude",

@@ -142,7 +142,7 @@ def visits(raw: DataFrame, survey: Survey) -> DataFrame:
 
 
 def summarise_survey(raw: DataFrame, survey: Survey, sites: DataFrame | None = None) -> DataFrame:
-    """Yearly counts of a survey whose stations are placed by a site table, or,
+    """Yearly counts of a survey whose sites are placed by a site table, or,
     with ``own_places``, by the mean of the places in its visits. Counting comes
     before the lookup, so the join sees one row per station and year."""
     if survey.own_places:
@@ -223,7 +223,7 @@ def fish(water_quality_tally: DataFrame, *tallies: DataFrame) -> DataFrame:
 
 def benthic(samples: DataFrame, water_quality_tally: DataFrame) -> DataFrame:
     """Replicates of a station (a suffix after a dash) count together; places
-    come from the water quality stations and may stay unknown."""
+    come from the water quality sites and may stay unknown."""
     folded = samples.select(
         F.year("Date").alias("Year"), split_part("Station", "-", 1).alias("Station"), "Source"
     ).withColumn("Station2", F.col("Station"))

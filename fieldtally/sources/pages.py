@@ -59,22 +59,33 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
+TABLE = re.compile("<table", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
 
 
-def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
+def html_tables(
+    pages: DataFrame, key: str, html: str, partitions: int | None = None, widest: int = 10_000
+) -> DataFrame:
     """The page key and the page's tables in document order. A table has its
     number in the page (from 1), the path from the nearest ancestor with an id,
     its number among its siblings, its width and its lines. Cells that span rows
-    or columns are repeated in each place they cover."""
-    pages = _spread_out(pages.select(key, html))
+    or columns are repeated in each place they cover; a cell that spans more than
+    ``widest`` columns raises an error.
+
+    ``partitions`` deals the pages out anew, for few large files: reading markup
+    costs far more than moving it. Without it the scan decides (see
+    spark.sql.files.maxPartitionBytes); spark.sql.execution.arrow.maxRecordsPerBatch
+    and maxBytesPerBatch bound what a worker holds at once."""
+    pages = pages.select(key, html)
+    if partitions:
+        pages = pages.repartition(partitions)
     key_type = pages.schema[key].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, OUTPUT_PAGES):
                 part = batch.slice(start, OUTPUT_PAGES)
-                tables = [page_tables(text.as_py() or "") for text in part.column(1)]
+                tables = [page_tables(text.as_py() or "", widest) for text in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(tables, ARROW_TABLES)], [key, "tables"]
                 )
@@ -82,13 +93,6 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.mapInArrow(extract, f"`{key}` {key_type}, tables {TABLES_TYPE}")
 
 
-def _spread_out(pages: DataFrame) -> DataFrame:
-    """Reading markup costs far more than moving it, so a few input files are
-    shared out over all cores. A landing area of many files stays as it is."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
-
-
 def first_table() -> Column:
     return F.try_element_at("tables", F.lit(1))
 
@@ -178,11 +182,11 @@ def named_lines(
     return rows.filter(F.col("at") >= 2).select(key, *picked)
 
 
-def page_tables(html: str) -> list[dict]:
+def page_tables(html: str, widest: int = 10_000) -> list[dict]:
     """All tables of one page."""
-    if "<table" not in html and "<TABLE" not in html and "<Table" not in html:
+    if not TABLE.search(html):
         return []
-    page = _Page()
+    page = _Page(widest)
     end = 0
     for mark in MARKUP.finditer(html):
         page.text(html[end : mark.start()])
@@ -200,7 +204,8 @@ def page_tables(html: str) -> list[dict]:
 class _Page:
     """What is open at the current place of a page."""
 
-    def __init__(self) -> None:
+    def __init__(self, widest: int) -> None:
+        self.widest = widest
         self.open: list[dict] = [_element("", None, 1)]
         self.tables: list[dict] = []
         self.inside: list[dict] = []
@@ -283,11 +288,17 @@ class _Page:
         table["cell"] = {
             "head": tag == "th",
             "text": [],
-            "wide": _span(attributes.get("colspan")),
+            "wide": self._width(attributes.get("colspan")),
             "deep": _span(attributes.get("rowspan")),
         }
         table["rows"][-1].append(table["cell"])
 
+    def _width(self, value: str | None) -> int:
+        width = _span(value)
+        if width > self.widest:
+            raise ValueError(f"a cell spans {width} columns; the limit is {self.widest}")
+        return width
+
 
 def _spread(rows: list[list[dict]]) -> Iterator[tuple[bool, list[str]]]:
     """Repeat spanning cells in every place they cover."""
@@ -326,4 +337,5 @@ def _element(tag: str, id_: str | None, nth: int) -> dict:
 
 
 def _span(value: str | None) -> int:
-    return min(max(int(value), 1), 1000) if value and value.isdigit() else 1
+    """A span that is no number is 1. Rows beyond the table's last are never made."""
+    return max(int(value), 1) if value and value.isdecimal() else 1

@@ -4,25 +4,59 @@ sink."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    columns: Mapping[str, tuple[str, str]],
+    multi_line: bool = False,
+) -> DataFrame:
     """CSV scan that keeps the named file columns only, as
     ``{file column: (new name, type)}``. Everything is read as text and cast by
-    name, so a changed column order in a file cannot misalign the types; a value
-    that does not fit its type, an empty field and the word NA are null."""
-    raw = spark.read.csv(
-        path,
-        header=True,
-        ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
-    )
-    return raw.select(
-        *[_cell(name).try_cast(kind).alias(new) for name, (new, kind) in columns.items()]
-    )
+    name; a value that does not fit its type, an empty field and the word NA are
+    null. Quotes inside quoted fields are doubled.
+
+    Each file is read with its own header: Spark reads all files of one call by
+    position, so the files of a folder are grouped by header first. ``multi_line``
+    allows line breaks inside quoted fields; such files cannot be split, so each is
+    one task."""
+    parts = [
+        spark.read.csv(
+            files,
+            header=True,
+            quote='"',
+            escape='"',
+            multiLine=multi_line,
+            ignoreLeadingWhiteSpace=True,
+            ignoreTrailingWhiteSpace=True,
+        ).select(
+            *[_cell(name).try_cast(kind).alias(new) for name, (new, kind) in columns.items()]
+        )
+        for files in _files_by_header(spark, path)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder, those with equal first lines together. Only names and
+    headers come to the driver, which lists the files of every scan anyway."""
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return [[path]]
+    numbered = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("line"),
+    ).filter(F.col("_metadata.file_block_start") == 0)
+    headers = numbered.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [row["files"] for row in groups.orderBy("header").collect()]
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -81,8 +115,13 @@ def write_sampling(table: DataFrame, path: str) -> None:
     table.hint("rebalance", "Source").write.mode("overwrite").partitionBy("Source").parquet(path)
 
 
-def read_sampling(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_sampling(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The stored effort table. Source is stored in folder names and stays text;
+    with ``schema`` no file is opened to learn the other types."""
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    table = spark.read.parquet(path)
+    return table.withColumn("Source", F.col("Source").cast("string"))
 
 
 def _cell(name: str):

@@ -81,7 +81,7 @@ def test_years_count_over_all_parameters(sampling, alias, tuples):
     assert tuples(found, "Station", "Benthic", "Fish") == [("D4", 0.25, 0.75), ("T", 2.0, 0.0)]
 
 
-def test_fixed_stations_only(sampling, alias, tuples):
+def test_fixed_sites_only(sampling, alias, tuples):
     found = ex.explore(sampling, alias, surveys=["EMP"], exclude_unfixed=True, by_year=True)
     assert tuples(found, "Station", "Year") == sorted(
         [("D4", 2018), ("D4", 2019), (None, 2018)], key=repr
@@ -90,14 +90,14 @@ def test_fixed_stations_only(sampling, alias, tuples):
 
 def test_selected_names(sampling, alias, tuples):
     every_unfixed = ["Unfixed EDSM stations", *ex.UNFIXED_ALIASES]
-    found = ex.explore(sampling, alias, stations=["EMP D4-R", *every_unfixed], by_year=True)
+    found = ex.explore(sampling, alias, sites=["EMP D4-R", *every_unfixed], by_year=True)
     assert tuples(found, "Station", "Year") == [
         ("D4", 2018), ("D4", 2019), ("E1", 2018), ("EZ2", 2018), ("EZ6", 2018),
     ]
     without = [name for name in every_unfixed if name not in ("EMP EZ6", "Unfixed EDSM stations")]
-    found = ex.explore(sampling, alias, stations=["EMP Z1", *without], by_year=True)
+    found = ex.explore(sampling, alias, sites=["EMP Z1", *without], by_year=True)
     assert tuples(found, "Station", "Year") == [("D4", 2018), ("D4", 2019), ("EZ2", 2018)]
-    found = ex.explore(sampling, alias, stations=["EMP NA", *every_unfixed[1:]], by_year=True)
+    found = ex.explore(sampling, alias, sites=["EMP NA", *every_unfixed[1:]], by_year=True)
     assert tuples(found, "Station") == [("EZ2",), ("EZ6",), (None,)]
 
 
@@ -132,8 +132,8 @@ def test_facets(spark, sampling, alias, tuples):
     names = ex.survey_names(spark)
     assert tuples(ex.surveys_with(sampling, names, ["Benthic"]), "Abbreviation") == [("EMP",), ("STN",)]
     assert tuples(ex.surveys_with(sampling, names), "Abbreviation") == [("EDSM",), ("EMP",), ("STN",)]
-    assert tuples(ex.stations_of(alias, ["STN", "EDSM"])) == [("STN T",), ("Unfixed EDSM stations",)]
-    fixed = {r.Station for r in ex.stations_of(alias, ["EMP"], exclude_unfixed=True).collect()}
+    assert tuples(ex.sites_of(alias, ["STN", "EDSM"])) == [("STN T",), ("Unfixed EDSM stations",)]
+    fixed = {r.Station for r in ex.sites_of(alias, ["EMP"], exclude_unfixed=True).collect()}
     assert fixed == {"EMP D4", "EMP Z1", "EMP D4-L", "EMP D4-R", "EMP NA"}
 
 

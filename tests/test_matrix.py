@@ -100,7 +100,8 @@ def test_conflicts(frame, tuples):
             row("EMP", "D6", 2018, 3, "Fish"),
         )
     )
-    assert tuples(
-        matrix.coordinate_conflicts(merged), "StationID", "N_places", "Latitude_1", "Latitude_2"
-    ) == [("EMP D4", 3, 38.0, 38.5)]
+    assert tuples(matrix.coordinate_conflicts(merged)) == [("EMP D4", 3)]
+    assert tuples(matrix.conflict_report(merged), "Latitude", "N_places") == [
+        (38.0, 3), (38.2, 3), (38.5, 3)
+    ]
     assert tuples(matrix.conflicting_places(merged), "Latitude") == [(38.0,), (38.2,), (38.5,)]

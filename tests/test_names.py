@@ -29,12 +29,12 @@ def test_matches_within_the_radius(frame, tuples):
         ("EMP", "NZEZ2", "NZEZ2", 2018, 38.0 + 980 * METRE, -123.0, 3),
         ("STN", "T", "T", 2018, 38.0 + 980 * METRE, -123.0, 3),
     )
-    found = names.match_stations(zoop, quality)
+    found = names.match_sites(zoop, quality)
     assert tuples(found, "Source", "Station", "WQ_station", "WQ_lat") == [
         ("EMP", "near", "D4", 38.0)
     ]
     assert abs(found.first().Distance - 990) < 5
-    wider = names.match_stations(zoop, quality, radius=2000.0)
+    wider = names.match_sites(zoop, quality, radius=2000.0)
     assert tuples(wider, "Station") == [("far",), ("near",)]
 
 

@@ -91,7 +91,7 @@ def day(number, hour=None):
     return datetime(2018, 1, number, hour or 0)
 
 
-def test_moving_stations(frame, tuples):
+def test_moving_sites(frame, tuples):
     samples = frame(
         SAMPLE,
         ("EMP", "NZEZ2", 2018, day(2), day(2, 9), 38.0, -121.0),
