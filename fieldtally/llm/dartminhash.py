@@ -14,8 +14,8 @@ with a pivot of the band, not with each other, so a band of m near copies costs
 m - 1 comparisons. Documents that are similar to no pivot go through another round
 with four times as many pivots, until none is left: the number of rounds is
 logarithmic, and only documents that share a band without being similar cost more
-than one comparison. Pivots are the smallest by a hash of their words, hence the
-same ones in all bands of a group. A document left over is not compared with those
+than one comparison. Documents already known to be connected are not compared. Pivots are the documents with most neighbours in all their
+bands: the original of a family of near copies, in every band of the family. A document left over is not compared with those
 that followed an earlier pivot of this band; pairs at the threshold share several
 bands, with other pivots. Connected components of the similar pairs are the classes.
 
@@ -46,8 +46,8 @@ from fieldtally.llm.tokens import word_hashes
 from fieldtally.sources.staging import stage, unstage
 
 WORDS = 5
-BANDS = 24
-ROWS = 6
+BANDS = 32
+ROWS = 8
 #: Shingles and darts worked on at once in a worker.
 CHUNK = 400_000
 #: Cumulative chances of 0, 1, 2, ... darts in a cell of unit area.
@@ -222,11 +222,15 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, threshold: flo
         "wanted",
     )
     few = wanted.count() <= PICKED_AT_ONCE
-    texts = (
-        _identity(docs).withColumn("first_id", F.coalesce("doc_id", F.lit(-1)))
-        .join(F.broadcast(wanted) if few else wanted, ["first_id", "node"])
-        .select("hashes", "node")
+    # Texts are picked by their document before anything is computed of them.
+    ids = wanted.select("first_id").distinct()
+    named = docs.select("doc_id", "text").withColumn(
+        "first_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
     )
+    picked = named.join(F.broadcast(ids) if few else ids, "first_id", "left_semi")
+    texts = _identity(picked).withColumn("first_id", F.coalesce("doc_id", F.lit(-1))).join(
+        F.broadcast(wanted) if few else wanted, ["first_id", "node"]
+    ).select("hashes", "node")
     elements = stage(texts.mapInArrow(_elements, "node long, elements array<long>"), "elements")
     left = elements.withColumnsRenamed({"node": "x", "elements": "of_x"})
     right = elements.withColumnsRenamed({"node": "pivot", "elements": "of_pivot"})
@@ -248,34 +252,78 @@ def _possible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     )
 
 
-def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list[DataFrame]:
+def _with_fame(nodes: DataFrame) -> DataFrame:
+    """``band, x, fame``: members of bands that others share, and how many
+    neighbours a member has in all its bands. The original of a family of near
+    copies shares more bands than any copy, so it becomes the family's pivot."""
     members = stage(
         nodes.filter("n > 0").select(F.explode("bands").alias("band"), F.col("node").alias("x")), "bands"
     )
+    sizes = stage(members.groupBy("band").count().filter("count > 1"), "sizes")
+    shared = stage(members.join(sizes, "band"), "shared")
+    fame = shared.groupBy("x").agg(F.sum("count").alias("fame"))
+    return shared.select("band", "x").join(fame, "x").select("band", "x", "fame")
+
+
+def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list[DataFrame]:
+    spark = docs.sparkSession
+    members = stage(_with_fame(nodes).withColumn("label", F.lit(None).cast("long")), "bands")
+    labels = spark.createDataFrame([], "node long, label long")
     links, pivots_of_band = [], 1
     while True:
-        shared = stage(members.groupBy("band").count().filter("count > 1").select("band"), "shared")
-        members = stage(members.join(shared, "band"), "bands")
+        # A band whose members are all known to be connected has nothing left to find.
+        open_bands = members.groupBy("band").agg(
+            F.count("*").alias("rows"), F.count("label").alias("labelled"),
+            F.min("label").alias("low"), F.max("label").alias("high"),
+        ).filter("rows > 1 and not (labelled = rows and low = high)").select("band")
+        members = stage(members.join(stage(open_bands, "open"), "band"), "bands")
         if members.isEmpty():
             return links
-        order = Window.partitionBy("band").orderBy("x")
+        order = Window.partitionBy("band").orderBy(F.desc("fame"), "x")
         pivots = stage(
             members.withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= pivots_of_band).select("band", F.col("x").alias("pivot")),
+            .filter(F.col("place") <= pivots_of_band)
+            .select(
+                "band", F.col("x").alias("pivot"), F.col("fame").alias("pivot_fame"),
+                F.col("label").alias("pivot_label"),
+            ),
             "pivots",
         )
-        met = stage(members.join(pivots, "band").filter("x > pivot"), "met")
-        pairs = stage(_possible(met.select("x", "pivot").distinct(), nodes, threshold), "pairs")
+        behind = (F.col("fame") < F.col("pivot_fame")) | (
+            (F.col("fame") == F.col("pivot_fame")) & (F.col("x") > F.col("pivot"))
+        )
+        connected = F.coalesce(F.col("label") == F.col("pivot_label"), F.lit(False))
+        met = stage(
+            members.join(pivots, "band").filter(behind)
+            .select("band", "x", "pivot", connected.alias("connected")),
+            "met",
+        )
+        pairs = met.filter("not connected").select("x", "pivot").distinct()
+        pairs = stage(_possible(pairs, nodes, threshold), "pairs")
         similar = stage(_similar(docs, pairs, nodes, threshold), "similar")
         links.append(similar)
-        placed = met.join(similar, ["x", "pivot"], "left_semi").select("band", "x").union(
-            pivots.select("band", "pivot")
+        labels = stage(_labels_with(labels, similar), "known")
+        placed = (
+            met.join(similar, ["x", "pivot"], "left_semi").select("band", "x")
+            .union(met.filter("connected").select("band", "x")).union(pivots.select("band", "pivot"))
         )
-        rest = stage(members.join(stage(placed.distinct(), "placed"), ["band", "x"], "left_anti"), "bands")
-        unstage(docs.sparkSession, members, shared, pivots, met, pairs)
+        rest = members.drop("label").join(stage(placed.distinct(), "placed"), ["band", "x"], "left_anti")
+        rest = stage(rest.join(labels.toDF("x", "label"), "x", "left"), "bands")
+        unstage(spark, members, pivots, met, pairs)
         members, pivots_of_band = rest, pivots_of_band * 4
 
 
+def _labels_with(labels: DataFrame, similar: DataFrame) -> DataFrame:
+    """``node, label``: equal labels mean connected nodes; nodes of one component may
+    still have different ones."""
+    claims = similar.select(F.col("x").alias("node"), "pivot").union(
+        similar.select(F.col("pivot").alias("node"), "pivot")
+    ).join(labels.toDF("pivot", "known"), "pivot", "left")
+    return labels.unionByName(
+        claims.select("node", F.coalesce("known", "pivot").alias("label"))
+    ).groupBy("node").agg(F.min("label").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each connected component, by minimum
     labels of neighbours with pointer jumping. ``links`` has ``x`` and ``pivot``."""
