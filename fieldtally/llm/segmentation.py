@@ -20,7 +20,8 @@ samples in any partition and after any lost executor.
 
 Defined results: a null or empty text has the empty segmentation as only sample; a
 text with fewer than k segmentations gives all of them, with inclusion score 1;
-repeated rows are sampled alike; extra columns are ignored; an empty table gives
+repeated rows are sampled alike; space marks that stand in a text come back as
+spaces, as with the library; extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -36,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.batches import first_of_each, in_chunks, mix, ranges
+from fieldtally.llm.dartminhash import chunks_of
 from fieldtally.llm.unigram import SPACE, Vocabulary, default_path, lattice, load, words_of
 
 #: Characters worked on at once in a worker.
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Distinct words whose lattices a worker remembers (about 700 bytes each).
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 SAMPLES = 2
+#: Ids decoded at once in a worker.
+DECODED = 300_000
 _CHOICE, _NOISE, _TOP = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93))
 
 
@@ -471,10 +475,16 @@ def _decoding(path: str):
             column = batch.column(batch.schema.get_field_index("ids"))
             offsets = column.offsets.to_numpy()
             ids = column.values.to_numpy()[offsets[0] : offsets[-1]]
-            texts = decode_ids(ids, np.diff(offsets), vocabulary)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"]
-            )
+            sizes = np.diff(offsets)
+            ends = np.cumsum(sizes)
+            for part in chunks_of(sizes, 1, DECODED):
+                mine = sizes[part]
+                begin = ends[part.start] - sizes[part.start]
+                texts = decode_ids(ids[begin : begin + mine.sum()], mine, vocabulary)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(part.start, len(mine)).columns, pa.array(texts, pa.string())],
+                    [*batch.schema.names, "text"],
+                )
 
     return decode
 
