@@ -258,13 +258,15 @@ def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST
         if counts.max() < least:
             break
         # An occurrence is taken if its pair is frequent and more frequent than its
-        # neighbours on both sides (ties: the left one).
-        weight = np.where(counts >= least, counts, 0)[places]
+        # neighbours on both sides (ties: the pair that comes first in the block).
+        ranks = counts * len(distinct) + np.arange(len(distinct))[::-1]
+        weight = np.where(counts >= least, ranks, 0)[places]
         left = np.append(0, weight[:-1])
         right = np.append(weight[1:], 0)
-        taken = (weight > 0) & (weight > left) & (weight >= right)
-        # Ties with the right neighbour leave runs: of a run every second is taken.
-        taken[1:] &= ~taken[:-1]
+        # Only pairs of one symbol stand beside themselves: every second is taken.
+        at = np.arange(len(weight))
+        start = np.maximum.accumulate(np.where(weight != left, at, 0))
+        taken = (weight > 0) & (weight >= left) & (weight >= right) & ((at - start) % 2 == 0)
         used = np.bincount(places[taken], minlength=len(distinct))
         chosen = np.flatnonzero(used >= max(2, least // 2))
         if not len(chosen):
