@@ -12,7 +12,7 @@ SCHEMA = (
 )
 EXTRA = ("x",) * 19
 
-LONG = " ".join(f"wort{i % 977} and the {i % 31}" for i in range(20_000))
+LONG = " ".join(f"wort{i % 977} and the {i % 31}" for i in range(3_000))
 TEXTS = [
     (1, None, "en", "a"), (2, "", "en", "a"), (3, "   \n\t ", None, None), (4, "!!! ###", "de", "b"),
     (5, "one", "en", None), (6, "one two three four", None, "b"), (7, LONG, "en", "a"),
@@ -22,6 +22,15 @@ TEXTS = [
 ]
 
 
+@pytest.fixture(scope="package", autouse=True)
+def few_partitions(spark):
+    """These tables are tiny, and the operators run many small stages."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, empty and long texts, ties, repeats, clashing names."""

@@ -113,7 +113,8 @@ def test_segmentations_decode_and_do_not_depend_on_partitions(spark, documents):
     many = s.sample_segmentations(docs.repartition(7)).select("doc_id", "sample", F.col("ids").alias("again"))
     both = one.join(many, ["doc_id", "sample"]).join(docs.withColumnRenamed("text", "given"), "doc_id")
     assert one.count() == both.count() >= 2 * docs.count() - 2
-    assert both.filter("ids <> again or text <> given").count() == 0
+    # A space mark that stands in the text itself is decoded as a space.
+    assert both.filter("ids <> again or text <> replace(given, '▁', ' ')").count() == 0
 
 
 def test_encoder_gives_the_ids_of_the_library(texts):
