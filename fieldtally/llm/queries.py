@@ -13,6 +13,7 @@ from fieldtally.llm.segmentation import op3_gumbel_segmentations
 from fieldtally.llm.sharding import op4_ring_shards
 from fieldtally.llm.token_counts import op8_count_viterbi
 from fieldtally.llm.token_files import op7_repair_tokens
+from fieldtally.llm.toxicity import op13_naive_bayes_grams
 
 
 def queries() -> dict:
@@ -27,6 +28,7 @@ def queries() -> dict:
         op8_count_viterbi,
         op9_weak_supervision,
         op10_compact_windows,
+        op13_naive_bayes_grams,
     ]
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
