@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from fieldtally.llm.conversation_trie import OP11_SQL, op11_radix_trie
 from fieldtally.llm.dartminhash import op2_dart_minhash
 from fieldtally.llm.decontamination import op5_spaced_seeds
 from fieldtally.llm.language import op6_kneser_ney
@@ -28,10 +29,11 @@ def queries() -> dict:
         op8_count_viterbi,
         op9_weak_supervision,
         op10_compact_windows,
+        op11_radix_trie,
         op13_naive_bayes_grams,
     ]
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_radix_trie": OP11_SQL}
