@@ -15,6 +15,7 @@ from fieldtally.llm.sharding import op4_ring_shards
 from fieldtally.llm.token_counts import op8_count_viterbi
 from fieldtally.llm.token_files import op7_repair_tokens
 from fieldtally.llm.toxicity import op13_naive_bayes_grams
+from fieldtally.llm.vector_codes import OP12_SQL, op12_anchor_codes
 
 
 def queries() -> dict:
@@ -30,10 +31,11 @@ def queries() -> dict:
         op9_weak_supervision,
         op10_compact_windows,
         op11_radix_trie,
+        op12_anchor_codes,
         op13_naive_bayes_grams,
     ]
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_radix_trie": OP11_SQL}
+    return {"op11_radix_trie": OP11_SQL, "op12_anchor_codes": OP12_SQL}
