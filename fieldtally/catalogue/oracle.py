@@ -10,12 +10,12 @@ from fieldtally.catalogue.inputs import (
     derive_sql,
 )
 from fieldtally.catalogue.queries import (
+    PLOT_CORNERS,
     SOME_PARAMETERS,
     SOME_SURVEYS,
     SOME_YEAR,
     STATION_NAMES,
 )
-from fieldtally.functions.projection import ALPHA, ECCENTRICITY, FALSE_EASTING, RADIUS, SCALE
 from fieldtally.plans.explore import MEAN_EFFORT, SURVEY_NAMES, TOTAL_YEARS
 from fieldtally.plans.surveys import FISH_SOURCES, PARAMETERS, WATER_QUALITY_SOURCES
 
@@ -24,21 +24,26 @@ def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+# The map projection's numbers, worked out to the sixth order for the GRS 1980
+# ellipsoid (radius of the meridian circle times 0.9996, first eccentricity, and the terms
+# of easting and northing), not taken from the library.
+RADIUS = "6364902.166112739"
+ECCENTRICITY = "0.081819191042815790"
+TERMS = (
+    "8.3773182472855133e-4", "7.6085278481494745e-7", "1.1976455209422673e-9", "2.4291706548410129e-12",
+)
+
+
 def utm_sql(source: str) -> str:
     """All columns of a relation and its planar x, y."""
-    east = "eta" + "".join(
-        f" + {a!r}::DOUBLE * cos({2 * k} * xi) * sinh({2 * k} * eta)"
-        for k, a in enumerate(ALPHA, start=1)
+    east, north = (
+        a + "".join(f" + {t}::DOUBLE * {f}({2 * k} * xi) * {g}({2 * k} * eta)" for k, t in enumerate(TERMS, 1))
+        for a, f, g in (("eta", "cos", "sinh"), ("xi", "sin", "cosh"))
     )
-    north = "xi" + "".join(
-        f" + {a!r}::DOUBLE * sin({2 * k} * xi) * cosh({2 * k} * eta)"
-        for k, a in enumerate(ALPHA, start=1)
-    )
-    e = f"{ECCENTRICITY!r}::DOUBLE"
-    scale = f"{SCALE * RADIUS!r}::DOUBLE"
+    e = f"{ECCENTRICITY}::DOUBLE"
     return f"""
     SELECT * EXCLUDE (sp, lam, t, xi, eta),
-      {FALSE_EASTING!r}::DOUBLE + {scale} * ({east}) AS x, {scale} * ({north}) AS y
+      500000::DOUBLE + {RADIUS}::DOUBLE * ({east}) AS x, {RADIUS}::DOUBLE * ({north}) AS y
     FROM (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta
       FROM (SELECT *, sinh(atanh(sp) - {e} * atanh({e} * sp)) AS t
         FROM (SELECT *, sin(radians(Latitude)) AS sp, radians(Longitude + 123) AS lam
@@ -190,6 +195,19 @@ STATION = (
     "ELSE 'C' || c_custkey::VARCHAR END"
 )
 
+
+def plot_edges_sql(key: str, table: str, size: str) -> str:
+    """Edges of the dented polygons around the rows of a table."""
+    following = PLOT_CORNERS[1:] + PLOT_CORNERS[:1]
+    values = ", ".join(str((*a, *b)) for a, b in zip(PLOT_CORNERS, following))
+    return f"""
+    SELECT {key} AS poly_id, cx + size * a1 AS x1, cy + size * b1 AS y1, cx + size * a2 AS x2,
+      cy + size * b2 AS y2
+    FROM (SELECT {key}, {size} AS size, 500000::DOUBLE + {key} * 7919 % 150000 AS cx,
+        4150000::DOUBLE + {key} * 104729 % 115000 AS cy FROM {table}),
+      (VALUES {values}) AS corner(a1, b1, a2, b2)"""
+
+
 STEPS = {
     **{name: derive_sql(name) for name in INPUTS},
     "t_ybfmp_zoop": located_sql(
@@ -272,8 +290,8 @@ STEPS = {
     FULL JOIN (SELECT 'C' || p_partkey::VARCHAR AS Station,
         CASE WHEN p_partkey % 5 = 0 THEN ['C' || p_partkey::VARCHAR || '-' || p_type,
           'C' || p_partkey::VARCHAR || '-' || p_type || '-x']
-        ELSE ['C' || p_partkey::VARCHAR || '-' || p_type] END AS Benthic_station
-      FROM part WHERE p_partkey % 5 < 3) b ON z.Station = b.Station""",
+        WHEN p_partkey % 5 < 3 THEN ['C' || p_partkey::VARCHAR || '-' || p_type] END AS Benthic_station
+      FROM part) b ON z.Station = b.Station""",
     "order_merged": recoded_sql("SELECT * FROM order_visits"),
     "sampling": matrix_sql("order_merged", "order_directory"),
     "averaged": averaged_sql("sampling"),
@@ -283,6 +301,9 @@ STEPS = {
         4160000::DOUBLE + n_nationkey * 7 % 25 * 4000::DOUBLE AS cy FROM nation),
       (VALUES (9000, 0, 0, 9000), (0, 9000, -9000, 0), (-9000, 0, 0, -9000), (0, -9000, 9000, 0))
         AS corner(dx1, dy1, dx2, dy2)""",
+    "plot_edges": plot_edges_sql("o_orderkey", "orders", "(100::DOUBLE + o_orderkey % 11 * 40::DOUBLE) "
+    "* CASE WHEN o_orderkey % 50 = 1 THEN 10 ELSE 1 END"),
+    "area_edges": plot_edges_sql("s_suppkey", "supplier", "2000::DOUBLE"),
     "sensor_names": "SELECT s_suppkey::VARCHAR AS num, s_name AS description FROM supplier",
     "alias": """
     WITH named AS (SELECT DISTINCT Source, StationID, Source || ' ' || Zoop_station AS Zoop_station,
@@ -319,9 +340,9 @@ FLAT = (
 ANY_OF_SOME = " OR ".join(f"{p} > 0" for p in SOME_PARAMETERS)
 
 
-def inside_sql(source: str) -> str:
-    crossing = """
-      SELECT p.key FROM points p JOIN region_edges e
+def inside_sql(source: str, layer: str = "region_edges") -> str:
+    crossing = f"""
+      SELECT p.key FROM points p JOIN {layer} e
         ON (e.y1 > p.y) <> (e.y2 > p.y)
         AND p.x < e.x1 + (p.y - e.y1) * (e.x2 - e.x1) / nullif(e.y2 - e.y1, 0)
       GROUP BY p.key, e.poly_id HAVING count(*) % 2 = 1"""
@@ -329,6 +350,24 @@ def inside_sql(source: str) -> str:
       SELECT * EXCLUDE (key, x, y) FROM points WHERE key IN ({crossing}))"""
 
 
+NEAREST_REGION = f"""
+    WITH points AS ({utm_sql("customer_points")}),
+    sides AS (SELECT p.id, e.poly_id,
+        (e.y1 > p.y) <> (e.y2 > p.y)
+          AND p.x < e.x1 + (p.y - e.y1) * (e.x2 - e.x1) / nullif(e.y2 - e.y1, 0) AS crossed,
+        greatest(least(((p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1))
+          / ((e.x2 - e.x1) ** 2 + (e.y2 - e.y1) ** 2), 1), 0) AS t, p.x, p.y, e.x1, e.y1, e.x2, e.y2
+      FROM points p, area_edges e),
+    areas AS (SELECT id, poly_id, count(*) FILTER (crossed) % 2 = 1 AS within,
+        min(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2)) AS d
+      FROM sides GROUP BY ALL)
+    SELECT id, nearest_id, round(d, 3) AS distance FROM (
+      SELECT id, poly_id AS nearest_id, CASE WHEN within THEN 0 ELSE d END AS d,
+        row_number() OVER (PARTITION BY id ORDER BY CASE WHEN within THEN 0 ELSE d END, poly_id) AS place
+      FROM areas)
+    WHERE place = 1"""
+
+
 def nearest_sql(radius: str = "") -> str:
     return f"""
     SELECT c.id, n.nearest_id, n.distance FROM customer_points c LEFT JOIN (
@@ -402,6 +441,8 @@ ORACLE = {
     "alias_directory": "SELECT * REPLACE (array_to_string(Benthic_station, ', ') AS "
     "Benthic_station) FROM directory_of_names",
     "inside_region": f"SELECT id FROM {inside_sql('customer_points')}",
+    "inside_many_regions": f"SELECT id FROM {inside_sql('customer_points', 'plot_edges')}",
+    "nearest_region": NEAREST_REGION,
     "effort_matrix": f"SELECT {FLAT} FROM sampling",
     "sampling_build": f"SELECT {FLAT} FROM built",
     "union_recode": f"SELECT {PLACED} FROM ("

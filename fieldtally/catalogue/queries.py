@@ -21,7 +21,9 @@ from fieldtally.functions.text import paste_na, readable, split_part
 from fieldtally.functions.times import parse_date, parse_datetime, to_minute
 from fieldtally.operators.lookups import drop_matching, left_lookup, not_in_list
 from fieldtally.operators.reshape import complete_years, names_to_rows
-from fieldtally.operators.spatial import nearest, ring_edges
+from fieldtally.operators.polygons import inside, ring_edges
+from fieldtally.operators.spatial import nearest
+from fieldtally.operators.spatial import nearest_region as to_nearest_region
 from fieldtally.operators.tallies import collect_names, count_at_each_place, count_rows, stack
 from fieldtally.plans import explore as ex
 from fieldtally.plans import matrix, names, sensors, surveys
@@ -46,6 +48,8 @@ QUERIES: dict[str, Query] = {}
 SOME_SURVEYS = ["EMP", "FMWT", "EDSM"]
 SOME_PARAMETERS = ["Fish", "Water_quality"]
 SOME_YEAR = 1998
+# Corners of the plots, as parts of their size.
+PLOT_CORNERS = [(1.0, 0.0), (0.25, 0.25), (0.0, 1.0), (-1.0, 0.5), (-0.5, -1.0)]
 STATION_NAMES = ["EMP EZ2", "EMP EZ6-SJR", "EMP C25-PROMO", "FMWT C7", "20mm Zoo 30"]
 
 
@@ -251,6 +255,50 @@ def inside_region(spark, folder):
     return sensors.in_region(points, regions(spark, folder)).select("id")
 
 
+def ring_of(table: DataFrame, key: str, centre: tuple[Column, Column], corners: list) -> DataFrame:
+    """Edges of one polygon for each row of a table, its corners as offsets from a centre."""
+    ring = F.array(*[
+        F.struct((centre[0] + dx).alias("x"), (centre[1] + dy).alias("y")) for dx, dy in corners
+    ])
+    points = table.select(
+        F.col(key).alias("poly_id"), F.lit(0).alias("ring_id"), F.posexplode(ring).alias("seq", "corner")
+    )
+    return ring_edges(points.select("poly_id", "ring_id", "seq", "corner.x", "corner.y"))
+
+
+def plots(spark: SparkSession, folder: str) -> DataFrame:
+    """A dented polygon for each order, most some hundred metres wide, some ten times
+    as wide."""
+    key = F.col("o_orderkey")
+    centre = (
+        F.lit(500000.0) + (key * 7919 % 150000).cast("double"),
+        F.lit(4150000.0) + (key * 104729 % 115000).cast("double"),
+    )
+    size = (F.lit(100.0) + key % 11 * F.lit(40.0)) * F.when(key % 50 == 1, 10.0).otherwise(1.0)
+    corners = [(size * dx, size * dy) for dx, dy in PLOT_CORNERS]
+    return ring_of(load(spark, folder, "orders"), "o_orderkey", centre, corners)
+
+
+@query
+def inside_many_regions(spark, folder):
+    points = derive(spark, folder, "customer_points")
+    return inside(with_utm(points), plots(spark, folder)).select("id")
+
+
+@query
+def nearest_region(spark, folder):
+    """Places to the nearest of the suppliers' polygons, as visits to station areas."""
+    key = F.col("s_suppkey")
+    centre = (
+        F.lit(500000.0) + (key * 7919 % 150000).cast("double"),
+        F.lit(4150000.0) + (key * 104729 % 115000).cast("double"),
+    )
+    corners = [(F.lit(2000.0 * dx), F.lit(2000.0 * dy)) for dx, dy in PLOT_CORNERS]
+    edges = ring_of(load(spark, folder, "supplier"), "s_suppkey", centre, corners)
+    found = to_nearest_region(with_utm(derive(spark, folder, "customer_points")), edges)
+    return found.select("id", "nearest_id", F.round("distance", 3).alias("distance"))
+
+
 # --- effort table ------------------------------------------------------------
 
 
@@ -290,19 +338,21 @@ def visits_by_parameter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, folder: str) -> DataFrame:
-    """Other names of some sites, from parts and suppliers."""
+    """Other names of some sites, from parts and suppliers. Some parts have no benthic
+    name, some have two."""
+    part = F.col("p_partkey") % 5
+    name = paste_na(paste_na(F.lit("C"), "p_partkey", sep=""), "p_type", sep="-")
     benthic = load(spark, folder, "part").select(
         paste_na(F.lit("C"), "p_partkey", sep="").alias("Station"),
-        paste_na(paste_na(F.lit("C"), "p_partkey", sep=""), "p_type", sep="-").alias(
-            "Benthic_station"
-        ),
-        (F.col("p_partkey") % 5).alias("part"),
+        F.when(part < 3, name).alias("Benthic_station"),
+        part.alias("part"),
     )
     more = benthic.filter(F.col("part") == 0).withColumn(
         "Benthic_station", paste_na("Benthic_station", F.lit("x"), sep="-")
     )
-    arrays = collect_names(
-        stack(benthic.filter(F.col("part") < 3), more), "Station", "Benthic_station"
+    arrays = collect_names(stack(benthic, more), "Station", "Benthic_station")
+    arrays = arrays.withColumn(
+        "Benthic_station", F.when(F.size("Benthic_station") > 0, F.col("Benthic_station"))
     )
     zooplankton = load(spark, folder, "supplier").select(
         paste_na(F.lit("C"), F.col("s_suppkey") * 3, sep="").alias("Station"),

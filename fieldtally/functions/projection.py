@@ -1,4 +1,4 @@
-"""Universal transverse Mercator as column arithmetic (Krueger series to third
+"""Universal transverse Mercator as column arithmetic (Krueger series to fourth
 order in the third flattening), so that it stays inside generated code."""
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ _F = 1.0 / INVERSE_FLATTENING
 _N = _F / (2.0 - _F)
 RADIUS = SEMI_MAJOR / (1.0 + _N) * (1.0 + _N**2 / 4.0 + _N**4 / 64.0)
 ALPHA = (
-    _N / 2.0 - 2.0 * _N**2 / 3.0 + 5.0 * _N**3 / 16.0,
-    13.0 * _N**2 / 48.0 - 3.0 * _N**3 / 5.0,
-    61.0 * _N**3 / 240.0,
+    _N / 2.0 - 2.0 * _N**2 / 3.0 + 5.0 * _N**3 / 16.0 + 41.0 * _N**4 / 180.0,
+    13.0 * _N**2 / 48.0 - 3.0 * _N**3 / 5.0 + 557.0 * _N**4 / 1440.0,
+    61.0 * _N**3 / 240.0 - 103.0 * _N**4 / 140.0,
+    49561.0 * _N**4 / 161280.0,
 )
 ECCENTRICITY = 2.0 * sqrt(_N) / (1.0 + _N)
 

@@ -1,8 +1,11 @@
-"""Nearest-neighbour join and point-in-polygon semi join on planar coordinates.
+"""Nearest neighbours of places: among points, or among the edges of polygons.
 
-Both turn geometry into equi-joins on grid keys. Places are reduced to distinct
-coordinates before anything is paired, so any number of records at one spot
-costs one search."""
+Space is divided into square cells whose widths are powers of four, the same for every
+table. One aggregate tells how full the cells of each width are. A place begins with
+the few widest cells in use and keeps, width by width, the cells that can still hold
+its nearest neighbour; at the end it is compared with what lies in the cells that are
+left. Places are reduced to distinct coordinates first and stay where they are: cells
+come to them, broadcast where their counted number is small."""
 
 from __future__ import annotations
 
@@ -13,21 +16,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.projection import planar_distance
-from fieldtally.operators.lookups import keep_matching, left_lookup
-from fieldtally.sources.staging import stage
-
-# Points of one grid cell that may be compared directly; a fuller cell is
-# divided. Each division makes 4 x 4 cells.
+from fieldtally.operators.lookups import left_lookup
+from fieldtally.operators.polygons import (
+    STEP,
+    cell_of,
+    containing,
+    distinct_places,
+    edge_cells,
+    place_key,
+)
+
+# Things in a cell that may be compared directly; a fuller cell is divided.
 CELL_LIMIT = 64
-DIVISION = 4
-DEEPEST = 10
-# Borders of cells are rounded numbers; the margin only ever keeps a cell.
+# Cells (some 40 bytes each) and things that may be broadcast to all places.
+BROADCAST_ROWS = 100_000
+# Widths of cells as powers of STEP: from a millimetre to more than the earth.
+FINEST, WIDEST = -5, 13
+# Borders and distances are rounded numbers; the margin only ever keeps a cell.
 MARGIN = 1e-6
 
-# A polygon layer is packed into arrays and broadcast if its edges, counted once
-# in each band they reach, are at most this many (32 bytes each).
-PACKED_EDGES = 200_000
-BANDS = 512
+
+@dataclass(frozen=True)
+class _Pyramid:
+    """Things by the cells of the finest ``level``, and how many cells of each width
+    hold one. ``cells`` has ``cx, cy, known_x, known_y`` (a point known to be on the
+    thing) and what is needed to measure its distance."""
+
+    cells: DataFrame
+    level: int
+    used: dict[int, int]
+    things: int
+
+    @property
+    def widest(self) -> int:
+        """The finest width at which few cells are in use."""
+        return min(k for k, n in self.used.items() if n <= STEP * STEP or k == WIDEST)
+
+    def at(self, level: int) -> list[Column]:
+        """Cell numbers at a level no finer than that of the cells."""
+        shift = 2 * (level - self.level)
+        return [F.shiftright(c, shift).alias(c) for c in ("cx", "cy")]
+
+    def occupied(self, level: int) -> DataFrame:
+        known = [F.any_value(c).alias(c) for c in ("known_x", "known_y")]
+        return self.cells.select(*self.at(level), "known_x", "known_y").groupBy("cx", "cy").agg(*known)
+
+    def children(self, level: int) -> DataFrame:
+        """Cells of a level with their occupied parts, 16 at most."""
+        inner = F.collect_list(F.struct("cx", "cy", "known_x", "known_y")).alias("children")
+        outer = [F.shiftright(c, 2).alias(f"outer_{c}") for c in ("cx", "cy")]
+        table = self.occupied(level - 1).groupBy(*outer).agg(inner)
+        return F.broadcast(table) if self.used[level - 1] <= BROADCAST_ROWS else table
 
 
 def nearest(
@@ -35,357 +74,185 @@ def nearest(
 ) -> DataFrame:
     """The nearest ``right`` point of each ``left`` point, by columns ``x`` and
     ``y``: adds ``nearest_id`` and ``distance``; both are null when nothing lies
-    within ``max_distance``. Equal distances go to the smallest id.
-
-    Cells of the grid that hold many points are divided again and again, and at
-    each level a left point keeps only the cells that can still hold its nearest
-    neighbour. So the work per point stays small where points are dense, and the
-    answer is exact at any density. The distinct right points are written once,
-    since every level reads them."""
-    points = stage(
-        right.groupBy("x", "y").agg(F.min(right_id).alias("id")), "points"
-    ).dropna(subset=["x", "y"])
-    grid = _grid_over(points, max_distance)
-    placed = left.withColumn("place", _place())
-    if grid is None:
-        return placed.drop("place").withColumns(
-            {"distance": F.lit(None).cast("double"), "nearest_id": _no_id(right, right_id)}
-        )
-    if grid.radius is None and grid.depth == 0:
-        return _among_few(placed.drop("place"), points)
-    return left_lookup(placed, _descend(_distinct(placed), points, grid), ["place"]).drop("place")
+    within ``max_distance``. Equal distances go to the smallest id. Building the plan
+    runs one job, which counts cells."""
+    points = right.groupBy("x", "y").agg(F.min(right_id).alias("id")).dropna(subset=["x", "y"])
+    finest = points.select(
+        *[cell_of(F.col(c), F.lit(FINEST)).alias(n) for c, n in (("x", "cx"), ("y", "cy"))],
+        F.col("x").alias("known_x"),
+        F.col("y").alias("known_y"),
+        "id",
+    )
+    pyramid = _over_points(finest)
+    if pyramid is None:
+        no_id = F.lit(None).cast(right.schema[right_id].dataType)
+        return left.withColumns({"distance": F.lit(None).cast("double"), "nearest_id": no_id})
+    apart = planar_distance(F.col("x"), F.col("y"), F.col("known_x"), F.col("known_y"))
+    placed = left.withColumn("__place", place_key(left))
+    found = _search(distinct_places(placed), pyramid, apart, max_distance)
+    return left_lookup(placed, found, ["__place"]).drop("__place")
+
+
+def nearest_region(places: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nearest polygon of each of ``places`` (columns ``x``, ``y``): adds
+    ``nearest_id`` and ``distance``, which is zero inside and on the border. Equal
+    distances go to the smallest id."""
+    layer = edges.agg(
+        F.sum(F.abs(F.col("x1") - F.col("x2")) + F.abs(F.col("y1") - F.col("y2"))).alias("length"),
+        F.count("*").alias("edges"),
+    ).first()
+    if not layer.edges:
+        no_id = F.lit(None).cast(edges.schema["poly_id"].dataType)
+        return places.withColumns({"distance": F.lit(None).cast("double"), "nearest_id": no_id})
+    # As wide as an edge is long, on average: then edges reach few cells each.
+    level = min(max(ceil(log(layer.length / layer.edges, STEP)), FINEST), WIDEST)
+    reached = edge_cells(edges.withColumn("level", F.lit(level)))
+    ends = ("x1", "y1", "x2", "y2")
+    cells = reached.select(
+        F.explode(F.sequence("cx0", "cx1")).alias("cx"), "cy", *ends, F.col("poly_id").alias("id")
+    ).withColumns(dict(zip(("known_x", "known_y"), _foot(
+        *[(F.col(c) + F.lit(0.5)) * F.lit(STEP**level) for c in ("cx", "cy")]
+    ))))
+    pyramid = _counted(cells, level)
+    placed = places.withColumn("__place", place_key(places))
+    apart = planar_distance(F.col("x"), F.col("y"), *_foot(F.col("x"), F.col("y")))
+    distinct = distinct_places(placed)
+    near = _search(distinct, pyramid, apart, None)
+    around = containing(distinct, edges).groupBy("__place").agg(F.min("poly_id").alias("around"))
+    found = left_lookup(near, around, ["__place"]).select(
+        "__place",
+        F.when(F.col("around").isNotNull(), F.lit(0.0)).otherwise(F.col("distance")).alias("distance"),
+        F.coalesce("around", "nearest_id").alias("nearest_id"),
+    )
+    return left_lookup(placed, found, ["__place"]).drop("__place")
 
 
-@dataclass(frozen=True)
-class _Grid:
-    x0: float
-    y0: float
-    width: float
-    depth: int
-    radius: float | None
-
-    def cell_width(self, level: int) -> float:
-        return self.width / DIVISION**level
-
-    def key(self, level: int) -> list[Column]:
-        """Cell numbers of a point. Those of a level divide those of the finest
-        one, so a cell and its parent always agree."""
-        step = DIVISION ** (self.depth - level)
-        width = self.cell_width(self.depth)
-        return [
-            F.floor(F.floor((F.col(c) - F.lit(o)) / F.lit(width)) / F.lit(step)).cast("long").alias(n)
-            for c, o, n in (("x", self.x0, "cx"), ("y", self.y0, "cy"))
-        ]
-
-
-def _place() -> Column:
-    """A place as exact text. Keyed by doubles, every grouping would shuffle anew,
-    because those keys are normalised first."""
-    both = F.concat_ws(",", *[(F.col(c) + F.lit(0.0)).cast("string") for c in ("x", "y")])
-    return F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), both)
-
-
-def _distinct(placed: DataFrame) -> DataFrame:
-    """The distinct places. The coordinates are aggregates, not keys: filters on
-    keys would move below the projection and repeat its long arithmetic."""
-    return placed.groupBy("place").agg(F.any_value("x").alias("x"), F.any_value("y").alias("y"))
-
-
-def _no_id(right: DataFrame, right_id: str) -> Column:
-    return F.lit(None).cast(right.schema[right_id].dataType)
-
-
-def _grid_over(points: DataFrame, max_distance: float | None) -> _Grid | None:
-    """Cell sizes for the searched points. The first guess is right for evenly
-    spread points; while cells are too full the next level is measured. Only
-    single rows come to the driver."""
-    box = points.agg(
-        F.min("x").alias("x0"),
-        F.max("x").alias("x1"),
-        F.min("y").alias("y0"),
-        F.max("y").alias("y1"),
-        F.count("*").alias("points"),
-    ).first()
-    if box.points == 0:
+def _foot(x: Column, y: Column) -> tuple[Column, Column]:
+    """The point of the edge ``x1, y1, x2, y2`` that is nearest to a point."""
+    wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    share = ((x - F.col("x1")) * wide + (y - F.col("y1")) * high) / (wide * wide + high * high)
+    share = F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
+    return F.col("x1") + share * wide, F.col("y1") + share * high
+
+
+def _over_points(finest: DataFrame) -> _Pyramid | None:
+    """Cells of points: the widest in which no more than ``CELL_LIMIT`` lie together."""
+    fullest, used, things = _fill(finest, FINEST)
+    if not things:
         return None
-    wide, high = box.x1 - box.x0, box.y1 - box.y0
-    span = max(wide, high) if max_distance is None else max_distance
-    # Slightly wide, so that rounding cannot push a match out of reach.
-    width = max(span * (1 + 1e-9), 1e-3)
-    cells = (wide / width + 1) * (high / width + 1)
-    crowding = box.points / cells / CELL_LIMIT
-    depth = min(max(0, ceil(log(crowding, DIVISION**2))), DEEPEST) if crowding > 1 else 0
-    while True:
-        grid = _Grid(box.x0, box.y0, width, depth, max_distance)
-        if depth == DEEPEST or _fullest(points, grid) <= CELL_LIMIT:
-            return grid
-        depth += 1
-
-
-def _fullest(points: DataFrame, grid: _Grid) -> int:
-    return points.groupBy(*grid.key(grid.depth)).count().agg(F.max("count")).first()[0]
-
-
-def _among_few(left: DataFrame, points: DataFrame) -> DataFrame:
-    """The nearest of at most ``CELL_LIMIT`` points, written into the plan."""
-    candidates = F.array(
-        *[
-            F.struct(
-                planar_distance(F.col("x"), F.col("y"), F.lit(p.x), F.lit(p.y)).alias("distance"),
-                F.lit(p.id).alias("id"),
-            )
-            for p in points.collect()
-        ]
+    level = max((k for k, n in fullest.items() if n <= CELL_LIMIT), default=FINEST)
+    shift = 2 * (level - FINEST)
+    cells = finest.withColumns({c: F.shiftright(c, shift) for c in ("cx", "cy")})
+    return _Pyramid(cells, level, {k: n for k, n in used.items() if k >= level}, things)
+
+
+def _counted(cells: DataFrame, level: int) -> _Pyramid:
+    _, used, things = _fill(cells, level)
+    return _Pyramid(cells, level, used, things)
+
+
+def _fill(cells: DataFrame, finest: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """For each level: the things in its fullest cell and the number of cells in use;
+    and the number of things. At most one row per level comes to the driver."""
+    levels = F.array(*[
+        F.struct(F.lit(k).alias("level"), *[F.shiftright(c, 2 * (k - finest)).alias(c) for c in ("cx", "cy")])
+        for k in range(finest, WIDEST + 1)
+    ])
+    rows = (
+        cells.select(F.explode(levels).alias("cell"))
+        .groupBy("cell.level", "cell.cx", "cell.cy")
+        .count()
+        .groupBy("level")
+        .agg(F.max("count").alias("most"), F.count("*").alias("cells"), F.sum("count").alias("things"))
+        .collect()
     )
-    best = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array_min(candidates))
     return (
-        left.withColumn("best", best)
-        .withColumns({"distance": F.col("best.distance"), "nearest_id": F.col("best.id")})
-        .drop("best")
+        {r["level"]: r["most"] for r in rows},
+        {r["level"]: r["cells"] for r in rows},
+        rows[0]["things"] if rows else 0,
     )
 
 
-def _descend(places: DataFrame, points: DataFrame, grid: _Grid) -> DataFrame:
-    """Narrow the candidate cells of each place level by level, then compare with
-    the points of the cells that are left. ``reach`` is how far away the nearest
-    point can be at most."""
-    if grid.radius is not None:
-        frontier = places.select(
-            "*",
-            F.explode(_neighbours(*grid.key(0))).alias("cell"),
-            F.lit(float(grid.radius)).alias("reach"),
-        ).select("place", "x", "y", "reach", "cell.*")
-        start = 0
+def _search(places: DataFrame, pyramid: _Pyramid, apart: Column, radius: float | None) -> DataFrame:
+    """``__place, distance, nearest_id`` of the distinct ``places``. ``reach`` is how far
+    away the nearest thing can be at most."""
+    if radius is None:
+        start = pyramid.widest
+        frontier = _from_widest(places, pyramid, start)
     else:
-        frontier = _from_root(places, points, grid)
-        start = 1
-    for level in range(start, grid.depth):
-        frontier = _narrow(frontier, _children(points, grid, level), grid, level)
-    cells = points.select(
-        *grid.key(grid.depth), F.col("x").alias("right_x"), F.col("y").alias("right_y"), "id"
-    )
-    distance = planar_distance(F.col("x"), F.col("y"), F.col("right_x"), F.col("right_y"))
+        # Slightly wide, so that rounding cannot push a match out of reach.
+        wide = ceil(log(max(radius * (1 + 1e-9), 1e-3), STEP))
+        start = min(max(wide, pyramid.level), WIDEST)
+        around = _neighbours(*[cell_of(F.col(c), F.lit(start)) for c in ("x", "y")])
+        frontier = places.select(
+            "__place", "x", "y", F.lit(float(radius)).alias("reach"), F.explode(around).alias("cell")
+        ).select("__place", "x", "y", "reach", "cell.*")
+    for level in range(start, pyramid.level, -1):
+        frontier = _narrow(frontier, pyramid.children(level), level - 1)
+    cells = pyramid.cells
+    if pyramid.things <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)
+    measured = frontier.join(cells, ["cx", "cy"]).withColumn("distance", apart)
+    if radius is not None:
+        measured = measured.filter(F.col("distance") <= radius)
     return (
-        frontier.join(cells, ["cx", "cy"])
-        .withColumn("distance", distance)
-        .filter(F.col("distance") <= F.col("reach"))
-        .groupBy("place")
+        measured.filter(F.col("distance") <= F.col("reach") + F.lit(MARGIN))
+        .groupBy("__place")
         .agg(F.min(F.struct("distance", "id")).alias("best"))
-        .select("place", "best.distance", F.col("best.id").alias("nearest_id"))
+        .select("__place", "best.distance", F.col("best.id").alias("nearest_id"))
     )
 
 
-def _children(points: DataFrame, grid: _Grid, level: int) -> DataFrame:
-    """Cells of a level with their occupied children, 16 at most, and one point
-    known in each child."""
-    kx, ky = grid.key(level + 1)
-    return (
-        points.groupBy(*grid.key(level), kx.alias("kx"), ky.alias("ky"))
-        .agg(F.any_value("x").alias("known_x"), F.any_value("y").alias("known_y"))
-        .groupBy("cx", "cy")
-        .agg(F.collect_list(F.struct("kx", "ky", "known_x", "known_y")).alias("children"))
+def _from_widest(places: DataFrame, pyramid: _Pyramid, level: int) -> DataFrame:
+    """First candidates where there is no radius: the widest cells, few enough to come
+    as one value from a subquery."""
+    few = pyramid.occupied(level).agg(
+        F.collect_list(F.struct("cx", "cy", "known_x", "known_y")).alias("cells")
     )
+    opened = places.withColumn("cell", F.explode(few.scalar())).select("__place", "x", "y", "cell.*")
+    return _kept(opened.withColumn("reach", F.lit(float("inf"))), level)
 
 
-def _from_root(places: DataFrame, points: DataFrame, grid: _Grid) -> DataFrame:
-    """First candidates when there is no radius: the cells under the single root
-    cell, few enough to be written into the plan."""
-    root = _children(points, grid, 0).first().children
-    known = [
-        planar_distance(F.col("x"), F.col("y"), F.lit(c.known_x), F.lit(c.known_y)) for c in root
-    ]
-    cells = F.array(
-        *[F.struct(F.lit(c.kx).alias("cx"), F.lit(c.ky).alias("cy")) for c in root]
-    )
-    reach = F.least(*known) if len(known) > 1 else known[0]
-    return (
-        places.withColumn("reach", reach)
-        .select("place", "x", "y", "reach", F.explode(cells).alias("cell"))
-        .select("place", "x", "y", "reach", "cell.*")
-        .filter(_starts_at(grid, 1) <= F.col("reach") + F.lit(MARGIN))
+def _narrow(frontier: DataFrame, children: DataFrame, level: int) -> DataFrame:
+    """Replace candidate cells by their parts."""
+    same = [F.col("cx") == F.col("outer_cx"), F.col("cy") == F.col("outer_cy")]
+    opened = (
+        frontier.join(children, same)
+        .select("__place", "x", "y", "reach", F.explode("children").alias("child"))
+        .select("__place", "x", "y", "reach", "child.*")
     )
+    return _kept(opened, level)
 
 
-def _narrow(frontier: DataFrame, children: DataFrame, grid: _Grid, level: int) -> DataFrame:
-    """Replace candidate cells by those of their children that can hold the
-    nearest point: a cell is out when it starts farther away than a point that is
-    known in some other cell."""
+def _kept(opened: DataFrame, level: int) -> DataFrame:
+    """Candidate cells that can hold the nearest thing: a cell is out when it starts
+    farther away than a point that is known in some other cell."""
     near = F.col("start") <= F.col("reach") + F.lit(MARGIN)
-    opened = (
-        frontier.join(children, ["cx", "cy"])
-        .select("place", "x", "y", "reach", F.explode("children").alias("child"))
-        .select(
-            "place",
-            "x",
-            "y",
-            "reach",
-            F.col("child.kx").alias("cx"),
-            F.col("child.ky").alias("cy"),
-            planar_distance(
-                F.col("x"), F.col("y"), F.col("child.known_x"), F.col("child.known_y")
-            ).alias("known"),
-        )
-        .withColumn("start", _starts_at(grid, level + 1))
-        .filter(near)
-    )
-    shortest = F.min("known").over(Window.partitionBy("place"))
+    known = planar_distance(F.col("x"), F.col("y"), F.col("known_x"), F.col("known_y"))
+    shortest = F.min("known").over(Window.partitionBy("__place"))
     return (
-        opened.withColumn("reach", F.least("reach", shortest))
+        opened.withColumns({"known": known, "start": _starts_at(level)})
+        .filter(near)
+        .withColumn("reach", F.least("reach", shortest))
         .filter(near)
-        .select("place", "x", "y", "reach", "cx", "cy")
+        .select("__place", "x", "y", "reach", "cx", "cy")
     )
 
 
-def _starts_at(grid: _Grid, level: int) -> Column:
-    """Distance from a place to the nearest border of its candidate cell."""
-    width = grid.cell_width(level)
+def _starts_at(level: int) -> Column:
+    """Distance from a place to the nearest border of its candidate cell. Widths are
+    powers of two, so borders are exact."""
+    width = F.lit(STEP**level)
     gaps = []
-    for value, cell, origin in (("x", "cx", grid.x0), ("y", "cy", grid.y0)):
-        low = F.lit(origin) + F.col(cell) * F.lit(width)
-        gaps.append(
-            F.greatest(low - F.col(value), F.col(value) - low - F.lit(width), F.lit(0.0))
-        )
+    for value, cell in (("x", "cx"), ("y", "cy")):
+        low = F.col(cell) * width
+        gaps.append(F.greatest(low - F.col(value), F.col(value) - low - width, F.lit(0.0)))
     return F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1])
 
 
 def _neighbours(cx: Column, cy: Column) -> Column:
-    return F.array(
-        *[
-            F.struct((cx + F.lit(i)).alias("cx"), (cy + F.lit(j)).alias("cy"))
-            for i in (-1, 0, 1)
-            for j in (-1, 0, 1)
-        ]
-    )
-
-
-def ring_edges(rings: DataFrame) -> DataFrame:
-    """Edges of polygon rings given as ``poly_id, ring_id, seq, x, y`` with
-    consecutive ``seq``. A ring may repeat its first point at the end or not.
-    Points meet their successors in an equi-join, so a ring of any length is
-    spread over all tasks."""
-    ring = ["poly_id", "ring_id"]
-    following = rings.select(
-        *ring, (F.col("seq") - 1).alias("seq"), F.struct("x", "y").alias("following")
-    )
-    ends = rings.groupBy(*ring).agg(
-        F.max("seq").alias("last_seq"), F.min_by(F.struct("x", "y"), "seq").alias("opening")
-    )
-    linked = left_lookup(left_lookup(rings, following, [*ring, "seq"]), ends, ring)
-    gap = F.raise_error(F.lit("ring points are not numbered consecutively"))
-    target = F.when(F.col("seq") == F.col("last_seq"), F.col("opening")).otherwise(
-        F.coalesce("following", gap.cast("struct<x:double,y:double>"))
-    )
-    return (
-        linked.withColumn("target", target)
-        .select(
-            "poly_id",
-            F.col("x").alias("x1"),
-            F.col("y").alias("y1"),
-            F.col("target.x").alias("x2"),
-            F.col("target.y").alias("y2"),
-        )
-        .filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
-    )
-
-
-def inside(points: DataFrame, edges: DataFrame, packed_edges: int = PACKED_EDGES) -> DataFrame:
-    """Rows of ``points`` (columns ``x``, ``y``) inside or on the border of any
-    polygon of the edge table; holes are rings too. Rows are never repeated.
-
-    The plane is cut into horizontal bands and a point meets only the edges of
-    its band. A small layer is packed to one array per band and polygon, and the
-    test is the condition of a semi join with that broadcast table, which leaves
-    the points where they are. A larger one is joined edge by edge, and the border
-    crossings of each distinct place are counted."""
-    layer = edges.agg(
-        F.min(F.least("y1", "y2")).alias("low"),
-        F.max(F.greatest("y1", "y2")).alias("high"),
-        F.sum(F.abs(F.col("y1") - F.col("y2"))).alias("climb"),
-        F.count("*").alias("edges"),
-    ).first()
-    if layer.edges == 0:
-        return points.limit(0)
-    height = max((layer.high - layer.low) / BANDS, 1e-9)
-    entries = layer.edges * 2 + layer.climb / height
-    banded = edges.withColumn(
-        "band",
-        F.explode(
-            F.sequence(
-                _band(F.least("y1", "y2"), layer.low, height),
-                _band(F.greatest("y1", "y2"), layer.low, height),
-            )
-        ),
-    )
-    band = _band(F.col("y"), layer.low, height)
-    if entries <= packed_edges:
-        return points.join(F.broadcast(_pack(banded)), _packed_test(band), "left_semi")
-    placed = points.withColumn("place", _place())
-    hits = _distinct(placed).withColumn("band", band).join(banded, "band")
-    kept = (
-        hits.filter(_level_with() & _not_left_of())
-        .groupBy("place", "poly_id")
-        .agg(F.count_if(_crosses()).alias("crossings"), F.bool_or(_on_edge()).alias("on_edge"))
-        .filter((F.col("crossings") % 2 == 1) | F.col("on_edge"))
-        .select("place")
-    )
-    return keep_matching(placed, kept, ["place"]).drop("place")
-
-
-def _band(y: Column, low: float, height: float) -> Column:
-    return F.floor((y - F.lit(low)) / F.lit(height)).cast("long")
-
-
-def _pack(banded: DataFrame) -> DataFrame:
-    return banded.groupBy("band", "poly_id").agg(
-        F.min(F.least("x1", "x2")).alias("left_x"),
-        F.max(F.greatest("x1", "x2")).alias("right_x"),
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-    )
-
-
-def _packed_test(band: Column) -> Column:
-    def crossings(edge: Column) -> Column:
-        return _crosses(edge["x1"], edge["y1"], edge["x2"], edge["y2"])
-
-    def touched(edge: Column) -> Column:
-        return _on_edge(edge["x1"], edge["y1"], edge["x2"], edge["y2"])
-
-    odd = F.size(F.filter("edges", crossings)) % 2 == 1
-    wide_enough = F.col("x").between(F.col("left_x"), F.col("right_x"))
-    covered = wide_enough & (odd | F.exists("edges", touched))
-    # As null-safe terms they do not turn into null filters on x and y, which
-    # would move below the projection and repeat its long arithmetic.
-    return F.col("band").eqNullSafe(band) & F.coalesce(covered, F.lit(False))
-
-
-def _ends(ends: tuple) -> tuple[Column, Column, Column, Column]:
-    return ends or tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
-
-
-def _level_with(*ends: Column) -> Column:
-    _, y1, _, y2 = _ends(ends)
-    return F.col("y").between(F.least(y1, y2), F.greatest(y1, y2))
-
-
-def _not_left_of(*ends: Column) -> Column:
-    x1, _, x2, _ = _ends(ends)
-    return F.col("x") <= F.greatest(x1, x2)
-
-
-def _crosses(*ends: Column) -> Column:
-    """The ray to the right of the point crosses the edge; an edge owns its lower
-    end only, so that a vertex counts once."""
-    x1, y1, x2, y2 = _ends(ends)
-    x, y = F.col("x"), F.col("y")
-    spans = (y1 > y) != (y2 > y)
-    return spans & (x < x1 + (y - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)))
-
-
-def _on_edge(*ends: Column) -> Column:
-    x1, y1, x2, y2 = _ends(ends)
-    x, y = F.col("x"), F.col("y")
-    cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
-    box = x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(
-        F.least(y1, y2), F.greatest(y1, y2)
-    )
-    return (cross == 0) & box
+    return F.array(*[
+        F.struct((cx + F.lit(i)).alias("cx"), (cy + F.lit(j)).alias("cy"))
+        for i in (-1, 0, 1)
+        for j in (-1, 0, 1)
+    ])

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.operators.spatial import ring_edges
+from fieldtally.operators.polygons import ring_edges
 from fieldtally.plans.explore import SURVEY_SHEET_COLUMNS
 from fieldtally.plans.sensors import SHEET_COLUMNS, SITE_COLUMNS
 from fieldtally.plans.surveys import SURVEYS

@@ -9,7 +9,7 @@ from fieldtally.functions.projection import with_utm
 from fieldtally.functions.text import paste_na, split_list
 from fieldtally.operators.lookups import left_lookup
 from fieldtally.operators.reshape import complete_years, explode_names
-from fieldtally.operators.spatial import inside
+from fieldtally.operators.polygons import inside
 from fieldtally.plans.names import ZONE
 from fieldtally.sources.pages import (
     body_lines,

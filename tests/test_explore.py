@@ -162,7 +162,9 @@ def test_scale(sampling):
     domain = ex.scale_domain(scaled, "Fish").first()
     assert (domain.min_scaled, round(domain.max_scaled, 6)) == (0.0, 1.791759)
     assert domain.title == "Fish effort</br>(samples per year)"
-    assert [r.label for r in ex.scale_breaks(scaled, log=True).collect()] == [5.0, 3.0, 2.0, 1.0, 0.0]
+    assert [r.label for r in ex.scale_breaks(scaled, log=True).collect()] == [
+        4.0, 3.0, 2.0, 2.0, 1.0, 1.0, 0.0, 0.0, 0.0
+    ]  # every fifth of the logarithm up to log(6)
     plain = ex.scale_values(sampling, "N_years")
     assert [r.label for r in ex.scale_breaks(plain).collect()] == [4.0, 1.0]
     assert ex.scale_domain(plain, "N_years").first().title == "N years"

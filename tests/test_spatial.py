@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.operators import spatial
-from fieldtally.operators.spatial import inside, nearest, ring_edges
+from fieldtally.operators.polygons import cell_index, inside, polygon_levels, ring_edges
+from fieldtally.operators.spatial import nearest, nearest_region
 
 
 def brute(left, right, radius):
@@ -37,7 +39,7 @@ def clustered(seed, count, label):
 @pytest.mark.parametrize("limit", [64, 3])
 def test_nearest_equals_brute_force(frame, monkeypatch, radius, limit):
     monkeypatch.setattr(spatial, "CELL_LIMIT", limit)
-    monkeypatch.setattr(spatial, "DEEPEST", 4)
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 1000 if limit == 3 else 100_000)
     left = clustered(1, 240, "a") + [("none", None, 1.0), ("twin", 1.0, 2.0), ("twin2", 1.0, 2.0)]
     right = clustered(2, 300, "b") + [("zz", 1.0, 2.5), ("yy", 1.0, 2.5)]
     found = nearest(
@@ -109,8 +111,7 @@ def inside_by_hand(x, y):
     return False
 
 
-@pytest.mark.parametrize("packed", [spatial.PACKED_EDGES, 0])
-def test_inside_equals_ray_casting(frame, packed):
+def test_inside_equals_ray_casting(frame):
     rng = random.Random(3)
     points = [(i, rng.random() * 24 - 2, rng.random() * 24 - 2) for i in range(600)]
     points += [(1000 + i, float(x), float(y)) for i, (_, _, _, x, y) in enumerate(RINGS)]
@@ -120,10 +121,124 @@ def test_inside_equals_ray_casting(frame, packed):
         *[(p, r, s, float(x), float(y)) for p, r, s, x, y in RINGS],
     )
     table = frame("id int, x double, y double", *points, (3000, None, 1.0))
-    found = sorted(r.id for r in inside(table, ring_edges(rings), packed).collect())
+    found = sorted(r.id for r in inside(table, ring_edges(rings)).collect())
     assert found == sorted(i for i, x, y in points if inside_by_hand(x, y))
 
 
+def star(rng, cx, cy, radius, corners):
+    """A polygon with uneven teeth, turning either way."""
+    turns = sorted(rng.random() * 2 * math.pi for _ in range(corners))
+    ring = [
+        (cx + math.cos(t) * radius * rng.uniform(0.3, 1), cy + math.sin(t) * radius * rng.uniform(0.3, 1))
+        for t in turns
+    ]
+    return ring if rng.random() < 0.5 else ring[::-1]
+
+
+def edge_rows(rings):
+    return [
+        (p, *map(float, (*a, *b))) for p, ring in rings for a, b in zip(ring, ring[1:] + ring[:1])
+    ]
+
+
+EDGES = "poly_id int, x1 double, y1 double, x2 double, y2 double"
+
+
+def covering(edges, x, y):
+    odd = {}
+    for p, x1, y1, x2, y2 in edges:
+        if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+            odd[p] = not odd.get(p, False)
+    return {p for p, o in odd.items() if o}
+
+
+@pytest.mark.parametrize("sizes", [[(500, 9)], [(2000, 300), (30, 5), (1, 4), (300, 40)]])
+def test_inside_polygons_of_many_sizes(frame, sizes):
+    rng = random.Random(17)
+    rings = [
+        (100 * k + i, star(rng, 4e6 + rng.random() * 3000, rng.random() * 3000 - 1500, radius, corners))
+        for k, (radius, corners) in enumerate(sizes)
+        for i in range(25)
+    ]
+    edges = edge_rows(rings)
+    points = [(i, 4e6 + rng.random() * 3000, rng.random() * 3000 - 1500) for i in range(1500)]
+    points += [(5000 + i, x + rng.random(), y + rng.random()) for i, (_, ring) in enumerate(rings) for x, y in ring[:2]]
+    table, layer = frame("id int, x double, y double", *points), frame(EDGES, *edges)
+    expected = sorted(i for i, x, y in points if covering(edges, x, y))
+    assert 50 < len(expected) < len(points)
+    assert sorted(r.id for r in inside(table, layer).collect()) == expected
+    levels = polygon_levels(layer).select("level").distinct().count()
+    assert levels > 1 or len(sizes) == 1
+
+
+def pairs(frame, side):
+    """Edges that points meet, and rows of the index, for a grid of squares."""
+    rings = [
+        (i * side + j, [(i * 10, j * 10), (i * 10 + 8, j * 10), (i * 10 + 8, j * 10 + 8), (i * 10, j * 10 + 8)])
+        for i in range(side)
+        for j in range(side)
+    ]
+    rng = random.Random(side)
+    points = [(i, rng.random() * side * 10, rng.random() * side * 10) for i in range(side * side)]
+    index = cell_index(frame(EDGES, *edge_rows(rings)))
+    (level,) = {r.level for r in index.select("level").distinct().collect()}
+    where = [F.floor(F.col(c) / 4.0**level).alias(n) for c, n in (("x", "cx"), ("y", "cy"))]
+    met = frame("id int, x double, y double", *points).select(*where).join(index, ["cx", "cy"])
+    return met.agg(F.sum(F.size("edges"))).first()[0], index.count()
+
+
+def test_pairs_grow_with_points_and_edges_only(frame):
+    small, large = pairs(frame, 20), pairs(frame, 40)
+    assert large[0] < 4.6 * small[0] and large[1] < 4.6 * small[1]
+    assert large[0] < 20 * 40 * 40 and large[1] < 20 * 40 * 40
+
+
+@pytest.mark.parametrize("limit", [100_000, 10])
+def test_nearest_region_equals_brute_force(frame, monkeypatch, limit):
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", limit)
+    rng = random.Random(23)
+    rings = [(i, star(rng, rng.random() * 5000, rng.random() * 5000, rng.choice([20, 400]), 7)) for i in range(40)]
+    edges = edge_rows(rings)
+    points = [(i, rng.random() * 9000 - 2000, rng.random() * 9000 - 2000) for i in range(250)]
+    found = nearest_region(
+        frame("id int, x double, y double", *points, (999, None, 2.0)), frame(EDGES, *edges)
+    ).collect()
+
+    def apart(x, y, x1, y1, x2, y2):
+        w, h = x2 - x1, y2 - y1
+        t = max(0.0, min(1.0, ((x - x1) * w + (y - y1) * h) / (w * w + h * h)))
+        return math.hypot(x - x1 - t * w, y - y1 - t * h)
+
+    assert len(found) == 251 and {c for c in found[0].asDict()} == {"id", "x", "y", "distance", "nearest_id"}
+    where = {i: (x, y) for i, x, y in points}
+    for row in found:
+        if row.id == 999:
+            assert (row.distance, row.nearest_id) == (None, None)
+            continue
+        around = covering(edges, *where[row.id])
+        if around:
+            assert (row.distance, row.nearest_id) == (0.0, min(around))
+        else:
+            best = min((apart(*where[row.id], *e[1:]), e[0]) for e in edges)
+            assert row.distance == pytest.approx(best[0], abs=1e-6) and row.nearest_id == best[1]
+
+
+def test_nearest_region_of_an_empty_layer(frame, tuples):
+    found = nearest_region(frame("id int, x double, y double", (1, 0.0, 0.0)), frame(EDGES))
+    assert tuples(found, "id", "distance", "nearest_id") == [(1, None, None)]
+
+
+def test_plan_of_nearest_runs_one_job(frame, monkeypatch):
+    left = frame("id int, x double, y double", *[(i, float(i), 0.0) for i in range(50)], (90, None, None))
+    right = frame("k int, x double, y double", *[(i, i * 3.0, i % 7.0) for i in range(900)])
+    actions = []
+    plain = type(left).collect
+    monkeypatch.setattr(type(left), "collect", lambda table: actions.append(table) or plain(table))
+    found = nearest(left, right, "k")
+    assert len(actions) == 1
+    assert found.count() == 51
+
+
 def test_ring_must_be_numbered(frame):
     rings = frame(
         "poly_id int, ring_id int, seq int, x double, y double",
