@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html import unescape
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,13 +54,10 @@ CLOSED_BY = {
 }
 SCOPES = {"table", "tr", "td", "th", "ul", "ol", "div"}
 
-MARKUP = re.compile(
-    r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+# Elements whose content is no text.
+UNREAD = {"script", "style"}
+
 TABLE = re.compile("<table", re.IGNORECASE)
-ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
 
 
 def html_tables(
@@ -187,34 +184,31 @@ def page_tables(html: str, widest: int = 10_000) -> list[dict]:
     if not TABLE.search(html):
         return []
     page = _Page(widest)
-    end = 0
-    for mark in MARKUP.finditer(html):
-        page.text(html[end : mark.start()])
-        end = mark.end()
-        name = mark.group(3)
-        if name:
-            tag = name.lower()
-            if mark.group(2):
-                page.close(tag)
-            else:
-                page.start(tag, mark.group(4))
+    page.feed(html)
+    page.close()
     return [page.finished(number, table) for number, table in enumerate(page.tables, start=1)]
 
 
-class _Page:
+class _Page(HTMLParser):
     """What is open at the current place of a page."""
 
     def __init__(self, widest: int) -> None:
+        super().__init__(convert_charrefs=True)
         self.widest = widest
         self.open: list[dict] = [_element("", None, 1)]
         self.tables: list[dict] = []
         self.inside: list[dict] = []
 
-    def text(self, data: str) -> None:
-        if data and self.inside and self.inside[-1]["cell"] is not None:
+    def handle_data(self, data: str) -> None:
+        unread = self.open[-1]["tag"] in UNREAD
+        if self.inside and self.inside[-1]["cell"] is not None and not unread:
             self.inside[-1]["cell"]["text"].append(data)
 
-    def start(self, tag: str, attributes: str) -> None:
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        attributes = dict(attrs)
         self._close_before(tag)
         children = self.open[-1]["children"]
         nth = children[tag] = children.get(tag, 0) + 1
@@ -223,14 +217,13 @@ class _Page:
         elif self.inside and tag == "tr":
             self.inside[-1]["rows"].append([])
         elif self.inside and tag in ("td", "th"):
-            self._start_cell(tag, _attributes(attributes))
+            self._start_cell(tag, attributes)
         elif tag == "br":
-            self.text("\n")
+            self.handle_data("\n")
         if tag not in VOID:
-            id_ = _attributes(attributes).get("id") if "id" in attributes.lower() else None
-            self.open.append(_element(tag, id_, nth))
+            self.open.append(_element(tag, attributes.get("id"), nth))
 
-    def close(self, tag: str) -> None:
+    def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
             kind = self.open[depth]["tag"]
             if kind == tag:
@@ -281,7 +274,7 @@ class _Page:
         self.tables.append(table)
         self.inside.append(table)
 
-    def _start_cell(self, tag: str, attributes: dict[str, str]) -> None:
+    def _start_cell(self, tag: str, attributes: dict[str, str | None]) -> None:
         table = self.inside[-1]
         if not table["rows"]:
             table["rows"].append([])
@@ -315,7 +308,7 @@ def _spread(rows: list[list[dict]]) -> Iterator[tuple[bool, list[str]]]:
                     below[at] = (left - 1, text)
                 texts.append(text)
                 continue
-            text = unescape("".join(item["text"])).strip()
+            text = "".join(item["text"]).strip()
             for _ in range(item["wide"]):
                 if item["deep"] > 1:
                     below[len(texts)] = (item["deep"] - 1, text)
@@ -325,13 +318,6 @@ def _spread(rows: list[list[dict]]) -> Iterator[tuple[bool, list[str]]]:
             yield bool(row) and all(item["head"] for item in row), texts
 
 
-def _attributes(text: str) -> dict[str, str]:
-    return {
-        name.lower(): double or single or bare
-        for name, double, single, bare in ATTRIBUTE.findall(text)
-    }
-
-
 def _element(tag: str, id_: str | None, nth: int) -> dict:
     return {"tag": tag, "id": id_, "nth": nth, "children": {}}
 
