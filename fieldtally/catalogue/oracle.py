@@ -592,6 +592,9 @@ ORACLE = {
     GROUP BY 1""",
     "typed_csv": """SELECT 'say "' || Station || '", then' AS Station, Time, count(*) AS N
     FROM ybfmp_zoop GROUP BY ALL""",
+    "sheet_scan": """SELECT station_name, station_id, sensname, year(start_date)::INT AS start_year,
+      count(*) AS N, count(end_date) AS ended, round(max(latitude), 6) AS latitude,
+      round(min(longitude), 6) AS longitude FROM sensor_sheet GROUP BY ALL""",
     "wide_spans": """
     SELECT s_suppkey, width, n_lines, least_cell, last_row FROM supplier,
       (VALUES (2, 1500, NULL, 1500), (1, 1, '1501', 1501)) t(width, n_lines, cell, last_row),

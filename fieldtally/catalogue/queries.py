@@ -735,6 +735,28 @@ def typed_csv(spark, folder):
     return count_rows(read_csv(spark, path, SURVEYS["ybfmp_zoop"].columns), ["Station", "Time"])
 
 
+@query
+def sheet_scan(spark, folder):
+    """The sensor sheet landed as files of two column orders in a folder with a blank in
+    its name, then scanned: rows by station, sensor and years."""
+    path = run_folder(spark, "sensor sheet")
+    sheet = derive(spark, folder, "sensor_sheet")
+    for order in (sheet.columns, sheet.columns[::-1]):
+        odd = F.col("station_id").substr(-1, 1).isin(*"13579")
+        part = sheet.filter(odd if order[0] == sheet.columns[0] else ~odd)
+        part.select(F.lit("note, unused").alias("note"), *order).write.mode("append").csv(
+            path, header=True, nullValue="NA"
+        )
+    return (
+        read_csv(spark, path, sensors.SHEET_COLUMNS)
+        .groupBy("station_name", "station_id", "sensname", F.year("start_date").alias("start_year"))
+        .agg(
+            F.count("*").alias("N"), F.count("end_date").alias("ended"),
+            F.round(F.max("latitude"), 6).alias("latitude"), F.round(F.min("longitude"), 6).alias("longitude"),
+        )
+    )
+
+
 def _cores(spark) -> int:
     """Each test table is one row group; its pages are dealt out for reading markup."""
     return spark.sparkContext.defaultParallelism

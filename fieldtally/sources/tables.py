@@ -3,13 +3,19 @@ sink."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from functools import reduce
+import csv
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fieldtally.sources.staging import run_folder
+
+# Headers of files (some hundred bytes each) that may be broadcast to the lines.
+FILES_AT_ONCE = 50_000
+
 
 def read_csv(
     spark: SparkSession,
@@ -17,46 +23,100 @@ def read_csv(
     columns: Mapping[str, tuple[str, str]],
     multi_line: bool = False,
 ) -> DataFrame:
-    """CSV scan that keeps the named file columns only, as
+    """CSV scan of a file or folder that keeps the named file columns only, as
     ``{file column: (new name, type)}``. Everything is read as text and cast by
     name; a value that does not fit its type, an empty field and the word NA are
     null. Quotes inside quoted fields are doubled.
 
-    Each file is read with its own header: Spark reads all files of one call by
-    position, so the files of a folder are grouped by header first. ``multi_line``
-    allows line breaks inside quoted fields; such files cannot be split, so each is
-    one task."""
-    parts = [
-        spark.read.csv(
-            files,
-            header=True,
-            quote='"',
-            escape='"',
-            multiLine=multi_line,
-            ignoreLeadingWhiteSpace=True,
-            ignoreTrailingWhiteSpace=True,
-        ).select(
-            *[_cell(name).try_cast(kind).alias(new) for name, (new, kind) in columns.items()]
-        )
-        for files in _files_by_header(spark, path)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """The files of a folder, those with equal first lines together. Only names and
-    headers come to the driver, which lists the files of every scan anyway."""
-    lines = spark.read.text(path)
-    if len(lines.inputFiles()) < 2:
-        return [[path]]
-    numbered = lines.select(
-        "value",
+    Files may order their columns differently: each is read by its own header, in one
+    scan that parses only the places at which a wanted column stands in some file. Where
+    those are the same in all files nothing is joined; where not, a table of the files'
+    headers comes to the lines. A file that lacks a wanted column is an error; empty
+    files have no rows. ``multi_line`` allows line breaks inside quoted fields (not in
+    the header); such files cannot be split, so each is one task."""
+    headers = _headers(spark, path)
+    standing = headers.agg(
+        F.count("*").alias("files"),
+        F.max(F.size("cells")).alias("width"),
+        *[F.sort_array(F.collect_set(_place(name))).alias(f"at_{i}") for i, name in enumerate(columns)],
+    ).first()
+    if not standing["files"]:
+        kinds = ", ".join(f"`{new}` {kind}" for new, kind in columns.values())
+        return spark.createDataFrame([], kinds)
+    places = {name: standing[f"at_{i}"] for i, name in enumerate(columns)}
+    missing = [name for name, at in places.items() if 0 in at]
+    if missing:
+        raise ValueError(f"no column {missing} in some file of {path}")
+    lines = spark.read.schema(", ".join(f"`{_slot(i + 1)}` string" for i in range(standing["width"]))).csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
+        ignoreLeadingWhiteSpace=True,
+        ignoreTrailingWhiteSpace=True,
+    )
+    if any(len(at) > 1 for at in places.values()):
+        by_file = headers.select("file", *[_place(name).alias(f"__at_{i}") for i, name in enumerate(columns)])
+        if standing["files"] <= FILES_AT_ONCE:
+            by_file = F.broadcast(by_file)
+        lines = lines.withColumn("file", F.col("_metadata.file_path")).join(by_file, "file")
+    cells = []
+    for i, (name, at) in enumerate(places.items()):
+        value = F.col(_slot(at[0]))
+        if len(at) > 1:
+            value = F.coalesce(*[F.when(F.col(f"__at_{i}") == p, F.col(_slot(p))) for p in at])
+        cells.append(_cell(value).try_cast(columns[name][1]).alias(columns[name][0]))
+    return lines.select(*cells)
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file, cells`` of every file that is not empty, written once. A session of its own
+    gives every split a task and takes one line from it, so that no file is read
+    through."""
+    reader, cost = spark.newSession(), "spark.sql.files.openCostInBytes"
+    limit = reader.conf.get("spark.sql.files.maxPartitionBytes")
+    reader.conf.set(cost, limit)
+    alone = reader.conf.get(cost) == limit
+    if alone:
+        reader.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    lines = reader.read.text(path).filter(F.trim("value") != "").select(
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line"),
-    ).filter(F.col("_metadata.file_block_start") == 0)
-    headers = numbered.groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [row["files"] for row in groups.orderBy("header").collect()]
+        F.col("_metadata.file_block_start").alias("start"),
+        "value",
+    )
+    written = run_folder(spark, "csv-headers")
+    schema = "file string, cells array<string>"
+    lines.mapInArrow(_first_lines(alone), schema).write.parquet(written)
+    return spark.read.schema(schema).parquet(written)
+
+
+def _first_lines(alone: bool):
+    """The header, in cells, of each file that begins in a task. A task that holds a
+    single split is done after its first line."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            for file, start, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if start == 0 and file != seen:
+                    cells = next(csv.reader([line.lstrip("\ufeff")], skipinitialspace=True))
+                    named = pa.array([[c.strip() for c in cells]], type=pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), named], ["file", "cells"])
+                seen = file
+                if alone:
+                    return
+
+    return first
+
+
+def _place(name: str) -> Column:
+    """Where a column stands in a file, from 1; 0 if it does not."""
+    return F.array_position("cells", F.lit(name)).cast("int")
+
+
+def _slot(place: int) -> str:
+    return f"__{place}"
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -124,8 +184,7 @@ def read_sampling(spark: SparkSession, path: str, schema: StructType | str | Non
     return table.withColumn("Source", F.col("Source").cast("string"))
 
 
-def _cell(name: str):
-    value = F.col(f"`{name}`")
+def _cell(value: Column) -> Column:
     return F.when(~value.isin("", "NA"), value)
 
 

@@ -45,6 +45,62 @@ def test_typed_csv(spark, tmp_path, tuples):
     assert "Other" not in plan.split("ReadSchema")[1]
 
 
+VISITS = {"Date": ("Date", "date"), "Station code": ("Station", "string"), "N": ("N", "int")}
+
+
+def test_folder_of_files_with_headers_of_their_own(spark, tmp_path, tuples):
+    folder = tmp_path / "visits, both"
+    folder.mkdir()
+    (folder / "a 2020.csv").write_text('Date,Station code,N\n2020-01-01,"S ""1"", x",3\n\n2020-01-02,,NA\n')
+    (folder / "b 2021.csv").write_bytes(b"\xef\xbb\xbfN,\"Other, more\", Date ,Station code\r\n4,z,2021-05-06,S2\r\n5,z\r\n")
+    (folder / "c+%20.csv").write_text("Station code,Date,N,More\nS3,bad,7,m,too many\n")
+    (folder / "none.csv").write_text("")
+    (folder / "header only.csv").write_text("N,Station code,Date\n")
+    found = read_csv(spark, str(folder), VISITS)
+    assert tuples(found.withColumn("Date", F.col("Date").cast("string")), "Date", "Station", "N") == sorted([
+        ("2020-01-01", 'S "1", x', 3), ("2020-01-02", None, None), ("2021-05-06", "S2", 4),
+        (None, None, 5), (None, "S3", 7),
+    ], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and plan.count(" csv") == 1  # the lines, and the headers written before
+
+
+def test_equal_headers_need_no_join(spark, tmp_path, tuples):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(f"Station code,N,Date\n{name},1,2020-01-01\n")
+    found = read_csv(spark, str(tmp_path), VISITS)
+    assert tuples(found, "Station", "N") == [("a", 1), ("b", 1)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_files_are_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("N,Date,Station code\n" + "".join(f"{i},2020-01-01,s\n" for i in range(20_000)))
+    (tmp_path / "b.csv").write_text("Station code,N,Date\n" + "".join(f"s,{i},2020-01-01\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        found = read_csv(spark, str(tmp_path), VISITS)
+        assert found.rdd.getNumPartitions() > 10
+        assert found.agg(F.count("Date"), F.sum("N"), F.count("Station")).first() == (40_000, 399_980_000, 40_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_nothing_to_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text("\n")
+    (tmp_path / "folder").mkdir()
+    for path in (tmp_path, tmp_path / "folder"):
+        found = read_csv(spark, str(path), VISITS)
+        assert found.dtypes == [("Date", "date"), ("Station", "string"), ("N", "int")] and found.count() == 0
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,N\n2020-01-01,1\n")
+    with pytest.raises(ValueError, match="Station code"):
+        read_csv(spark, str(tmp_path), VISITS)
+
+
 def test_survey_from_files(spark, tmp_path, tuples):
     (tmp_path / "v.csv").write_text(
         "SampleTime,SampleDate,StationCode,Count\n9:05,1/5/2018,S1,3\n9:05,1/5/2018,S1,4\n"
