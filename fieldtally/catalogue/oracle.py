@@ -50,8 +50,17 @@ def utm_sql(source: str) -> str:
           FROM {source})))"""
 
 
+def shown_sql(moment: str) -> str:
+    """Null from two to three o'clock on the first Sunday of April, until 2006, and on the
+    second of March since: the hour that Pacific clocks skip."""
+    return f"""(SELECT CASE WHEN hour(t) = 2 AND isodow(t) = 7 AND (
+        year(t) BETWEEN 1987 AND 2006 AND month(t) = 4 AND day(t) <= 7
+        OR year(t) >= 2007 AND month(t) = 3 AND day(t) BETWEEN 8 AND 14) THEN NULL ELSE t END
+      FROM (SELECT {moment} AS t))"""
+
+
 def visits_sql(name: str, source: str, date: str, time: str, moment: str = "{}") -> str:
-    parsed = moment.format(f"try_strptime(Date || ' ' || Time, '{date} {time}')")
+    parsed = moment.format(shown_sql(f"try_strptime(Date || ' ' || Time, '{date} {time}')"))
     return f"""
     SELECT Station, year(D)::INT AS Year, '{source}' AS Source, count(*) AS N
     FROM (SELECT DISTINCT Station, try_strptime(Date, '{date}') AS D, {parsed} AS T FROM {name})
@@ -175,12 +184,17 @@ def matrix_sql(merged: str, directory: str) -> str:
     LEFT JOIN {directory} d ON m.Station = d.Station"""
 
 
+def rounded_sql(value: str) -> str:
+    """Two decimals of a double's exact value, ties to even."""
+    return f"""(SELECT CASE WHEN rest > 0.5 OR rest = 0.5 AND whole % 2 = 1 THEN whole + 1 ELSE whole END / 100.0::DOUBLE
+      FROM (SELECT floor(exact)::BIGINT AS whole, exact - floor(exact) AS rest
+        FROM (SELECT printf('%.25f', ({value})::DOUBLE)::DECIMAL(38, 25) * 100 AS exact)))"""
+
+
 def averaged_sql(rows: str) -> str:
     columns = [*PARAMETERS, "Max"]
     sums = ", ".join(f"sum({c}) AS {c}" for c in columns)
-    rates = ", ".join(
-        f"round_even(({c} / N_years)::DECIMAL(18, 9), 2)::DOUBLE AS {c}" for c in columns
-    )
+    rates = ", ".join(f"{rounded_sql(f'{c} / N_years')} AS {c}" for c in columns)
     return f"""
     SELECT * REPLACE ({rates}) FROM (SELECT Station, Station2, Extra_stations, Source, Latitude,
         Longitude, Zoop_station, Benthic_station, {sums}, max(N_years) AS N_years
@@ -217,7 +231,7 @@ STEPS = {
     SELECT year(D)::INT AS Year, Station, 'EDSM' AS Source, Station AS Station2,
       avg(Latitude) AS Latitude, avg(Longitude) AS Longitude, count(*) AS N
     FROM (SELECT DISTINCT Station, Latitude, Longitude, try_strptime(Date, '%Y-%m-%d') AS D,
-        try_strptime(Date || ' ' || Time, '%Y-%m-%d %H:%M:%S') AS T
+        """ + shown_sql("try_strptime(Date || ' ' || Time, '%Y-%m-%d %H:%M:%S')") + """ AS T
       FROM (SELECT * FROM edsm_20mm UNION ALL BY NAME SELECT * FROM edsm_kdtr)
       WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL)
     GROUP BY ALL""",
@@ -416,10 +430,12 @@ ORACLE = {
     f"Source IN ({quoted(FISH_SOURCES)}) UNION ALL BY NAME SELECT * FROM t_ybfmp_fish)",
     "replicate_fold": f"SELECT {PLACED} FROM t_benthic",
     "name_folding": f"SELECT {PLACED} FROM t_phytoplankton",
-    "parsed_moments": """
-    SELECT year(D)::INT AS Year, hour(T)::INT AS hour, minute(T)::INT AS minute, count(*) AS N
+    "parsed_moments": f"""
+    SELECT year(D)::INT AS Year, month(D)::INT AS Month, hour(T)::INT AS hour,
+      minute(T)::INT AS minute, count(*) AS N
     FROM (SELECT try_strptime(Date, '%Y-%m-%d') AS D,
-      try_strptime(Date || ' ' || Time, '%Y-%m-%d %H:%M:%S') AS T FROM djfmp_seine) GROUP BY ALL""",
+      {shown_sql("try_strptime(Date || ' ' || Time, '%Y-%m-%d %H:%M:%S')")} AS T FROM djfmp_seine)
+    GROUP BY ALL""",
     "dms_to_decimal": f"SELECT {PLACED} FROM ({LARVAL_SITES})",
     "variables_in_years": """
     SELECT year(Date)::INT AS Year, Source, count(*) AS N, 'bivalves' AS variable FROM bivalves
@@ -599,7 +615,7 @@ ORACLE = {
     SELECT s_suppkey, width, n_lines, least_cell, last_row FROM supplier,
       (VALUES (2, 1500, NULL, 1500), (1, 1, '1501', 1501)) t(width, n_lines, cell, last_row),
       LATERAL (SELECT coalesce(cell, s_name) AS least_cell)""",
-    "stored_sampling": f"SELECT {FLAT} FROM sampling WHERE Source = 'EMP'",
+    "stored_sampling": f"SELECT {FLAT} FROM sampling WHERE Source IN ('EMP', 'FMWT')",
     "packaged_table": "SELECT s_suppkey, s_nationkey FROM supplier",
 }
 

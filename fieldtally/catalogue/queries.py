@@ -138,7 +138,7 @@ def parsed_moments(spark, folder):
     raw = derive(spark, folder, "djfmp_seine")
     moment = to_minute(parse_datetime(F.col("Date"), F.col("Time")))
     return raw.select(parse_date(F.col("Date")).alias("Date"), moment.alias("moment")).groupBy(
-        F.year("Date").alias("Year"), F.hour("moment").alias("hour"), F.minute("moment").alias("minute")
+        F.year("Date").alias("Year"), F.month("Date").alias("Month"), F.hour("moment").alias("hour"), F.minute("moment").alias("minute")
     ).agg(F.count("*").alias("N"))
 
 
@@ -779,11 +779,14 @@ def wide_spans(spark, folder):
 
 @query
 def stored_sampling(spark, folder):
-    """The effort table stored by Source and one Source read back."""
+    """The effort table stored by Source, one Source replaced in a second run, and two
+    read back."""
     path = run_folder(spark, "sampling")
-    write_sampling(sampling(spark, folder), path)
-    kept = read_sampling(spark, path).filter(F.col("Source") == "EMP")
-    return flat(kept.select(*matrix.COLUMNS))
+    table = sampling(spark, folder)
+    older = F.when(F.col("Source") == "EMP", F.col("Max") + 1).otherwise(F.col("Max"))
+    write_sampling(table.withColumn("Max", older), path)
+    write_sampling(table.filter(F.col("Source") == "EMP"), path, refresh=True)
+    return flat(read_sampling(spark, path).filter(F.col("Source").isin("EMP", "FMWT")))
 
 
 @query

@@ -1,6 +1,6 @@
 """Tolerant date parsing to wall-clock timestamps. Text that does not have the
-stated form becomes null; nothing raises under ANSI mode and nothing depends on
-the session time zone."""
+stated form becomes null, and so does a time that a zone's clocks skip; nothing raises
+under ANSI mode and nothing depends on the session time zone."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ DATE_FORMS = {
     "mdy": "([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})",
 }
 ISO_ORDER = {"ymd": None, "mdy": "$3-$1-$2"}
+# Fixed value: the zone in which visits are recorded.
+ZONE = "America/Los_Angeles"
 TIME_FORMS = {
     "seconds": "[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}",
     "minutes": "[0-9]{1,2}:[0-9]{1,2}",
@@ -25,10 +27,24 @@ def parse_date(text: Column, form: str = "ymd") -> Column:
 
 
 def parse_datetime(
-    date: Column, time: Column, date_form: str = "ymd", time_form: str = "seconds"
+    date: Column,
+    time: Column,
+    date_form: str = "ymd",
+    time_form: str = "seconds",
+    zone: str = ZONE,
 ) -> Column:
-    """Date and time texts together; null if either is missing or malformed."""
-    return _parse(F.concat(date, F.lit(" "), time), date_form, " " + TIME_FORMS[time_form])
+    """Date and time texts together; null if either is missing or malformed, or if the
+    clocks of ``zone`` never showed that time."""
+    moment = _parse(F.concat(date, F.lit(" "), time), date_form, " " + TIME_FORMS[time_form])
+    return shown_by_clocks(moment, zone)
+
+
+def shown_by_clocks(moment: Column, zone: str = ZONE) -> Column:
+    """The moment, or null if it was skipped when the clocks of ``zone`` were put forward:
+    on the way to UTC and back such a time comes out later."""
+    there = F.convert_timezone(F.lit(zone), F.lit("UTC"), moment)
+    back = F.convert_timezone(F.lit("UTC"), F.lit(zone), there)
+    return F.when(back == moment, moment)
 
 
 def to_minute(moment: Column) -> Column:

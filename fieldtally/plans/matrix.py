@@ -18,6 +18,9 @@ STATION_NAMES = {
     "NZEZ2": "EZ2", "NZEZ6": "EZ6", "NZEZ2SJR": "EZ2-SJR", "NZEZ6SJR": "EZ6-SJR",
 }
 
+# The last year that a bitmap of one bucket holds stands for a missing one.
+MISSING_YEAR = 32768
+
 ROW = ["Year", "Station", "Station2", "Source", "StationID"]
 COLUMNS = [
     "Year", "Station", "Station2", "Source", "Latitude", "Longitude", "StationID", "N_years",
@@ -44,11 +47,11 @@ def effort_matrix(
 ) -> DataFrame:
     """The final table from merged tallies and the alias directory.
 
-    The parameters become columns first, with the coordinates carried along as
-    sums, so the shuffle moves partial aggregates whatever the size of a station.
-    What is left of a StationID is about one row per year; means and year counts
-    over it are then taken in one window."""
-    wide = merged.groupBy(*ROW).agg(
+    Tallies are aggregates already, with one row per station, year, parameter and place,
+    so one shuffle by StationID serves both steps: the parameters become columns, with
+    the coordinates carried along as sums, and means and year counts of a StationID are
+    taken in a window over its rows, about one per year."""
+    wide = merged.repartition("StationID").groupBy(*ROW).agg(
         *[wide_count("Parameter", p, "N", on_duplicate).alias(p) for p in PARAMETERS],
         *[F.sum(c).alias(f"sum_{c}") for c in COORDINATES],
         *[F.count(c).alias(f"known_{c}") for c in COORDINATES],
@@ -114,7 +117,27 @@ def _mean_over(column: str, station) -> Column:
 
 
 def _years_over(station) -> Column:
-    """Distinct years of a station; a missing year counts as one."""
-    years = F.size(F.collect_set("Year").over(station))
-    unknown = F.max(F.col("Year").isNull().cast("int")).over(station)
-    return (years + unknown).cast("long")
+    """Distinct years of a station."""
+    return F.bitmap_count(_year_bits().over(station))
+
+
+def site_years(merged: DataFrame) -> DataFrame:
+    """``StationID, years``: the years of each site as a bitmap, which later runs add to
+    with :func:`merge_site_years` and :func:`year_count` counts."""
+    return merged.groupBy("StationID").agg(_year_bits().alias("years"))
+
+
+def merge_site_years(*parts: DataFrame) -> DataFrame:
+    """Bitmaps of several runs in one; no visit is read again."""
+    return stack(*parts).groupBy("StationID").agg(F.bitmap_or_agg("years").alias("years"))
+
+
+def year_count(years: str = "years") -> Column:
+    return F.bitmap_count(years)
+
+
+def _year_bits() -> Column:
+    """Bitmap of the years of a group. A missing year has the last bit, of a year that
+    no calendar here reaches."""
+    year = F.coalesce(F.col("Year").cast("long"), F.lit(MISSING_YEAR))
+    return F.bitmap_construct_agg(F.bitmap_bit_position(year))

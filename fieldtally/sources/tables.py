@@ -4,6 +4,7 @@ sink."""
 from __future__ import annotations
 
 import csv
+import json
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql.types import StructType
 
 from fieldtally.sources.staging import run_folder
 
+# Where a stored table keeps its rows and its schema.
+DATA, SCHEMA = "rows", "schema"
 # Headers of files (some hundred bytes each) that may be broadcast to the lines.
 FILES_AT_ONCE = 50_000
 
@@ -169,19 +172,48 @@ def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 
 
-def write_sampling(table: DataFrame, path: str) -> None:
-    """Store the effort table by Source. The rebalance hint lets adaptive
-    execution cut a very large Source into several files and merge small ones."""
-    table.hint("rebalance", "Source").write.mode("overwrite").partitionBy("Source").parquet(path)
+def write_sampling(table: DataFrame, path: str, refresh: bool = False) -> None:
+    """Store the effort table by Source, its schema beside it. The rebalance hint lets
+    adaptive execution cut a very large Source into several files and merge small ones.
 
+    With ``refresh`` only the Sources that occur in ``table`` are replaced; the files of
+    the others stay as they are. Its schema must be the stored one."""
+    spark = table.sparkSession
+    if refresh:
+        stored, given = sampling_schema(spark, path), _nullable(table.schema)
+        if {f.name: f.dataType for f in stored} != {f.name: f.dataType for f in given}:
+            raise ValueError(f"columns of the refresh differ from those stored in {path}")
+        table = table.select(*stored.names)
+    else:
+        _write_schema(spark, _nullable(table.schema), path)
+    table.hint("rebalance", "Source").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic" if refresh else "static"
+    ).partitionBy("Source").parquet(f"{path}/{DATA}")
 
-def read_sampling(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """The stored effort table. Source is stored in folder names and stays text;
-    with ``schema`` no file is opened to learn the other types."""
-    if schema is not None:
-        return spark.read.schema(schema).parquet(path)
-    table = spark.read.parquet(path)
-    return table.withColumn("Source", F.col("Source").cast("string"))
+
+def read_sampling(spark: SparkSession, path: str) -> DataFrame:
+    """The stored effort table, by the schema stored with it: no file is opened to learn
+    it, and Source, which is kept in folder names, has its own type."""
+    schema = sampling_schema(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{DATA}").select(*schema.names)
+
+
+def sampling_schema(spark: SparkSession, path: str) -> StructType:
+    text = spark.read.text(f"{path}/{SCHEMA}", wholetext=True).first()["value"]
+    return StructType.fromJson(json.loads(text))
+
+
+def _write_schema(spark: SparkSession, schema: StructType, path: str) -> None:
+    line = spark.createDataFrame([(schema.json(),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path}/{SCHEMA}")
+
+
+def _nullable(schema: StructType) -> StructType:
+    """As Parquet gives it back: every column may be null."""
+    plain = schema.jsonValue()
+    for field in plain["fields"]:
+        field["nullable"] = True
+    return StructType.fromJson(plain)
 
 
 def _cell(value: Column) -> Column:

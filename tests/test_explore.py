@@ -166,7 +166,7 @@ def test_scale(sampling):
         4.0, 3.0, 2.0, 2.0, 1.0, 1.0, 0.0, 0.0, 0.0
     ]  # every fifth of the logarithm up to log(6)
     plain = ex.scale_values(sampling, "N_years")
-    assert [r.label for r in ex.scale_breaks(plain).collect()] == [4.0, 1.0]
+    assert [r.label for r in ex.scale_breaks(plain).collect()] == [4.0, 3.5, 3.0, 2.5, 2.0, 1.5, 1.0]
     assert ex.scale_domain(plain, "N_years").first().title == "N years"
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,19 +43,32 @@ def test_parse_date(spark, form, given, expected):
         ("2018-01-05", None, "ymd", "seconds", None),
         ("1/5/2018", "9:05", "mdy", "minutes", datetime(2018, 1, 5, 9, 5)),
         ("2018-01-05", "25:00:00", "ymd", "seconds", None),
-        # A time skipped by daylight saving stays as it is written.
-        ("2020-03-08", "02:30:00", "ymd", "seconds", datetime(2020, 3, 8, 2, 30)),
+        # Times skipped when the clocks are put forward never were.
+        ("2020-03-08", "01:59:59", "ymd", "seconds", datetime(2020, 3, 8, 1, 59, 59)),
+        ("2020-03-08", "02:00:00", "ymd", "seconds", None),
+        ("2020-03-08", "02:59:59", "ymd", "seconds", None),
+        ("2020-03-08", "03:00:00", "ymd", "seconds", datetime(2020, 3, 8, 3)),
+        ("4/7/1996", "2:30", "mdy", "minutes", None),
+        # A time shown twice is one wall-clock time.
+        ("2020-11-01", "01:30:00", "ymd", "seconds", datetime(2020, 11, 1, 1, 30)),
     ],
 )
 def test_parse_datetime(spark, date, time, form, kind, expected):
-    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
-        column = times.parse_datetime(F.lit(date), F.lit(time).cast("string"), form, kind)
-        assert value(spark, column) == expected
+        for session_zone in ("America/Los_Angeles", "UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", session_zone)
+            column = times.parse_datetime(F.lit(date), F.lit(time).cast("string"), form, kind)
+            assert value(spark, column) == expected
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_other_zones_skip_other_times(spark):
+    args = F.lit("2020-03-08"), F.lit("02:30:00")
+    assert value(spark, times.parse_datetime(*args, zone="Europe/Berlin")) == datetime(2020, 3, 8, 2, 30)
+    assert value(spark, times.parse_datetime(F.lit("2020-03-29"), F.lit("02:30:00"), zone="Europe/Berlin")) is None
+
+
 def test_to_minute_drops_seconds(spark):
     moment = F.lit("2018-01-05 10:00:40").cast("timestamp_ntz")
     assert value(spark, times.to_minute(moment)) == datetime(2018, 1, 5, 10, 0)
@@ -112,6 +126,21 @@ def test_strict_aggregates(frame):
 def test_half_even(spark):
     assert value(spark, numbers.half_even(F.lit(0.125), 2)) == 0.12
     assert value(spark, numbers.half_even(F.lit(5) / F.lit(4), 2)) == 1.25
+    assert value(spark, numbers.half_even(F.lit(1) / F.lit(40), 2)) == 0.03
+    assert value(spark, numbers.half_even(F.lit(23) / F.lit(40), 2)) == 0.57
+    assert value(spark, numbers.half_even(F.lit(None).cast("double"), 2)) is None
+
+
+def test_half_even_equals_exact_fractions(spark):
+    pairs = [(x, n) for n in range(1, 73) for x in range(-20, 400)] + [(10**15 + 1, 2), (2**60, 1)]
+    table = spark.createDataFrame(pairs, "x long, n long").select(
+        (F.col("x") / F.col("n")).alias("value"),
+        numbers.half_even(F.col("x") / F.col("n"), 2).alias("rounded"),
+        numbers.half_even(F.col("x") / F.col("n"), 0).alias("whole"),
+    )
+    for row in table.collect():
+        assert row.rounded == float(Fraction(round(Fraction(row.value) * 100), 100))
+        assert row.whole == float(round(Fraction(row.value)))
 
 
 def test_log_scale_inverts(spark):

@@ -105,3 +105,20 @@ def test_conflicts(frame, tuples):
         (38.0, 3), (38.2, 3), (38.5, 3)
     ]
     assert tuples(matrix.conflicting_places(merged), "Latitude") == [(38.0,), (38.2,), (38.5,)]
+
+
+def test_years_of_a_site_merge_across_runs(frame, tuples):
+    def merged(*years):
+        return matrix.merge_tallies(frame(TALLY, *[row("EMP", "D4", y, 1, "Fish") for y in years]))
+
+    runs = [matrix.site_years(merged(2018, 2019, 2018)), matrix.site_years(merged(2019, None, 1950))]
+    both = matrix.merge_site_years(*runs, matrix.site_years(merged(None)))
+    counted = both.select("StationID", matrix.year_count().alias("n"))
+    assert tuples(counted) == [("EMP D4", 4)]
+    assert tuples(matrix.effort_matrix(merged(2018, 2019, None, 1950)), "N_years") == [(4,)] * 4
+
+
+def test_effort_needs_one_shuffle(frame):
+    merged = matrix.merge_tallies(frame(TALLY, row("EMP", "D4", 2018, 3, "Fish")))
+    plan = matrix.effort_matrix(merged)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -117,13 +117,38 @@ def test_survey_from_files(spark, tmp_path, tuples):
 
 
 def test_store_by_source(spark, tmp_path, frame, tuples):
-    table = frame("Source string, Year int, N long", ("EMP", 2018, 3), ("STN", 2019, 4))
+    table = frame("Source string, Year int, N long", ("EMP", 2018, 3), ("2019", 2019, 4))
     path = str(tmp_path / "sampling")
     write_sampling(table, path)
-    found = read_sampling(spark, path).filter(F.col("Source") == "EMP")
+    stored = read_sampling(spark, path)
+    assert stored.dtypes == table.dtypes
+    found = stored.filter(F.col("Source") == "EMP")
     assert tuples(found, "Source", "Year", "N") == [("EMP", 2018, 3)]
     assert "PartitionFilters: [isnotnull(Source" in found._jdf.queryExecution().executedPlan().toString()
-    assert read_table(spark, path, "N").columns == ["N"]
+    assert tuples(stored, "Source") == [("2019",), ("EMP",)]
+
+
+def _files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_refresh_of_one_source(spark, tmp_path, frame, tuples):
+    kinds = "Source string, Year int, N long"
+    path = str(tmp_path / "sampling")
+    write_sampling(frame(kinds, ("EMP", 2018, 3), ("EMP", 2019, 5), ("STN", 2019, 4)), path)
+    before = _files(tmp_path)
+    write_sampling(frame(kinds, ("EMP", 2020, 9)).select("N", "Source", "Year"), path, refresh=True)
+    after = _files(tmp_path)
+    assert tuples(read_sampling(spark, path), "Source", "Year", "N") == [("EMP", 2020, 9), ("STN", 2019, 4)]
+    kept = {p: t for p, t in before.items() if "Source=STN" in p}
+    assert kept and kept.items() <= after.items()
+    assert not any("Source=EMP" in p for p in before.keys() & after.keys())
+    write_sampling(frame(kinds, ("20mm", 2001, 1)), path, refresh=True)
+    assert tuples(read_sampling(spark, path), "Source") == [("20mm",), ("EMP",), ("STN",)]
+    with pytest.raises(ValueError, match="differ"):
+        write_sampling(frame("Source string, Year int, N double", ("EMP", 1, 1.0)), path, refresh=True)
+    write_sampling(frame(kinds, ("EMP", 2018, 1)), path)
+    assert tuples(read_sampling(spark, path), "Source", "N") == [("EMP", 1)]
 
 
 def test_stage_keeps_rows(frame, tuples):
