@@ -568,6 +568,27 @@ ORACLE = {
     )
     + " UNION ALL SELECT 1, 'Max', 'Max N over all parameters'"
     " UNION ALL SELECT 2, 'N_years', 'Number of years')",
+    "facets": f"""
+    SELECT 'survey' AS facet, Abbreviation AS name, Survey AS label, NULL::INT AS rank,
+      NULL::DOUBLE AS low, NULL::DOUBLE AS high
+    FROM (VALUES {survey_values()}) AS s(Survey, Abbreviation)
+    WHERE Abbreviation IN (SELECT Source FROM sampling WHERE Benthic > 0)
+    UNION ALL SELECT DISTINCT 'site', Station, NULL, NULL::INT, NULL, NULL FROM alias
+    WHERE Source IN ({quoted(SOME_SURVEYS)})
+      AND Station NOT IN ('EMP EZ2', 'EMP EZ6', 'EMP EZ2-SJR', 'EMP EZ6-SJR')
+    UNION ALL """ + " UNION ALL ".join(
+        f"SELECT 'metric', '{p}', '{p.replace('_', ' ')}', {at}, NULL, NULL WHERE EXISTS "
+        f"(SELECT 1 FROM sampling WHERE {p} > 0 AND Source IN ({quoted(SOME_SURVEYS)}))"
+        for at, p in enumerate(sorted(PARAMETERS), start=1)
+    ) + """
+    UNION ALL VALUES ('metric', 'Max', 'Max N over all parameters', 6, NULL, NULL),
+      ('metric', 'N_years', 'Number of years', 7, NULL, NULL)
+    UNION ALL SELECT 'effort', 'Max', NULL, NULL, min(Max), max(Max) FROM averaged
+    UNION ALL SELECT 'year', 'Year', NULL, NULL, min(Year), max(Year) FROM sampling
+    UNION ALL SELECT 'longitude', 'Longitude', NULL, NULL, round(min(Longitude), 6),
+      round(max(Longitude), 6) FROM sampling
+    UNION ALL SELECT 'latitude', 'Latitude', NULL, NULL, round(min(Latitude), 6),
+      round(max(Latitude), 6) FROM sampling""",
     "metric_range": "SELECT min(Max) AS min_effort, max(Max) AS max_effort FROM averaged",
     "year_range": "SELECT min(Year) AS min_year, max(Year) AS max_year FROM sampling",
     "bounding_box": "SELECT round(min(Longitude), 6) AS min_lon, round(max(Longitude), 6) AS "

@@ -632,6 +632,13 @@ def bounding_box(spark, folder):
     return rounded(box, *box.columns)
 
 
+@query
+def facets(spark, folder):
+    """All choices in one pass over the effort table."""
+    found = ex.facets(sampling(spark, folder), ["Benthic"], SOME_SURVEYS, exclude_unfixed=True)
+    return rounded(found, "low", "high")
+
+
 @query
 def survey_colours(spark, folder):
     return ex.survey_colours(ex.explore(sampling(spark, folder), None, SOME_SURVEYS))

@@ -56,6 +56,10 @@ UNFIXED_SURVEY_ALIAS = "Unfixed EDSM stations"
 # Metrics besides the parameters, and their titles.
 OTHER_METRICS = [("Max", "Max N over all parameters"), ("N_years", "Number of years")]
 EFFORT = [*PARAMETERS, "Max"]
+STATION_KEYS = [
+    "Station", "Station2", "Extra_stations", "Source", "Latitude", "Longitude",
+    "Zoop_station", "Benthic_station",
+]
 
 # Columns of the survey sheet and of the survey overview.
 SURVEY_SHEET_COLUMNS = {
@@ -180,11 +184,7 @@ def _of_sites(chosen: DataFrame, alias: DataFrame, sites: list[str]) -> DataFram
 
 def _yearly_average(chosen: DataFrame) -> DataFrame:
     """Sums divided by the years of the station over all parameters."""
-    keys = [
-        "Station", "Station2", "Extra_stations", "Source", "Latitude", "Longitude",
-        "Zoop_station", "Benthic_station",
-    ]
-    summed = chosen.groupBy(*keys).agg(
+    summed = chosen.groupBy(*STATION_KEYS).agg(
         *[F.sum(c).alias(c) for c in EFFORT], F.max("N_years").alias("N_years")
     )
     return summed.withColumns({c: half_even(F.col(c) / F.col("N_years"), 2) for c in EFFORT})
@@ -276,6 +276,95 @@ def bounding_box(sampling: DataFrame) -> DataFrame:
     return extent_of(sampling, lon="Longitude", lat="Latitude")
 
 
+def facets(
+    sampling: DataFrame,
+    parameters: Iterable[str] | None = None,
+    surveys: Iterable[str] | None = None,
+    exclude_unfixed: bool = False,
+    metric: str = "Max",
+) -> DataFrame:
+    """Everything there is to choose from, in one pass over the effort table: ``facet,
+    name, label, rank, low, high``.
+
+    Facets are ``survey`` (those that sample any of the ``parameters``), ``site`` (names
+    in the ``surveys``), ``metric`` (those that occur in the ``surveys``, in the order of
+    ``rank``), ``effort`` (range of the averaged ``metric``), ``year``, ``longitude`` and
+    ``latitude`` (ranges). Years of a station are added up first; each station then
+    contributes its few entries to one aggregate by facet and name. Without rows only
+    the common names of sites without a fixed place are left."""
+    positive = any_positive(PARAMETERS)
+    stations = sampling.groupBy(*STATION_KEYS, "StationID").agg(
+        *[F.sum(F.when(positive, F.col(c))).alias(c) for c in EFFORT],
+        F.bool_or(any_positive(_parameters(parameters))).alias("chosen"),
+        *[F.bool_or(F.col(p) > 0).alias(f"any_{p}") for p in PARAMETERS],
+        F.max("N_years").alias("N_years"),
+        F.min("Year").alias("first_year"),
+        F.max("Year").alias("last_year"),
+    )
+    listed = in_list("Source", surveys) if surveys else F.lit(True)
+    fixed = not_in_list("Station", UNFIXED_SITES) & (F.col("Source") != UNFIXED_SURVEY)
+    names = F.concat(
+        F.array("StationID", F.when(F.col("Zoop_station").isNotNull(), paste_na("Source", "Zoop_station"))),
+        F.coalesce(
+            F.transform("Benthic_station", lambda n: F.when(n.isNotNull(), F.concat("Source", F.lit(" "), n))),
+            F.array().cast("array<string>"),
+        ),
+    )
+    sites = F.when(listed & fixed, F.filter(names, lambda n: n.isNotNull()))
+    effort = half_even(F.col(metric) / F.col("N_years"), 2)
+    entries = F.concat(
+        F.array(
+            _entry("survey", F.when(F.col("chosen"), F.col("Source"))),
+            *[_entry("metric", F.when(listed & F.col(f"any_{p}"), F.lit(p))) for p in PARAMETERS],
+            *[_entry("metric", F.lit(name)) for name, _ in OTHER_METRICS],
+            _entry("effort", F.lit(metric), effort),
+            _entry("year", F.lit("Year"), F.col("first_year"), F.col("last_year")),
+            _entry("longitude", F.lit("Longitude"), F.col("Longitude")),
+            _entry("latitude", F.lit("Latitude"), F.col("Latitude")),
+        ),
+        F.transform(F.coalesce(sites, F.array().cast("array<string>")), lambda n: _entry("site", n)),
+    )
+    found = (
+        stations.select(F.explode(entries).alias("entry"))
+        .select("entry.*")
+        .filter(F.col("name").isNotNull())
+        .groupBy("facet", "name")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+    common = [] if surveys and UNFIXED_SURVEY not in surveys else [UNFIXED_SURVEY_ALIAS]
+    if not exclude_unfixed and (not surveys or "EMP" in surveys):
+        common += UNFIXED_ALIASES
+    literal = rows(sampling.sparkSession, [("site", name) for name in common], "facet string, name string")
+    ranked = [*sorted(PARAMETERS), *[name for name, _ in OTHER_METRICS]]
+    titles = dict(OTHER_METRICS)
+    survey = _looked_up({short: F.lit(long) for long, short in SURVEY_NAMES})
+    title = _looked_up({m: F.lit(titles[m]) if m in titles else readable(F.lit(m)) for m in ranked})
+    rank = _looked_up({m: F.lit(at) for at, m in enumerate(ranked, start=1)})
+    return (
+        stack(found, literal)
+        .withColumns({
+            "label": F.when(F.col("facet") == "survey", survey).when(F.col("facet") == "metric", title),
+            "rank": F.when(F.col("facet") == "metric", rank),
+        })
+        .filter((F.col("facet") != "survey") | F.col("label").isNotNull())
+        .select("facet", "name", "label", "rank", "low", "high")
+    )
+
+
+def _entry(facet: str, name: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """What a station contributes to a facet; a null name contributes nothing."""
+    low = F.lit(None) if low is None else low
+    values = [(low if c is None else c).cast("double") for c in (low, high)]
+    return F.struct(
+        F.lit(facet).alias("facet"), name.alias("name"), values[0].alias("low"), values[1].alias("high")
+    )
+
+
+def _looked_up(values: dict[str, Column]) -> Column:
+    pairs = [part for name, value in values.items() for part in (F.lit(name), value)]
+    return F.try_element_at(F.create_map(*pairs), F.col("name"))
+
+
 def scale_values(
     explored: DataFrame,
     metric: str = "Max",

@@ -187,3 +187,32 @@ def test_survey_info(frame, sampling):
     assert emp["Data source 1"] == "<a href='http://d'>portal</a>"
     assert emp["Data source 2"] == ""
     assert (frp.Survey, frp.Benthic, frp[ex.TOTAL_YEARS]) == ("Restoration", None, None)
+
+
+@pytest.mark.parametrize("surveys, unfixed", [(None, False), (["EMP", "EDSM"], True), (["STN"], False)])
+def test_facets_equal_the_single_queries(spark, sampling, tuples, surveys, unfixed):
+    found = ex.facets(sampling, ["Fish"], surveys, unfixed).collect()
+
+    def of(facet, *columns):
+        return sorted(tuple(r[c] for c in columns) for r in found if r.facet == facet)
+
+    assert of("survey", "label", "name") == tuples(ex.surveys_with(sampling, ex.survey_names(spark), ["Fish"]))
+    sites = ex.sites_of(ex.station_alias(sampling), surveys, unfixed).distinct()
+    assert of("site", "name") == sorted(tuples(sites))
+    choices = ex.metric_choices(sampling, surveys).orderBy("position").collect()
+    assert [m for _, m in of("metric", "rank", "name")] == [r.metric for r in choices]
+    assert {m: t for m, t in of("metric", "name", "label")} == {r.metric: r.label for r in choices}
+    assert of("effort", "low", "high") == tuples(ex.metric_range(ex.explore(sampling, None)))
+    assert of("year", "low", "high") == tuples(ex.year_range(sampling))
+    box = ex.bounding_box(sampling).first()
+    assert of("longitude", "low", "high") == [(box.min_lon, box.max_lon)]
+    assert of("latitude", "low", "high") == [(box.min_lat, box.max_lat)]
+
+
+def test_facets_scan_once_and_do_without_rows(spark, sampling, tmp_path):
+    sampling.write.parquet(str(tmp_path / "sampling"))
+    stored = spark.read.parquet(str(tmp_path / "sampling"))
+    plan = ex.facets(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    empty = ex.facets(sampling.limit(0)).collect()
+    assert {(r.facet, r.name) for r in empty} == {("site", n) for n in [ex.UNFIXED_SURVEY_ALIAS, *ex.UNFIXED_ALIASES]}
