@@ -4,6 +4,10 @@ under ANSI mode and nothing depends on the session time zone."""
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+from functools import lru_cache
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +45,36 @@ def parse_datetime(
 
 def shown_by_clocks(moment: Column, zone: str = ZONE) -> Column:
     """The moment, or null if it was skipped when the clocks of ``zone`` were put forward:
-    on the way to UTC and back such a time comes out later."""
+    on the way to UTC and back such a time comes out later. Only hours of the day in which
+    that zone ever skipped a time are sent there, as the conversion is costly."""
     there = F.convert_timezone(F.lit(zone), F.lit("UTC"), moment)
     back = F.convert_timezone(F.lit("UTC"), F.lit(zone), there)
-    return F.when(back == moment, moment)
+    asked = F.hour(moment).isin(list(skipped_hours(zone)))
+    return F.when(asked, F.when(back == moment, moment)).otherwise(moment)
+
+
+@lru_cache
+def skipped_hours(zone: str) -> tuple[int, ...]:
+    """Hours of the day of which a part was skipped on some day since 1850; all of them
+    where the zone is not known here."""
+    try:
+        rules = ZoneInfo(zone)
+    except (ZoneInfoNotFoundError, ValueError):
+        return tuple(range(24))
+    found, day = set(), timedelta(days=1)
+    start = datetime(1850, 1, 1, tzinfo=timezone.utc)
+    for at in (start + day * n for n in range(190 * 366)):
+        if (at + day).astimezone(rules).utcoffset() > at.astimezone(rules).utcoffset():
+            before, after = at, at + day
+            while after - before > timedelta(seconds=1):
+                middle = before + (after - before) // 2
+                same = middle.astimezone(rules).utcoffset() == at.astimezone(rules).utcoffset()
+                before, after = (middle, after) if same else (before, middle)
+            first = before.astimezone(rules).replace(tzinfo=None)
+            last = after.astimezone(rules).replace(tzinfo=None)
+            hours = int((last - first).total_seconds()) // 3600 + 1
+            found |= {(first + timedelta(seconds=1, hours=h)).hour for h in range(hours)}
+    return tuple(sorted(found))
 
 
 def to_minute(moment: Column) -> Column:
