@@ -14,7 +14,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.operators.lookups import keep_matching, left_lookup
+from fieldtally.operators.lookups import left_lookup
 
 # Cells are powers of this wide, so that polygons of similar size share a grid.
 STEP = 4.0
@@ -167,7 +167,7 @@ def inside(points: DataFrame, edges: DataFrame) -> DataFrame:
         return kept.select(*points.columns)
     placed = points.withColumn("__place", place_key(points))
     covered = _containing(distinct_places(placed), index, levels).select("__place").distinct()
-    return keep_matching(placed, covered, ["__place"]).drop("__place")
+    return placed.join(covered, "__place", "left_semi").drop("__place")
 
 
 def containing(places: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def distinct_places(placed: DataFrame) -> DataFrame:
     return (
         placed.groupBy("__place")
         .agg(F.any_value("x").alias("x"), F.any_value("y").alias("y"))
-        .filter(~F.col("__place").startswith("none "))
+        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
 
 

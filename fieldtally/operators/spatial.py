@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.projection import planar_distance
-from fieldtally.operators.lookups import left_lookup
 from fieldtally.operators.polygons import (
     STEP,
     cell_of,
@@ -76,7 +75,12 @@ def nearest(
     ``y``: adds ``nearest_id`` and ``distance``; both are null when nothing lies
     within ``max_distance``. Equal distances go to the smallest id. Building the plan
     runs one job, which counts cells."""
-    points = right.groupBy("x", "y").agg(F.min(right_id).alias("id")).dropna(subset=["x", "y"])
+    points = (
+        right.withColumn("__place", place_key(right))
+        .groupBy("__place")
+        .agg(F.any_value("x").alias("x"), F.any_value("y").alias("y"), F.min(right_id).alias("id"))
+        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    )
     finest = points.select(
         *[cell_of(F.col(c), F.lit(FINEST)).alias(n) for c, n in (("x", "cx"), ("y", "cy"))],
         F.col("x").alias("known_x"),
@@ -90,7 +94,7 @@ def nearest(
     apart = planar_distance(F.col("x"), F.col("y"), F.col("known_x"), F.col("known_y"))
     placed = left.withColumn("__place", place_key(left))
     found = _search(distinct_places(placed), pyramid, apart, max_distance)
-    return left_lookup(placed, found, ["__place"]).drop("__place")
+    return placed.join(found, "__place", "left").select(*left.columns, "distance", "nearest_id")
 
 
 def nearest_region(places: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,12 +123,12 @@ def nearest_region(places: DataFrame, edges: DataFrame) -> DataFrame:
     distinct = distinct_places(placed)
     near = _search(distinct, pyramid, apart, None)
     around = containing(distinct, edges).groupBy("__place").agg(F.min("poly_id").alias("around"))
-    found = left_lookup(near, around, ["__place"]).select(
+    found = near.join(around, "__place", "left").select(
         "__place",
         F.when(F.col("around").isNotNull(), F.lit(0.0)).otherwise(F.col("distance")).alias("distance"),
         F.coalesce("around", "nearest_id").alias("nearest_id"),
     )
-    return left_lookup(placed, found, ["__place"]).drop("__place")
+    return placed.join(found, "__place", "left").select(*places.columns, "distance", "nearest_id")
 
 
 def _foot(x: Column, y: Column) -> tuple[Column, Column]:
