@@ -43,7 +43,7 @@ from fieldtally.llm.unigram import SPACE, Vocabulary, default_path, lattice, loa
 #: Characters worked on at once in a worker.
 CHUNK = 400_000
 #: Distinct words whose lattices a worker remembers (about 700 bytes each).
-REMEMBERED = 80_000
+REMEMBERED = 160_000
 SAMPLES = 2
 #: Ids decoded at once in a worker.
 DECODED = 300_000
@@ -72,22 +72,39 @@ class Lattices:
     def forget(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.word = np.zeros(0, dtype=np.int64)  # in the order of the sorted hashes
-        self.first = np.zeros(0, dtype=np.int64)
-        self.end = np.zeros(0, dtype=np.int64)
         self.nodes = 0
-        self.low = np.zeros(0, dtype=np.int64)  # first edge of each node
-        self.reach = np.zeros(0)  # cumulative chance among the edges of a node
-        self.source = np.zeros(0, dtype=np.int64)
-        self.target = np.zeros(0, dtype=np.int64)
-        self.piece = np.zeros(0, dtype=np.int64)
-        self.chance = np.zeros(0)
+        self.buffers = {
+            "first": np.zeros(0, dtype=np.int64), "end": np.zeros(0, dtype=np.int64),
+            "low": np.zeros(0, dtype=np.int64),  # first edge of each node
+            "reach": np.zeros(0),  # cumulative chance among the edges of a node
+            "source": np.zeros(0, dtype=np.int64), "target": np.zeros(0, dtype=np.int64),
+            "piece": np.zeros(0, dtype=np.int64), "chance": np.zeros(0),
+            "log_chance": np.zeros(0),
+            "log_others": np.zeros(0),  # log-mass of a node's other edges, -inf if there are none
+        }
+        for name, buffer in self.buffers.items():
+            setattr(self, name, buffer)
+
+    def _extend(self, name: str, values: np.ndarray) -> None:
+        """Append to an array, which is the filled part of a buffer that doubles."""
+        filled = len(getattr(self, name))
+        total = filled + len(values)
+        if total > len(self.buffers[name]):
+            wider = np.empty(2 * total, dtype=values.dtype)
+            wider[:filled] = self.buffers[name][:filled]
+            self.buffers[name] = wider
+        self.buffers[name][filled:total] = values
+        setattr(self, name, self.buffers[name][:total])
 
     def find(self, hashes: np.ndarray, spellings: list[str]) -> np.ndarray:
         """Numbers of these words; new ones are added."""
         if len(self.hashes) > REMEMBERED:
             self.forget()
-        known = np.isin(hashes, self.hashes, assume_unique=True)
-        fresh = np.flatnonzero(~known)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            fresh = np.flatnonzero(self.hashes[at] != hashes)
+        else:
+            fresh = np.arange(len(hashes))
         if len(fresh):
             self._add([spellings[i] for i in fresh], hashes[fresh])
         return self.word[np.searchsorted(self.hashes, hashes)]
@@ -124,20 +141,25 @@ class Lattices:
         inside[groups + counts - 1] = 1.0
         offset, edges = self.nodes, len(self.source)
         number = len(self.first) + np.arange(len(spellings))
-        self.first = np.append(self.first, words.first + offset)
-        self.end = np.append(self.end, words.first + words.length + offset)
         low = np.zeros(words.nodes, dtype=np.int64)
         low[source[groups]] = groups + edges
-        self.low = np.append(self.low, low)
-        self.reach = np.append(self.reach, inside)
-        self.source = np.append(self.source, source + offset)
-        self.target = np.append(self.target, target + offset)
-        self.piece = np.append(self.piece, piece)
-        self.chance = np.append(self.chance, chance)
+        self._extend("first", words.first + offset)
+        self._extend("end", words.first + words.length + offset)
+        self._extend("low", low)
+        self._extend("reach", inside)
+        self._extend("source", source + offset)
+        self._extend("target", target + offset)
+        self._extend("piece", piece)
+        self._extend("chance", chance)
+        self._extend("log_chance", np.log(chance))
+        with np.errstate(divide="ignore"):
+            others = np.log(np.maximum(1 - chance, 1e-300))
+        self._extend("log_others", np.where(np.repeat(counts, counts) == 1, -np.inf, others))
         self.nodes += words.nodes
-        every = np.append(self.hashes, hashes)
-        order = np.argsort(every)
-        self.hashes, self.word = every[order], np.append(self.word, number)[order]
+        order = np.argsort(hashes)
+        into = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, into, hashes[order])
+        self.word = np.insert(self.word, into, number[order])
 
     def choose(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """An edge out of each node, by its chances."""
@@ -215,11 +237,10 @@ def sample_batch(
 
     at, edge = _walk(store, word, place, seeds[owner], store.first[word])
     text = owner[at]
-    log_chance = np.log(store.chance[edge])
+    log_chance = store.log_chance[edge]
     before = _log_before(log_chance, text, np.zeros(len(texts))) if len(text) else log_chance
-    alternatives = _alternatives(store, edge)
     rest = _noisy(
-        before + alternatives, value[text], seeds[text], place[at],
+        before + store.log_others[edge], value[text], seeds[text], place[at],
         store.source[edge] - store.first[word[at]],
     )
     path = Steps(text, at, edge, before, rest)
@@ -286,9 +307,9 @@ def sample_batch(
         text = owner[at]
         initial = np.zeros(len(texts))
         initial[go] = turned_before
-        log_chance = np.log(store.chance[edge])
+        log_chance = store.log_chance[edge]
         before = _log_before(log_chance, text, initial) if len(text) else log_chance
-        remaining = _alternatives(store, edge)
+        remaining = store.log_others[edge]
         opened = np.flatnonzero(rank == 0)
         with np.errstate(divide="ignore"):
             remaining[opened] = np.log(left)
@@ -312,7 +333,7 @@ def sample_batch(
         starts.append(np.append(0, np.cumsum(per_text)))
         paths.append((None, joined))
         whole = np.zeros(len(texts))
-        np.add.at(whole, np.repeat(go, counts), np.log(store.chance[joined]))
+        whole += np.bincount(np.repeat(go, counts), weights=store.log_chance[joined], minlength=len(texts))
         yield go, top[go], whole[go], joined, counts
 
 
@@ -338,20 +359,6 @@ def _heads(agenda, paths, starts, which, where, go):
     return edges, counts
 
 
-def _alternatives(store: Lattices, edge: np.ndarray) -> np.ndarray:
-    """Log-mass of the other edges out of the same node; none where the chosen one
-    is the only edge."""
-    alone = np.ones(len(edge), dtype=bool)
-    if len(edge):
-        source = store.source
-        alone = ~(
-            ((edge > 0) & (source[np.maximum(edge - 1, 0)] == source[edge]))
-            | ((edge < len(source) - 1) & (source[np.minimum(edge + 1, len(source) - 1)] == source[edge]))
-        )
-    with np.errstate(divide="ignore"):
-        return np.where(alone, -np.inf, np.log(np.maximum(1 - store.chance[edge], 1e-300)))
-
-
 def _choose_untried(store, nodes, tried, draw) -> tuple[np.ndarray, np.ndarray]:
     """Another edge out of each node, by the chances of those not tried yet; and
     the chance that is left after it."""

@@ -30,8 +30,9 @@ from fieldtally.llm.batches import code_points, first_of_each, firsts, segment_h
 SPACE = "▁"
 #: Score of an unknown character below the least piece, as in the library.
 UNKNOWN_PENALTY = 10.0
-#: Separates words in the text that the automaton reads; never part of a piece.
-GAP = "\U0010FFFF"
+#: Separates words in the text that the automaton reads, and stands there for itself
+#: where a word holds it; neither is ever part of a piece.
+GAP, GAP_IN_WORD = "\U0010FFFF", "\U0010FFFE"
 _LENGTH_BITS = 6
 #: Classes of characters: in no piece, space mark, letter, digit, other.
 _ABSENT, _MARK, _LETTER, _DIGIT, _OTHER = range(5)
@@ -73,12 +74,13 @@ def load(path: str) -> Vocabulary:
     scores[normal] = zipf_scores(len(normal))
     byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
     classes = np.zeros(0x110000, dtype=np.int8)
-    single = np.zeros(0x110000, dtype=bool)
+    single = np.full(0x110000, -1, dtype=np.int32)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i in normal:
-        automaton.add_word(pieces[i], i << _LENGTH_BITS | len(pieces[i]))
         if len(pieces[i]) == 1:
-            single[ord(pieces[i])] = True
+            single[ord(pieces[i])] = i
+        else:
+            automaton.add_word(pieces[i], i << _LENGTH_BITS | len(pieces[i]))
         for c in pieces[i]:
             kind = unicodedata.category(c)[0]
             classes[ord(c)] = (
@@ -150,21 +152,31 @@ class Lattice:
 
 
 def lattice(spellings: list[str], vocabulary: Vocabulary) -> Lattice:
+    """The automaton enumerates pieces of two characters and more; those of one are
+    looked up by their code points."""
     sizes = np.fromiter(map(len, spellings), dtype=np.int64, count=len(spellings))
     joined = GAP.join(spellings)
     first = np.cumsum(sizes + 1) - sizes - 1
     nodes = int((sizes + 1).sum())
+    points, _ = code_points([joined])
+    inside = np.ones(len(points) + 1, dtype=bool)
+    inside[first + sizes] = False
+    inside = np.flatnonzero(inside)
+    if joined.count(GAP) >= max(len(spellings), 1):
+        joined = GAP.join(s.replace(GAP, GAP_IN_WORD) for s in spellings)
     matches = chain.from_iterable(vocabulary.automaton.iter(joined))
     found = np.fromiter(matches, dtype=np.int64).reshape(-1, 2)
     length = found[:, 1] & ((1 << _LENGTH_BITS) - 1)
-    source, target = found[:, 0] - length + 1, found[:, 0] + 1
-    piece = found[:, 1] >> _LENGTH_BITS
-    points, _ = code_points([joined])
-    alone = np.flatnonzero(~vocabulary.single[points] & (points != ord(GAP)))
-    source, target = np.append(source, alone), np.append(target, alone + 1)
-    score = np.append(vocabulary.scores[piece], np.full(len(alone), vocabulary.unknown))
-    piece = np.append(piece, -1 - points[alone].astype(np.int64))
-    order = np.argsort((source << _LENGTH_BITS) + target - source)
+    singles = vocabulary.single[points[inside]].astype(np.int64)
+    known = singles >= 0
+    source = np.concatenate([found[:, 0] - length + 1, inside])
+    target = np.concatenate([found[:, 0] + 1, inside + 1])
+    longer = found[:, 1] >> _LENGTH_BITS
+    score = np.concatenate([
+        vocabulary.scores[longer], np.where(known, vocabulary.scores[singles], vocabulary.unknown)
+    ])
+    piece = np.concatenate([longer, np.where(known, singles, -1 - points[inside].astype(np.int64))])
+    order = np.argsort((source << _LENGTH_BITS) + target - source, kind="stable")
     position = np.arange(nodes) - np.repeat(first, sizes + 1)
     return Lattice(
         first, nodes, source[order], target[order], piece[order], score[order], position, sizes

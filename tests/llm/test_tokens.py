@@ -153,3 +153,13 @@ def test_file_query(spark, texts):
         ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [2], dtype="<u4")
         assert tuple(row) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_the_gap_character_in_a_text_falls_to_bytes(spark):
+    texts = ["a\U0010FFFFb", "\U0010FFFF", "\U0010FFFF\U0010FFFF x \U0010FFFE"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = {r["doc_id"]: r for r in token_counts.count_tokens(docs).collect()}
+    assert all(np.isfinite(r["score"]) for r in counts.values())
+    assert [counts[i]["n_byte_tokens"] for i in range(3)] == [4, 4, 12]
+    for row in s.decode_segmentations(s.sample_segmentations(docs)).collect():
+        assert row["text"] == texts[row["doc_id"]]
