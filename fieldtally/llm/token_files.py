@@ -19,11 +19,13 @@ columns are ignored; an empty table gives an empty table of files.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from fieldtally.llm.batches import code_points, firsts, in_chunks, ranges, segment_hashes
+from fieldtally.llm.batches import code_points, first_of_each, firsts, in_chunks, ranges, segment_hashes
 from fieldtally.sources.staging import run_folder, stage
 
 END_ID = 2
@@ -43,7 +45,7 @@ CHUNK = 2_000_000
 REMEMBERED = 800_000
 #: Blocks whose starts are broadcast (24 bytes each).
 BLOCKS_AT_ONCE = 500_000
-ROUNDS = 4
+#: How often a pair must occur to be frequent. A rule takes 12 bytes and time of its own.
 LEAST_COUNT = 16
 BLOCK = (
     "file int, block int, first_doc long, doc_ids binary, doc_lengths binary, rules binary, "
@@ -66,13 +68,10 @@ _WHITE = "\t\n\x0b\f\r \x85\xa0     　" + "".join(map(chr, range(0x20
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
+    categories = "".join(map(unicodedata.category, map(chr, range(0x110000))))
+    groups = np.frombuffer(categories.encode(), dtype="S1")[::2]
     kinds = np.full(0x110000, _OTHER, dtype=np.int8)
-    for c in range(0x110000):
-        category = unicodedata.category(chr(c))[0]
-        if category == "L":
-            kinds[c] = _LETTER
-        elif category == "N":
-            kinds[c] = _NUMBER
+    kinds[groups == b"L"], kinds[groups == b"N"] = _LETTER, _NUMBER
     kinds[[ord(c) for c in _WHITE]] = _BLANK
     return kinds
 
@@ -121,21 +120,40 @@ def _with_suffixes(points, kinds, cut, first, joins) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts; words are encoded once and remembered by their hashes."""
+    """Ids of texts; words are encoded once and remembered by their hashes. Texts in
+    which a token added to the vocabulary is spelled out are cut there by the library."""
 
     def __init__(self, path: str) -> None:
+        self.whole = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.forget()
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
+        self.number = np.zeros(0, dtype=np.int64)  # words in the order of the sorted hashes
         self.starts = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and the number of ids of each text."""
+        odd = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not odd:
+            return self._by_words(texts)
+        others = list(texts)
+        for i in odd:
+            others[i] = ""
+        flat, sizes = self._by_words(others)
+        parts = np.split(flat, np.cumsum(sizes)[:-1])
+        for i in odd:
+            ids = self.whole.encode(texts[i], add_special_tokens=False).ids
+            parts[i] = np.array([*ids, END_ID], dtype=np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, lengths = code_points(texts)
         ends = np.cumsum(lengths)
         begins = ends - lengths
@@ -174,14 +192,15 @@ class Encoder:
             words = [joined[s : s + n] for s, n in zip(starts[fresh].tolist(), sizes[fresh].tolist())]
             encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-            flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.uint32, count=int(counts.sum()))
-            every = np.append(self.hashes, hashes[fresh])
-            order = np.argsort(every)
-            self.hashes = every[order]
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)[order]
-            self.sizes = np.append(self.sizes, counts)[order]
+            flat = np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(counts.sum()))
+            order = np.argsort(hashes[fresh])
+            into = np.searchsorted(self.hashes, hashes[fresh][order])
+            self.hashes = np.insert(self.hashes, into, hashes[fresh][order])
+            self.number = np.insert(self.number, into, order + len(self.sizes))
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+            self.sizes = np.append(self.sizes, counts)
             self.ids = np.append(self.ids, flat)
-        return np.searchsorted(self.hashes, hashes)
+        return self.number[np.searchsorted(self.hashes, hashes)]
 
 
 @lru_cache(maxsize=1)
@@ -244,47 +263,62 @@ class Grammar:
         return self.expand(self.symbols[low:high])[start - before : end - before]
 
 
-def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> Grammar:
-    """Replace frequent pairs by new symbols, ``rounds`` times at most."""
+def repair(ids: np.ndarray, first: int, least: int = LEAST_COUNT) -> Grammar:
+    """Replace pairs by new symbols until none occurs ``least`` times.
+
+    A pair that is rare now stays rare unless a new symbol is in it, so after the first
+    round only places beside new symbols and those of frequent pairs are counted. The
+    most frequent pair is always replaced, so every round comes closer to the end."""
     symbols = ids.astype(np.int64)
-    rules, lengths = [], []
-    known = np.ones(first, dtype=np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys = symbols[:-1] << np.int64(32) | symbols[1:]
-        places, distinct = pd.factorize(keys)
+    rules, lengths = [], [np.ones(first, dtype=np.int64)]
+    known, sizes = first, lengths[0]
+    # Symbols keep their places; a replaced pair's second place is skipped from then on.
+    end = len(symbols)
+    after, before = np.arange(1, end + 1), np.arange(-1, end - 1)
+    there = np.ones(end, dtype=bool)
+    live = np.arange(max(end - 1, 0))
+    while len(live):
+        places, distinct = pd.factorize(symbols[live] << np.int64(32) | symbols[after[live]])
         counts = np.bincount(places, minlength=len(distinct))
-        if counts.max() < least:
+        often = counts[places] >= least
+        if not often.any():
             break
         # An occurrence is taken if its pair is frequent and more frequent than its
         # neighbours on both sides (ties: the pair that comes first in the block).
         ranks = counts * len(distinct) + np.arange(len(distinct))[::-1]
-        weight = np.where(counts >= least, ranks, 0)[places]
-        left = np.append(0, weight[:-1])
-        right = np.append(weight[1:], 0)
+        places, at = places[often], live[often]
+        weight = ranks[places]
+        joined = at[1:] == after[at[:-1]]
+        left = np.append(0, np.where(joined, weight[:-1], 0))
+        right = np.append(np.where(joined, weight[1:], 0), 0)
         # Only pairs of one symbol stand beside themselves: every second is taken.
-        at = np.arange(len(weight))
-        start = np.maximum.accumulate(np.where(weight != left, at, 0))
-        taken = (weight > 0) & (weight >= left) & (weight >= right) & ((at - start) % 2 == 0)
+        order = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(weight != left, order, 0))
+        taken = (weight >= left) & (weight >= right) & ((order - start) % 2 == 0)
         used = np.bincount(places[taken], minlength=len(distinct))
         chosen = np.flatnonzero(used >= max(2, least // 2))
-        if not len(chosen):
-            break
         number = np.full(len(distinct), -1, dtype=np.int64)
-        number[chosen] = np.arange(len(chosen)) + len(known)
+        number[chosen] = np.arange(len(chosen)) + known
         taken &= number[places] >= 0
-        at = np.flatnonzero(taken)
         pair = np.stack([distinct[chosen] >> np.int64(32), distinct[chosen] & np.int64(0xFFFFFFFF)], axis=1)
         rules.append(pair)
-        known = np.append(known, known[pair].sum(axis=1))
-        symbols = symbols.copy()
-        symbols[at] = number[places[at]]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        symbols = symbols[keep]
+        lengths.append(sizes[pair].sum(axis=1))
+        sizes = np.concatenate(lengths)
+        known += len(chosen)
+        made = at[taken]
+        symbols[made] = number[places[taken]]
+        gone = after[made]
+        there[gone] = False
+        after[made] = after[gone]
+        inner = after[made] < end
+        before[after[made[inner]]] = made[inner]
+        asked = np.concatenate([at[~taken], made, before[made]])
+        asked = np.sort(asked[asked >= 0])
+        asked = asked[first_of_each(asked)]
+        live = asked[there[asked] & (after[asked] < end)]
+    symbols = symbols[there]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
-    return Grammar(first, table.astype(np.uint32), known[first:], symbols.astype(np.uint32))
+    return Grammar(first, table.astype(np.uint32), sizes[first:], symbols.astype(np.uint32))
 
 
 def _packed(values: np.ndarray, kind: str = "<u4") -> bytes:

@@ -122,7 +122,6 @@ def test_encoder_gives_the_ids_of_the_library(texts):
     noise = ["".join(rng.choice(" '\nsdtrevlma1!?é  ") for _ in range(60)) for _ in range(200)]
     every = [*ODD, *noise, *list(texts.values())[:40]]
     tokenizer = Tokenizer.from_file(token_files.default_path())
-    tokenizer.encode_special_tokens = True
     ids, lengths = token_files.Encoder(token_files.default_path()).encode(every)
     ends = np.cumsum(lengths)
     for text, end, n in zip(every, ends, lengths):
@@ -144,9 +143,27 @@ def test_grammar_round_trip_and_random_access():
     assert len(token_files.repair(np.tile([1, 2, 3], 2000).astype(np.uint32), 10).symbols) < 600
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(7)
+    for ids in (
+        rng.integers(0, 5, 30_000), np.tile(np.arange(40), 200), np.zeros(5000, dtype=int),
+        np.repeat(rng.integers(0, 3, 900), rng.integers(1, 9, 900)),
+    ):
+        grammar = token_files.repair(ids.astype(np.uint32), 50, least=16)
+        left = grammar.symbols.astype(np.int64)
+        seen, taken = Tally(), {}
+        for at, pair in enumerate(zip(left[:-1].tolist(), left[1:].tolist())):
+            # Overlapping occurrences of a symbol beside itself count once.
+            if pair[0] != pair[1] or taken.get(pair) != at - 1:
+                seen[pair] += 1
+                taken[pair] = at
+        assert max(seen.values(), default=0) < 16
+        assert (grammar.expand(grammar.symbols) == ids).all()
+        assert grammar.lengths.tolist() == [len(grammar.expand(np.array([50 + i]))) for i in range(len(grammar.rules))]
+
+
 def test_file_query(spark, texts):
     tokenizer = Tokenizer.from_file(token_files.default_path())
-    tokenizer.encode_special_tokens = True
     found = sorted(token_files.op7_repair_tokens(spark, SMALLEST).collect())
     start = 0
     for row, (doc_id, text) in zip(found, sorted(texts.items()), strict=True):
