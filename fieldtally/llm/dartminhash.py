@@ -14,7 +14,8 @@ with a pivot of the band, not with each other, so a band of m near copies costs
 m - 1 comparisons. Documents that are similar to no pivot go through another round
 with four times as many pivots, until none is left: the number of rounds is
 logarithmic, and only documents that share a band without being similar cost more
-than one comparison. Documents already known to be connected are not compared. Pivots are the documents with most neighbours in all their
+than one comparison. Documents already known to be connected, by the components of all
+links so far, are not compared. Pivots are the documents with most neighbours in all their
 bands: the original of a family of near copies, in every band of the family. A document left over is not compared with those
 that followed an earlier pivot of this band; pairs at the threshold share several
 bands, with other pivots. Connected components of the similar pairs are the classes.
@@ -242,33 +243,22 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, threshold: flo
     )
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose numbers of shingles allow the similarity."""
-    sizes = nodes.select("node", "n")
-    return (
-        pairs.join(sizes.toDF("x", "n_x"), "x").join(sizes.toDF("pivot", "n_pivot"), "pivot")
-        .filter(F.least("n_x", "n_pivot") >= threshold * F.greatest("n_x", "n_pivot"))
-        .select("x", "pivot")
-    )
-
-
 def _with_fame(nodes: DataFrame) -> DataFrame:
-    """``band, x, fame``: members of bands that others share, and how many
-    neighbours a member has in all its bands. The original of a family of near
+    """``band, x, n, fame``: members of bands that others share, their numbers of
+    shingles, and how many neighbours a member has in all its bands. The original of a family of near
     copies shares more bands than any copy, so it becomes the family's pivot."""
     members = stage(
-        nodes.filter("n > 0").select(F.explode("bands").alias("band"), F.col("node").alias("x")), "bands"
+        nodes.filter("n > 0").select(F.explode("bands").alias("band"), F.col("node").alias("x"), "n"), "bands"
     )
     sizes = stage(members.groupBy("band").count().filter("count > 1"), "sizes")
     shared = stage(members.join(sizes, "band"), "shared")
     fame = shared.groupBy("x").agg(F.sum("count").alias("fame"))
-    return shared.select("band", "x").join(fame, "x").select("band", "x", "fame")
+    return shared.select("band", "x", "n").join(fame, "x").select("band", "x", "n", "fame")
 
 
 def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list[DataFrame]:
     spark = docs.sparkSession
     members = stage(_with_fame(nodes).withColumn("label", F.lit(None).cast("long")), "bands")
-    labels = spark.createDataFrame([], "node long, label long")
     links, pivots_of_band = [], 1
     while True:
         # A band whose members are all known to be connected has nothing left to find.
@@ -285,7 +275,7 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list
             .filter(F.col("place") <= pivots_of_band)
             .select(
                 "band", F.col("x").alias("pivot"), F.col("fame").alias("pivot_fame"),
-                F.col("label").alias("pivot_label"),
+                F.col("label").alias("pivot_label"), F.col("n").alias("pivot_n"),
             ),
             "pivots",
         )
@@ -293,16 +283,17 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list
             (F.col("fame") == F.col("pivot_fame")) & (F.col("x") > F.col("pivot"))
         )
         connected = F.coalesce(F.col("label") == F.col("pivot_label"), F.lit(False))
+        # Numbers of shingles must allow the similarity.
+        possible = F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
         met = stage(
-            members.join(pivots, "band").filter(behind)
+            members.join(pivots, "band").filter(behind & (connected | possible))
             .select("band", "x", "pivot", connected.alias("connected")),
             "met",
         )
-        pairs = met.filter("not connected").select("x", "pivot").distinct()
-        pairs = stage(_possible(pairs, nodes, threshold), "pairs")
+        pairs = stage(met.filter("not connected").select("x", "pivot").distinct(), "pairs")
         similar = stage(_similar(docs, pairs, nodes, threshold), "similar")
         links.append(similar)
-        labels = stage(_labels_with(labels, similar), "known")
+        labels = components(reduce(DataFrame.unionByName, links))
         placed = (
             met.join(similar, ["x", "pivot"], "left_semi").select("band", "x")
             .union(met.filter("connected").select("band", "x")).union(pivots.select("band", "pivot"))
@@ -313,17 +304,6 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list
         members, pivots_of_band = rest, pivots_of_band * 4
 
 
-def _labels_with(labels: DataFrame, similar: DataFrame) -> DataFrame:
-    """``node, label``: equal labels mean connected nodes; nodes of one component may
-    still have different ones."""
-    claims = similar.select(F.col("x").alias("node"), "pivot").union(
-        similar.select(F.col("pivot").alias("node"), "pivot")
-    ).join(labels.toDF("pivot", "known"), "pivot", "left")
-    return labels.unionByName(
-        claims.select("node", F.coalesce("known", "pivot").alias("label"))
-    ).groupBy("node").agg(F.min("label").alias("label"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each connected component, by minimum
     labels of neighbours with pointer jumping. ``links`` has ``x`` and ``pivot``."""
