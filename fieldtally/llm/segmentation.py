@@ -42,8 +42,8 @@ from fieldtally.llm.unigram import SPACE, Vocabulary, default_path, lattice, loa
 
 #: Characters worked on at once in a worker.
 CHUNK = 400_000
-#: Distinct words whose lattices a worker remembers (about 700 bytes each).
-REMEMBERED = 160_000
+#: Distinct words whose lattices a worker remembers (about 400 bytes each).
+REMEMBERED = 120_000
 SAMPLES = 2
 #: Ids decoded at once in a worker.
 DECODED = 300_000
@@ -77,20 +77,19 @@ class Lattices:
             "first": np.zeros(0, dtype=np.int64), "end": np.zeros(0, dtype=np.int64),
             "low": np.zeros(0, dtype=np.int64),  # first edge of each node
             "reach": np.zeros(0),  # cumulative chance among the edges of a node
-            "source": np.zeros(0, dtype=np.int64), "target": np.zeros(0, dtype=np.int64),
-            "piece": np.zeros(0, dtype=np.int64), "chance": np.zeros(0),
-            "log_chance": np.zeros(0),
+            "source": np.zeros(0, dtype=np.int32), "target": np.zeros(0, dtype=np.int32),
+            "piece": np.zeros(0, dtype=np.int32), "log_chance": np.zeros(0),
             "log_others": np.zeros(0),  # log-mass of a node's other edges, -inf if there are none
         }
         for name, buffer in self.buffers.items():
             setattr(self, name, buffer)
 
     def _extend(self, name: str, values: np.ndarray) -> None:
-        """Append to an array, which is the filled part of a buffer that doubles."""
+        """Append to an array, which is the filled part of a buffer that grows by half."""
         filled = len(getattr(self, name))
         total = filled + len(values)
         if total > len(self.buffers[name]):
-            wider = np.empty(2 * total, dtype=values.dtype)
+            wider = np.empty(total + total // 2, dtype=self.buffers[name].dtype)
             wider[:filled] = self.buffers[name][:filled]
             self.buffers[name] = wider
         self.buffers[name][filled:total] = values
@@ -114,8 +113,9 @@ class Lattices:
         score = self.alpha * words.score
         mass = np.zeros(words.nodes)  # log-mass of the paths from a node to the end
         left = np.repeat(words.length, words.length + 1) - words.position
-        order = np.lexsort((words.source, left[words.source]))
-        at = left[words.source[order]]
+        remaining = left[words.source]
+        order = np.argsort(remaining << 40 | words.source, kind="stable")
+        at = remaining[order]
         bounds = np.append(first_of_each(at), len(at))
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             edges = order[low:high]
@@ -150,7 +150,6 @@ class Lattices:
         self._extend("source", source + offset)
         self._extend("target", target + offset)
         self._extend("piece", piece)
-        self._extend("chance", chance)
         self._extend("log_chance", np.log(chance))
         with np.errstate(divide="ignore"):
             others = np.log(np.maximum(1 - chance, 1e-300))
@@ -366,7 +365,7 @@ def _choose_untried(store, nodes, tried, draw) -> tuple[np.ndarray, np.ndarray]:
     counts = np.searchsorted(store.source, nodes, side="right") - low
     edges = ranges(low, counts)
     group = np.repeat(np.arange(len(nodes)), counts)
-    weights = store.chance[edges].copy()
+    weights = np.exp(store.log_chance[edges])
     done_group = np.repeat(np.arange(len(nodes)), [len(t) for t in tried]) if len(nodes) else group
     done_edge = np.array([e for t in tried for e in t], dtype=np.int64)
     starts = np.cumsum(counts) - counts
