@@ -20,10 +20,11 @@ from fieldtally.plans.surveys import (
     phytoplankton,
     summarise_survey,
     water_quality,
+    with_zooplankton,
     zooplankton,
 )
 from fieldtally.operators.tallies import stack
-from fieldtally.sources.staging import stage
+from fieldtally.sources.staging import stage, stage_together
 from fieldtally.sources.tables import survey_years, variables_between
 
 
@@ -56,7 +57,8 @@ def refuse_duplicates(tally: DataFrame) -> None:
 
 def sampling_table(inputs: Mapping[str, DataFrame], on_duplicate: str = "error") -> DataFrame:
     """The effort table. What several parts read is written once and read back:
-    two survey tallies, the water quality tally, which feeds five of the parts,
+    two survey tallies and that of the zooplankton samples, at the same time, the water
+    quality tally, which feeds five of the parts,
     the site matches and the harmonised zooplankton tally. Water quality visits are
     scanned a second time for the sites that move, bivalve samples for their names.
 
@@ -64,8 +66,12 @@ def sampling_table(inputs: Mapping[str, DataFrame], on_duplicate: str = "error")
     ``on_duplicate`` says what that means, such cells are looked for in the small
     tally, before the table is built, and reported."""
     surveys = {name: survey_tally(name, inputs) for name in SURVEYS}
-    for name in ("ybfmp_fish", "ybfmp_zoop"):
-        surveys[name] = stage(surveys[name], name)
+    first = stage_together(
+        ybfmp_fish=surveys["ybfmp_fish"],
+        ybfmp_zoop=surveys["ybfmp_zoop"],
+        zoop_env=zooplankton(inputs["zoop_env"]),
+    )
+    surveys |= {name: first[name] for name in ("ybfmp_fish", "ybfmp_zoop")}
     integrated = survey_years(
         inputs["water_quality"], end_year=LAST_YEAR, sources=WATER_QUALITY_SOURCES
     )
@@ -79,7 +85,7 @@ def sampling_table(inputs: Mapping[str, DataFrame], on_duplicate: str = "error")
     )
     matches = stage(match_sites(inputs["zoop_sites"], quality), "station_matches")
     zooplankton_tally = stage(
-        harmonise(zooplankton(inputs["zoop_env"], surveys["ybfmp_zoop"]), matches), "zooplankton"
+        harmonise(with_zooplankton(first["zoop_env"], surveys["ybfmp_zoop"]), matches), "zooplankton"
     )
     if on_duplicate == "error":
         refuse_duplicates(zooplankton_tally)

@@ -192,7 +192,11 @@ def zooplankton(samples: DataFrame, *tallies: DataFrame) -> DataFrame:
         "Latitude",
         "Longitude",
     )
-    counted = count_at_each_place(labelled, LABELLED)
+    return with_zooplankton(count_at_each_place(labelled, LABELLED), *tallies)
+
+
+def with_zooplankton(counted: DataFrame, *tallies: DataFrame) -> DataFrame:
+    """Further survey tallies beside the counts of the integrated samples."""
     return stack(counted, *tallies).withColumn("Parameter", F.lit("Zooplankton"))
 
 

@@ -5,6 +5,7 @@ repeats the scan of the raw visits."""
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,14 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def stage_together(**tables: DataFrame) -> dict[str, DataFrame]:
+    """Stage tables that do not depend on each other at the same time: while one waits
+    for its last tasks, the others use the free cores."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        written = {name: pool.submit(stage, table, name) for name, table in tables.items()}
+        return {name: future.result() for name, future in written.items()}
+
+
 def unstage(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete what ``stage`` wrote for these tables, once no later plan reads it."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
