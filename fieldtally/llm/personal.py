@@ -46,7 +46,7 @@ PATTERNS = {
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 #: A cheap test that texts with a match pass.
-HINTS = {"email": "@", "ip": ".", "phone": "+", "spelled_email": "at"}
+HINTS = {"email": "@", "ip": "[.]", "phone": "[+]", "spelled_email": "[aA][tT]"}
 
 CUES = {
     "email": "mail|contact|write to|reach|courriel|correo|kontakt",
@@ -193,8 +193,7 @@ def candidates(text: Column) -> Column:
     for kind, pattern in PATTERNS.items():
         spans = located(text, pattern)
         if kind in HINTS:
-            hinted = F.contains(text, F.lit(HINTS[kind]))
-            spans = F.when(hinted, spans).otherwise(F.array().cast(_SPAN))
+            spans = F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(_SPAN))
         found.append(F.transform(spans, _described(kind)))
     return F.concat(*found)
 
@@ -270,13 +269,17 @@ def train_span_model(rows: list[tuple[str, tuple[int, ...], int]]) -> SpanModel:
 
 def _with_candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("pii_candidates", candidates(text))
+    return docs.withColumn(_CANDIDATES, candidates(text))
+
+
+#: Columns inside the operators; no column of a user is named so.
+_CANDIDATES, _SPANS, _BASE = "__pii_candidates", "__pii_spans", "__pii_base"
 
 
 def fit(docs: DataFrame) -> SpanModel:
     """Learn from the candidates of all documents."""
     votes = _with_candidates(docs.select("text")).select(
-        F.explode("pii_candidates").alias("c")
+        F.explode(_CANDIDATES).alias("c")
     ).select("c.kind", "c.votes")
     counted = votes.groupBy("kind", "votes").count().collect()  # bounded, see above
     return train_span_model(
@@ -288,13 +291,21 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def with_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """``docs`` with ``pii_base`` and ``pii_spans``, by kind, then start. A span that
-    the classifier adds must not overlap a base span, nor one added for an
-    earlier kind."""
+def _outweighed(candidate: Column) -> Column:
+    """What stands before the span speaks against it, and neither its own rule nor a cue
+    nor the gazetteer for it."""
+    vote = {name: F.get(candidate["votes"], F.lit(i)) for i, name in enumerate(LABELERS)}
+    favour = (vote["validity"] == 1) | (vote["cue"] == 1) | (vote["gazetteer"] == 1)
+    return (vote["against"] == -1) & ~favour
+
+
+def with_spans(docs: DataFrame, model: SpanModel, spans: str = "pii_spans", base: str = "pii_base") -> DataFrame:
+    """``docs`` with the columns ``pii_base`` and ``pii_spans`` (in place of columns of
+    these names), by kind, then start. A span that the classifier adds must not have
+    its evidence outweighed, nor overlap a base span or one added for an earlier kind."""
     found = _with_candidates(docs).withColumn(
-        "pii_candidates",
-        F.filter("pii_candidates", lambda c: c["ok"] | (model.score(c) > 0)),
+        _CANDIDATES,
+        F.filter(_CANDIDATES, lambda c: c["ok"] | ((model.score(c) > 0) & ~_outweighed(c))),
     )
 
     def chosen(every: Column) -> Column:
@@ -307,9 +318,9 @@ def with_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
             ),
         )
 
-    return found.withColumn("pii_spans", _bound(F.col("pii_candidates"), chosen)).withColumn(
-        "pii_base", F.filter("pii_spans", lambda c: c["ok"])
-    ).drop("pii_candidates")
+    return found.withColumn(spans, _bound(F.col(_CANDIDATES), chosen)).withColumn(
+        base, F.filter(spans, lambda c: c["ok"])
+    ).drop(_CANDIDATES)
 
 
 def as_text(spans: Column) -> Column:
@@ -320,9 +331,9 @@ def as_text(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets;
-    overlapping spans are replaced together. A null text stays null."""
+    overlapping spans are replaced together. A null text stays null; all columns stay."""
     model = model or fit(docs)
-    marked = with_spans(docs, model)
+    marked = with_spans(docs, model, _SPANS, _BASE)
 
     def cut(x: Column) -> Column:
         def step(done: Column, span: Column) -> Column:
@@ -349,11 +360,11 @@ def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         )
 
     ordered = F.array_sort(
-        F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        F.transform(_SPANS, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
     clean = _bound(F.struct(F.col("text").alias("text"), ordered.alias("spans")), cut)
     return marked.withColumn(
-        "text", F.when(F.size("pii_spans") > 0, clean).otherwise(F.col("text"))
+        "text", F.when(F.size(_SPANS) > 0, clean).otherwise(F.col("text"))
     ).select(*docs.columns)
 
 
@@ -367,5 +378,5 @@ def op9_weak_supervision(spark, sf_dir: str) -> DataFrame:
     return marked.select(
         F.col("doc_id").cast("long").alias("doc_id"), *[number(kind) for kind in BASE],
         F.sha2(as_text(F.col("pii_base")), 256).alias("base_sha256"),
-        as_text(F.col("pii_spans")).alias("spans"),
+        as_text(F.col("pii_spans")).alias("spans"), (F.size("pii_spans") > 0).alias("has_personal_data"),
     )

@@ -10,6 +10,8 @@ from collections import defaultdict
 import numpy as np
 import regex
 
+from pyspark.sql import functions as F
+
 from fieldtally.llm import decontamination, passages, personal
 from tests.llm.conftest import SMALLEST
 
@@ -172,3 +174,20 @@ def test_exactly_repeated_passages_are_found(spark, documents, texts):
     assert not any(10**6 + i in found for i in range(25, 40))
     covered = {i: (r["start"], r["end"]) for r in rows for i in [r["doc_id"]] if i in more}
     assert all(covered[10**6 + i] == (i + 20, i + 72) for i in range(25))
+
+
+def test_hints_do_not_look_at_case(spark):
+    docs = spark.createDataFrame(
+        [(i, t) for i, t in enumerate(["write to bob (at) example (dot) com", "WRITE TO BOB (AT) EXAMPLE (DOT) COM"])],
+        "doc_id long, text string",
+    )
+    found = docs.select("doc_id", F.explode(personal.candidates(F.col("text"))).alias("c")).collect()
+    assert [(r["doc_id"], r["c"]["kind"]) for r in found] == [(0, "spelled_email"), (1, "spelled_email")]
+
+
+def test_columns_of_the_user_stay(spark):
+    docs = spark.createDataFrame(
+        [(1, "mail a@b.co", "mine", "too", "three")], "doc_id long, text string, pii_spans string, pii_candidates string, pii_base string"
+    )
+    row = personal.redacted(docs).first()
+    assert tuple(row) == (1, "mail [EMAIL]", "mine", "too", "three")
