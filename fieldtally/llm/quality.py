@@ -205,7 +205,9 @@ def fit_mcd(
 ) -> DataFrame:
     """One row per ``key`` with the estimate of least determinant that
     concentration steps reach from any start, and ``scale``, the factor that makes
-    the median squared distance that of a normal sample. A step keeps the ``share``
+    the median squared distance that of a normal sample. It is 1 at least: statistics
+    that hardly vary in a cell lower the median, and dividing by less than one would
+    carry clean rows beyond the bound. A step keeps the ``share``
     of rows that are nearest (by a quantile sketch) and estimates anew."""
     each = F.explode(F.array(*[F.lit(s) for s in range(starts)]))
     repeated = rows.select("*", each.alias("start"))
@@ -233,7 +235,7 @@ def fit_mcd(
     )
     normal = chi_square_quantile(0.5, len(STATISTICS))
     return best.join(middle, key).select(
-        best["*"], F.greatest(F.col("middle") / normal, F.lit(1e-3)).alias("scale")
+        best["*"], F.greatest(F.col("middle") / normal, F.lit(1.0)).alias("scale")
     )
 
 
