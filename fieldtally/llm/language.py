@@ -151,16 +151,15 @@ def estimate(counts: DataFrame, grams: int) -> tuple[DataFrame, DataFrame]:
             p = own + F.col("back_off") * F.col("shorter_p")
         level = stage(rows.select("lang", "gram", "n", p.alias("p")), "probabilities")
         lower = level.select("lang", "gram", "p")
-        best = _most_frequent(level, "n", grams)
-        probabilities.append(best.select(F.lit(order).alias("order"), "lang", "gram", F.log("p").alias("log_p")))
-        frequent = _most_frequent(contexts, "total", grams)
-        weights.append(
-            frequent.select(
-                F.lit(order).alias("order"), "lang", "context",
-                F.log("back_off").alias("log_back_off"),
-            )
-        )
-    return _together(probabilities), _together(weights)
+        probabilities.append(level.withColumn("order", F.lit(order)))
+        weights.append(contexts.withColumn("order", F.lit(order)))
+    # All orders in one table, so that one plan finds the frequent ones.
+    best = _most_frequent(_together(probabilities), "n", grams)
+    frequent = _most_frequent(_together(weights), "total", grams)
+    return (
+        best.select("order", "lang", "gram", F.log("p").alias("log_p")),
+        frequent.select("order", "lang", "context", F.log("back_off").alias("log_back_off")),
+    )
 
 
 def _together(tables: list[DataFrame]) -> DataFrame:
@@ -171,13 +170,14 @@ def _together(tables: list[DataFrame]) -> DataFrame:
 
 
 def _most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
-    """Rows of each language with a count so high that at most ``most`` rows have
-    such a count (all rows where fewer exist)."""
-    sizes = table.groupBy("lang", F.col(count).alias("at")).agg(F.count("*").alias("rows"))
-    down = Window.partitionBy("lang").orderBy(F.desc("at"))
+    """Rows of each order and language with a count so high that at most ``most`` rows
+    have such a count (all rows where fewer exist)."""
+    keys = ["order", "lang"]
+    sizes = table.groupBy(*keys, F.col(count).alias("at")).agg(F.count("*").alias("rows"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("at"))
     reached = sizes.withColumn("reached", F.sum("rows").over(down)).filter(F.col("reached") <= most)
-    least = reached.groupBy("lang").agg(F.min("at").alias("least"))
-    return table.join(least, "lang").filter(F.col(count) >= F.col("least"))
+    least = reached.groupBy(*keys).agg(F.min("at").alias("least"))
+    return table.join(least, keys).filter(F.col(count) >= F.col("least"))
 
 
 @dataclass(frozen=True)
@@ -218,13 +218,13 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray):
 def train(labelled: DataFrame, grams: int = 40_000, languages: int = 64) -> dict[str, LanguageModel]:
     """Models of the ``languages`` languages with most text, at most. What comes to
     the driver has at most ``2 * ORDER * grams`` rows for each."""
-    probabilities, weights = estimate(count_windows(labelled), grams)
+    probabilities, weights = (stage(t, "model") for t in estimate(count_windows(labelled), grams))
     sizes = probabilities.groupBy("lang").count().orderBy(F.desc("count"), "lang")
     chosen = [r["lang"] for r in sizes.limit(languages).collect()]
     if not chosen:
         return {}
-    p = probabilities.filter(F.col("lang").isin(chosen)).toPandas()
-    w = weights.filter(F.col("lang").isin(chosen)).toPandas()
+    p = probabilities.filter(F.col("lang").isin(chosen)).toArrow().to_pandas()
+    w = weights.filter(F.col("lang").isin(chosen)).toArrow().to_pandas()
     models = {}
     for language in sorted(chosen):
         mine, back = p[p["lang"] == language], w[w["lang"] == language]
