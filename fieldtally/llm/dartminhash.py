@@ -256,9 +256,11 @@ def _with_fame(nodes: DataFrame) -> DataFrame:
     return shared.select("band", "x", "n").join(fame, "x").select("band", "x", "n", "fame")
 
 
-def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list[DataFrame]:
+def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame]:
+    """All similar pairs found, and the components they make: ``node, label``."""
     spark = docs.sparkSession
     members = stage(_with_fame(nodes).withColumn("label", F.lit(None).cast("long")), "bands")
+    labels = spark.createDataFrame([], "node long, label long")
     links, pivots_of_band = [], 1
     while True:
         # A band whose members are all known to be connected has nothing left to find.
@@ -268,7 +270,7 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list
         ).filter("rows > 1 and not (labelled = rows and low = high)").select("band")
         members = stage(members.join(stage(open_bands, "open"), "band"), "bands")
         if members.isEmpty():
-            return links
+            return links, labels
         order = Window.partitionBy("band").orderBy(F.desc("fame"), "x")
         pivots = stage(
             members.withColumn("place", F.row_number().over(order))
@@ -293,7 +295,8 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> list
         pairs = stage(met.filter("not connected").select("x", "pivot").distinct(), "pairs")
         similar = stage(_similar(docs, pairs, nodes, threshold), "similar")
         links.append(similar)
-        labels = components(reduce(DataFrame.unionByName, links))
+        if not similar.isEmpty():
+            labels = components(reduce(DataFrame.unionByName, links))
         placed = (
             met.join(similar, ["x", "pivot"], "left_semi").select("band", "x")
             .union(met.filter("connected").select("band", "x")).union(pivots.select("band", "pivot"))
@@ -350,12 +353,12 @@ def near_duplicates(
         ).withColumn("first_id", F.coalesce("least_id", F.lit(-1))),
         "nodes",
     )
-    links = _verified_links(docs, nodes, threshold)
+    links, labels = _verified_links(docs, nodes, threshold)
     ids = nodes.select("node", "least_id")
     if links:
         every = stage(reduce(DataFrame.unionByName, links).distinct(), "links")
         degrees = every.select("x").union(every.select("pivot")).toDF("node").groupBy("node").count()
-        ids = ids.join(components(every), "node", "left").join(degrees, "node", "left")
+        ids = ids.join(labels, "node", "left").join(degrees, "node", "left")
     else:
         ids = ids.withColumns({"label": F.lit(None).cast("long"), "count": F.lit(0).cast("long")})
     labelled = stage(
