@@ -203,12 +203,17 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.start, len(mine)), lists], ["node", "elements"])
 
 
-def _identity(docs: DataFrame) -> DataFrame:
-    """``hashes, doc_id, node``: equal words have equal nodes."""
+def with_node(docs: DataFrame, node: str = "node", hashes: str = "hashes") -> DataFrame:
+    """``docs`` with the hashes of their words and a ``node``: equal words, equal nodes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), word_hashes(text).alias("hashes"))
-    node = F.when(F.size("hashes") == 0, F.xxhash64("text")).otherwise(F.xxhash64("hashes"))
-    return hashed.select("hashes", "doc_id", node.alias("node"))
+    of = F.when(F.size(hashes) == 0, F.xxhash64(text)).otherwise(F.xxhash64(hashes))
+    return docs.withColumn(hashes, word_hashes(text)).withColumn(node, of)
+
+
+def _identity(docs: DataFrame) -> DataFrame:
+    """``hashes, doc_id, node``."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_node(named).select("hashes", "doc_id", "node")
 
 
 #: Nodes whose identifiers are broadcast to pick their texts (16 bytes each).
@@ -345,6 +350,14 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (the smallest doc_id of its
     class) and ``n_links``, the verified links of its words to other words."""
+    return classes_of_nodes(docs, threshold, bands, rows).drop("node")
+
+
+def classes_of_nodes(
+    docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``near_duplicates`` with the ``node`` of each row (see ``with_node``), which tells
+    rows of one doc_id apart."""
     schema = "doc_id long, node long, n_shingles long, bands array<long>"
     signed = stage(_identity(docs).mapInArrow(_sign(bands, rows), schema), "signed")
     nodes = stage(
@@ -367,7 +380,7 @@ def near_duplicates(
     )
     named = stage(labelled.groupBy("label").agg(F.min("least_id").alias("class_id")), "named")
     classes = stage(labelled.join(named, "label").select("node", "class_id", "n_links"), "classes")
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links")
+    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links", "node")
 
 
 def op2_dart_minhash(spark, sf_dir: str) -> DataFrame:
