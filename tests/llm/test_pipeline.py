@@ -35,3 +35,26 @@ def test_repeated_rows_leave_one(spark, documents):
     once = corpus_pipeline.without_near_duplicates(spark, documents, SMALLEST)
     found = corpus_pipeline.without_near_duplicates(spark, twice, SMALLEST)
     assert sorted(r["doc_id"] for r in found.collect()) == sorted(r["doc_id"] for r in once.collect())
+
+
+def test_rows_of_one_doc_id_with_other_words_stay(spark):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    docs = spark.createDataFrame(
+        [(1, words[0]), (1, words[1]), (1, words[1]), (5, words[0]), (5, words[2]), (None, words[2]), (None, None)],
+        "doc_id long, text string",
+    )
+    found = corpus_pipeline.without_near_duplicates(spark, docs, SMALLEST).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=repr) == sorted(
+        [(1, words[0]), (1, words[1]), (5, words[2]), (None, words[2]), (None, None)], key=repr
+    )
+
+
+def test_every_stage_over_odd_and_empty_rows(spark, odd, empty):
+    for docs in (odd, empty):
+        for name, apply in corpus_pipeline.STAGES:
+            after = apply(spark, docs, SMALLEST)
+            rows = after.count()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert after.columns == docs.columns and rows <= docs.count()
+            if docs is empty:
+                assert rows == 0
