@@ -44,8 +44,8 @@ PARQUET_FILES = {
 
 
 class Landed(Mapping):
-    """Tables of a landing folder by name; each is a lazy, pruned scan. CSV files
-    may be files or folders of files."""
+    """Tables of a landing folder by name; each is a pruned scan. CSV files may be files
+    or folders of files, whose headers are read when they are asked for."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
