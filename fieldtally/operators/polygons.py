@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.operators.lookups import left_lookup
+from fieldtally.sources.staging import stage
 
 # Cells are powers of this wide, so that polygons of similar size share a grid.
 STEP = 4.0
@@ -108,11 +109,12 @@ def edge_cells(edges: DataFrame) -> DataFrame:
     )
 
 
-def cell_index(edges: DataFrame) -> DataFrame:
+def cell_index(edges: DataFrame, finer: int = 0) -> DataFrame:
     """Cells of polygons: ``poly_id, level, cy, cx, odd, edges``. ``odd`` tells whether the
     reference point is inside; cells wholly inside have no edges, cells wholly outside
-    are not listed."""
-    reached = edge_cells(left_lookup(edges, polygon_levels(edges), ["poly_id"]))
+    are not listed. ``finer`` levels below those of ``polygon_levels``."""
+    levels = polygon_levels(edges).withColumn("level", F.col("level") - finer)
+    reached = edge_cells(left_lookup(edges, levels, ["poly_id"]))
     reference = (F.col("cy") + F.lit(REFERENCE[1])) * F.col("width")
     passes = (F.col("y1") > reference) != (F.col("y2") > reference)
     crossing = F.col("x1") + (reference - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(
@@ -155,7 +157,10 @@ def inside(points: DataFrame, edges: DataFrame) -> DataFrame:
 
     Where all polygons share one cell size, the test is the condition of a semi join and
     the points are not touched otherwise. Where they do not, each distinct place is
-    looked up once per size."""
+    looked up once per size. Either way a place is tested until the first polygon that
+    covers it, however many do: the more polygons lie over each other, the earlier that
+    one is met. The edges are written once."""
+    edges = stage(edges, "edges")
     levels = [r["level"] for r in polygon_levels(edges).select("level").distinct().collect()]
     if not levels:
         return points.limit(0)
@@ -166,23 +171,48 @@ def inside(points: DataFrame, edges: DataFrame) -> DataFrame:
         kept = keyed.join(index, [*same, _covers()], "left_semi")
         return kept.select(*points.columns)
     placed = points.withColumn("__place", place_key(points))
-    covered = _containing(distinct_places(placed), index, levels).select("__place").distinct()
+    asked = _asked(distinct_places(placed), levels)
+    covered = asked.join(index, _met(), "left_semi").select("__place").distinct()
     return placed.join(covered, "__place", "left_semi").drop("__place")
 
 
-def containing(places: DataFrame, edges: DataFrame) -> DataFrame:
-    """``__place, poly_id`` for each polygon around, or bordering on, each of the
-    distinct ``places`` (``__place, x, y``)."""
-    levels = [r["level"] for r in polygon_levels(edges).select("level").distinct().collect()]
-    found = _containing(places, _renamed(cell_index(edges)), levels or [0])
-    return found.select("__place", F.col("__poly_id").alias("poly_id"))
+def first_around(places: DataFrame, index: DataFrame) -> DataFrame:
+    """``__place, around``: the smallest polygon around, or bordering on, each of the
+    distinct ``places`` (``__place, x, y``) that has one. In a cell that lies wholly
+    inside a polygon of the ``index``, only smaller ones are tested: with cells narrow
+    enough for polygons to have such cells, a place meets few polygons however many lie
+    over each other."""
+    levels = [r["level"] for r in index.select("level").distinct().collect()]
+    cell = Window.partitionBy("level", "cx", "cy")
+    least = F.min(F.when(F.size("edges") == 0, F.col("poly_id"))).over(cell)
+    needed = index.withColumn("least", least).filter(F.col("poly_id") <= F.coalesce("least", "poly_id"))
+    found = _asked(places, levels or [0]).join(_renamed(needed), _met())
+    return found.groupBy("__place").agg(F.min("__poly_id").alias("around"))
+
+
+def outside_whole_cells(cells: DataFrame, level: int, index: DataFrame) -> DataFrame:
+    """Those of the ``cells`` (``cx``, ``cy`` of a ``level``) that do not lie in a cell of
+    the ``index`` that is wholly inside a polygon."""
+    whole = index.filter(F.size("edges") == 0).select("level", "cx", "cy").distinct()
+    for wide in sorted(r["level"] for r in whole.select("level").distinct().collect()):
+        if wide >= level:
+            same = [F.shiftright(cells[c], 2 * (wide - level)) == F.col(f"whole_{c}") for c in ("cx", "cy")]
+            of_level = whole.filter(F.col("level") == wide).select(
+                F.col("cx").alias("whole_cx"), F.col("cy").alias("whole_cy")
+            )
+            cells = cells.join(of_level, same, "left_anti")
+    return cells
+
+
+def _asked(places: DataFrame, levels: list[int]) -> DataFrame:
+    """The places with their cells of each level."""
+    asked = places.withColumn("__asked", F.explode(F.array(*[F.lit(level) for level in sorted(levels)])))
+    return asked.withColumns(_keys(places, F.col("__asked")))
 
 
-def _containing(places: DataFrame, index: DataFrame, levels: list[int]) -> DataFrame:
-    asked = places.withColumn("__asked", F.explode(F.array(*[F.lit(level) for level in sorted(levels)])))
-    keyed = asked.withColumns(_keys(places, F.col("__asked")))
+def _met() -> list[Column]:
     same = [F.col(f"__point_{c}") == F.col(f"__{c}") for c in ("cx", "cy")]
-    return keyed.join(index, [F.col("__asked") == F.col("__level"), *same, _covers()])
+    return [F.col("__asked") == F.col("__level"), *same, _covers()]
 
 
 def _renamed(index: DataFrame) -> DataFrame:

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from fieldtally.functions.projection import planar_distance
 from fieldtally.operators.polygons import (
     STEP,
+    cell_index,
     cell_of,
-    containing,
     distinct_places,
     edge_cells,
+    first_around,
+    outside_whole_cells,
     place_key,
 )
+from fieldtally.sources.staging import stage
 
 # Things in a cell that may be compared directly; a fuller cell is divided.
 CELL_LIMIT = 64
@@ -100,7 +103,12 @@ def nearest(
 def nearest_region(places: DataFrame, edges: DataFrame) -> DataFrame:
     """The nearest polygon of each of ``places`` (columns ``x``, ``y``): adds
     ``nearest_id`` and ``distance``, which is zero inside and on the border. Equal
-    distances go to the smallest id."""
+    distances go to the smallest id.
+
+    Only places outside all polygons are compared with edges, and only with those parts
+    of edges that other polygons leave bare: on the way to a point inside a polygon its
+    border is met first. The edges, their cells and the places inside are written once."""
+    edges = stage(edges, "edges")
     layer = edges.agg(
         F.sum(F.abs(F.col("x1") - F.col("x2")) + F.abs(F.col("y1") - F.col("y2"))).alias("length"),
         F.count("*").alias("edges"),
@@ -108,25 +116,28 @@ def nearest_region(places: DataFrame, edges: DataFrame) -> DataFrame:
     if not layer.edges:
         no_id = F.lit(None).cast(edges.schema["poly_id"].dataType)
         return places.withColumns({"distance": F.lit(None).cast("double"), "nearest_id": no_id})
-    # As wide as an edge is long, on average: then edges reach few cells each.
-    level = min(max(ceil(log(layer.length / layer.edges, STEP)), FINEST), WIDEST)
+    index = stage(cell_index(edges, finer=1), "cells")
+    # A quarter as wide as an edge is long, on average: then edges reach few cells each,
+    # and the cells wholly inside polygons are as narrow.
+    level = min(max(round(log(layer.length / layer.edges, STEP)) - 1, FINEST), WIDEST)
     reached = edge_cells(edges.withColumn("level", F.lit(level)))
     ends = ("x1", "y1", "x2", "y2")
-    cells = reached.select(
+    every = reached.select(
         F.explode(F.sequence("cx0", "cx1")).alias("cx"), "cy", *ends, F.col("poly_id").alias("id")
-    ).withColumns(dict(zip(("known_x", "known_y"), _foot(
-        *[(F.col(c) + F.lit(0.5)) * F.lit(STEP**level) for c in ("cx", "cy")]
-    ))))
+    )
+    cells = stage(outside_whole_cells(every, level, index), "bare").withColumns(
+        dict(zip(("known_x", "known_y"), _foot(
+            *[(F.col(c) + F.lit(0.5)) * F.lit(STEP**level) for c in ("cx", "cy")]
+        )))
+    )
     pyramid = _counted(cells, level)
     placed = places.withColumn("__place", place_key(places))
     apart = planar_distance(F.col("x"), F.col("y"), *_foot(F.col("x"), F.col("y")))
     distinct = distinct_places(placed)
-    near = _search(distinct, pyramid, apart, None)
-    around = containing(distinct, edges).groupBy("__place").agg(F.min("poly_id").alias("around"))
-    found = near.join(around, "__place", "left").select(
-        "__place",
-        F.when(F.col("around").isNotNull(), F.lit(0.0)).otherwise(F.col("distance")).alias("distance"),
-        F.coalesce("around", "nearest_id").alias("nearest_id"),
+    within = stage(first_around(distinct, index), "around")
+    near = _search(distinct.join(within, "__place", "left_anti"), pyramid, apart, None)
+    found = within.select("__place", F.lit(0.0).alias("distance"), F.col("around").alias("nearest_id")).union(
+        near.select("__place", "distance", "nearest_id")
     )
     return placed.join(found, "__place", "left").select(*places.columns, "distance", "nearest_id")
 

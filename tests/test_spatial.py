@@ -171,6 +171,13 @@ def test_inside_polygons_of_many_sizes(frame, sizes):
     assert levels > 1 or len(sizes) == 1
 
 
+def test_places_are_tested_until_one_polygon_covers_them(frame):
+    rings = [(k, star(random.Random(k), 0.0, 0.0, 10.0 ** (1 + k % 2), 6)) for k in range(20)]
+    found = inside(frame("id int, x double, y double", (1, 0.0, 0.0)), frame(EDGES, *edge_rows(rings)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan.split("__asked", 1)[0] and plan.count("Join LeftSemi") == 2
+
+
 def pairs(frame, side):
     """Edges that points meet, and rows of the index, for a grid of squares."""
     rings = [
@@ -223,6 +230,24 @@ def test_nearest_region_equals_brute_force(frame, monkeypatch, limit):
             assert row.distance == pytest.approx(best[0], abs=1e-6) and row.nearest_id == best[1]
 
 
+def test_only_places_outside_meet_edges_of_the_rim(frame, monkeypatch):
+    rng = random.Random(31)
+    rings = [
+        (i, [(x - 90, y - 90), (x + 90, y - 90), (x + 90, y + 90), (x - 90, y + 90)])
+        for i, (x, y) in enumerate((rng.random() * 400, rng.random() * 400) for _ in range(200))
+    ]
+    inner = [(i, 50 + rng.random() * 300, 50 + rng.random() * 300) for i in range(60)]
+    outer = [(100 + i, 600 + rng.random() * 300, rng.random() * 300) for i in range(40)]
+    met, plain = [], spatial._search
+    monkeypatch.setattr(spatial, "_search", lambda *given: met.append(given) or plain(*given))
+    edges = frame(EDGES, *edge_rows(rings))
+    found = nearest_region(frame("id int, x double, y double", *inner, *outer), edges)
+    assert {r.id for r in found.filter("distance = 0").collect()} == {i for i, _, _ in inner}
+    ((places, pyramid, *_),) = met
+    assert places.count() == 40
+    assert pyramid.cells.select("id", "x1", "y1").distinct().count() < 0.7 * edges.count()
+
+
 def test_nearest_region_of_an_empty_layer(frame, tuples):
     found = nearest_region(frame("id int, x double, y double", (1, 0.0, 0.0)), frame(EDGES))
     assert tuples(found, "id", "distance", "nearest_id") == [(1, None, None)]
