@@ -9,16 +9,13 @@ earliest dart. Two documents keep the same dart in a coordinate with a chance th
 is their weighted Jaccard similarity. The work is of the order of shingles plus
 darts, not of shingles times coordinates.
 
-Signatures are cut into bands. Documents that share a band are compared exactly
-with a pivot of the band, not with each other, so a band of m near copies costs
-m - 1 comparisons. Documents that are similar to no pivot go through another round
-with four times as many pivots, until none is left: the number of rounds is
-logarithmic, and only documents that share a band without being similar cost more
-than one comparison. Documents already known to be connected, by the components of all
-links so far, are not compared. Pivots are the documents with most neighbours in all their
-bands: the original of a family of near copies, in every band of the family. A document left over is not compared with those
-that followed an earlier pivot of this band; pairs at the threshold share several
-bands, with other pivots. Connected components of the similar pairs are the classes.
+Signatures are cut into bands. All documents that share a band are compared exactly, two
+by two and each two once, whatever else is known of them, so no link between two texts of
+one band is lost. Bands of few documents become pairs that meet their shingles in joins.
+Bands of more are cut into blocks: a task holds two blocks with their shingles and compares
+them, and leaves out what an earlier band of the same two documents compares. Connected
+components of the similar pairs are the classes. Only the bands themselves leave anything to
+chance: two texts at the threshold of 0.8 share none with a chance of 0.003.
 
 Only narrow rows are shuffled: identifiers, bands, and the shingles of documents
 that are in candidate pairs. Documents with equal words are one before banding.
@@ -34,13 +31,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldtally.llm.batches import mix, ranges
 from fieldtally.llm.tokens import word_hashes
@@ -220,13 +215,8 @@ def _identity(docs: DataFrame) -> DataFrame:
 PICKED_AT_ONCE = 2_000_000
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs ``(x, pivot)`` whose similarity is at least ``threshold``."""
-    wanted = stage(
-        pairs.select(F.col("x").alias("node")).union(pairs.select("pivot")).distinct()
-        .join(nodes.select("node", "first_id"), "node"),
-        "wanted",
-    )
+def _elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, elements`` of the ``wanted`` nodes (with their ``first_id``)."""
     few = wanted.count() <= PICKED_AT_ONCE
     # Texts are picked by their document before anything is computed of them.
     ids = wanted.select("first_id").distinct()
@@ -238,78 +228,97 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, threshold: flo
         F.broadcast(wanted) if few else wanted, ["first_id", "node"]
     ).select("hashes", "node")
     elements = stage(texts.mapInArrow(_elements, "node long, elements array<long>"), "elements")
+    repeated = not elements.groupBy("node").count().filter("count > 1").isEmpty()
+    return stage(elements.dropDuplicates(["node"]), "elements") if repeated else elements
+
+
+#: Members of a band whose pairs are rows, and of a block of a larger band.
+IN_PAIRS = 64
+BLOCK = 128
+
+
+def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs ``(x, pivot)`` whose similarity is at least ``threshold``."""
     left = elements.withColumnsRenamed({"node": "x", "elements": "of_x"})
     right = elements.withColumnsRenamed({"node": "pivot", "elements": "of_pivot"})
     both = F.size(F.array_intersect("of_x", "of_pivot"))
     return (
-        pairs.join(left, "x").join(right, "pivot")
+        pairs.join(right, "pivot").join(left, "x")
         .filter(both >= threshold * (F.size("of_x") + F.size("of_pivot") - both))
-        .select("x", "pivot").distinct()
+        .select("x", "pivot")
     )
 
 
-def _with_fame(nodes: DataFrame) -> DataFrame:
-    """``band, x, n, fame``: members of bands that others share, their numbers of
-    shingles, and how many neighbours a member has in all its bands. The original of a family of near
-    copies shares more bands than any copy, so it becomes the family's pivot."""
+def _similar_in_blocks(large: DataFrame, nodes: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """``x, pivot``: similar members of bands of many, each two in the first band they
+    share (unless that is a band of few)."""
+    blocks = F.ceil(F.col("count") / BLOCK)
+    block = F.pmod(F.xxhash64("x"), blocks)
+    dealt = large.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    sent = dealt.select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", F.col("x").alias("node"),
+    )
+    full = sent.join(nodes.select("node", "bands"), "node").join(elements, "node")
+    return full.groupBy("band", "low", "high").applyInArrow(_compare(threshold), "x long, pivot long")
+
+
+def _compare(threshold: float):
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
+        node, block = (table.column(c).to_numpy() for c in ("node", "block"))
+        bands = list_parts(table.column("bands").chunk(0))[0].reshape(len(node), -1)
+        values, sizes = list_parts(table.column("elements").chunk(0))
+        _, codes = np.unique(values, return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        theirs = np.flatnonzero(block == high)
+        inside = ranges(starts[theirs], sizes[theirs])
+        others, begins = codes[inside], np.cumsum(sizes[theirs]) - sizes[theirs]
+        held = np.zeros(codes.max() + 1, dtype=bool)
+        found = []
+        for mine in np.flatnonzero(block == low):
+            same = bands[theirs] == bands[mine]
+            first = bands[mine][same.argmax(axis=1)] == band
+            fits = np.minimum(sizes[theirs], sizes[mine]) >= threshold * np.maximum(sizes[theirs], sizes[mine])
+            # Inside one block every two meet twice.
+            asked = first & same.any(axis=1) & fits & ((low != high) | (node[theirs] > node[mine]))
+            if not asked.any():
+                continue
+            own = codes[starts[mine] : starts[mine] + sizes[mine]]
+            held[own] = True
+            both = np.add.reduceat(held[others].astype(np.int64), begins)
+            held[own] = False
+            close = asked & (both >= threshold * (sizes[theirs] + sizes[mine] - both))
+            found.append(np.stack([np.full(close.sum(), node[mine]), node[theirs[close]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        return pa.table({"x": pairs.min(axis=0), "pivot": pairs.max(axis=0)})
+
+    return compare
+
+
+def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``x, pivot``: all similar pairs of nodes that share a band, each once."""
     members = stage(
         nodes.filter("n > 0").select(F.explode("bands").alias("band"), F.col("node").alias("x"), "n"), "bands"
     )
     sizes = stage(members.groupBy("band").count().filter("count > 1"), "sizes")
     shared = stage(members.join(sizes, "band"), "shared")
-    fame = shared.groupBy("x").agg(F.sum("count").alias("fame"))
-    return shared.select("band", "x", "n").join(fame, "x").select("band", "x", "n", "fame")
-
-
-def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame]:
-    """All similar pairs found, and the components they make: ``node, label``."""
-    spark = docs.sparkSession
-    members = stage(_with_fame(nodes).withColumn("label", F.lit(None).cast("long")), "bands")
-    labels = spark.createDataFrame([], "node long, label long")
-    links, pivots_of_band = [], 1
-    while True:
-        # A band whose members are all known to be connected has nothing left to find.
-        open_bands = members.groupBy("band").agg(
-            F.count("*").alias("rows"), F.count("label").alias("labelled"),
-            F.min("label").alias("low"), F.max("label").alias("high"),
-        ).filter("rows > 1 and not (labelled = rows and low = high)").select("band")
-        members = stage(members.join(stage(open_bands, "open"), "band"), "bands")
-        if members.isEmpty():
-            return links, labels
-        order = Window.partitionBy("band").orderBy(F.desc("fame"), "x")
-        pivots = stage(
-            members.withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= pivots_of_band)
-            .select(
-                "band", F.col("x").alias("pivot"), F.col("fame").alias("pivot_fame"),
-                F.col("label").alias("pivot_label"), F.col("n").alias("pivot_n"),
-            ),
-            "pivots",
-        )
-        behind = (F.col("fame") < F.col("pivot_fame")) | (
-            (F.col("fame") == F.col("pivot_fame")) & (F.col("x") > F.col("pivot"))
-        )
-        connected = F.coalesce(F.col("label") == F.col("pivot_label"), F.lit(False))
-        # Numbers of shingles must allow the similarity.
-        possible = F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
-        met = stage(
-            members.join(pivots, "band").filter(behind & (connected | possible))
-            .select("band", "x", "pivot", connected.alias("connected")),
-            "met",
-        )
-        pairs = stage(met.filter("not connected").select("x", "pivot").distinct(), "pairs")
-        similar = stage(_similar(docs, pairs, nodes, threshold), "similar")
-        links.append(similar)
-        if not similar.isEmpty():
-            labels = components(reduce(DataFrame.unionByName, links))
-        placed = (
-            met.join(similar, ["x", "pivot"], "left_semi").select("band", "x")
-            .union(met.filter("connected").select("band", "x")).union(pivots.select("band", "pivot"))
-        )
-        rest = members.drop("label").join(stage(placed.distinct(), "placed"), ["band", "x"], "left_anti")
-        rest = stage(rest.join(labels.toDF("x", "label"), "x", "left"), "bands")
-        unstage(spark, members, pivots, met, pairs)
-        members, pivots_of_band = rest, pivots_of_band * 4
+    few, large = (shared.filter(f"count {sign} {IN_PAIRS}") for sign in ("<=", ">"))
+    others = few.select("band", F.col("x").alias("pivot"), F.col("n").alias("pivot_n"))
+    # Numbers of shingles must allow the similarity.
+    possible = F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
+    pairs = stage(
+        few.join(others, "band").filter((F.col("x") < F.col("pivot")) & possible).select("x", "pivot").distinct(),
+        "pairs",
+    )
+    compared = pairs.select("x").union(pairs.select("pivot")).union(large.select("x")).distinct().toDF("node")
+    elements = _elements_of(docs, stage(compared.join(nodes.select("node", "first_id"), "node"), "wanted"))
+    links = _similar(pairs, elements, threshold)
+    links = links.unionByName(_similar_in_blocks(large, nodes, elements, threshold))
+    links = stage(links.distinct(), "links")
+    unstage(docs.sparkSession, members, sizes, shared, pairs, elements)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -366,14 +375,9 @@ def classes_of_nodes(
         ).withColumn("first_id", F.coalesce("least_id", F.lit(-1))),
         "nodes",
     )
-    links, labels = _verified_links(docs, nodes, threshold)
-    ids = nodes.select("node", "least_id")
-    if links:
-        every = stage(reduce(DataFrame.unionByName, links).distinct(), "links")
-        degrees = every.select("x").union(every.select("pivot")).toDF("node").groupBy("node").count()
-        ids = ids.join(labels, "node", "left").join(degrees, "node", "left")
-    else:
-        ids = ids.withColumns({"label": F.lit(None).cast("long"), "count": F.lit(0).cast("long")})
+    links = _verified_links(docs, nodes, threshold)
+    degrees = links.select("x").union(links.select("pivot")).toDF("node").groupBy("node").count()
+    ids = nodes.select("node", "least_id").join(components(links), "node", "left").join(degrees, "node", "left")
     labelled = stage(
         ids.select("node", "least_id", F.coalesce("label", "node").alias("label"), F.coalesce("count", F.lit(0).cast("long")).alias("n_links")),
         "labelled",

@@ -56,6 +56,25 @@ def test_large_families_of_copies(spark):
     assert found == brute_classes(texts)
 
 
+def test_every_link_of_a_band_is_found(spark, monkeypatch):
+    """Near copies of one text: all pairs above the threshold are links, by pairs and by blocks."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    words = []
+    for i in range(70):
+        copy = list(base)
+        copy[rng.randrange(300)] = f"x{i}"
+        words.append(copy)
+    sets = [{tuple(w[k : k + 5]) for k in range(296)} for w in words]
+    expected = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    for few, block in ((10**6, 128), (8, 16)):
+        monkeypatch.setattr(d, "IN_PAIRS", few)
+        monkeypatch.setattr(d, "BLOCK", block)
+        found = {r["doc_id"]: r["n_links"] for r in d.near_duplicates(docs).collect()}
+        assert found == dict(enumerate(expected))
+
+
 def test_signatures_agree_as_often_as_weighted_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 300, dtype=np.uint64)
