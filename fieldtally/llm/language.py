@@ -6,8 +6,10 @@ probabilities and back-off weights follow from that table by joins and
 aggregations of Spark; their size is that of the distinct windows, not that of the
 corpus. The model of a language is a set of sorted arrays of window codes with
 their log-probabilities; at most ``grams`` windows of each order and language are
-kept, the most frequent ones, so the model that is sent to the workers is bounded
-by its parameters.
+kept, the most frequent ones. Every learned language has a model. Models come to the
+driver, and go to the workers, for so many languages at a time as the parameters say; each
+round leaves every text with the best two languages so far, so memory is bounded by the
+parameters whatever the number of languages.
 
 A text goes to the language of lowest cross-entropy per character. Rejection is
 calibrated on the training texts: each language has the cross-entropy that all but
@@ -37,16 +39,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldtally.llm.batches import code_points, in_chunks
-from fieldtally.sources.staging import stage
+from fieldtally.sources.staging import stage, unstage
 
 ORDER = 4
 UNDETERMINED = "und"
 #: Characters worked on at once in a worker.
-CHUNK = 2_000_000
-SCORED = (
-    "doc_id long, held_out boolean, learned boolean, lang string, best string, entropy double, "
-    "margin double, length long"
-)
+CHUNK = 500_000
+#: What a round of languages leaves of a text.
+ROUND = {"best": "string", "entropy": "double", "second": "double", "length": "long"}
+#: Columns of the documents; the text goes on to the next round only.
+KNOWN = ["doc_id long", "held_out boolean", "learned boolean", "lang string", "text string"]
 
 
 @lru_cache(maxsize=1)
@@ -215,16 +217,33 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray):
     return values[at], codes[at] == keys
 
 
-def train(labelled: DataFrame, grams: int = 40_000, languages: int = 64) -> dict[str, LanguageModel]:
-    """Models of the ``languages`` languages with most text, at most. What comes to
-    the driver has at most ``2 * ORDER * grams`` rows for each."""
+def train_in_rounds(
+    labelled: DataFrame, grams: int = 40_000, languages: int = 64
+) -> Iterator[tuple[dict[str, LanguageModel], bool]]:
+    """Models of all languages in their order, at most ``languages`` at a time, and whether
+    they are the last. What comes to the driver at once has at most ``2 * ORDER * grams``
+    rows for each of these."""
     probabilities, weights = (stage(t, "model") for t in estimate(count_windows(labelled), grams))
-    sizes = probabilities.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    chosen = [r["lang"] for r in sizes.limit(languages).collect()]
-    if not chosen:
-        return {}
-    p = probabilities.filter(F.col("lang").isin(chosen)).toArrow().to_pandas()
-    w = weights.filter(F.col("lang").isin(chosen)).toArrow().to_pandas()
+    names = probabilities.select("lang").distinct()
+    after, last = names, False
+    while not last:
+        found = [r["lang"] for r in after.orderBy("lang").limit(languages + 1).collect()]
+        chosen, last = found[:languages], len(found) <= languages
+        if chosen:
+            after = names.filter(F.col("lang") > chosen[-1])
+            p, w = (t.filter(F.col("lang").isin(chosen)).toArrow().to_pandas() for t in (probabilities, weights))
+            yield _models(chosen, p, w), last
+
+
+def train(labelled: DataFrame, grams: int = 40_000) -> dict[str, LanguageModel]:
+    """The models of all languages together."""
+    models = {}
+    for some, _ in train_in_rounds(labelled, grams):
+        models |= some
+    return models
+
+
+def _models(chosen: list[str], p: pd.DataFrame, w: pd.DataFrame) -> dict[str, LanguageModel]:
     models = {}
     for language in sorted(chosen):
         mine, back = p[p["lang"] == language], w[w["lang"] == language]
@@ -259,30 +278,38 @@ def entropies(texts: list[str], models: dict[str, LanguageModel]) -> tuple[np.nd
     return -sums / np.maximum(lengths, 1)[:, None], lengths
 
 
-def _scorer(models):
+def _scorer(models, kept: int):
+    """Scores texts with some languages, beside the ``best`` and its ``entropy`` and
+    ``second`` entropy of the languages before (nulls at first). The first ``kept`` columns
+    are handed on."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(list(models.value), dtype=object)
+        names = np.array([*models.value, None], dtype=object)
         for batch in batches:
             table = batch.to_pandas()
-            best, entropy, margin, length = [], [], [], []
+            earlier = table["best"].to_numpy(object)
+            before = table[["entropy", "second"]].fillna(np.inf).to_numpy(float)
+            best, two, length, done = [], [], [], 0
             for texts in in_chunks([t or "" for t in table["text"]], CHUNK):
                 values, lengths = entropies(texts, models.value)
                 lettered = np.array([any(map(str.isalpha, t)) for t in texts]) & (lengths > 0)
-                order = np.argsort(values, axis=1, kind="stable")
-                rows = np.arange(len(texts))
-                first = values[rows, order[:, 0]]
-                second = values[rows, order[:, 1]] if len(names) > 1 else first + 1
-                best += np.where(lettered, names[order[:, 0]], UNDETERMINED).tolist()
-                entropy += first.tolist()
-                margin += (second - first).tolist()
+                part = slice(done, done + len(texts))
+                done += len(texts)
+                # A language of a round before comes first where entropies are equal.
+                every = np.concatenate([before[part], values], axis=1)
+                order = np.argsort(every, axis=1, kind="stable")
+                winner = order[:, 0]
+                name = np.where(winner < 2, earlier[part], names[np.maximum(winner, 2) - 2])
+                best += np.where(lettered, name, UNDETERMINED).tolist()
+                two.append(np.take_along_axis(every, order[:, :2], axis=1))
                 length += np.where(lettered, lengths, 0).tolist()
+            two = np.concatenate(two) if two else np.zeros((0, 2))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(i) for i in range(4)),
-                    pa.array(best, pa.string()), pa.array(entropy, pa.float64()),
-                    pa.array(margin, pa.float64()), pa.array(length, pa.int64()),
+                    *(batch.column(i) for i in range(kept)), pa.array(best, pa.string()),
+                    *(pa.array(two[:, i], pa.float64()) for i in (0, 1)), pa.array(length, pa.int64()),
                 ],
-                ["doc_id", "held_out", "learned", "lang", "best", "entropy", "margin", "length"],
+                [*batch.schema.names[:kept], *ROUND],
             )
 
     return score
@@ -294,7 +321,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def identify(
-    docs: DataFrame, grams: int = 40_000, tail: float = 0.001, allowance: float = 1.0
+    docs: DataFrame, grams: int = 40_000, tail: float = 0.001, allowance: float = 1.0, languages: int = 64
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score`` (0 to 1, from
     the margin to the next language and the length), ``entropy`` and ``rejected``."""
@@ -304,13 +331,23 @@ def identify(
         (~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).alias("learned"),
         "lang", "text",
     )
-    models = train(known.filter("learned"), grams)
-    if not models:
+    table = known.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in ROUND.items()])
+    scored = None
+    for models, last in train_in_rounds(known.filter("learned"), grams, languages):
+        handed = KNOWN[:-1] if last else KNOWN
+        schema = ", ".join([*handed, *(f"{name} {kind}" for name, kind in ROUND.items())])
+        score = _scorer(spark.sparkContext.broadcast(models), len(handed))
+        earlier, scored = scored, stage((scored or table).mapInArrow(score, schema), "languages")
+        if earlier:
+            unstage(spark, earlier)
+    if scored is None:
         return known.select(
             "doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"),
             F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"),
         )
-    scored = stage(known.mapInArrow(_scorer(spark.sparkContext.broadcast(models)), SCORED), "languages")
+    # Beside one language alone, the next one counts as one nat away.
+    second = F.when(F.col("second") == float("inf"), F.col("entropy") + 1).otherwise(F.col("second"))
+    scored = scored.withColumn("margin", second - F.col("entropy"))
     limits = scored.filter("learned and best = lang").groupBy("best").agg(
         F.percentile_approx("entropy", 1 - tail, 2000).alias("limit")
     )

@@ -56,6 +56,22 @@ def test_probabilities_are_those_of_plain_counting(spark):
         assert math.isclose(value, math.log(probability(tuple(codes[i : i + 4]))), abs_tol=1e-9)
 
 
+def test_languages_beyond_one_round_are_learned(spark):
+    """Seventy languages of letters of their own: each text is told by its language,
+    and rounds of a few find what one round finds."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(70):
+        letters = [chr(0x4E00 + 20 * n + k) for k in range(8)]
+        rows += [(n * 8 + i, "".join(rng.choice(letters, 60)), f"l{n:02}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [
+        {r["doc_id"]: tuple(r) for r in language.identify(docs, languages=most).collect()} for most in (64, 9)
+    ]
+    assert found[0] == found[1]
+    assert all(found[0][i][2] == name for i, _, name in rows)
+
+
 def test_held_out_rule(spark):
     import zlib
 
