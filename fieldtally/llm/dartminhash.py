@@ -13,8 +13,9 @@ Signatures are cut into bands. All documents that share a band are compared exac
 by two and each two once, whatever else is known of them, so no link between two texts of
 one band is lost. Bands of few documents become pairs that meet their shingles in joins.
 Bands of more are cut into blocks: a task holds two blocks with their shingles and compares
-them, and leaves out what an earlier band of the same two documents compares. Connected
-components of the similar pairs are the classes. Only the bands themselves leave anything to
+them, leaves out what another large band of the same two documents compares, and gives
+every document its number of links and one document it is connected with, so a family of
+m near copies leaves no m * m rows. Connected components of the similar pairs are the classes. Only the bands themselves leave anything to
 chance: two texts at the threshold of 0.8 share none with a chance of 0.003.
 
 Only narrow rows are shuffled: identifiers, bands, and the shingles of documents
@@ -234,7 +235,7 @@ def _elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Members of a band whose pairs are rows, and of a block of a larger band.
 IN_PAIRS = 64
-BLOCK = 128
+BLOCK = 256
 
 
 def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
@@ -249,9 +250,9 @@ def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
     )
 
 
-def _similar_in_blocks(large: DataFrame, nodes: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """``x, pivot``: similar members of bands of many, each two in the first band they
-    share (unless that is a band of few)."""
+def _similar_in_blocks(large: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """``node, root, degree`` of members of bands of many: a part of the links of a node,
+    and a node that these connect it with. Each two are compared in one band."""
     blocks = F.ceil(F.col("count") / BLOCK)
     block = F.pmod(F.xxhash64("x"), blocks)
     dealt = large.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
@@ -259,8 +260,14 @@ def _similar_in_blocks(large: DataFrame, nodes: DataFrame, elements: DataFrame,
         "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", F.col("x").alias("node"),
     )
-    full = sent.join(nodes.select("node", "bands"), "node").join(elements, "node")
-    return full.groupBy("band", "low", "high").applyInArrow(_compare(threshold), "x long, pivot long")
+    full = sent.join(_bands_of(large), F.col("node") == F.col("x")).drop("x").join(elements, "node")
+    schema = "node long, root long, degree long"
+    return full.groupBy("band", "low", "high").applyInArrow(_compare(threshold), schema)
+
+
+def _bands_of(large: DataFrame) -> DataFrame:
+    """``x, bands``: all large bands of a node."""
+    return large.groupBy("x").agg(F.collect_list("band").alias("bands"))
 
 
 def _compare(threshold: float):
@@ -268,37 +275,47 @@ def _compare(threshold: float):
         table = table.combine_chunks()
         band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
         node, block = (table.column(c).to_numpy() for c in ("node", "block"))
-        bands = list_parts(table.column("bands").chunk(0))[0].reshape(len(node), -1)
+        bands, counts = list_parts(table.column("bands").chunk(0))
         values, sizes = list_parts(table.column("elements").chunk(0))
+        size = len(node)
+        # Two that share a lower band are compared there.
+        kinds, kind = np.unique(bands, return_inverse=True)
+        has = np.zeros((size, len(kinds)), dtype=np.float32)
+        has[np.repeat(np.arange(size), counts), kind] = kinds[kind] < band
         _, codes = np.unique(values, return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         theirs = np.flatnonzero(block == high)
-        inside = ranges(starts[theirs], sizes[theirs])
-        others, begins = codes[inside], np.cumsum(sizes[theirs]) - sizes[theirs]
+        others, begins = codes[ranges(starts[theirs], sizes[theirs])], np.cumsum(sizes[theirs]) - sizes[theirs]
         held = np.zeros(codes.max() + 1, dtype=bool)
-        found = []
+        linked = np.zeros((size, size), dtype=bool)
         for mine in np.flatnonzero(block == low):
-            same = bands[theirs] == bands[mine]
-            first = bands[mine][same.argmax(axis=1)] == band
             fits = np.minimum(sizes[theirs], sizes[mine]) >= threshold * np.maximum(sizes[theirs], sizes[mine])
             # Inside one block every two meet twice.
-            asked = first & same.any(axis=1) & fits & ((low != high) | (node[theirs] > node[mine]))
+            asked = fits & (has[theirs] @ has[mine] == 0) & ((low != high) | (theirs > mine))
             if not asked.any():
                 continue
             own = codes[starts[mine] : starts[mine] + sizes[mine]]
             held[own] = True
             both = np.add.reduceat(held[others].astype(np.int64), begins)
             held[own] = False
-            close = asked & (both >= threshold * (sizes[theirs] + sizes[mine] - both))
-            found.append(np.stack([np.full(close.sum(), node[mine]), node[theirs[close]]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pa.table({"x": pairs.min(axis=0), "pivot": pairs.max(axis=0)})
+            linked[mine, theirs[asked & (both >= threshold * (sizes[theirs] + sizes[mine] - both))]] = True
+        linked |= linked.T
+        root = np.arange(size)
+        while True:
+            lower = np.minimum(root, np.where(linked, root, size).min(axis=1))
+            if np.array_equal(lower, root):
+                break
+            root = lower
+        degree = linked.sum(axis=1)
+        kept = degree > 0
+        return pa.table({"node": node[kept], "root": node[root[kept]], "degree": degree[kept]})
 
     return compare
 
 
-def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``x, pivot``: all similar pairs of nodes that share a band, each once."""
+def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of all similar pairs of nodes that share a band: ``x, pivot``, enough of them to
+    connect what they connect, and ``node, degree``, how many a node has."""
     members = stage(
         nodes.filter("n > 0").select(F.explode("bands").alias("band"), F.col("node").alias("x"), "n"), "bands"
     )
@@ -308,17 +325,25 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> Data
     others = few.select("band", F.col("x").alias("pivot"), F.col("n").alias("pivot_n"))
     # Numbers of shingles must allow the similarity.
     possible = F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
+    every = few.join(others, "band").filter((F.col("x") < F.col("pivot")) & possible).select("x", "pivot").distinct()
+    # Two that share a large band as well are compared there.
+    of_x = _bands_of(large).toDF("x", "bands_x")
+    of_pivot = _bands_of(large).toDF("pivot", "bands_pivot")
+    apart = ~F.coalesce(F.arrays_overlap("bands_x", "bands_pivot"), F.lit(False))
     pairs = stage(
-        few.join(others, "band").filter((F.col("x") < F.col("pivot")) & possible).select("x", "pivot").distinct(),
-        "pairs",
+        every.join(of_x, "x", "left").join(of_pivot, "pivot", "left").filter(apart).select("x", "pivot"), "pairs"
     )
     compared = pairs.select("x").union(pairs.select("pivot")).union(large.select("x")).distinct().toDF("node")
     elements = _elements_of(docs, stage(compared.join(nodes.select("node", "first_id"), "node"), "wanted"))
-    links = _similar(pairs, elements, threshold)
-    links = links.unionByName(_similar_in_blocks(large, nodes, elements, threshold))
-    links = stage(links.distinct(), "links")
+    links = stage(_similar(pairs, elements, threshold), "links")
+    in_blocks = stage(_similar_in_blocks(large, elements, threshold), "links")
     unstage(docs.sparkSession, members, sizes, shared, pairs, elements)
-    return links
+    one = F.lit(1).cast("long").alias("degree")
+    degrees = links.select(F.col("x").alias("node"), one).union(links.select("pivot", one)).union(
+        in_blocks.select("node", "degree")
+    ).groupBy("node").agg(F.sum("degree").alias("count"))
+    connected = in_blocks.filter("node <> root").select(F.col("node").alias("x"), F.col("root").alias("pivot"))
+    return links.union(connected), degrees
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -375,8 +400,7 @@ def classes_of_nodes(
         ).withColumn("first_id", F.coalesce("least_id", F.lit(-1))),
         "nodes",
     )
-    links = _verified_links(docs, nodes, threshold)
-    degrees = links.select("x").union(links.select("pivot")).toDF("node").groupBy("node").count()
+    links, degrees = _verified_links(docs, nodes, threshold)
     ids = nodes.select("node", "least_id").join(components(links), "node", "left").join(degrees, "node", "left")
     labelled = stage(
         ids.select("node", "least_id", F.coalesce("label", "node").alias("label"), F.coalesce("count", F.lit(0).cast("long")).alias("n_links")),
