@@ -250,17 +250,22 @@ def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
     )
 
 
-def _similar_in_blocks(large: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """``node, root, degree`` of members of bands of many: a part of the links of a node,
-    and a node that these connect it with. Each two are compared in one band."""
+def in_blocks(large: DataFrame) -> DataFrame:
+    """``band, low, high, block, node``: the members ``band, x, count`` of large bands, dealt
+    into blocks and sent to each two blocks."""
     blocks = F.ceil(F.col("count") / BLOCK)
     block = F.pmod(F.xxhash64("x"), blocks)
     dealt = large.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    sent = dealt.select(
+    return dealt.select(
         "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", F.col("x").alias("node"),
     )
-    full = sent.join(_bands_of(large), F.col("node") == F.col("x")).drop("x").join(elements, "node")
+
+
+def _similar_in_blocks(large: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """``node, root, degree`` of members of bands of many: a part of the links of a node,
+    and a node that these connect it with. Each two are compared in one band."""
+    full = in_blocks(large).join(_bands_of(large), F.col("node") == F.col("x")).drop("x").join(elements, "node")
     schema = "node long, root long, degree long"
     return full.groupBy("band", "low", "high").applyInArrow(_compare(threshold), schema)
 

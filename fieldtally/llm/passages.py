@@ -1,24 +1,24 @@
 """Repeated passages by compact windows.
 
-The tokens are five-word shingles. For a hash function, all stretches of a text that
-share the minimum at one position form a compact window: they reach from the
-nearest smaller token on the left to the nearest smaller one on the right, which is
-the node of that position in the Cartesian tree of the hashes. Only windows wide
-enough for a passage matter; their positions are the minima of all stretches of
-the least width, about two in each such width, and the range minima of a sparse
-table give how far they reach.
-
-Two passages that share a window's minimum also share the words some way off to its
-left or right, as a passage is longer than twice that way. A window is therefore
-keyed by its minimum and those words, once for each side, and short phrases that
-many texts share meet no one. All windows of one key are joined with one document of
-the key, its pivot, never with each other: m windows give m - 1 candidate pairs.
-Candidates of ``enough`` hash functions are verified on the words themselves, and
-passages of at least ``least`` words with a similarity of 0.8 or more are kept.
-
-Only keys, and the words of documents in candidate pairs, are shuffled. Windows that
-turn out to have no passage in common with the pivot of their key are keyed anew by where they part from it, and joined again until no key is shared. The
-number of rounds depends on the texts; over thirty were seen.
+For a hash of runs of words, all stretches of a text that share the minimum at one
+position form a compact window: they reach from the nearest smaller one on the left to
+the nearest smaller one on the right, which is the node of that position in the
+Cartesian tree of the hashes. Only windows wide enough matter; their positions are the
+minima of all stretches of the least width, about two in each such width.
+
+Two passages of a similarity of 0.8 in five-word shingles that differ by edits (words
+replaced, left out, put in or moved) have a run of words in common (``common_words``: 23
+for passages of 50), so they share the minimum of a window in that run. This leaves
+nothing to chance, and phrases shorter than the hashed run meet no one. All texts that
+share a minimum are compared, each two once, on the words themselves, and passages of at
+least ``least`` words with a similarity of 0.8 or more are kept. Minima of the same texts
+are one. Those of few texts become pairs that meet their words in joins. Those of more
+are cut into blocks: a task holds two blocks with their words, compares them, leaves out
+what another of the minima compares, and gives every passage its number of partners, so
+a passage of m texts leaves no m * m rows.
+
+Equal texts are one text until the end. Only minima, and the words of texts that share
+some, are shuffled.
 
 Defined results: null, empty and short texts have no passages; rows of one doc_id
 are one document, and repeats inside one document are not reported; rows with a
@@ -28,8 +28,8 @@ empty result. Positions count words.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +37,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.batches import first_of_each, mix, ranges
-from fieldtally.llm.dartminhash import chunks_of, list_parts, shingles
+from fieldtally.llm.dartminhash import IN_PAIRS, chunks_of, in_blocks, list_parts, shingles
 from fieldtally.llm.tokens import word_hashes
 from fieldtally.sources.staging import stage, unstage
 
 WORDS = 5
 LEAST = 50
-HASHES = 2
+SHARE = 0.8
 #: Words worked on at once in a worker; below 2**24, as positions take 24 bits.
 CHUNK = 400_000
 #: Documents whose identifiers are broadcast to pick their texts (8 bytes each).
 PICKED_AT_ONCE = 2_000_000
-#: Rows of repeated keys that are broadcast (16 bytes each).
-KEYS_AT_ONCE = 300_000
 _PLACE = np.uint64(0xFFFFFF)
 
 
-def compact_windows(
-    hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(position, left, right)`` of all compact windows of at least ``width``
-    tokens; ``right`` is exclusive. Text i has the tokens ``begins[i]`` to
-    ``ends[i]``. Equal hashes: the left one is the smaller."""
-    nothing = (np.zeros(0, dtype=np.int64),) * 3
+def _ordered(hashes: np.ndarray) -> np.ndarray:
+    """Equal hashes: the left one is the smaller."""
+    return (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+
+
+def window_places(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """The positions of all compact windows of at least ``width`` tokens: the minima of
+    all stretches of ``width``. Text i has the tokens ``begins[i]`` to ``ends[i]``."""
     lengths = ends - begins
     wide = lengths >= width
     if not wide.any():
-        return nothing
+        return np.zeros(0, dtype=np.int64)
     size = len(hashes)
-    ordered = (hashes & ~_PLACE) | np.arange(size, dtype=np.uint64)
+    ordered = _ordered(hashes)
     blocks = -(-size // width)
     padded = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
     padded[:size] = ordered
@@ -75,7 +74,20 @@ def compact_windows(
     starts = ranges(begins[wide], lengths[wide] - width + 1)
     least = np.minimum(backward[starts], forward[starts + width - 1])
     place = (least & _PLACE).astype(np.int64)
-    place = place[first_of_each(place)]  # minima of sliding stretches never go back
+    return place[first_of_each(place)]  # minima of sliding stretches never go back
+
+
+def compact_windows(
+    hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(position, left, right)`` of all compact windows of at least ``width``
+    tokens; ``right`` is exclusive. The range minima of a sparse table give how far they
+    reach."""
+    place = window_places(hashes, begins, ends, width)
+    if not len(place):
+        return (place,) * 3
+    lengths = ends - begins
+    ordered = _ordered(hashes)
     text = np.searchsorted(ends, place, side="right")
     own = ordered[place]
     left, right = place.copy(), place + 1
@@ -99,96 +111,154 @@ def compact_windows(
     return place, left, right
 
 
+def common_words(least: int, share: float) -> int:
+    """How long a run of words any two passages have in common. Passages of n shingles
+    have ``share`` * n of them in common, in one run more than there are breaks, and a
+    break costs the two sides at least ``2 * (WORDS - 1)`` other shingles."""
+    common = math.ceil(share * (least - WORDS + 1))
+    a_break = 2 * (WORDS - 1) * share / (1 - share) if share < 1 else math.inf
+    runs = (max(common, a_break * b) / (b + 1) for b in range(1, common + 1))
+    return min([common, *(math.ceil(r) for r in runs if r < common)]) + WORDS - 1
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, a power of two."""
+    hashes, step = mix(words.view(np.uint64)), 1
+    while step < size:
+        hashes = mix(hashes[:-step] * np.uint64(31) + hashes[step:])
+        step *= 2
+    return hashes
+
+
 def window_keys(
-    values: np.ndarray, lengths: np.ndarray, least: int, number: int
-) -> tuple[np.ndarray, ...]:
-    """``(text, key, hash function, word in the text)`` of the windows of some texts."""
-    width = least - WORDS + 1
-    way = width // 2
-    hashes, counts = shingles(values, lengths)
-    ends = np.cumsum(counts)
-    begins = ends - counts
-    word_ends = np.cumsum(lengths)
-    words = values.view(np.uint64)
-    texts, keys, functions, places = [], [], [], []
-    for function in range(number):
-        noisy = mix(hashes ^ mix(np.array([function + 1], dtype=np.uint64)))
-        place, _, _ = compact_windows(noisy, begins, ends, width)
-        text = np.searchsorted(ends, place, side="right")
-        first = word_ends[text] - lengths[text]
-        word = first + place - begins[text]
-        for side, at in ((1, word - way + 1), (2, word + WORDS + way - 3)):
-            inside = (at >= first) & (at + 1 < word_ends[text])
-            here = at[inside]
-            around = mix(words[here] + mix(words[here + 1] + np.uint64(side)))
-            texts.append(text[inside])
-            keys.append(mix(noisy[place[inside]] + around))
-            functions.append(np.full(int(inside.sum()), function))
-            places.append((word - first)[inside])
-    return tuple(map(np.concatenate, (texts, keys, functions, places)))
-
-
-PASSAGES = (
-    "doc_id long, start int, end int, other_id long, similarity double, n_partners long"
-)
-WINDOWS = "doc_id long, key long, function int, place int"
-
-
-def _windows(least: int, number: int):
+    values: np.ndarray, lengths: np.ndarray, least: int, share: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, key)``, each once, of the windows of some texts of at least ``least`` words."""
+    common = common_words(least, share)
+    size = 2 ** int(math.log2(max(1, common * 3 // 4)))
+    ends = np.cumsum(lengths)
+    hashes = run_hashes(values, size)
+    place = window_places(hashes, ends - lengths, ends - size + 1, common - size + 1)
+    text, key = np.searchsorted(ends, place, side="right"), hashes[place]
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    return text[fresh], key[fresh]
+
+
+SIGNED = "doc_id long, node long, n_words int, keys array<long>"
+
+
+def _windows(least: int, share: float):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, lengths = list_parts(batch.column(1))
-            names = batch.column(0).to_numpy()
+            values, lengths = list_parts(batch.column(0))
             ends = np.cumsum(lengths)
+            names, nodes = (batch.column(i).to_numpy() for i in (1, 2))
             for part in chunks_of(lengths, 1, CHUNK):
                 mine = lengths[part]
+                long = mine >= least
+                if not long.any():
+                    continue
                 begin = ends[part.start] - lengths[part.start]
-                text, key, function, place = window_keys(
-                    values[begin : begin + mine.sum()], mine, least, number
-                )
+                words = values[begin : begin + mine.sum()][np.repeat(long, mine)]
+                text, key = window_keys(words, mine[long], least, share)
+                offsets = np.append(0, np.cumsum(np.bincount(text, minlength=int(long.sum()))))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(names[part][text]), pa.array(key.view(np.int64)),
-                        pa.array(function.astype(np.int32)), pa.array(place.astype(np.int32)),
+                        pa.array(names[part][long]), pa.array(nodes[part][long]),
+                        pa.array(mine[long].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64))),
                     ],
-                    ["doc_id", "key", "function", "place"],
+                    ["doc_id", "node", "n_words", "keys"],
                 )
 
     return cut
 
 
-def candidate_pairs(windows: DataFrame, enough: int) -> DataFrame:
-    """``doc_id, pivot, windows``: documents that share keys of at least ``enough``
-    hash functions with the pivot of the key, and these keys with their places in the
-    document (no more than its windows). The pivot is the document that meets most
-    others over all its keys: in a family of near copies that is the original, in
-    every key of the family."""
-    shared = stage(
-        windows.groupBy("key").agg(
-            F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")
-        ).filter("low < high").select("key", "size"),
-        "shared",
+def _light(table: DataFrame) -> DataFrame:
+    """A staged table, broadcast where it is small."""
+    return F.broadcast(table) if table.count() <= PICKED_AT_ONCE else table
+
+
+def _units(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that are compared, and the documents of those that many have: ``unit, id,
+    node, several, n_words, keys, size`` and ``doc_id, unit, id, size``. Equal texts are
+    one unit, named by its smallest document; a document with several texts has units
+    of its own."""
+    rows = signed.select("doc_id", "node").distinct()
+    several = stage(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
+    labelled = (
+        signed.join(_light(several).withColumn("marked", F.lit(True)), "doc_id", "left")
+        .withColumn("several", F.coalesce("marked", F.lit(False)))
+        .withColumn("unit", F.when(F.col("several"), F.xxhash64("node", "doc_id")).otherwise(F.col("node")))
+    )
+    members = stage(labelled.select("doc_id", "unit").distinct(), "members")
+    copied = stage(
+        members.groupBy("unit").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")).filter("size > 1"),
+        "copied",
     )
-    few = shared.count() <= KEYS_AT_ONCE
-    met = stage(windows.join(F.broadcast(shared) if few else shared, "key"), "met")
-    fame = met.groupBy("doc_id").agg(F.sum("size").alias("fame"))
-    pivots = stage(
-        met.select("key", "doc_id").join(fame, "doc_id").groupBy("key").agg(
-            F.max(F.struct("fame", (-F.col("doc_id")).alias("minus"))).alias("best")
-        ).select("key", (-F.col("best.minus")).alias("pivot")),
-        "pivots",
+    sizes = _light(copied)
+    copies = stage(members.join(sizes, "unit"), "copies")
+    merged = labelled.groupBy("unit").agg(
+        F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("node", "several", "n_words", "keys"))
     )
-    pairs = met.join(F.broadcast(pivots) if few else pivots, "key").filter("doc_id <> pivot").groupBy(
-        "doc_id", "pivot"
-    ).agg(
-        F.expr("bit_or(shiftleft(1, function))").alias("functions"),
-        F.collect_list(F.struct("key", "place")).alias("windows"),
+    units = stage(
+        merged.join(sizes.select("unit", "size"), "unit", "left").withColumn(
+            "size", F.coalesce("size", F.lit(1).cast("long"))
+        ),
+        "units",
     )
-    found = stage(
-        pairs.filter(F.bit_count("functions") >= enough).select("doc_id", "pivot", "windows"), "pairs"
+    unstage(signed.sparkSession, several, members, copied)
+    return units, copies
+
+
+def _candidates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All two units that share a key: pairs ``x, y`` (of the larger ``id`` first), and
+    ``band, x, count`` of the keys of many, where all of a ``band`` are to be compared."""
+    every = units.select(F.explode("keys").alias("band"), F.col("unit").alias("x"), "id")
+    counted = every.groupBy("band").agg(
+        F.count("*").alias("count"), F.bit_xor("x").alias("who"), F.bit_xor(F.xxhash64("x")).alias("also")
+    ).filter("count > 1")
+    # Keys of the same units are one.
+    one = counted.groupBy("count", "who", "also").agg(F.min("band").alias("band"))
+    kept = stage(one.select("band", "count"), "kept")
+    shared = stage(every.join(_light(kept), "band"), "shared")
+    few, large = (shared.filter(f"count {sign} {IN_PAIRS}") for sign in ("<=", ">"))
+    others = few.select("band", F.col("x").alias("y"), F.col("id").alias("of_y"))
+    pairs = few.join(others, "band").filter("id > of_y").select("x", "y").distinct()
+    if not large.isEmpty():
+        # Two that share a key of many as well are compared there.
+        of_x, of_y = (_bands_of(large).toDF(c, f"bands_{c}") for c in "xy")
+        apart = ~F.coalesce(F.arrays_overlap("bands_x", "bands_y"), F.lit(False))
+        pairs = pairs.join(of_x, "x", "left").join(of_y, "y", "left").filter(apart).select("x", "y")
+    return stage(pairs, "pairs"), large.select("band", "x", "count")
+
+
+def _bands_of(large: DataFrame) -> DataFrame:
+    """``x, bands``: all keys of many of a unit."""
+    return large.groupBy("x").agg(F.collect_list("band").alias("bands"))
+
+
+def _texts_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``unit, id, size, several, words`` of the ``wanted`` units."""
+    # Texts are picked by their document before anything is computed of them. Four bytes
+    # a word are enough to compare two texts.
+    ids = stage(wanted.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    of = wanted.select(F.col("id").alias("doc_id"), "node", "unit", "size", "several")
+    picked = named.join(_light(ids), "doc_id", "left_semi").select(
+        "doc_id", word_hashes(F.col("text")).alias("hashes")
     )
-    unstage(windows.sparkSession, shared, met, pivots)
-    return found
+    texts = stage(
+        picked.withColumn("node", F.xxhash64("hashes")).join(_light(of), ["doc_id", "node"]).select(
+            "unit", F.col("doc_id").alias("id"), "size", "several",
+            F.transform("hashes", lambda h: F.hash(h)).alias("words"),
+        ),
+        "words",
+    )
+    repeated = not texts.groupBy("unit").count().filter("count > 1").isEmpty()
+    return stage(texts.dropDuplicates(["unit"]), "words") if repeated else texts
 
 
 def matching_stretches(found: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
@@ -212,11 +282,12 @@ def _best_counterpart(own, theirs, where, found, low, high) -> tuple[float, tupl
     usual distance of common shingles, by that of the first one, and the whole range
     in which they first occur (texts that repeat themselves)."""
     shifts = (where - np.arange(len(own)))[low:high][found[low:high]]
+    usual = int(np.median(shifts))
     spots = where[low:high][found[low:high]]
     mine = np.unique(own[low:high])
     best = (-1.0, (0, 0))
     for begin, end in {
-        (low + int(np.median(shifts)), high + int(np.median(shifts))),
+        (low + usual, high + usual),
         (low + int(shifts[0]), high + int(shifts[0])),
         (int(spots.min()), int(spots.max()) + 1),
     }:
@@ -227,9 +298,9 @@ def _best_counterpart(own, theirs, where, found, low, high) -> tuple[float, tupl
     return best
 
 
-def first_places(own: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the other text has each shingle first, and whether it has it at all."""
-    order = np.argsort(theirs, kind="stable")
+def first_places(own: np.ndarray, theirs: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the other text has each shingle first, and whether it has it at all.
+    ``order`` sorts the other text's shingles, equal ones by place."""
     at = np.minimum(np.searchsorted(theirs[order], own), len(theirs) - 1)
     where = order[at]
     return where, theirs[where] == own
@@ -261,127 +332,177 @@ def shared_passages(
     return passages
 
 
-def parting_keys(
-    key: int, place: int, mine: np.ndarray, other: np.ndarray, there: int, least: int
-) -> list[int]:
-    """Keys of a window by where its words part from the other text's: going left,
-    and going right, from the same shingle in both. Texts that agree for ``least``
-    words on a side count as parting there."""
-    keys = []
-    for side, a, b in (
-        (1, mine[max(0, place - least) : place][::-1], other[max(0, there - least) : there][::-1]),
-        (2, mine[place : place + least], other[there : there + least]),
-    ):
-        size = min(len(a), len(b))
-        differs = a[:size] != b[:size]
-        at = int(differs.argmax()) if differs.any() else size
-        word = int(a[at]) if at < len(a) else -1
-        keys.append(hash((key, side, at, word)))
-    return keys
-
-
-VERIFIED = (
-    "passage boolean, doc_id long, start int, end int, other_id long, similarity double, "
-    "key long, place int"
-)
-
-
-def _verify(share: float, least: int):
+def _shared_by_two(mine, theirs, own, others, order, share: float, least: int) -> list[tuple]:
+    """``shared_passages`` of two texts given as words and as shingles."""
+    if np.array_equal(mine, theirs):
+        return [(0, len(mine), 0, len(mine), 1.0)]
+    where, found = first_places(own, others, order)
+    return shared_passages(own, others, where, found, share, least)
+
+
+class _Found:
+    """Passages of units with their partners so far. Partners of documents with several
+    texts, and such partners, could count twice: they are rows by ``once``."""
+
+    schema = "id long, start int, end int, once long, other_id long, similarity double, n long"
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple, tuple] = {}
+
+    def add(self, mine: tuple, theirs: tuple, passages: list[tuple]) -> None:
+        """``mine`` and ``theirs``: the units' ``id, size, several``."""
+        for (name, _, a), (other, size, b), at in ((mine, theirs, 0), (theirs, mine, 2)):
+            once = other if a or b else None
+            best: dict[tuple, float] = {}
+            for passage in passages:
+                stretch = passage[at : at + 2]
+                best[stretch] = max(best.get(stretch, 0.0), passage[4])
+            for (start, end), similarity in best.items():
+                key = (name, start, end, once)
+                low, high, n = self.rows.get(key, (other, 0.0, 0))
+                n = size if once is not None else n + size
+                self.rows[key] = (min(low, other), max(high, similarity), n)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*(key + row for key, row in self.rows.items()))) or [[]] * 7
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        names = [field.split()[0] for field in self.schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def _unit_columns(table) -> list[tuple]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("id", "size", "several"))))
+
+
+def _in_pairs(share: float, least: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, others = (batch.column(i).to_pylist() for i in (0, 1))
-            spots = batch.column(2).offsets.to_numpy()
-            keys, places = (batch.column(2).values.field(name).to_numpy() for name in ("key", "place"))
-            sides = [list_parts(batch.column(i)) for i in (3, 4)]
-            ends = [np.cumsum(lengths) for _, lengths in sides]
-            rows = []
-            for i, (name, other) in enumerate(zip(names, others)):
+            found = _Found()
+            units = [
+                list(zip(*(batch.column(f"{side}_{c}").to_pylist() for c in ("id", "size", "several"))))
+                for side in "xy"
+            ]
+            words = [list_parts(batch.column(f"{side}_words")) for side in "xy"]
+            ends = [np.cumsum(lengths) for _, lengths in words]
+            for i, (x, y) in enumerate(zip(*units)):
                 mine, theirs = (
                     values[end[i] - lengths[i] : end[i]].astype(np.int64)
-                    for (values, lengths), end in zip(sides, ends)
+                    for (values, lengths), end in zip(words, ends)
                 )
-                if np.array_equal(mine, theirs):
-                    size = len(mine)
-                    rows.append((True, name, 0, size, other, 1.0, None, None))
-                    rows.append((True, other, 0, size, name, 1.0, None, None))
-                    continue
-                own, _ = shingles(mine, np.array([len(mine)]))
-                there_own, _ = shingles(theirs, np.array([len(theirs)]))
-                where, found = first_places(own, there_own)
-                passages = shared_passages(own, there_own, where, found, share, least)
-                for start, end, there, there_end, similarity in passages:
-                    rows.append((True, name, start, end, other, similarity, None, None))
-                    rows.append((True, other, there, there_end, name, similarity, None, None))
-                place = places[spots[i] : spots[i + 1]]
-                left = np.ones(len(place), dtype=bool)
-                for start, end, *_ in passages:
-                    left &= (place < start) | (place >= end)
-                # The texts of a key share its shingle but for a chance equality of hashes.
-                left &= found[place]
-                for at, key in zip(place[left].tolist(), keys[spots[i] : spots[i + 1]][left].tolist()):
-                    for anew in parting_keys(key, at, mine, theirs, int(where[at]), least):
-                        rows.append((False, name, None, None, None, None, anew, at))
-            columns = list(zip(*rows)) if rows else [[]] * 8
-            kinds = (
-                pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int32()
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                ["passage", "doc_id", "start", "end", "other_id", "similarity", "key", "place"],
-            )
+                both, counts = shingles(np.concatenate([mine, theirs]), np.array([len(mine), len(theirs)]))
+                own, others = both[: counts[0]], both[counts[0] :]
+                order = np.argsort(others, kind="stable")
+                found.add(x, y, _shared_by_two(mine, theirs, own, others, order, share, least))
+            yield found.batch()
 
     return verify
 
 
-def repeated_passages(
-    docs: DataFrame, least: int = LEAST, share: float = 0.8, number: int = HASHES, enough: int = 1
-) -> DataFrame:
+def _compare(share: float, least: int):
+    """Compares the texts of two blocks of one key, those of larger id with the others."""
+    needed = math.ceil(share * (least - WORDS + 1))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
+        block, ids = (table.column(c).to_numpy() for c in ("block", "id"))
+        units = _unit_columns(table)
+        bands, counts = list_parts(table.column("bands").chunk(0))
+        values, lengths = list_parts(table.column("words").chunk(0))
+        size = len(units)
+        # Two that share a lower key are compared there.
+        kinds, kind = np.unique(bands, return_inverse=True)
+        has = np.zeros((size, len(kinds)), dtype=np.float32)
+        has[np.repeat(np.arange(size), counts), kind] = kinds[kind] < band
+        words = np.split(values.astype(np.int64), np.cumsum(lengths)[:-1])
+        hashes, sizes = shingles(values.astype(np.int64), lengths)
+        each = np.split(hashes, np.cumsum(sizes)[:-1])
+        # Shingles that stand in the block only once say nothing.
+        kinds, codes, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        common = times[codes] > 1
+        codes, owner = codes[common], np.repeat(np.arange(size), sizes)[common]
+        held = np.zeros(len(kinds), dtype=bool)
+        found = _Found()
+        for theirs in range(size):
+            asked = (ids > ids[theirs]) & ((low == high) | (block != block[theirs]))
+            asked &= has @ has[theirs] == 0
+            if not asked.any():
+                continue
+            own = codes[owner == theirs]
+            held[own] = True
+            both = np.bincount(owner[held[codes]], minlength=size)
+            held[own] = False
+            order = np.argsort(each[theirs], kind="stable")
+            for mine in np.flatnonzero(asked & (both >= needed)).tolist():
+                found.add(
+                    units[mine], units[theirs],
+                    _shared_by_two(words[mine], words[theirs], each[mine], each[theirs], order, share, least),
+                )
+        return pa.Table.from_batches([found.batch()])
+
+    return compare
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """One row per passage: ``doc_id, start, end`` (words, end exclusive),
-    ``other_id`` (the smallest document found to share it), ``similarity`` (the best)
-    and ``n_partners`` (the number of documents it was verified with)."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(
-        "doc_id is not null"
+    ``other_id`` (the smallest document that shares it), ``similarity`` (the best)
+    and ``n_partners`` (the number of documents that share it)."""
+    named = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    ).filter("doc_id is not null")
+    hashed = named.select(word_hashes(F.col("text")).alias("words"), "doc_id").select(
+        "words", "doc_id", F.xxhash64("words").alias("node")
     )
-    hashed = named.select("doc_id", word_hashes(F.col("text")).alias("words")).filter(
-        F.size("words") >= least
+    signed = stage(hashed.mapInArrow(_windows(least, share), SIGNED), "signed")
+    units, copies = _units(signed)
+    pairs, large = _candidates(units)
+    compared = pairs.select("x").union(pairs.select("y")).union(large.select("x")).distinct().toDF("unit")
+    wanted = stage(units.join(compared, "unit").select("unit", "id", "node", "size", "several"), "wanted")
+    texts = _texts_of(named, wanted)
+    of_x, of_y = (
+        texts.toDF(*(side if c == "unit" else f"{side}_{c}" for c in texts.columns)) for side in "xy"
     )
-    windows = stage(hashed.mapInArrow(_windows(least, number), WINDOWS), "windows")
-    pairs = candidate_pairs(windows, enough)
-    wanted = stage(pairs.select("doc_id").union(pairs.select("pivot")).distinct(), "wanted")
-    few = wanted.count() <= PICKED_AT_ONCE
-    # Four bytes a word are enough to compare two texts.
-    texts = stage(
-        named.join(F.broadcast(wanted) if few else wanted, "doc_id").select(
-            "doc_id", F.transform(word_hashes(F.col("text")), lambda h: F.hash(h)).alias("words")
+    both = pairs.join(of_x, "x").join(of_y, "y").drop("x", "y")
+    verified = both.mapInArrow(_in_pairs(share, least), _Found.schema)
+    sent = in_blocks(large).withColumnRenamed("node", "unit")
+    full = sent.join(_bands_of(large).withColumnRenamed("x", "unit"), "unit").join(texts, "unit")
+    blocks = full.groupBy("band", "low", "high").applyInArrow(_compare(share, least), _Found.schema)
+    found = stage(verified, "found").unionByName(stage(blocks, "found"))
+    # Equal texts share all of it.
+    whole = units.filter("size > 1").select(
+        "id", F.lit(0).alias("start"), F.col("n_words").alias("end"), F.lit(None).cast("long").alias("once"),
+        F.lit(None).cast("long").alias("other_id"), F.lit(1.0).alias("similarity"), (F.col("size") - 1).alias("n"),
+    )
+    passages = stage(
+        found.unionByName(whole).groupBy("id", "start", "end", "once").agg(
+            F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"),
+            F.when(F.col("once").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"),
+        ).groupBy("id", "start", "end").agg(
+            F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"), F.sum("n").alias("n_partners")
         ),
-        "words",
+        "passages",
+    )
+    return _of_documents(passages, units, copies)
+
+
+def _of_documents(passages: DataFrame, units: DataFrame, copies: DataFrame) -> DataFrame:
+    """``passages`` of units as those of all their documents. A copy's smallest partner in
+    its whole text is the smallest document of the unit or, for that one, the next."""
+    columns = ["doc_id", "start", "end", "other_id", "similarity", "n_partners"]
+    seconds = copies.filter("doc_id <> id").groupBy("id").agg(F.min("doc_id").alias("second"))
+    many = stage(
+        units.filter("size > 1").select("id", "n_words").join(seconds, "id"), "many"
+    )
+    once = passages.join(_light(many), "id", "left_anti").withColumnRenamed("id", "doc_id")
+    partner = F.when(
+        (F.col("start") == 0) & (F.col("end") == F.col("n_words")),
+        F.when(F.col("doc_id") == F.col("id"), F.col("second")).otherwise(F.col("id")),
     )
-    found = []
-    while not pairs.isEmpty():
-        others = texts.withColumnsRenamed({"doc_id": "pivot", "words": "pivot_words"})
-        both = pairs.join(texts, "doc_id").join(others, "pivot").select(
-            "doc_id", "pivot", "windows", "words", "pivot_words"
-        )
-        verified = stage(both.mapInArrow(_verify(share, least), VERIFIED), "verified")
-        found.append(verified.filter("passage").select("doc_id", "start", "end", "other_id", "similarity"))
-        left = verified.filter("not passage").select(
-            "doc_id", "key", F.lit(0).alias("function"), "place"
-        )
-        unstage(docs.sparkSession, windows, pairs)
-        windows = stage(left.distinct(), "windows")
-        pairs = candidate_pairs(windows, 1)
-        # Later rounds read only the texts that still have keys to share.
-        wanted = stage(pairs.select("doc_id").union(pairs.select("pivot")).distinct(), "wanted")
-        few = wanted.count() <= PICKED_AT_ONCE
-        narrowed = stage(texts.join(F.broadcast(wanted) if few else wanted, "doc_id"), "words")
-        unstage(docs.sparkSession, texts)
-        texts = narrowed
-    if not found:
-        return named.sparkSession.createDataFrame([], PASSAGES)
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "start", "end").agg(
-        F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"),
-        F.count_distinct("other_id").alias("n_partners"),
+    told = stage(passages.join(_light(many), "id"), "told")
+    repeated = copies.select("doc_id", "id").join(_light(told), "id").withColumn(
+        "other_id", F.least("other_id", partner)
     )
+    return once.select(columns).unionByName(repeated.select(columns))
 
 
 def op10_compact_windows(spark, sf_dir: str) -> DataFrame:

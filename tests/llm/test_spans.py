@@ -176,6 +176,42 @@ def test_exactly_repeated_passages_are_found(spark, documents, texts):
     assert all(covered[10**6 + i] == (i + 20, i + 72) for i in range(25))
 
 
+def test_every_two_texts_that_share_a_passage_are_partners(spark):
+    """Also where one word differs, wherever it stands, in texts of which one shares several
+    passages, in copies, in rows of one doc_id, and where more share it than are pairs."""
+    rng = random.Random(9)
+
+    def unique(n):
+        return [f"u{rng.randrange(10**12)}" for _ in range(n)]
+
+    first, second, third, many = (unique(n) for n in (50, 60, 60, 55))
+    rows = [(0, unique(30) + first + unique(30))]
+    for at in range(5, 45):
+        rows.append((at, unique(30) + first[:at] + unique(1) + first[at + 1 :] + unique(30)))
+    rows += [(100, second + unique(20) + third), (101, unique(9) + second), (102, second + unique(60) + third)]
+    rows += [(103, third), (104, third), (105, third), (106, third + unique(10)), (106, unique(10) + third)]
+    for i in range(80):
+        rows.append((200 + i, unique(i) + many + unique(5)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["start"], r["end"]): r for r in passages.repeated_passages(docs).collect()}
+
+    assert all((at, 30, 80) in found and found[at, 30, 80]["other_id"] == 0 for at in range(5, 45))
+    assert sum(found[0, *ends]["n_partners"] for i, *ends in found if i == 0) == 40
+    for row, other, partners in (
+        ((100, 0, 60), 101, 2), ((101, 9, 69), 100, 2), ((102, 120, 180), 100, 5), ((103, 0, 60), 100, 5),
+        ((105, 0, 60), 100, 5), ((106, 0, 60), 100, 5), ((106, 10, 70), 100, 5),
+    ):
+        assert (found[row]["other_id"], found[row]["n_partners"]) == (other, partners), row
+    for i in range(80):
+        row = found[200 + i, i, i + 55]
+        assert (row["other_id"], row["n_partners"], row["similarity"]) == (200 + (i == 0), 79, 1.0)
+
+
+def test_passages_have_so_many_words_in_common():
+    assert passages.common_words(50, 0.8) == 23
+    assert passages.common_words(50, 1.0) == 50
+
+
 def test_hints_do_not_look_at_case(spark):
     docs = spark.createDataFrame(
         [(i, t) for i, t in enumerate(["write to bob (at) example (dot) com", "WRITE TO BOB (AT) EXAMPLE (DOT) COM"])],
