@@ -40,13 +40,15 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.batches import mix, ranges
 from fieldtally.llm.tokens import word_hashes
-from fieldtally.sources.staging import stage, unstage
+from fieldtally.sources.staging import stage, stage_in_batches, unstage
 
 WORDS = 5
 BANDS = 32
 ROWS = 8
 #: Shingles and darts worked on at once in a worker.
-CHUNK = 400_000
+CHUNK = 60_000
+#: Texts that are on their way to a worker at once.
+BATCH_ROWS = 1_000
 #: Cumulative chances of 0, 1, 2, ... darts in a cell of unit area.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(20)])
 
@@ -228,7 +230,8 @@ def _elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = _identity(picked).withColumn("first_id", F.coalesce("doc_id", F.lit(-1))).join(
         F.broadcast(wanted) if few else wanted, ["first_id", "node"]
     ).select("hashes", "node")
-    elements = stage(texts.mapInArrow(_elements, "node long, elements array<long>"), "elements")
+    shingled = texts.mapInArrow(_elements, "node long, elements array<long>")
+    elements = stage_in_batches(shingled, "elements", BATCH_ROWS)
     repeated = not elements.groupBy("node").count().filter("count > 1").isEmpty()
     return stage(elements.dropDuplicates(["node"]), "elements") if repeated else elements
 
@@ -398,7 +401,7 @@ def classes_of_nodes(
     """``near_duplicates`` with the ``node`` of each row (see ``with_node``), which tells
     rows of one doc_id apart."""
     schema = "doc_id long, node long, n_shingles long, bands array<long>"
-    signed = stage(_identity(docs).mapInArrow(_sign(bands, rows), schema), "signed")
+    signed = stage_in_batches(_identity(docs).mapInArrow(_sign(bands, rows), schema), "signed", BATCH_ROWS)
     nodes = stage(
         signed.groupBy("node").agg(
             F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")

@@ -35,6 +35,19 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def stage_in_batches(table: DataFrame, name: str, rows: int) -> DataFrame:
+    """``stage`` with at most so many rows at once on their way to Python workers."""
+    conf = table.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    most = int(before)
+    conf.set(key, str(min(rows, most) if most > 0 else rows))
+    try:
+        return stage(table, name)
+    finally:
+        conf.set(key, before)
+
+
 def stage_together(**tables: DataFrame) -> dict[str, DataFrame]:
     """Stage tables that do not depend on each other at the same time: while one waits
     for its last tasks, the others use the free cores."""

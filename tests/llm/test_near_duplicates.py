@@ -5,9 +5,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from fieldtally.llm import dartminhash as d
+from fieldtally.sources import staging
 
 
 def brute_classes(texts, threshold=0.8):
@@ -92,3 +94,16 @@ def test_components(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "x long, pivot long")
     found = {r["node"]: r["label"] for r in d.components(links).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    counted = staging.stage_in_batches(spark.range(0, 100, 1, 2).mapInArrow(sizes, "n long"), "sizes", 8)
+    found = [r["n"] for r in counted.collect()]
+    assert sum(found) == 100 and max(found) == 8
+    assert spark.conf.get(key) == before
