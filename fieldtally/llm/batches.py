@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -51,19 +52,27 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-def _powers(base: int, count: int) -> np.ndarray:
-    steps = np.full(count, base, dtype=np.uint64)
+@lru_cache(maxsize=2)
+def _powers(base: int, bits: int) -> np.ndarray:
+    """The first ``2 ** bits`` powers."""
+    steps = np.full(2**bits, base, dtype=np.uint64)
     steps[:1] = 1
     return np.multiply.accumulate(steps)
 
 
+@lru_cache(maxsize=1)
+def _mixed_points() -> np.ndarray:
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 def segment_hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each segment of an array of code points, from differences
     of one running sum."""
-    terms = mix(points.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(points))
+    bits = len(points).bit_length()
+    terms = _mixed_points()[points] * _powers(_BASE, bits)[: len(points)]
     sums = np.zeros(len(points) + 1, dtype=np.uint64)
     np.cumsum(terms, out=sums[1:])
-    inverse = _powers(_INVERSE, len(points) + 1)
+    inverse = _powers(_INVERSE, bits)
     return mix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64))
 
 

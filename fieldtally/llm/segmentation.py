@@ -101,12 +101,15 @@ class Lattices:
             self.forget()
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            word = self.word[at]
             fresh = np.flatnonzero(self.hashes[at] != hashes)
         else:
             fresh = np.arange(len(hashes))
+            word = np.empty(len(hashes), dtype=np.int64)
         if len(fresh):
-            self._add([spellings[i] for i in fresh], hashes[fresh])
-        return self.word[np.searchsorted(self.hashes, hashes)]
+            word[fresh] = np.arange(len(fresh)) + len(self.first)
+            self._add([spellings[i] for i in fresh.tolist()], hashes[fresh])
+        return word
 
     def _add(self, spellings: list[str], hashes: np.ndarray) -> None:
         words = lattice(spellings, self.vocabulary)
@@ -301,7 +304,7 @@ def sample_batch(
         # The turned step comes before the walked steps of its text.
         at, edge = np.append(turned_at, at), np.append(new_edge, edge)
         rank = np.append(np.zeros(len(go), dtype=np.int64), np.ones(len(at) - len(go), dtype=np.int64))
-        order = np.lexsort((rank, at))
+        order = np.argsort(at, kind="stable")
         at, edge, rank = at[order], edge[order], rank[order]
         text = owner[at]
         initial = np.zeros(len(texts))

@@ -19,6 +19,7 @@ columns are ignored; an empty table gives an empty table of files.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -185,10 +186,13 @@ class Encoder:
             self.forget()
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            word = self.number[at]
             fresh = np.flatnonzero(self.hashes[at] != hashes)
         else:
             fresh = np.arange(len(hashes))
+            word = np.empty(len(hashes), dtype=np.int64)
         if len(fresh):
+            word[fresh] = np.arange(len(fresh)) + len(self.sizes)
             words = [joined[s : s + n] for s, n in zip(starts[fresh].tolist(), sizes[fresh].tolist())]
             encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
@@ -200,12 +204,13 @@ class Encoder:
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
             self.sizes = np.append(self.sizes, counts)
             self.ids = np.append(self.ids, flat)
-        return self.number[np.searchsorted(self.hashes, hashes)]
+        return word
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One for all tasks of a worker process."""
+    """One for all tasks of a worker process, which has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 

@@ -15,7 +15,7 @@ from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from fieldtally.llm import segmentation as s
-from fieldtally.llm import token_counts, token_files, unigram
+from fieldtally.llm import batches, token_counts, token_files, unigram
 from tests.llm.conftest import SMALLEST
 
 ODD = [
@@ -180,3 +180,21 @@ def test_the_gap_character_in_a_text_falls_to_bytes(spark):
     assert [counts[i]["n_byte_tokens"] for i in range(3)] == [4, 4, 12]
     for row in s.decode_segmentations(s.sample_segmentations(docs)).collect():
         assert row["text"] == texts[row["doc_id"]]
+
+
+def test_segments_of_one_text_have_one_hash_wherever_they_stand():
+    for size in (5, 40, 1000):
+        points = np.tile(np.array([97, 0x10FFFF, 0x20AC, 0, 32], dtype=np.uint32), size)
+        starts = np.arange(0, 5 * size, 5)
+        assert len(set(batches.segment_hashes(points, starts, np.full(size, 5)).tolist())) == 1
+        assert len(set(batches.segment_hashes(points, starts, np.arange(size) % 5).tolist())) == 5
+    # Powers are made once for all texts of about one length.
+    assert batches._powers(batches._BASE, 7) is batches._powers(batches._BASE, 7)
+
+
+def test_words_seen_before_and_new_ones_keep_their_order():
+    encoder = token_files.Encoder(token_files.default_path())
+    whole = token_files.Encoder(token_files.default_path()).whole
+    for text in ("one two three", "four two one five three", "five six one"):
+        ids, _ = encoder.encode([text])
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids + [token_files.END_ID]
