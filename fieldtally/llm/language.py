@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldtally.llm.batches import code_points, in_chunks
-from fieldtally.sources.staging import stage, unstage
+from fieldtally.sources.staging import stage, stage_in_batches, unstage
 
 ORDER = 4
 UNDETERMINED = "und"
 #: Characters worked on at once in a worker.
-CHUNK = 500_000
+CHUNK = 250_000
+#: Texts on their way to a worker at once.
+BATCH_ROWS = 1_000
 #: What a round of languages leaves of a text.
 ROUND = {"best": "string", "entropy": "double", "second": "double", "length": "long"}
 #: Columns of the documents; the text goes on to the next round only.
@@ -122,7 +124,7 @@ def estimate(counts: DataFrame, grams: int) -> tuple[DataFrame, DataFrame]:
     """``(order, lang, gram, log_p)`` and ``(order, lang, context, log_back_off)``.
     The highest order uses the counts, lower ones the number of distinct
     characters before the window."""
-    levels = {ORDER: stage(counts, "grams")}
+    levels = {ORDER: stage_in_batches(counts, "grams", BATCH_ROWS)}
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
         levels[order] = stage(
@@ -337,7 +339,8 @@ def identify(
         handed = KNOWN[:-1] if last else KNOWN
         schema = ", ".join([*handed, *(f"{name} {kind}" for name, kind in ROUND.items())])
         score = _scorer(spark.sparkContext.broadcast(models), len(handed))
-        earlier, scored = scored, stage((scored or table).mapInArrow(score, schema), "languages")
+        found = (scored or table).mapInArrow(score, schema)
+        earlier, scored = scored, stage_in_batches(found, "languages", BATCH_ROWS)
         if earlier:
             unstage(spark, earlier)
     if scored is None:

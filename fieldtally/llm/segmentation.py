@@ -46,7 +46,7 @@ CHUNK = 400_000
 REMEMBERED = 120_000
 SAMPLES = 2
 #: Ids decoded at once in a worker.
-DECODED = 300_000
+DECODED = 100_000
 _CHOICE, _NOISE, _TOP = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93))
 
 
@@ -67,6 +67,7 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary, alpha: float) -> None:
         self.vocabulary, self.alpha = vocabulary, alpha
+        self.remembered = REMEMBERED
         self.forget()
 
     def forget(self) -> None:
@@ -97,7 +98,7 @@ class Lattices:
 
     def find(self, hashes: np.ndarray, spellings: list[str]) -> np.ndarray:
         """Numbers of these words; new ones are added."""
-        if len(self.hashes) > REMEMBERED:
+        if len(self.hashes) > self.remembered:
             self.forget()
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -413,12 +414,13 @@ def _lattices(path: str, alpha: float) -> Lattices:
     return Lattices(load(path), alpha)
 
 
-def _sampling(path: str, k: int, alpha: float):
+def _sampling(path: str, k: int, alpha: float, characters: int, remembered: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _lattices(path, alpha)
+        store.remembered = remembered
         for batch in batches:
             done = 0
-            for texts in in_chunks(batch.column(2).to_pylist(), CHUNK):
+            for texts in in_chunks(batch.column(2).to_pylist(), characters):
                 part = batch.slice(done, len(texts))
                 done += len(texts)
                 keys = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -441,16 +443,19 @@ def _sampling(path: str, k: int, alpha: float):
 
 
 def sample_segmentations(
-    docs: DataFrame, k: int = SAMPLES, alpha: float = 1.0, path: str | None = None
+    docs: DataFrame, k: int = SAMPLES, alpha: float = 1.0, path: str | None = None,
+    characters: int = CHUNK, remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Up to ``k`` distinct segmentations of each text, best noisy value first:
     ``doc_id, sample, noisy, log_chance, inclusion, ids``. ``alpha`` multiplies the
-    scores: below 1 the samples are more even. The seed is the row's doc_id."""
+    scores: below 1 the samples are more even. The seed is the row's doc_id. A worker
+    works on so many ``characters`` at once and has the lattices of so many words
+    ``remembered``; neither changes a row."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return rows.mapInArrow(_sampling(path or default_path(), k, alpha), SAMPLED)
+    return rows.mapInArrow(_sampling(path or default_path(), k, alpha, characters, remembered), SAMPLED)
 
 
 def decode_ids(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> list[str]:
