@@ -13,9 +13,10 @@ nothing to chance, and phrases shorter than the hashed run meet no one. All text
 share a minimum are compared, each two once, on the words themselves, and passages of at
 least ``least`` words with a similarity of 0.8 or more are kept. Minima of the same texts
 are one. Those of few texts become pairs that meet their words in joins. Those of more
-are cut into blocks: a task holds two blocks with their words, compares them, leaves out
-what another of the minima compares, and gives every passage its number of partners, so
-a passage of m texts leaves no m * m rows.
+are cut into blocks: a task holds two blocks with their words, compares every text with all
+others at once, leaves out what another of the minima compares, and gives every passage its
+number of partners, so a passage of m texts leaves no m * m rows. Passages of a text that
+overlap are one, else every partner of a near copy would leave a stretch of its own.
 
 Equal texts are one text until the end. Only minima, and the words of texts that share
 some, are shuffled.
@@ -28,16 +29,17 @@ empty result. Positions count words.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.batches import first_of_each, mix, ranges
-from fieldtally.llm.dartminhash import IN_PAIRS, chunks_of, in_blocks, list_parts, shingles
+from fieldtally.llm.dartminhash import IN_PAIRS, chunks_of, list_parts, shingles
 from fieldtally.llm.tokens import word_hashes
 from fieldtally.sources.staging import stage, unstage
 
@@ -46,6 +48,9 @@ LEAST = 50
 SHARE = 0.8
 #: Words worked on at once in a worker; below 2**24, as positions take 24 bits.
 CHUNK = 400_000
+#: Texts and words of a block of those that share a key, on the average.
+BLOCK = 2_048
+BLOCK_WORDS = 500_000
 #: Documents whose identifiers are broadcast to pick their texts (8 bytes each).
 PICKED_AT_ONCE = 2_000_000
 _PLACE = np.uint64(0xFFFFFF)
@@ -216,14 +221,14 @@ def _units(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _candidates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All two units that share a key: pairs ``x, y`` (of the larger ``id`` first), and
-    ``band, x, count`` of the keys of many, where all of a ``band`` are to be compared."""
-    every = units.select(F.explode("keys").alias("band"), F.col("unit").alias("x"), "id")
+    ``band, x, count, all_words`` of the keys of many, where all of a ``band`` are to be compared."""
+    every = units.select(F.explode("keys").alias("band"), F.col("unit").alias("x"), "id", "n_words")
     counted = every.groupBy("band").agg(
-        F.count("*").alias("count"), F.bit_xor("x").alias("who"), F.bit_xor(F.xxhash64("x")).alias("also")
+        F.count("*").alias("count"), F.sum("n_words").alias("all_words"), F.bit_xor("x").alias("who"), F.bit_xor(F.xxhash64("x")).alias("also")
     ).filter("count > 1")
     # Keys of the same units are one.
-    one = counted.groupBy("count", "who", "also").agg(F.min("band").alias("band"))
-    kept = stage(one.select("band", "count"), "kept")
+    one = counted.groupBy("count", "all_words", "who", "also").agg(F.min("band").alias("band"))
+    kept = stage(one.select("band", "count", "all_words"), "kept")
     shared = stage(every.join(_light(kept), "band"), "shared")
     few, large = (shared.filter(f"count {sign} {IN_PAIRS}") for sign in ("<=", ">"))
     others = few.select("band", F.col("x").alias("y"), F.col("id").alias("of_y"))
@@ -233,7 +238,7 @@ def _candidates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
         of_x, of_y = (_bands_of(large).toDF(c, f"bands_{c}") for c in "xy")
         apart = ~F.coalesce(F.arrays_overlap("bands_x", "bands_y"), F.lit(False))
         pairs = pairs.join(of_x, "x", "left").join(of_y, "y", "left").filter(apart).select("x", "y")
-    return stage(pairs, "pairs"), large.select("band", "x", "count")
+    return stage(pairs, "pairs"), large.select("band", "x", "count", "all_words")
 
 
 def _bands_of(large: DataFrame) -> DataFrame:
@@ -241,6 +246,19 @@ def _bands_of(large: DataFrame) -> DataFrame:
     return large.groupBy("x").agg(F.collect_list("band").alias("bands"))
 
 
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """``band, low, high, block, unit``: the members of keys of many, dealt into blocks and
+    sent to each two blocks."""
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("all_words") / BLOCK_WORDS))
+    dealt = large.withColumns({
+        "block": F.pmod(F.xxhash64("x"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)),
+    })
+    return dealt.select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
+        F.col("x").alias("unit"),
+    )
+
+
 def _texts_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
     """``unit, id, size, several, words`` of the ``wanted`` units."""
     # Texts are picked by their document before anything is computed of them. Four bytes
@@ -261,139 +279,299 @@ def _texts_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(texts.dropDuplicates(["unit"]), "words") if repeated else texts
 
 
-def matching_stretches(found: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
-    """Stretches of at least ``least`` flags, begun and ended by true ones, of which
-    at least ``share`` are true: runs are joined from the left as long as the share
-    holds."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
-    stretches: list[list[int]] = []
-    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        if stretches:
-            last = stretches[-1]
-            if last[2] + end - start >= share * (end - last[0]):
-                last[1], last[2] = end, last[2] + end - start
-                continue
-        stretches.append([start, end, end - start])
-    return [(s, e) for s, e, _ in stretches if e - s >= least]
-
-
-def _best_counterpart(own, theirs, where, found, low, high) -> tuple[float, tuple[int, int]]:
-    """The stretch of the other text most similar to this one, of three: moved by the
-    usual distance of common shingles, by that of the first one, and the whole range
-    in which they first occur (texts that repeat themselves)."""
-    shifts = (where - np.arange(len(own)))[low:high][found[low:high]]
-    usual = int(np.median(shifts))
-    spots = where[low:high][found[low:high]]
-    mine = np.unique(own[low:high])
-    best = (-1.0, (0, 0))
-    for begin, end in {
+class Others:
+    """Shingles of the texts that some texts are compared with, as codes that no two of
+    them share."""
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray) -> None:
+        self.size = len(codes)
+        self.lengths = lengths
+        self.begins = np.cumsum(lengths) - lengths
+        self.places = np.sort(codes * self.size + np.arange(self.size))
+        code, place = np.divmod(self.places, max(1, self.size))
+        repeated = code[1:] == code[:-1]
+        self.repeats = bool(repeated.any())
+        #: The place of the equal shingle before, else -1.
+        self.before = np.full(self.size, -1)
+        self.before[place[1:][repeated]] = place[:-1][repeated]
+
+    def with_each(self, count: int) -> Others:
+        """This one text as the other of ``count`` pairs."""
+        each = copy.copy(self)
+        each.lengths, each.begins = np.repeat(self.lengths, count), np.zeros(count, dtype=np.int64)
+        return each
+
+    def next_places(self, codes: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The first place at ``least`` or behind of every code, or beyond all."""
+        at = np.searchsorted(self.places, codes * self.size + least)
+        place = self.places[np.minimum(at, self.size - 1)] - codes * self.size
+        return np.where((at < self.size) & (place < self.size), place, self.size)
+
+
+def matching_stretches(
+    owner: np.ndarray, begins: np.ndarray, ends: np.ndarray, share: float, least: int
+) -> tuple[np.ndarray, ...]:
+    """``(pair, low, high, run low, run high)`` of the stretches of at least ``least``
+    shingles of which at least ``share`` are common, and their longest runs. The runs of
+    common shingles of every pair are joined from the left as long as the share holds."""
+    counts = np.bincount(owner) if len(owner) else np.zeros(0, dtype=np.int64)
+    firsts = np.cumsum(counts) - counts
+    order = np.argsort(-counts, kind="stable")
+    enough = np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), side="left")
+    # Every pair's last stretch: begin, end, common shingles, its longest run.
+    last = np.zeros((5, len(counts)), dtype=np.int64)
+    done = []
+    for step, many in enumerate(enough.tolist()):
+        pair = order[:many]
+        begin, end = begins[firsts[pair] + step], ends[firsts[pair] + step]
+        low, high, common, run_low, run_high = last[:, pair]
+        joins = (step > 0) & (common + end - begin >= share * (end - low))
+        if step:
+            kept = ~joins & (high - low >= least)
+            done.append((pair[kept], *last[:, pair[kept]]))
+        longer = ~joins | (end - begin > run_high - run_low)
+        last[:, pair] = (
+            np.where(joins, low, begin), end, np.where(joins, common, 0) + end - begin,
+            np.where(longer, begin, run_low), np.where(longer, end, run_high),
+        )
+    kept = np.flatnonzero((last[1] - last[0] >= least) & (counts > 0))
+    done.append((kept, *last[:, kept]))
+    pair, low, high, _, run_low, run_high = (np.concatenate(x) for x in zip(*done))
+    return pair, low, high, run_low, run_high
+
+
+def _middle(values: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The median of every owner's values, without fraction."""
+    firsts = np.cumsum(counts) - counts
+    low, high = np.minimum.reduceat(values, firsts), np.maximum.reduceat(values, firsts)
+    middle = low.astype(float)
+    differ = low < high
+    if differ.any():
+        some = differ[owner]
+        size = counts[differ]
+        first = np.cumsum(size) - size
+        rank = np.repeat(np.arange(len(size)), size)
+        least = int(low.min())
+        span = int(high.max()) - least + 1
+        ordered = np.sort(rank * span + values[some] - least) - rank * span + least
+        middle[differ] = (ordered[first + (size - 1) // 2] + ordered[first + size // 2]) / 2
+    return np.trunc(middle).astype(np.int64)
+
+
+def _best_counterparts(own, begins, before, where, others: Others, pair, low, high):
+    """``(similarity, begin, end)`` of the stretches of the other texts most similar to
+    those given, of three each: moved by the usual distance of common shingles, by that of
+    the first one, and the whole range in which they first occur (texts that repeat
+    themselves)."""
+    counts = high - low
+    at = ranges(begins[pair] + low, counts)
+    owner = np.repeat(np.arange(len(pair)), counts)
+    firsts = np.cumsum(counts) - counts
+    place = where[at]
+    fresh = before[at] < low[owner]
+    there = others.begins[pair]
+    common = place >= 0
+    spots, of = place[common] - there[owner[common]], owner[common]
+    common_counts = np.bincount(of, minlength=len(pair))
+    common_firsts = np.cumsum(common_counts) - common_counts
+    usual = _middle(spots - (at - begins[pair][owner])[common], of, common_counts)
+    first = spots[common_firsts] - low
+    mine = np.add.reduceat(fresh.astype(np.int64), firsts)
+    asked = fresh & common
+    asked_of, asked_place, asked_code = owner[asked], place[asked], own[at[asked]]
+    best = None
+    for begin, end in (
         (low + usual, high + usual),
-        (low + int(shifts[0]), high + int(shifts[0])),
-        (int(spots.min()), int(spots.max()) + 1),
-    }:
-        begin, end = max(0, begin), min(len(theirs), end)
-        other = np.unique(theirs[begin:end])
-        both = len(np.intersect1d(mine, other, assume_unique=True))
-        best = max(best, (both / max(1, len(mine) + len(other) - both), (begin, end)))
+        (low + first, high + first),
+        (np.minimum.reduceat(spots, common_firsts), np.maximum.reduceat(spots, common_firsts) + 1),
+    ):
+        begin, end = np.maximum(0, begin), np.minimum(others.lengths[pair], end)
+        if best is not None and np.array_equal(begin, best[1]) and np.array_equal(end, best[2]):
+            continue
+        theirs = np.maximum(0, end - begin)
+        from_here, to_here = (there + begin)[asked_of], (there + end)[asked_of]
+        found = asked_place
+        if others.repeats:
+            some = ranges(there + begin, theirs)
+            of_some = np.repeat(np.arange(len(pair)), theirs)
+            theirs = np.bincount(of_some[others.before[some] < (there + begin)[of_some]], minlength=len(pair))
+            found = others.next_places(asked_code, from_here)
+        both = np.bincount(asked_of[(found >= from_here) & (found < to_here)], minlength=len(pair))
+        similarity = both / np.maximum(1, mine + theirs - both)
+        if best is None:
+            best = similarity, begin, end
+            continue
+        better = (similarity > best[0]) | (similarity == best[0]) & (
+            (begin > best[1]) | (begin == best[1]) & (end > best[2])
+        )
+        best = tuple(np.where(better, x, y) for x, y in zip((similarity, begin, end), best))
     return best
 
 
-def first_places(own: np.ndarray, theirs: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the other text has each shingle first, and whether it has it at all.
-    ``order`` sorts the other text's shingles, equal ones by place."""
-    at = np.minimum(np.searchsorted(theirs[order], own), len(theirs) - 1)
-    where = order[at]
-    return where, theirs[where] == own
-
-
 def shared_passages(
-    own: np.ndarray, theirs: np.ndarray, where: np.ndarray, found: np.ndarray, share: float, least: int
-) -> list[tuple[int, int, int, int, float]]:
-    """``(start, end, other start, other end, similarity)`` in words of the passages
-    that two texts, given as shingles, share. The similarity is that of the two
-    stretches' sets of shingles; if a stretch as a whole falls short, its longest run
-    of common shingles may still do."""
+    own: np.ndarray, lengths: np.ndarray, before: np.ndarray, where: np.ndarray, others: Others,
+    share: float, least: int,
+) -> tuple[np.ndarray, ...]:
+    """``(pair, start, end, other start, other end, similarity)`` in words of the passages
+    that pairs of texts share. ``own`` has the shingles of the first texts, ``before`` where
+    in its text the equal one before is, ``where`` the first place of each in the other
+    text, else -1. The similarity is that of the two stretches' sets of shingles; if a
+    stretch as a whole falls short, its longest run of common shingles may still do."""
     width = least - WORDS + 1
+    begins = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    found = where >= 0
+    follows = np.zeros(len(own), dtype=bool)
+    follows[1:] = found[:-1] & (owner[1:] == owner[:-1])
+    opens = np.flatnonzero(found & ~follows)
+    goes_on = np.zeros(len(own), dtype=bool)
+    goes_on[:-1] = found[1:] & follows[1:]
+    closes = np.flatnonzero(found & ~goes_on) + 1
+    of = owner[opens]
+    pair, low, high, run_low, run_high = matching_stretches(of, opens - begins[of], closes - begins[of], share, width)
     passages = []
-    for start, end in matching_stretches(found, share, width):
-        flags = found[start:end]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-        longest = int(np.argmax(edges[1::2] - edges[::2]))
-        run = (start + int(edges[2 * longest]), start + int(edges[2 * longest + 1]))
-        for low, high in ((start, end), run):
-            if high - low < width:
-                continue
-            similarity, there = _best_counterpart(own, theirs, where, found, low, high)
-            if similarity >= share:
-                passages.append(
-                    (low, high + WORDS - 1, there[0], there[1] + WORDS - 1, similarity)
-                )
-                break
-    return passages
-
-
-def _shared_by_two(mine, theirs, own, others, order, share: float, least: int) -> list[tuple]:
-    """``shared_passages`` of two texts given as words and as shingles."""
-    if np.array_equal(mine, theirs):
-        return [(0, len(mine), 0, len(mine), 1.0)]
-    where, found = first_places(own, others, order)
-    return shared_passages(own, others, where, found, share, least)
+    for _ in range(2):
+        if len(pair):
+            similarity, begin, end = _best_counterparts(own, begins, before, where, others, pair, low, high)
+            good = similarity >= share
+            passages.append(tuple(x[good] for x in (pair, low, high, begin, end, similarity)))
+            rest = ~good & (run_high - run_low >= width)
+            pair, low, high, run_low, run_high = (x[rest] for x in (pair, run_low, run_high, run_low, run_high))
+    columns = (np.concatenate(x) for x in zip(*passages)) if passages else np.zeros((6, 0), dtype=np.int64)
+    pair, low, high, begin, end, similarity = columns
+    return pair, low, high + WORDS - 1, begin, end + WORDS - 1, similarity
+
+
+def _before(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where in its text the equal code before is, else -1."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((owner, codes))
+    repeated = (codes[order][1:] == codes[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    before = np.full(len(codes), -1)
+    before[order[1:][repeated]] = (order[:-1] - (np.cumsum(lengths) - lengths)[owner[order[:-1]]])[repeated]
+    return before
 
 
 class _Found:
-    """Passages of units with their partners so far. Partners of documents with several
-    texts, and such partners, could count twice: they are rows by ``once``."""
-
-    schema = "id long, start int, end int, once long, other_id long, similarity double, n long"
-
-    def __init__(self) -> None:
-        self.rows: dict[tuple, tuple] = {}
+    """Passages of units that overlap are one, with the number of its partners so far. A
+    partner with passages in several is taken off again where those turn out to be one: a row
+    with ``upto`` counts if the passage reaches beyond it. Partners of documents with
+    several texts, and such partners, could count twice: they are rows by ``once``."""
 
-    def add(self, mine: tuple, theirs: tuple, passages: list[tuple]) -> None:
-        """``mine`` and ``theirs``: the units' ``id, size, several``."""
-        for (name, _, a), (other, size, b), at in ((mine, theirs, 0), (theirs, mine, 2)):
-            once = other if a or b else None
-            best: dict[tuple, float] = {}
-            for passage in passages:
-                stretch = passage[at : at + 2]
-                best[stretch] = max(best.get(stretch, 0.0), passage[4])
-            for (start, end), similarity in best.items():
-                key = (name, start, end, once)
-                low, high, n = self.rows.get(key, (other, 0.0, 0))
-                n = size if once is not None else n + size
-                self.rows[key] = (min(low, other), max(high, similarity), n)
-
-    def batch(self) -> pa.RecordBatch:
-        columns = list(zip(*(key + row for key, row in self.rows.items()))) or [[]] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        names = [field.split()[0] for field in self.schema.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-
-def _unit_columns(table) -> list[tuple]:
-    return list(zip(*(table.column(c).to_pylist() for c in ("id", "size", "several"))))
+    schema = (
+        "unit long, id long, start int, end int, once long, upto int, other_id long, similarity double, n long"
+    )
+    #: Passages held before they are merged.
+    HELD = 500_000
+
+    def __init__(self, table: pa.Table) -> None:
+        self.units, one, self.row = np.unique(
+            table.column("unit").to_numpy(), return_index=True, return_inverse=True
+        )
+        self.ids, self.sizes, self.several = (table.column(c).to_numpy()[one] for c in ("id", "size", "several"))
+        self.held: list[tuple] = []
+        self.count = 0
+        self.batches: list[pa.RecordBatch] = []
+
+    def add(self, mine: np.ndarray, theirs: np.ndarray, passages: tuple[np.ndarray, ...]) -> None:
+        """Passages of the rows ``mine`` and ``theirs`` of the table, all of two at once."""
+        _, start, end, other_start, other_end, similarity = passages
+        mine, theirs = self.row[mine], self.row[theirs]
+        self.held += [(mine, start, end, theirs, similarity), (theirs, other_start, other_end, mine, similarity)]
+        self.count += 2 * len(start)
+        if self.count > self.HELD:
+            self._merge()
+
+    def _merge(self) -> None:
+        unit, start, end, other, similarity = (
+            np.concatenate(x) for x in zip(*self.held)
+        ) if self.held else [np.zeros(0, dtype=np.int64)] * 5
+        self.held, self.count = [], 0
+        once = self.several[unit] | self.several[other]
+        alone = [x[once] for x in (unit, start, end, other, similarity)]
+        self._emit(*alone[:3], self.ids[alone[3]], None, self.ids[alone[3]], alone[4], self.sizes[alone[3]])
+        order = np.lexsort((start[~once], unit[~once]))
+        unit, start, end, other, similarity = (x[~once][order] for x in (unit, start, end, other, similarity))
+        if not len(unit):
+            return
+        span = int(end.max()) + 1
+        reach = np.maximum.accumulate(unit * span + end)
+        fresh = np.ones(len(unit), dtype=bool)
+        fresh[1:] = unit[1:] * span + start[1:] >= reach[:-1]
+        firsts = np.flatnonzero(fresh)
+        group = np.cumsum(fresh) - 1
+        of, low = unit[firsts], start[firsts]
+        high = np.append(reach[firsts[1:] - 1], reach[-1]) - of * span
+        least, most = np.minimum.reduceat(self.ids[other], firsts), np.maximum.reduceat(similarity, firsts)
+        # Every partner of a passage once, in the order of the unit's passages.
+        order = np.lexsort((group, other, unit))
+        group, other = group[order], other[order]
+        fresh[1:] = (group[1:] != group[:-1]) | (other[1:] != other[:-1])
+        fresh[:1] = True
+        group, other = group[fresh], other[fresh]
+        n = np.bincount(group, self.sizes[other])
+        self._emit(of, low, high, None, None, least, most, n)
+        more = np.flatnonzero((other[1:] == other[:-1]) & (of[group[1:]] == of[group[:-1]]))
+        both, at = np.unique(group[more] * len(firsts) + group[more + 1], return_inverse=True)
+        n = np.bincount(at, self.sizes[other[more]], len(both))
+        here, there = np.divmod(both, len(firsts))
+        self._emit(of[here], low[here], high[here], None, low[there], least[here], most[here], -n)
+
+    def _emit(self, unit, start, end, once, upto, other_id, similarity, n) -> None:
+        columns = (self.units[unit], self.ids[unit], start, end, once, upto, other_id, similarity, n)
+        kinds = [field.split() for field in self.schema.split(", ")]
+        types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        self.batches.append(pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(len(unit), types[kind]) if c is None else pa.array(c.astype(types[kind].to_pandas_dtype()))
+                for c, (_, kind) in zip(columns, kinds)
+            ],
+            [name for name, _ in kinds],
+        ))
+
+    def table(self) -> pa.Table:
+        self._merge()
+        return pa.Table.from_batches(self.batches)
+
+
+#: Shingles of pairs compared at once.
+COMPARED = 200_000
 
 
 def _in_pairs(share: float, least: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _Found()
-            units = [
-                list(zip(*(batch.column(f"{side}_{c}").to_pylist() for c in ("id", "size", "several"))))
+            sides = [
+                pa.RecordBatch.from_arrays(
+                    [batch.column(f"{side}{c}") for c in ("", "_id", "_size", "_several")],
+                    ["unit", "id", "size", "several"],
+                )
                 for side in "xy"
             ]
+            found = _Found(pa.Table.from_batches(sides))
             words = [list_parts(batch.column(f"{side}_words")) for side in "xy"]
             ends = [np.cumsum(lengths) for _, lengths in words]
-            for i, (x, y) in enumerate(zip(*units)):
-                mine, theirs = (
-                    values[end[i] - lengths[i] : end[i]].astype(np.int64)
+            for part in chunks_of(words[0][1] + words[1][1], 0, COMPARED):
+                sizes = np.concatenate([lengths[part] for _, lengths in words])
+                parts = [
+                    values[end[part.start] - lengths[part.start] : end[part.stop - 1]]
                     for (values, lengths), end in zip(words, ends)
+                ]
+                hashes, counts = shingles(np.concatenate(parts).astype(np.int64), sizes)
+                size = part.stop - part.start
+                pair = np.repeat(np.tile(np.arange(size), 2), counts)
+                # Shingles of two pairs are two.
+                kinds, codes = np.unique(mix(hashes + mix(pair)), return_inverse=True)
+                mine = int(counts[:size].sum())
+                first = np.full(len(kinds), -1)
+                first[codes[mine:][::-1]] = np.arange(len(codes) - mine)[::-1]
+                passages = shared_passages(
+                    codes[:mine], counts[:size], _before(codes[:mine], counts[:size]), first[codes[:mine]],
+                    Others(codes[mine:], counts[size:]), share, least,
                 )
-                both, counts = shingles(np.concatenate([mine, theirs]), np.array([len(mine), len(theirs)]))
-                own, others = both[: counts[0]], both[counts[0] :]
-                order = np.argsort(others, kind="stable")
-                found.add(x, y, _shared_by_two(mine, theirs, own, others, order, share, least))
-            yield found.batch()
+                at = passages[0] + part.start
+                found.add(at, at + batch.num_rows, passages)
+            yield from found.table().to_batches()
 
     return verify
 
@@ -406,47 +584,74 @@ def _compare(share: float, least: int):
         table = table.combine_chunks()
         band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
         block, ids = (table.column(c).to_numpy() for c in ("block", "id"))
-        units = _unit_columns(table)
+        found = _Found(table)
         bands, counts = list_parts(table.column("bands").chunk(0))
         values, lengths = list_parts(table.column("words").chunk(0))
-        size = len(units)
+        size = len(ids)
         # Two that share a lower key are compared there.
         kinds, kind = np.unique(bands, return_inverse=True)
         has = np.zeros((size, len(kinds)), dtype=np.float32)
         has[np.repeat(np.arange(size), counts), kind] = kinds[kind] < band
-        words = np.split(values.astype(np.int64), np.cumsum(lengths)[:-1])
         hashes, sizes = shingles(values.astype(np.int64), lengths)
-        each = np.split(hashes, np.cumsum(sizes)[:-1])
-        # Shingles that stand in the block only once say nothing.
-        kinds, codes, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        common = times[codes] > 1
-        codes, owner = codes[common], np.repeat(np.arange(size), sizes)[common]
-        held = np.zeros(len(kinds), dtype=bool)
-        found = _Found()
+        kinds, codes = np.unique(hashes, return_inverse=True)
+        begins = np.cumsum(sizes) - sizes
+        before = _before(codes, sizes)
+        first = np.full(len(kinds), -1)
         for theirs in range(size):
             asked = (ids > ids[theirs]) & ((low == high) | (block != block[theirs]))
             asked &= has @ has[theirs] == 0
-            if not asked.any():
+            rows = np.flatnonzero(asked)
+            if not len(rows):
                 continue
-            own = codes[owner == theirs]
-            held[own] = True
-            both = np.bincount(owner[held[codes]], minlength=size)
-            held[own] = False
-            order = np.argsort(each[theirs], kind="stable")
-            for mine in np.flatnonzero(asked & (both >= needed)).tolist():
-                found.add(
-                    units[mine], units[theirs],
-                    _shared_by_two(words[mine], words[theirs], each[mine], each[theirs], order, share, least),
+            other = codes[begins[theirs] : begins[theirs] + sizes[theirs]]
+            first[other[::-1]] = np.arange(len(other))[::-1]
+            others = Others(other, sizes[theirs : theirs + 1])
+            for part in chunks_of(sizes[rows], 0, COMPARED):
+                mine = rows[part]
+                at = ranges(begins[mine], sizes[mine])
+                common = np.add.reduceat(first[codes[at]] >= 0, np.cumsum(sizes[mine]) - sizes[mine], dtype=np.int64)
+                mine = mine[common >= needed]
+                if not len(mine):
+                    continue
+                at = ranges(begins[mine], sizes[mine])
+                passages = shared_passages(
+                    codes[at], sizes[mine], before[at], first[codes[at]], others.with_each(len(mine)), share, least
                 )
-        return pa.Table.from_batches([found.batch()])
+                found.add(mine[passages[0]], np.full(len(passages[0]), theirs), passages)
+            first[other] = -1
+        return found.table()
 
     return compare
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """``id, start, end, other_id, similarity, n_partners`` of the passages of units, those
+    that overlap as one."""
+    before = Window.partitionBy("unit").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")
+    group = F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    all_of = Window.partitionBy("unit", "group")
+    summed = found.groupBy("unit", "id", "start", "end", "once", "upto").agg(
+        F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"),
+        F.when(F.col("once").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"),
+    )
+    placed = summed.withColumn("fresh", fresh).withColumn("group", group).withColumns(
+        {"start": F.min("start").over(all_of), "end": F.max("end").over(all_of)}
+    ).withColumn("n", F.when(F.col("upto") >= F.col("end"), 0).otherwise(F.col("n")))
+    return placed.groupBy("id", "start", "end", "once").agg(
+        F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"),
+        F.when(F.col("once").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"),
+    ).groupBy("id", "start", "end").agg(
+        F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"), F.sum("n").alias("n_partners")
+    )
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """One row per passage: ``doc_id, start, end`` (words, end exclusive),
-    ``other_id`` (the smallest document that shares it), ``similarity`` (the best)
-    and ``n_partners`` (the number of documents that share it)."""
+    """One row per passage, those of a text that overlap being one: ``doc_id, start, end``
+    (words, end exclusive), ``other_id`` (the smallest document that shares some of it),
+    ``similarity`` (the best) and ``n_partners`` (the number of documents that share some
+    of it)."""
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).filter("doc_id is not null")
@@ -462,26 +667,18 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, share: float = SHARE)
     of_x, of_y = (
         texts.toDF(*(side if c == "unit" else f"{side}_{c}" for c in texts.columns)) for side in "xy"
     )
-    both = pairs.join(of_x, "x").join(of_y, "y").drop("x", "y")
+    both = pairs.join(of_x, "x").join(of_y, "y")
     verified = both.mapInArrow(_in_pairs(share, least), _Found.schema)
-    sent = in_blocks(large).withColumnRenamed("node", "unit")
-    full = sent.join(_bands_of(large).withColumnRenamed("x", "unit"), "unit").join(texts, "unit")
+    full = _in_blocks(large).join(_bands_of(large).withColumnRenamed("x", "unit"), "unit").join(texts, "unit")
     blocks = full.groupBy("band", "low", "high").applyInArrow(_compare(share, least), _Found.schema)
     found = stage(verified, "found").unionByName(stage(blocks, "found"))
     # Equal texts share all of it.
     whole = units.filter("size > 1").select(
-        "id", F.lit(0).alias("start"), F.col("n_words").alias("end"), F.lit(None).cast("long").alias("once"),
-        F.lit(None).cast("long").alias("other_id"), F.lit(1.0).alias("similarity"), (F.col("size") - 1).alias("n"),
-    )
-    passages = stage(
-        found.unionByName(whole).groupBy("id", "start", "end", "once").agg(
-            F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"),
-            F.when(F.col("once").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"),
-        ).groupBy("id", "start", "end").agg(
-            F.min("other_id").alias("other_id"), F.max("similarity").alias("similarity"), F.sum("n").alias("n_partners")
-        ),
-        "passages",
+        "unit", "id", F.lit(0).alias("start"), F.col("n_words").alias("end"), F.lit(None).cast("long").alias("once"),
+        F.lit(None).cast("int").alias("upto"), F.lit(None).cast("long").alias("other_id"),
+        F.lit(1.0).alias("similarity"), (F.col("size") - 1).alias("n"),
     )
+    passages = stage(_merged(found.unionByName(whole)), "passages")
     return _of_documents(passages, units, copies)
 
 

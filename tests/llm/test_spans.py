@@ -207,6 +207,96 @@ def test_every_two_texts_that_share_a_passage_are_partners(spark):
         assert (row["other_id"], row["n_partners"], row["similarity"]) == (200 + (i == 0), 79, 1.0)
 
 
+def test_overlapping_passages_are_one_row_with_every_partner_once(spark):
+    """Near copies leave a row or two of each text, not one for every partner, also where
+    they meet in blocks of a few texts, in which a partner's passages are apart at first."""
+    rng = random.Random(10)
+
+    def unique(n):
+        return [f"u{rng.randrange(10**12)}" for _ in range(n)]
+
+    left, right = unique(60), unique(60)
+    rows = [(0, left + right), (1, left + unique(30) + right), (2, unique(9) + left[-30:] + right[:30])]
+    base = unique(300)
+    for i in range(90):
+        at, size = rng.randrange(60, 200), rng.randrange(1, 40)
+        rows.append((100 + i, base[:at] + unique(size) + base[at + size :]))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["start"], r["end"]): r for r in passages.repeated_passages(docs).collect()}
+
+    assert (found[0, 0, 120]["other_id"], found[0, 0, 120]["n_partners"]) == (1, 2)
+    assert all(found[1, *ends]["n_partners"] == 1 for ends in ((0, 60), (90, 150)))
+    near = {k: r for k, r in found.items() if k[0] >= 100}
+    assert len(near) <= 2 * 90
+    whole = [r for (_, start, end), r in near.items() if (start, end) == (0, 300)]
+    assert whole and all(r["n_partners"] == 89 for r in whole)
+
+
+def test_shared_passages_are_those_of_plain_python():
+    """Also where words repeat, so that shingles stand in a text more than once."""
+    rng = random.Random(11)
+    for _ in range(40):
+        pairs = []
+        for _ in range(6):
+            base = [rng.randrange(rng.choice((2, 10**9))) for _ in range(rng.randrange(60, 200))]
+            other = list(base)
+            for _ in range(rng.randrange(4)):
+                at, size = rng.randrange(50), rng.randrange(1, 30)
+                other[at : at + rng.randrange(2) * size] = rng.choice(([], base[:size], [rng.randrange(10**9)]))
+            pairs.append((base, other + base[:40]))
+        sides = [[list(zip(*(w[i:] for i in range(5)))) for w in side] for side in zip(*pairs)]
+        codes = {s: i for i, s in enumerate({(p, x) for side in sides for p, t in enumerate(side) for x in t})}
+        own, others = (
+            np.array([codes[p, x] for p, t in enumerate(side) for x in t]) for side in sides
+        )
+        own_sizes, other_sizes = (np.array([len(t) for t in side]) for side in sides)
+        first = np.full(len(codes), -1)
+        first[others[::-1]] = np.arange(len(others))[::-1]
+        found = passages.shared_passages(
+            own, own_sizes, passages._before(own, own_sizes), first[own], passages.Others(others, other_sizes), 0.8, 50
+        )
+        expected = [(p, *row) for p, (a, b) in enumerate(zip(*sides)) for row in plain_passages(a, b)]
+        assert sorted(zip(*(x.tolist() for x in found))) == sorted(expected)
+
+
+def plain_passages(own, theirs):
+    """``start, end, other start, other end, similarity`` of texts given as shingles."""
+    where = [theirs.index(x) if x in theirs else None for x in own]
+    runs, stretches = [], []
+    for i, at in enumerate(where):
+        if at is not None and i and where[i - 1] is not None:
+            runs[-1][1] = i + 1
+        elif at is not None:
+            runs.append([i, i + 1])
+    for start, end in runs:
+        last = stretches[-1] if stretches else None
+        if last and sum(e - s for s, e in last) + end - start >= 0.8 * (end - last[0][0]):
+            last.append((start, end))
+        else:
+            stretches.append([(start, end)])
+    rows = []
+    for stretch in stretches:
+        longest = max(stretch, key=lambda r: (r[1] - r[0], -r[0]))
+        if stretch[-1][1] - stretch[0][0] < 46:
+            continue
+        for low, high in ((stretch[0][0], stretch[-1][1]), longest):
+            if high - low < 46:
+                continue
+            spots = [where[i] for i in range(low, high) if where[i] is not None]
+            usual = int(np.median([where[i] - i for i in range(low, high) if where[i] is not None]))
+            best = (-1.0, 0, 0)
+            for begin, end in (
+                (low + usual, high + usual), (where[low], where[low] + high - low), (min(spots), max(spots) + 1)
+            ):
+                begin, end = max(0, begin), min(len(theirs), end)
+                a, b = set(own[low:high]), set(theirs[begin:end])
+                best = max(best, (len(a & b) / len(a | b), begin, end))
+            if best[0] >= 0.8:
+                rows.append((low, high + 4, best[1], best[2] + 4, best[0]))
+                break
+    return rows
+
+
 def test_passages_have_so_many_words_in_common():
     assert passages.common_words(50, 0.8) == 23
     assert passages.common_words(50, 1.0) == 50
