@@ -221,14 +221,14 @@ def _units(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _candidates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All two units that share a key: pairs ``x, y`` (of the larger ``id`` first), and
-    ``band, x, count, all_words`` of the keys of many, where all of a ``band`` are to be compared."""
+    ``band, x, count, n_words`` of the keys of many, where all of a ``band`` are to be compared."""
     every = units.select(F.explode("keys").alias("band"), F.col("unit").alias("x"), "id", "n_words")
     counted = every.groupBy("band").agg(
-        F.count("*").alias("count"), F.sum("n_words").alias("all_words"), F.bit_xor("x").alias("who"), F.bit_xor(F.xxhash64("x")).alias("also")
+        F.count("*").alias("count"), F.bit_xor("x").alias("who"), F.bit_xor(F.xxhash64("x")).alias("also")
     ).filter("count > 1")
     # Keys of the same units are one.
-    one = counted.groupBy("count", "all_words", "who", "also").agg(F.min("band").alias("band"))
-    kept = stage(one.select("band", "count", "all_words"), "kept")
+    one = counted.groupBy("count", "who", "also").agg(F.min("band").alias("band"))
+    kept = stage(one.select("band", "count"), "kept")
     shared = stage(every.join(_light(kept), "band"), "shared")
     few, large = (shared.filter(f"count {sign} {IN_PAIRS}") for sign in ("<=", ">"))
     others = few.select("band", F.col("x").alias("y"), F.col("id").alias("of_y"))
@@ -238,7 +238,7 @@ def _candidates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
         of_x, of_y = (_bands_of(large).toDF(c, f"bands_{c}") for c in "xy")
         apart = ~F.coalesce(F.arrays_overlap("bands_x", "bands_y"), F.lit(False))
         pairs = pairs.join(of_x, "x", "left").join(of_y, "y", "left").filter(apart).select("x", "y")
-    return stage(pairs, "pairs"), large.select("band", "x", "count", "all_words")
+    return stage(pairs, "pairs"), large.select("band", "x", "count", "n_words")
 
 
 def _bands_of(large: DataFrame) -> DataFrame:
@@ -249,8 +249,9 @@ def _bands_of(large: DataFrame) -> DataFrame:
 def _in_blocks(large: DataFrame) -> DataFrame:
     """``band, low, high, block, unit``: the members of keys of many, dealt into blocks and
     sent to each two blocks."""
+    sizes = large.groupBy("band").agg(F.sum("n_words").alias("all_words"))
     blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("all_words") / BLOCK_WORDS))
-    dealt = large.withColumns({
+    dealt = large.join(_light(sizes), "band").withColumns({
         "block": F.pmod(F.xxhash64("x"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)),
     })
     return dealt.select(
