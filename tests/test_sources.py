@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from fieldtally.operators.tallies import stack
 from fieldtally.plans import sensors
 from fieldtally.plans.build import survey_tally
 from fieldtally.plans.surveys import SURVEYS
+from fieldtally.catalogue import queries
+from fieldtally.sources import pages
 from fieldtally.sources.pages import all_lines, html_tables, lines_of, page_tables, table_at
 from fieldtally.sources.staging import stage
 from fieldtally.sources.tables import (
@@ -311,3 +314,22 @@ def test_nested_tables_keep_their_own_cells():
     )
     assert [line["cells"] for line in outer["lines"]] == [["ac", "d"]]
     assert [line["cells"] for line in inner["lines"]] == [["b"]]
+
+
+def test_long_tables_go_back_few_pages_at_a_time():
+    texts = [f"<table>{'<tr><td>x</td><td>y</td></tr>' * 1000}</table>", "", None] * 40
+    portions = list(pages._portions(pa.array(texts, pa.string()), 10))
+    cells = [sum(t["width"] * len(t["lines"]) for page in p.to_pylist() for t in page) for p in portions]
+    assert len(portions) > 2 and max(cells) < pages.OUTPUT_CELLS + 2000
+    assert [len(page) for p in portions for page in p.to_pylist()] == [1, 0, 0] * 40
+
+
+def test_wide_pages_are_made_after_suppliers_are_dealt_out(spark, tmp_path, frame):
+    suppliers = [(k, f"s{k}") for k in range(2 * queries.WIDE_PAGES + 1)]
+    frame("s_suppkey long, s_name string", *suppliers).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = queries.QUERIES["wide_spans"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.split("RoundRobinPartitioning(")[1]
+    assert int(dealt.split(")")[0]) == max(3, spark.sparkContext.defaultParallelism)
+    assert "concat(" not in dealt.split("Scan parquet")[0] and "concat(" in plan
+    assert found.filter("width = 2 AND n_lines = 1500 AND least_cell = concat('s', s_suppkey)").count() == len(suppliers)
