@@ -9,13 +9,14 @@ even one, as the reference point says. Edges elsewhere are never looked at."""
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.operators.lookups import left_lookup
-from fieldtally.sources.staging import stage
+from fieldtally.sources.staging import stage, tidy, unstage
 
 # Cells are powers of this wide, so that polygons of similar size share a grid.
 STEP = 4.0
@@ -24,13 +25,56 @@ STEP = 4.0
 REFERENCE = (sqrt(2.0) - 1.0, sqrt(3.0) - 1.0)
 # Rounding must not lose a cell at an edge's rim: parts of a cell and of a coordinate.
 RIM = (1e-9, 1e-12)
+# Rings of up to so many points are each closed by one task.
+RING_POINTS = 100_000
+# A larger layer is tested in parts of about so many edges, one after the other.
+PART_EDGES = 20_000_000
+# Cells (some 40 bytes each) that may be broadcast.
+BROADCAST_CELLS = 100_000
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
     """Edges of polygon rings given as ``poly_id, ring_id, seq, x, y`` with
     consecutive ``seq``. A ring may repeat its first point at the end or not.
-    Points meet their successors in an equi-join, so a ring of any length is
-    spread over all tasks."""
+    Building the plan runs one job, which looks how far apart numbers are at most: rings
+    that can only be short are sorted, so every point is shuffled once. Otherwise points
+    meet their successors in an equi-join, so a ring of any length is spread over all
+    tasks."""
+    span = rings.agg(F.max("seq") - F.min("seq")).first()[0]
+    short = span is None or span < RING_POINTS
+    linked = _sorted_points(rings) if short else _joined_points(rings)
+    return linked.select(
+        "poly_id",
+        F.col("x").alias("x1"),
+        F.col("y").alias("y1"),
+        F.col("target.x").alias("x2"),
+        F.col("target.y").alias("y2"),
+    ).filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+
+
+def _no_successor() -> Column:
+    return F.raise_error(F.lit("ring points are not numbered consecutively"))
+
+
+def _sorted_points(rings: DataFrame) -> DataFrame:
+    """Points with their ``target``, in rows of their own where a number repeats."""
+    along = Window.partitionBy("poly_id", "ring_id").orderBy("seq")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    point = F.struct("x", "y")
+    following = F.col("following")
+    targets = F.when(F.col("seq") == F.col("last_seq"), F.array("opening")).otherwise(
+        F.when(F.size(following) > 0, following).otherwise(
+            _no_successor().cast("array<struct<x:double,y:double>>")
+        )
+    )
+    return rings.withColumns({
+        "following": F.collect_list(point).over(along.rangeBetween(1, 1)),
+        "last_seq": F.max("seq").over(whole),
+        "opening": F.min_by(point, "seq").over(whole),
+    }).select("poly_id", "x", "y", F.explode(targets).alias("target"))
+
+
+def _joined_points(rings: DataFrame) -> DataFrame:
     ring = ["poly_id", "ring_id"]
     following = rings.select(
         *ring, (F.col("seq") - 1).alias("seq"), F.struct("x", "y").alias("following")
@@ -39,21 +83,10 @@ def ring_edges(rings: DataFrame) -> DataFrame:
         F.max("seq").alias("last_seq"), F.min_by(F.struct("x", "y"), "seq").alias("opening")
     )
     linked = left_lookup(left_lookup(rings, following, [*ring, "seq"]), ends, ring)
-    gap = F.raise_error(F.lit("ring points are not numbered consecutively"))
     target = F.when(F.col("seq") == F.col("last_seq"), F.col("opening")).otherwise(
-        F.coalesce("following", gap.cast("struct<x:double,y:double>"))
-    )
-    return (
-        linked.withColumn("target", target)
-        .select(
-            "poly_id",
-            F.col("x").alias("x1"),
-            F.col("y").alias("y1"),
-            F.col("target.x").alias("x2"),
-            F.col("target.y").alias("y2"),
-        )
-        .filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+        F.coalesce("following", _no_successor().cast("struct<x:double,y:double>"))
     )
+    return linked.select("poly_id", "x", "y", target.alias("target"))
 
 
 def cell_width(level: Column) -> Column:
@@ -67,11 +100,29 @@ def cell_of(value: Column, level: Column) -> Column:
 def polygon_levels(edges: DataFrame) -> DataFrame:
     """``poly_id, level``: cells so wide that neither the polygon's box nor its edges
     reach many more cells than it has edges."""
-    wide = F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))
-    high = F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))
+    return polygon_boxes(edges).select("poly_id", "level")
+
+
+def polygon_boxes(edges: DataFrame) -> DataFrame:
+    """The levels of polygons with their boxes ``x0, y0, x1, y1``, which reach few cells
+    of their own ``box_level``."""
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    width = F.greatest(F.sqrt(wide * high / F.col("edges")), F.col("length") / F.col("edges"))
     length = F.sum(F.abs(F.col("x1") - F.col("x2")) + F.abs(F.col("y1") - F.col("y2")))
-    width = F.greatest(F.sqrt(wide * high / F.count("*")), length / F.count("*"))
-    return edges.groupBy("poly_id").agg(F.round(F.log(STEP, width)).cast("int").alias("level"))
+    sums = edges.groupBy("poly_id").agg(
+        F.min(F.least("x1", "x2")).alias("x0"),
+        F.min(F.least("y1", "y2")).alias("y0"),
+        F.max(F.greatest("x1", "x2")).alias("x1"),
+        F.max(F.greatest("y1", "y2")).alias("y1"),
+        length.alias("length"),
+        F.count("*").alias("edges"),
+    )
+    return sums.select(
+        "poly_id",
+        F.round(F.log(STEP, width)).cast("int").alias("level"),
+        F.ceil(F.log(STEP, F.greatest(wide, high))).cast("int").alias("box_level"),
+        "x0", "y0", "x1", "y1",
+    )
 
 
 def edge_cells(edges: DataFrame) -> DataFrame:
@@ -109,12 +160,20 @@ def edge_cells(edges: DataFrame) -> DataFrame:
     )
 
 
-def cell_index(edges: DataFrame, finer: int = 0) -> DataFrame:
+def cell_index(edges: DataFrame, finer: int = 0, levels: DataFrame | None = None) -> DataFrame:
     """Cells of polygons: ``poly_id, level, cy, cx, odd, edges``. ``odd`` tells whether the
     reference point is inside; cells wholly inside have no edges, cells wholly outside
-    are not listed. ``finer`` levels below those of ``polygon_levels``."""
-    levels = polygon_levels(edges).withColumn("level", F.col("level") - finer)
-    reached = edge_cells(left_lookup(edges, levels, ["poly_id"]))
+    are not listed. ``finer`` levels below those of ``polygon_levels``, or polygons with
+    their ``levels``, where not all are wanted. One shuffle brings the rows of cells
+    together, for their cells' edges and for the sum along the row."""
+    if levels is None:
+        levels = polygon_levels(edges).withColumn("level", F.col("level") - finer)
+        levelled = left_lookup(edges, levels, ["poly_id"])
+    else:
+        own = levels.withColumnRenamed("poly_id", "__poly_id")
+        same = F.col("poly_id").eqNullSafe(F.col("__poly_id"))
+        levelled = edges.join(own, same).drop("__poly_id")
+    reached = edge_cells(levelled).repartition("poly_id", "level", "cy")
     reference = (F.col("cy") + F.lit(REFERENCE[1])) * F.col("width")
     passes = (F.col("y1") > reference) != (F.col("y2") > reference)
     crossing = F.col("x1") + (reference - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(
@@ -159,11 +218,20 @@ def inside(points: DataFrame, edges: DataFrame) -> DataFrame:
     the points are not touched otherwise. Where they do not, each distinct place is
     looked up once per size. Either way a place is tested until the first polygon that
     covers it, however many do: the more polygons lie over each other, the earlier that
-    one is met. The edges are written once."""
-    edges = stage(edges, "edges")
-    levels = [r["level"] for r in polygon_levels(edges).select("level").distinct().collect()]
+    one is met. The edges are written once.
+
+    Layers of more than PART_EDGES edges are tested part by part, so that the cells of one
+    part are on disk at a time. A part meets the places that no earlier part covers, and
+    only those of its polygons with such a place near their box."""
+    with tidy(points.sparkSession):
+        edges = stage(edges, "edges")
+        found = polygon_boxes(edges).select("level", "box_level").distinct().collect()
+    levels = sorted({r["level"] for r in found})
     if not levels:
         return points.limit(0)
+    parts = -(-edges.count() // PART_EDGES)
+    if parts > 1:
+        return _inside_by_parts(points, edges, parts, levels, sorted({r["box_level"] for r in found}))
     index = _renamed(cell_index(edges))
     if len(levels) == 1:
         keyed = points.withColumns(_keys(points, F.lit(levels[0])))
@@ -176,6 +244,60 @@ def inside(points: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.join(covered, "__place", "left_semi").drop("__place")
 
 
+def _inside_by_parts(
+    points: DataFrame, edges: DataFrame, parts: int, levels: list[int], box_levels: list[int]
+) -> DataFrame:
+    """``inside`` for a written layer, which is divided and in the end deleted."""
+    spark = points.sparkSession
+    placed = points.withColumn("__place", place_key(points))
+    own = F.pmod(F.xxhash64("poly_id"), F.lit(parts)).cast("int")
+    covered = []
+    with tidy(spark):
+        divided = stage(edges.withColumn("__part", own), "parts", by="__part")
+        unstage(spark, edges)
+        bare = stage(distinct_places(placed), "bare")
+        for part in range(parts):
+            of_part = divided.filter(F.col("__part") == part).drop("__part")
+            occupied = stage(_occupied(bare, box_levels), "occupied")
+            near = _near(polygon_boxes(of_part), occupied)
+            index = _renamed(cell_index(of_part, levels=near))
+            met = _asked(bare, levels).join(index, _met(), "left_semi")
+            covered.append(stage(met.select("__place").distinct(), "covered"))
+            rest = stage(bare.join(covered[-1], "__place", "left_anti"), "bare")
+            unstage(spark, bare, occupied)
+            bare = rest
+            if not bare.count():
+                break
+        unstage(spark, bare, divided)
+    return placed.join(reduce(DataFrame.union, covered), "__place", "left_semi").drop("__place")
+
+
+def _occupied(places: DataFrame, levels: list[int]) -> DataFrame:
+    """The cells of each level that hold a place."""
+    return _asked(places, levels).select(
+        F.col("__asked").alias("box_level"),
+        F.col("__point_cx").alias("cx"),
+        F.col("__point_cy").alias("cy"),
+    ).distinct()
+
+
+def _near(boxes: DataFrame, occupied: DataFrame) -> DataFrame:
+    """``poly_id, level`` of the polygons whose box reaches an occupied cell."""
+    few = F.broadcast(occupied) if occupied.count() <= BROADCAST_CELLS else occupied
+    level = F.col("box_level")
+    size = F.greatest(*[F.abs(F.col(c)) for c in ("x0", "y0", "x1", "y1")])
+    rim = cell_width(level) * RIM[0] + size * RIM[1]
+    reach = [
+        F.sequence(cell_of(F.col(f"{c}0") - rim, level), cell_of(F.col(f"{c}1") + rim, level))
+        for c in ("x", "y")
+    ]
+    reached = (
+        boxes.select("poly_id", "level", "box_level", F.explode(reach[0]).alias("cx"), reach[1].alias("rows"))
+        .select("poly_id", "level", "box_level", "cx", F.explode("rows").alias("cy"))
+    )
+    return reached.join(few, ["box_level", "cx", "cy"], "left_semi").select("poly_id", "level").distinct()
+
+
 def first_around(places: DataFrame, index: DataFrame) -> DataFrame:
     """``__place, around``: the smallest polygon around, or bordering on, each of the
     distinct ``places`` (``__place, x, y``) that has one. In a cell that lies wholly

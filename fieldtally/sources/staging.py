@@ -5,7 +5,9 @@ repeats the scan of the raw visits."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +29,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{application}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(table: DataFrame, name: str) -> DataFrame:
-    """Write the table and return a scan of what was written."""
+def stage(table: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write the table and return a scan of what was written; a filter on ``by``, which
+    has few values, then reads the rows of one value only."""
     spark = table.sparkSession
     path = run_folder(spark, name)
-    table.write.parquet(path)
+    table.write.parquet(path, partitionBy=by)
     return spark.read.schema(table.schema).parquet(path)
 
 
@@ -48,6 +51,22 @@ def stage_in_batches(table: DataFrame, name: str, rows: int) -> DataFrame:
         conf.set(key, before)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile the shuffle files of each query are deleted when it ends, not when the
+    driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stage_together(**tables: DataFrame) -> dict[str, DataFrame]:
     """Stage tables that do not depend on each other at the same time: while one waits
     for its last tasks, the others use the free cores."""

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtally.operators import spatial
+from fieldtally.operators import polygons, spatial
 from fieldtally.operators.polygons import cell_index, inside, polygon_levels, ring_edges
 from fieldtally.operators.spatial import nearest, nearest_region
+from fieldtally.sources.staging import stage, tidy
 
 
 def brute(left, right, radius):
@@ -178,6 +180,64 @@ def test_places_are_tested_until_one_polygon_covers_them(frame):
     assert "Join Inner" not in plan.split("__asked", 1)[0] and plan.count("Join LeftSemi") == 2
 
 
+def stages(monkeypatch):
+    """The tables that polygons stage from now on, by name and number of rows."""
+    written = []
+
+    def counted(table, name, **how):
+        found = stage(table, name, **how)
+        written.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(polygons, "stage", counted)
+    return written
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_large_layers_are_tested_in_parts(frame, monkeypatch, broadcast):
+    rng = random.Random(29)
+    rings = [
+        (k if k else None, star(rng, 4e6 + rng.random() * 3000, rng.random() * 3000 - 1500, radius, corners))
+        for k, (radius, corners) in enumerate([(900, 60), (30, 5), (1, 4), (300, 40)] * 15)
+    ]
+    edges = edge_rows(rings)
+    points = [(i, 4e6 + rng.random() * 3000, rng.random() * 3000 - 1500) for i in range(1500)]
+    points += [(5000 + i, x + rng.random(), y + rng.random()) for i, (_, ring) in enumerate(rings) for x, y in ring[:2]]
+    table = frame("id int, x double, y double", *points, *points[:9], (9000, None, 1.0))
+    expected = sorted(i for i, x, y in points + points[:9] if covering(edges, x, y))
+    monkeypatch.setattr(polygons, "PART_EDGES", 400)
+    monkeypatch.setattr(polygons, "BROADCAST_CELLS", broadcast)
+    written = stages(monkeypatch)
+    found = inside(table, frame(EDGES, *edges))
+    assert 50 < len(expected) < len(points)
+    assert sorted(r.id for r in found.collect()) == expected
+    bare = [n for name, n in written if name == "bare"]
+    covered = [n for name, n in written if name == "covered"]
+    assert len(covered) == -(-len(edges) // 400) and bare == sorted(bare, reverse=True)
+    assert [a - b for a, b in zip(bare, bare[1:])] == covered
+
+
+def test_parts_end_when_all_places_are_covered(frame, monkeypatch, tuples):
+    square = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    monkeypatch.setattr(polygons, "PART_EDGES", 4)
+    written = stages(monkeypatch)
+    layer = frame(EDGES, *edge_rows([(k, square) for k in range(9)]))
+    table = frame("id int, x double, y double", (1, 0.0, 0.0), (2, 0.5, 1.0))
+    assert tuples(inside(table, layer), "id") == [(1,), (2,)]
+    assert [n for name, n in written if name == "covered"][-1] == 2
+
+
+def test_only_polygons_near_places_get_cells(frame, monkeypatch):
+    rings = [(k, [(10 * k, 0), (10 * k + 8, 0), (10 * k + 8, 8), (10 * k, 8)]) for k in range(200)]
+    layer = frame(EDGES, *edge_rows(rings))
+    places = frame("__place string, x double, y double", ("a", 4.0, 4.0), ("b", 1204.0, 4.0))
+    boxes = polygons.polygon_boxes(layer)
+    level = boxes.first().box_level
+    near = polygons._near(boxes, polygons._occupied(places, [level]))
+    found = {r.poly_id for r in near.collect()}
+    assert {0, 120} <= found and len(found) < 12
+
+
 def pairs(frame, side):
     """Edges that points meet, and rows of the index, for a grid of squares."""
     rings = [
@@ -276,3 +336,31 @@ def test_ring_must_be_numbered(frame):
 def test_empty_layer(frame):
     edges = frame("poly_id int, x1 double, y1 double, x2 double, y2 double")
     assert inside(frame("id int, x double, y double", (1, 0.0, 0.0)), edges).count() == 0
+
+
+def test_points_of_short_rings_are_shuffled_once(frame):
+    rings = frame("poly_id int, ring_id int, seq int, x double, y double", (1, 0, 0, 0.0, 0.0), (1, 0, 1, 1.0, 0.0), (1, 0, 2, 1.0, 1.0))
+    plan = ring_edges(rings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_sorted_points_are_those_of_the_joins(frame, monkeypatch, tuples):
+    points = [(p, r, s + 5 * r, float(s % 3), float(s + (p or 0))) for p in (1, 2, None) for r in (0, 1) for s in range(6)]
+    points += points[4:9] + points[20:30] + [(7, 0, 3, None, 1.0), (7, 0, 4, 2.0, 2.0), (7, 0, 5, 2.0, 3.0), (8, 0, 0, 1.0, 1.0)]
+    rings = frame("poly_id int, ring_id int, seq int, x double, y double", *points)
+    sorted_ones = tuples(ring_edges(rings))
+    monkeypatch.setattr(polygons, "RING_POINTS", 0)
+    assert "Join" in ring_edges(rings)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted_ones == tuples(ring_edges(rings)) and len(sorted_ones) > 40
+
+
+def test_tidy_deletes_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.rsplit("/", 1)[1] for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = shuffled()
+    with tidy(spark):
+        assert stage(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "tidy").count() == 10
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
